@@ -87,14 +87,16 @@ def bits_to_base64(bits: Column) -> Column:
 def base64_to_pages(bitmap: Column, base: Column) -> Column:
     """Page indexes whose bit is set in a window bitmap starting at ``base``."""
     hexed = F.hex(F.unbase64(bitmap))
+    # Lowest byte last again, then one number; wrapped in an array so that it is read once a row.
+    turned = F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)])
+    word = F.conv(turned, 16, -10).cast("bigint")
 
-    def is_set(i: Column) -> Column:
-        byte = F.conv(F.substring(hexed, F.floor(i / 8).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        # Halving by integer division: the shift functions take no column as their distance.
-        return F.floor(byte / F.pow(F.lit(2), i % 8)).cast("int") % 2 == 1
+    def pages_of(bits: Column) -> Column:
+        is_set = lambda k: F.call_function("getbit", bits, k) == 1
+        return F.filter(F.sequence(F.lit(0), F.lit(c.WINDOW_SIZE - 1)), is_set)
 
-    offsets = F.filter(F.sequence(F.lit(0), F.lit(c.WINDOW_SIZE - 1)), is_set)
-    return F.transform(offsets, lambda i: i + base.cast("int"))
+    offsets = F.flatten(F.transform(F.array(word), pages_of))
+    return F.transform(offsets, lambda k: k + base.cast("int"))
 
 
 def frame_header(job_id, client_id, request, seq, page_idx, total_pages, watermark, bits, emitted_at) -> Column:

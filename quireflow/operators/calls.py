@@ -25,7 +25,7 @@ def with_outcome(calls: DataFrame) -> DataFrame:
 
 
 def call_windows(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str] = ("model",),
-                 max_group_rows: int = scan.MAX_GROUP_ROWS) -> DataFrame:
+                 max_group_rows: int = scan.MAX_GROUP_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Tumbling windows of calls per key, cache replays left out.
 
     Timeouts give no latency; a connection error gives one but is no server error."""
@@ -41,11 +41,12 @@ def call_windows(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str
         F.count_if(~timed_out & (F.col("status") >= 500)).alias("server_errors"),
         F.count("_latency").alias("latencies"),
     ]
-    _, largest = scan.group_stats(rows, group)
+    _, largest = sizes or scan.group_stats(rows, group)
     if largest <= max_group_rows:
         p95 = F.expr("percentile_disc(0.95) within group (order by _latency)")
         return rows.groupBy(*group).agg(*aggs, F.coalesce(p95, F.lit(0.0)).alias("p95"))
-    p95s = stats.quantiles(rows, group, "_latency", {"p95": 0.95}, interpolate=False, max_group_rows=max_group_rows)
+    p95s = stats.quantiles(rows, group, "_latency", {"p95": 0.95}, interpolate=False,
+                          max_group_rows=max_group_rows, sizes=sizes)
     return rows.groupBy(*group).agg(*aggs).join(p95s, group, "left").withColumn("p95", F.coalesce("p95", F.lit(0.0)))
 
 
@@ -106,7 +107,7 @@ def retry_budget(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str
 
 
 def failure_ratio(calls: DataFrame, reach: int = c.BREAKER_WINDOW, keys: Sequence[str] = ("model",),
-                  **route: int) -> DataFrame:
+                  **route) -> DataFrame:
     """Failure share of the last ``reach`` recorded calls, null until there are that many."""
     recorded = with_outcome(calls.filter(~F.col("replay"))).filter(F.col("outcome").isin("ok", "retry")) \
         .withColumn("_fail", (F.col("outcome") == "retry").cast("int"))
@@ -116,7 +117,7 @@ def failure_ratio(calls: DataFrame, reach: int = c.BREAKER_WINDOW, keys: Sequenc
         .drop("_fail", "_n", "_fails")
 
 
-def queue_depth(changes: DataFrame, seconds: int, **route: int) -> DataFrame:
+def queue_depth(changes: DataFrame, seconds: int, **route) -> DataFrame:
     """Queue depth at the end of each window with changes, and the admission tier it allows.
 
     ``changes`` has queue, ts and delta (+1 enqueued, -1 taken). Changes are summed per window
@@ -126,7 +127,7 @@ def queue_depth(changes: DataFrame, seconds: int, **route: int) -> DataFrame:
     return depth.drop("_d").withColumn("admission_rps", fx.admission_rps(F.col("depth")))
 
 
-def in_flight(calls: DataFrame, keys: Sequence[str] = ("model",), **route: int) -> DataFrame:
+def in_flight(calls: DataFrame, keys: Sequence[str] = ("model",), **route) -> DataFrame:
     """Calls in flight after every instant at which that changes; a slot is held from the start
     of its call to the end, but no longer than its lifetime."""
     end_us = F.unix_micros("ts")
@@ -139,7 +140,7 @@ def in_flight(calls: DataFrame, keys: Sequence[str] = ("model",), **route: int)
     return scan.running(changes, keys, ["at_us"], {"in_flight": scan.Running("sum", F.col("_d"))}, **route).drop("_d")
 
 
-def spacing_audit(calls: DataFrame, rates: DataFrame, key: str = "model", **route: int) -> DataFrame:
+def spacing_audit(calls: DataFrame, rates: DataFrame, key: str = "model", **route) -> DataFrame:
     """Calls that follow the one before sooner than 1/rate; ``rates`` has (key, rps)."""
     spaced = scan.neighbours(calls, [key], ["ts", "call_id"], 1, {
         "_last": lambda ordered, _: F.lag(F.unix_micros("ts")).over(ordered)}, **route)
@@ -148,7 +149,7 @@ def spacing_audit(calls: DataFrame, rates: DataFrame, key: str = "model", **rout
         .withColumn("too_close", F.coalesce(F.col("gap_s") < 1 / F.col("rps"), F.lit(False))).drop("rps")
 
 
-def freeze_audit(calls: DataFrame, keys: Sequence[str] = ("model",), **route: int) -> DataFrame:
+def freeze_audit(calls: DataFrame, keys: Sequence[str] = ("model",), **route) -> DataFrame:
     """Whether each call came before the freeze of an earlier 429 had ended."""
     until = F.when(F.col("outcome") == "throttled", F.unix_micros("ts") + F.round(F.col("retry_after_s") * 1e6).cast("long"))
     frozen = scan.running(with_outcome(calls), keys, ["ts", "call_id"],
@@ -156,7 +157,7 @@ def freeze_audit(calls: DataFrame, keys: Sequence[str] = ("model",), **route: in
     return frozen.withColumn("in_freeze", F.coalesce(F.unix_micros("ts") < F.col("frozen_until_us"), F.lit(False)))
 
 
-def request_excess(requests: DataFrame, key: str, rate: float, burst: int, **route: int) -> DataFrame:
+def request_excess(requests: DataFrame, key: str, rate: float, burst: int, **route) -> DataFrame:
     """Leaky-bucket excess of each request (key, ts, request_no) if none were refused, and
     whether it passes ``burst``. With S = n - rate * t, the excess is S minus its running minimum."""
     placed = scan.numbered(requests, [key], ["ts", "request_no"], "_n", 1, **route) \

@@ -8,14 +8,14 @@ every metric is computed where that row is.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from quireflow import contracts as c
+from quireflow.functions import boxes as boxes_fx
 from quireflow.functions import shaping, text, trees
 from quireflow.operators import scan
+from quireflow.session import written
 
 NODE_SCHEMA = (
     "pair_id bigint, side string, node_id bigint, parent_id bigint, list_pos int, type string, text string, "
@@ -36,13 +36,19 @@ def tree_sizes(nodes: DataFrame) -> DataFrame:
         *[F.count_if(F.col("side") == s).alias(f"{s}_nodes") for s in SIDES])
 
 
-def within_limit(nodes: DataFrame) -> DataFrame:
+def over_limit(nodes: DataFrame) -> DataFrame:
+    """Pairs with a tree too large to be compared, written once: usually none or a few."""
+    return written(tree_sizes(nodes).filter(F.greatest("pred_nodes", "truth_nodes") > c.MAX_TREE_NODES))
+
+
+def within_limit(nodes: DataFrame, over: DataFrame) -> DataFrame:
     """Nodes of the pairs whose trees are small enough to be compared."""
-    over = tree_sizes(nodes).filter(F.greatest("pred_nodes", "truth_nodes") > c.MAX_TREE_NODES).select("pair_id")
-    return nodes.join(scan.broadcast_checked(over), "pair_id", "left_anti")
+    if over.isEmpty():
+        return nodes
+    return nodes.join(scan.broadcast_checked(over.select("pair_id")), "pair_id", "left_anti")
 
 
-def packed_pairs(nodes: DataFrame) -> DataFrame:
+def packed_pairs(nodes: DataFrame, over: DataFrame | None = None) -> DataFrame:
     """One row per pair: ``pred`` and ``truth``, the nodes of each side as an array in reading
     order, every node with its page ordinal, post-order number and leftmost leaf (also mirrored).
 
@@ -51,7 +57,13 @@ def packed_pairs(nodes: DataFrame) -> DataFrame:
     fields = ["node_id", "parent_id", "list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence"]
     node = F.struct(F.col("ord").isNull().alias("late"), F.coalesce("ord", F.lit(0)).alias("key"), "list_pos", "node_id",
                     *[f for f in fields if f not in ("list_pos", "node_id")])
-    packed = within_limit(nodes).groupBy("pair_id").agg(
+    kept = within_limit(nodes, over_limit(nodes) if over is None else over)
+    # A fixed number of partitions: the rows are few bytes but much work, so they must not be
+    # merged by size. Hashing spreads the work; one pair costs at most 20 million cells, a second
+    # or two, so no task can hang on one.
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    packed = kept.repartition(parts, "pair_id").groupBy("pair_id").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("side") == s, node))).alias(s) for s in SIDES])
     merged = {}
     for s in SIDES:
@@ -175,31 +187,10 @@ def box_candidates(boxes_: DataFrame) -> DataFrame:
         .select("pair_id", F.col("_page").alias("page"), "pred_idx", "truth_idx", "pred_type", "truth_type", "iou")
 
 
-_MATCHES = ArrayType(StructType([
-    StructField("iou", DoubleType()), StructField("same", BooleanType()),
-    StructField("p", IntegerType()), StructField("t", IntegerType())]))
-
-
-@F.pandas_udf(_MATCHES)
-def _match_many(candidates: pd.Series) -> pd.Series:
-    def one(rows):
-        if rows is None:
-            return None
-        used_p, used_t, kept = set(), set(), []
-        for row in rows:
-            if row["p"] not in used_p and row["t"] not in used_t:
-                used_p.add(row["p"])
-                used_t.add(row["t"])
-                kept.append({"iou": row["iou"], "same": row["same"], "p": row["p"], "t": row["t"]})
-        return kept
-
-    return candidates.map(one)
-
-
 def _match_few(candidates: Column) -> Column:
     free = lambda acc, k: ~F.exists(acc, lambda m: (m["p"] == k["p"]) | (m["t"] == k["t"]))
     strip = lambda k: F.struct(k["iou"].alias("iou"), k["same"].alias("same"), k["p"].alias("p"), k["t"].alias("t"))
-    return F.aggregate(candidates, F.array().cast(_MATCHES), lambda acc, k: F.when(
+    return F.aggregate(candidates, F.array().cast(boxes_fx.MATCHES), lambda acc, k: F.when(
         free(acc, k), F.array_append(acc, strip(k))).otherwise(acc))
 
 
@@ -211,7 +202,7 @@ def match_boxes(candidates: DataFrame) -> DataFrame:
         (F.col("pred_type") == F.col("truth_type")).alias("same"))))
     grouped = candidates.groupBy("pair_id", "page").agg(ranked.alias("_k"))
     few = F.size("_k") <= BUILT_IN_CANDIDATES
-    many = _match_many(F.when(~few, F.col("_k")))
+    many = boxes_fx.match_many(F.when(~few, F.col("_k")))
     return grouped.withColumn("_m", F.when(few, _match_few(F.col("_k"))).otherwise(many)) \
         .select("pair_id", "page", F.inline("_m"))
 
@@ -260,13 +251,17 @@ def tree_admission(pairs: DataFrame) -> DataFrame:
         .withColumn("refused_reason", F.when(F.col("cells") > c.MAX_TREE_CELLS, "steps"))
 
 
+def _costs(nodes: DataFrame, over: DataFrame) -> DataFrame:
+    return tree_admission(comparable(packed_pairs(nodes, over)))
+
+
 def admission_report(nodes: DataFrame) -> DataFrame:
-    """Sizes and refusal of every pair, also of those over the node limit."""
-    sizes = tree_sizes(nodes)
-    fitting = tree_admission(comparable(packed_pairs(nodes))).select("pair_id", "cells", "mirrored", "refused_reason")
-    over = F.greatest("pred_nodes", "truth_nodes") > c.MAX_TREE_NODES
-    return sizes.join(fitting, "pair_id", "left").withColumn(
-        "refused_reason", F.when(over, "nodes").otherwise(F.col("refused_reason")))
+    """Sizes, cells and refusal of every pair, also of those over the node limit."""
+    over = over_limit(nodes)
+    fitting = _costs(nodes, over).select(
+        "pair_id", F.size("pred").cast("long").alias("pred_nodes"), F.size("truth").cast("long").alias("truth_nodes"),
+        "cells", "mirrored", "refused_reason")
+    return fitting.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
 
 
 def _distance(df: DataFrame) -> Column:
@@ -283,46 +278,50 @@ def _distance(df: DataFrame) -> Column:
     return trees.tree_distance(*arrays("pred"), *arrays("truth"))
 
 
-def spread_by_cost(pairs: DataFrame) -> DataFrame:
-    """Packed pairs dealt out evenly: rows are small but costly, so partitions must not be merged
-    by size. One pair is at most 20 million cells, a second or two, so no task can hang on one."""
-    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
-    return pairs.repartition(n, F.xxhash64("pair_id"))
-
-
 def tree_metrics(nodes: DataFrame) -> DataFrame:
     """Tree edit distance on node types per pair; refused pairs keep a reason and no distance."""
-    pairs = spread_by_cost(tree_admission(comparable(packed_pairs(nodes))).select(
-        "pair_id", "pred", "truth", "mirrored", "cells", "refused_reason"))
+    over = over_limit(nodes)
+    pairs = _costs(nodes, over)
     out = pairs.withColumn("ted", _distance(pairs)).select(
-        "pair_id", F.size("pred").alias("pred_nodes"), F.size("truth").alias("truth_nodes"), "cells", "refused_reason", "ted")
-    return out.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
+        "pair_id", F.size("pred").cast("long").alias("pred_nodes"), F.size("truth").cast("long").alias("truth_nodes"),
+        "cells", "refused_reason", "ted")
+    every = out.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
+    return every.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
 
 
 # --- everything ----------------------------------------------------------------------------------------
 
+def _packed_matches(pairs: DataFrame) -> Column:
+    """Box matches of packed pairs: struct of IoU and same-type arrays, in order of matching."""
+    def columns(side: str) -> list[Column]:
+        boxed = F.filter(side, lambda n: n["x"].isNotNull())
+        return [boxed[f] for f in ("page", "x", "y", "w", "h")] + [
+            F.transform(boxed, lambda n: F.coalesce(n["type"], F.lit("")))]
+
+    return boxes_fx.match_packed(*columns("pred"), *columns("truth"))
+
+
 def evaluate(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Text, box and tree scores of every pair, one row each. Pairs over the node limit appear
-    with ``refused_reason`` = 'nodes' and no scores, as they do when only the tree is too costly
-    (reason 'steps')."""
-    pairs = spread_by_cost(tree_admission(comparable(packed_pairs(nodes))).select(
-        "pair_id", "pred", "truth", "mirrored", "cells", "refused_reason"))
+    """Text, box and tree scores of every pair, one row each, after a single shuffle of the nodes.
+
+    Pairs over the node limit appear with ``refused_reason`` = 'nodes' and no scores; pairs whose
+    tree comparison would be too costly likewise with 'steps'."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    over = over_limit(nodes)
+    pairs = _costs(nodes, over)
+    count = lambda side: F.size(F.filter(side, lambda n: n["x"].isNotNull())).cast("long")
     scored = text_metrics(pairs.withColumns({
-        "ref": text_stream(F.col("truth")), "hyp": text_stream(F.col("pred")), "ted": _distance(pairs)})) \
-        .select("pair_id", "refused_reason", "ted", "cer", "wer", "char_edits", "word_edits",
-                "ref_chars", "hyp_chars", "ref_words", "hyp_words")
-    box_rows = boxes(reading_order(nodes))
-    sizes = tree_sizes(nodes)
-    over = F.greatest("pred_nodes", "truth_nodes") > c.MAX_TREE_NODES
-    full = sizes.join(scored, "pair_id", "left").join(box_metrics(box_rows, threshold), "pair_id", "left") \
-        .withColumn("refused_reason", F.when(over, "nodes").otherwise(F.col("refused_reason"))) \
-        .withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
-    # Pairs without any box score as two empty sides.
-    no_boxes = F.col("predicted_boxes").isNull() & F.col("refused_reason").isNull()
-    empty = {"predicted_boxes": 0, "truth_boxes": 0, "matched": 0, "matches_at_threshold": 0,
-             "iou_threshold": float(threshold), "mean_iou": 1.0, "matched_mean_iou": 0.0, "precision": 1.0,
-             "recall": 1.0, "f1": 1.0, "type_accuracy": 0.0}
-    full = full.withColumns({k: F.when(no_boxes, F.lit(v)).otherwise(F.col(k)) for k, v in empty.items()})
+        "ref": text_stream(F.col("truth")), "hyp": text_stream(F.col("pred")), "ted": _distance(pairs),
+        "_m": _packed_matches(pairs), "predicted_boxes": count("pred"), "truth_boxes": count("truth"),
+        "pred_nodes": F.size("pred").cast("long"), "truth_nodes": F.size("truth").cast("long")}))
+    hit = lambda v: v >= threshold
+    same = F.filter(F.zip_with("_m.iou", "_m.same", lambda v, s: hit(v) & s), lambda x: x)
+    full = box_scores(scored.withColumns({
+        "matched": F.size("_m.iou").cast("long"), "iou_sum": F.aggregate("_m.iou", F.lit(0.0), lambda a, v: a + v),
+        "hits": F.size(F.filter("_m.iou", hit)).cast("long"), "same_type": F.size(same).cast("long")}), threshold)
+    full = full.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
+        .drop("_m", "ref", "hyp", "pred", "truth", "mirrored", "cells", "cells_straight", "cells_mirrored")
     scores = [n for n in full.columns if n not in ("pair_id", "pred_nodes", "truth_nodes", "refused_reason")]
-    refused = F.col("refused_reason").isNotNull()
-    return full.withColumns({n: F.when(~refused, F.col(n)) for n in scores})
+    full = full.withColumns({n: F.when(F.col("refused_reason").isNull(), F.col(n)) for n in scores})
+    return full.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)

@@ -42,7 +42,7 @@ LIMITS = scan.Fold(
     "rps double, concurrency int, overload_streak int, healthy_streak int", limits_step)
 
 
-def replay_limits(judged: DataFrame, keys: Sequence[str] = ("model",), **route: int) -> DataFrame:
+def replay_limits(judged: DataFrame, keys: Sequence[str] = ("model",), **route) -> DataFrame:
     """Limits after each judged window. Idle windows must be present (``with_idle_windows``):
     the controller is taken to run from a key's first window to its last."""
     known = call_ops.with_limits(judged, ["hard_rps", "start_rps", "start_concurrency", "max_concurrency"])
@@ -100,7 +100,7 @@ def breaker_fold(window: int = c.BREAKER_WINDOW, threshold: float = c.BREAKER_TH
 
 
 def replay_breaker(calls: DataFrame, keys: Sequence[str] = ("model",), fold: scan.Fold | None = None,
-                   **route: int) -> DataFrame:
+                   **route) -> DataFrame:
     """Calls with the permit a breaker would have given and its state afterwards."""
     rows = call_ops.with_outcome(calls).withColumn("at_s", F.unix_micros("ts") / 1e6)
     return scan.replay(rows, keys, ["at_s", "call_id"], fold or breaker_fold(), **route)
@@ -128,7 +128,7 @@ def retry_step(state, win, is_retry, replay):
 RETRIES = scan.Fold(("win", "is_retry", "replay"), "granted boolean", retry_step)
 
 
-def replay_retries(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str] = ("model",), **route: int) -> DataFrame:
+def replay_retries(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str] = ("model",), **route) -> DataFrame:
     """Calls with ``granted``: whether a retry was within the budget (null for first calls)."""
     rows = calls.withColumn("win", call_ops.window_id(F.col("ts"), seconds)).withColumn("at_us", F.unix_micros("ts"))
     return scan.replay(rows, keys, ["at_us", "call_id"], RETRIES, **route).drop("at_us")
@@ -183,7 +183,7 @@ PAGES = scan.Fold(
     "source string, low_confidence boolean", page_step)
 
 
-def replay_pages(deliveries: DataFrame, order: Sequence[str], **route: int) -> DataFrame:
+def replay_pages(deliveries: DataFrame, order: Sequence[str], **route) -> DataFrame:
     """Deliveries with the action taken and the page's state afterwards."""
     return scan.replay(deliveries, ["job_id", "page_idx"], order, PAGES, **route)
 

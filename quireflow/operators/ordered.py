@@ -2,7 +2,8 @@
 
 An event row has job_id, seq, kind, page_idx (null for job events) and total_pages.
 ``page_watermark`` is the lowest page index not emitted yet; it has nothing to do with event time.
-Everything here is linear in the number of events: no self-join within a job.
+Everything here is linear in the number of events: no self-join within a job. ``route`` goes to
+``scan``; ``sizes`` are (rows, rows of the largest job), measured once by whoever knows them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from quireflow.operators import scan
 JOB = ["job_id"]
 
 
-def allocate_seq(commits: DataFrame, order: list[str], **route: int) -> DataFrame:
+def allocate_seq(commits: DataFrame, order: list[str], **route) -> DataFrame:
     """Gap-free ``seq`` per job in commit order."""
     return scan.numbered(commits, JOB, order, "seq", 1, **route)
 
 
-def audit_arrivals(frames: DataFrame, arrival: str = "arrival", **route: int) -> DataFrame:
+def audit_arrivals(frames: DataFrame, arrival: str = "arrival", **route) -> DataFrame:
     """Frames in arrival order with what a reader would do: ``duplicate`` frames are ignored,
     a ``gap`` makes it reconnect."""
     seen = scan.running(frames, JOB, [arrival], {"_last": scan.Running("max", F.col("seq"), inclusive=False)}, **route)
@@ -35,7 +36,7 @@ def first_frames(frames: DataFrame) -> DataFrame:
     return frames.dropDuplicates(["job_id", "seq"])
 
 
-def flush_points(events: DataFrame, **route: int) -> DataFrame:
+def flush_points(events: DataFrame, **route) -> DataFrame:
     """(job_id, page_idx, first_seq, flush_seq): when each page of the contiguous prefix can be
     emitted in document order. Pages behind a missing page have no flush point and are left out."""
     pages = events.filter(F.col("page_idx").isNotNull()).groupBy("job_id", "page_idx").agg(F.min("seq").alias("first_seq"))
@@ -44,7 +45,7 @@ def flush_points(events: DataFrame, **route: int) -> DataFrame:
     return placed.filter(F.col("page_idx") == F.col("_rn") - 1).drop("_rn")
 
 
-def with_watermark(events: DataFrame, **route: int) -> DataFrame:
+def with_watermark(events: DataFrame, **route) -> DataFrame:
     """Events with ``page_watermark`` after them and ``watermark_before``."""
     flushed = flush_points(events, **route).groupBy("job_id", F.col("flush_seq").alias("seq")).agg(F.count("*").alias("_flushed"))
     marked = events.join(flushed, ["job_id", "seq"], "left").withColumn("_flushed", F.coalesce("_flushed", F.lit(0)))
@@ -52,7 +53,7 @@ def with_watermark(events: DataFrame, **route: int) -> DataFrame:
     return out.withColumn("watermark_before", F.col("page_watermark") - F.col("_flushed")).drop("_flushed")
 
 
-def with_window_bits(events: DataFrame, **route: int) -> DataFrame:
+def with_window_bits(events: DataFrame, **route) -> DataFrame:
     """Events (with ``page_watermark``) and ``window_bits``: bit i is set when page watermark + i
     has been emitted by then, for the 64 pages from the watermark.
 
@@ -68,6 +69,8 @@ def with_window_bits(events: DataFrame, **route: int) -> DataFrame:
     lookups = events.select("job_id", "seq", base.alias("base"), F.explode(F.array(F.lit(0), F.lit(1))).alias("which")) \
         .select("job_id", (F.floor(F.col("base") / size) + F.col("which")).alias("word"), "seq", F.lit(1).alias("lookup"),
                 F.col("which").alias("at"), F.lit(0).cast("long").alias("bit"), "which", "base")
+    if route.get("sizes"):  # two lookups per event and the updates
+        route = {**route, "sizes": tuple(3 * n for n in route["sizes"])}
     words = scan.running(updates.unionByName(lookups), ["job_id", "word"], ["seq", "lookup", "at"],
                          {"bits": scan.Running("bit_or", F.col("bit"))}, **route).filter("lookup = 1")
     pair = words.groupBy("job_id", "seq").agg(
@@ -80,7 +83,7 @@ def with_window_bits(events: DataFrame, **route: int) -> DataFrame:
     return events.join(pair.select("job_id", "seq", low.bitwiseOR(high).alias("window_bits")), ["job_id", "seq"])
 
 
-def framed(events: DataFrame, jobs: DataFrame, emitted_at: Column, **route: int) -> DataFrame:
+def framed(events: DataFrame, jobs: DataFrame, emitted_at: Column, **route) -> DataFrame:
     """Events with their full ``header`` (jobs: job_id, client_id, request_id)."""
     full = with_window_bits(with_watermark(events, **route), **route)
     owner = jobs.select("job_id", "client_id", "request_id")
@@ -89,7 +92,7 @@ def framed(events: DataFrame, jobs: DataFrame, emitted_at: Column, **route: int)
         F.col("page_watermark"), F.col("window_bits"), emitted_at))
 
 
-def reassembly(frames: DataFrame, arrival: str = "arrival", **route: int) -> DataFrame:
+def reassembly(frames: DataFrame, arrival: str = "arrival", **route) -> DataFrame:
     """What a reorder buffer sees per job: out-of-order arrivals, most pages buffered, pages
     emitted in order, duplicates, whether the job completed or failed.
 

@@ -103,7 +103,7 @@ def send_backlog(outbox: DataFrame, as_of: Column) -> DataFrame:
         shaping.seconds_between(F.min(waiting), as_of), F.lit(0.0)).alias("oldest_s"))
 
 
-def send_lags(outbox: DataFrame, **route: int) -> DataFrame:
+def send_lags(outbox: DataFrame, **route) -> DataFrame:
     """Distribution of seconds between creating and sending a message, per queue."""
     lags = outbox.filter("sent_at is not null") \
         .withColumn("lag_s", shaping.seconds_between(F.col("created_at"), F.col("sent_at")))
@@ -138,7 +138,7 @@ def completion(jobs: DataFrame, pages: DataFrame) -> DataFrame:
 
 # --- status history --------------------------------------------------------------------------------
 
-def status_spans(log: DataFrame, **route: int) -> DataFrame:
+def status_spans(log: DataFrame, **route) -> DataFrame:
     """Status log (job_id, page_idx, at, step, status) with the previous status, the seconds spent
     in it before the change, and whether the change is allowed."""
     spans = scan.neighbours(log, PAGE, ["at", "step"], 1, {
@@ -150,14 +150,14 @@ def status_spans(log: DataFrame, **route: int) -> DataFrame:
         .withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_from", "_ok", "_since")
 
 
-def queue_waits(spans: DataFrame, **route: int) -> DataFrame:
+def queue_waits(spans: DataFrame, **route) -> DataFrame:
     """Seconds a page waited until a stage picked it up: distribution per stage."""
     picked = spans.filter(F.col("status").isin("FAST_PROCESSING", "SLOW_PROCESSING") & F.col("waited_s").isNotNull()) \
         .withColumn("stage", F.when(F.col("status") == "FAST_PROCESSING", "fast").otherwise("slow"))
     return stats.quantiles(picked, ["stage"], "waited_s", {"p50": 0.5, "p95": 0.95, "longest": 1.0}, **route)
 
 
-def page_latencies(pages: DataFrame, **route: int) -> DataFrame:
+def page_latencies(pages: DataFrame, **route) -> DataFrame:
     """Seconds from creating to completing a page: distribution per source."""
     done = pages.filter("completed_at is not null") \
         .withColumn("latency_s", shaping.seconds_between(F.col("created_at"), F.col("completed_at")))

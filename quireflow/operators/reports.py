@@ -22,7 +22,7 @@ def run_summary(frames: DataFrame) -> DataFrame:
         (F.unix_micros(F.max("received_at")) - F.unix_micros(F.min("received_at"))).alias("elapsed_us"))
 
 
-def page_lists(frames: DataFrame, **route: int) -> DataFrame:
+def page_lists(frames: DataFrame, **route) -> DataFrame:
     """Per job: page indexes in order of arrival and the low-confidence ones, in parts of bounded
     length (part 0 holds everything of a document within the page limit)."""
     pages = frames.filter("page_idx is not null")
@@ -45,7 +45,7 @@ def load_report(assembled: DataFrame, jobs: DataFrame, elapsed_s: float | None =
         F.bool_and(F.coalesce(F.col("emitted") == F.col("total_pages"), F.lit(False))).alias("all_in_order"))
 
 
-def latency_report(marks: DataFrame, **route: int) -> DataFrame:
+def latency_report(marks: DataFrame, **route) -> DataFrame:
     """min, median, p90, p95, p99 and max of each measure; ``marks`` has (measure, ms)."""
     wanted = {"min": 0.0, "med": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
     return stats.quantiles(marks, ["measure"], "ms", wanted, **route)
@@ -65,7 +65,7 @@ def latency_marks(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     return each.unionByName(first).unionByName(job).unionByName(upload)
 
 
-def throughput(pages: DataFrame, jobs: DataFrame, **route: int) -> DataFrame:
+def throughput(pages: DataFrame, jobs: DataFrame, **route) -> DataFrame:
     """One row: busy window (first job accepted to last job finished), rates, when 95 % of the
     pages were done, and the tail after that."""
     done = pages.withColumn("_ms", F.unix_millis("received_at").cast("double"))
@@ -73,8 +73,9 @@ def throughput(pages: DataFrame, jobs: DataFrame, **route: int) -> DataFrame:
     counted = pages.agg(F.count("*").alias("pages"))
     span = jobs.agg(F.unix_millis(F.min("accepted_at")).alias("_from"), F.unix_millis(F.max("finished_at")).alias("_to"),
                     F.count("finished_at").alias("jobs"))
-    # One row each.
-    row = span.join(F.broadcast(counted), F.lit(True)).join(F.broadcast(marks), F.lit(True))
+    # Three single rows become one.
+    rows = span.unionByName(counted, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+    row = rows.agg(*[F.max(n).alias(n) for n in rows.columns])
     window, bulk = (F.col("_to") - F.col("_from")) / 1000, (F.col("_p95") - F.col("_from")) / 1000
     per = lambda n, s: F.when(s > 0, n / s).otherwise(0.0)
     return row.select(

@@ -40,6 +40,18 @@ def group_stats(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row["n"] or 0, row["m"] or 0
 
 
+def _sizes(df: DataFrame, keys: Sequence[str], known: tuple[int, int] | None) -> tuple[int, int]:
+    """Measured sizes, or the upper bounds a caller already knows (from measuring the table that
+    ``df`` was derived from, say): measuring ``df`` would compute it once more."""
+    return known or group_stats(df, keys)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """Small inputs of a few files spread over all cores; larger ones are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows; otherwise unchanged,
     so Spark shuffles (and splits skewed partitions of) the join instead."""
@@ -92,9 +104,10 @@ def row_count() -> Running:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, Running],
-            max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS,
+            sizes: tuple[int, int] | None = None) -> DataFrame:
     """``df`` plus running aggregates. ``order`` must order the rows of a key totally."""
-    rows, largest = group_stats(df, keys)
+    rows, largest = _sizes(df, keys, sizes)
     if largest <= max_group_rows:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: c.local(ordered) for name, c in columns.items()})
@@ -120,9 +133,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: d
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, start: int = 1,
-             max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             **route) -> DataFrame:
     """Gap-free numbers from ``start`` in ``order`` within each key."""
-    out = running(df, keys, order, {name: row_count()}, max_group_rows, chunk_rows)
+    out = running(df, keys, order, {name: row_count()}, **route)
     return out.withColumn(name, F.col(name) + (start - 1)) if start != 1 else out
 
 
@@ -131,7 +144,8 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int,
                columns: dict[str, Callable[[WindowSpec, WindowSpec], Column]], forward: bool = False,
-               max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS,
+               sizes: tuple[int, int] | None = None) -> DataFrame:
     """``df`` plus window columns that look at most ``reach`` rows back (or ahead, ``forward``).
 
     Each column is built from (ordered window, the same window framed to ``reach`` rows and the
@@ -139,14 +153,14 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach:
     of the ``reach`` rows next to it, dropped again afterwards.
     """
     frame = (0, reach) if forward else (-reach, 0)
-    rows, largest = group_stats(df, keys)
+    rows, largest = _sizes(df, keys, sizes)
     if largest <= max_group_rows:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: c(ordered, ordered.rowsBetween(*frame)) for n, c in columns.items()})
 
     size = max(chunk_rows, reach)
     at = F.col("_rn") - 1
-    placed = numbered(df, keys, order, "_rn", 1, max_group_rows, chunk_rows) \
+    placed = numbered(df, keys, order, "_rn", max_group_rows=max_group_rows, chunk_rows=chunk_rows, sizes=(rows, largest)) \
         .withColumn("_block", F.floor(at / size)).withColumn("_copy", F.lit(False))
     inside = F.pmod(at, F.lit(size))
     edge = placed.filter(inside < reach if forward else inside >= size - reach) \
@@ -192,7 +206,7 @@ def _folded(fold: Fold, keys: Sequence[str], batches: Iterator[pa.RecordBatch],
 
 
 def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
-           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+           chunk_rows: int = CHUNK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``df`` plus the fold's outputs, each key folded in ``order``.
 
     A fold is sequential, but a chunk's result depends on the earlier chunks only through the
@@ -204,7 +218,7 @@ def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
     chunk, never a row.
     """
     spark = df.sparkSession
-    rows = df.count()
+    rows = sizes[0] if sizes else df.count()
     chunks = ordered_chunks(df, keys, order, rows, chunk_rows)
     needed = chunks.select(*dict.fromkeys([*keys, *fold.inputs, _CHUNK]))
     starts: dict[int, tuple] = {}

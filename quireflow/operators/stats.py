@@ -8,27 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.operators import scan
+from quireflow.session import written
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str, max_group_rows: int) -> DataFrame:
-    """One row per (keys, value) with the running count ``_upto`` and the group's total ``_n``."""
+    """One row per (keys, value) with the running count ``_upto`` and the group's total ``_n``.
+    The counts are written once; the passes over them do not compute ``df`` again."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = scan.running(counts, keys, [value], {"_upto": scan.Running("sum", F.col("_c"))}, max_group_rows)
+    counts = written(counts)
+    upto = scan.running(counts, keys, [value], {"_upto": scan.Running("sum", F.col("_c"))}, max_group_rows=max_group_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     joined = upto.alias("u").join(totals.alias("t"), [F.col(f"u.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
     return joined.select("u.*", "t._n")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], interpolate: bool = True,
-              max_group_rows: int = scan.MAX_GROUP_ROWS) -> DataFrame:
+              max_group_rows: int = scan.MAX_GROUP_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """One row per group with exact quantiles: interpolated, or nearest rank.
 
     Groups small enough for one task use the built-in aggregates. Others are first counted per
     distinct value and then ranked by a running count that may span many tasks.
     """
     if not keys:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, wanted, interpolate, max_group_rows).drop("_all")
-    _, largest = scan.group_stats(df, keys)
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, wanted, interpolate, max_group_rows, sizes).drop("_all")
+    _, largest = sizes or scan.group_stats(df, keys)
     built_in = F.percentile if interpolate else (lambda v, q: F.expr(f"percentile_disc({q}) within group (order by `{v}`)"))
     if largest <= max_group_rows:
         return df.groupBy(*keys).agg(*[built_in(value, q).alias(n) for n, q in wanted.items()])
@@ -74,12 +77,11 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
 
 
 def counter_increase(samples: DataFrame, keys: Sequence[str], seconds: int, group: Sequence[str],
-                     max_group_rows: int = scan.MAX_GROUP_ROWS) -> DataFrame:
+                     **route) -> DataFrame:
     """Increase and rate of counters per window: differences between neighbouring samples of a
     series, a drop counting from zero. No extrapolation to the window's edges."""
     stepped = scan.neighbours(
-        samples, keys, ["ts", "value"], 1, {"_last": lambda ordered, _: F.lag("value").over(ordered)},
-        max_group_rows=max_group_rows)
+        samples, keys, ["ts", "value"], 1, {"_last": lambda ordered, _: F.lag("value").over(ordered)}, **route)
     value, last = F.col("value"), F.col("_last")
     delta = F.when(last.isNull(), 0.0).when(value < last, value).otherwise(value - last)
     start = (F.floor(F.unix_seconds("ts") / seconds) * seconds).alias("window_start")
@@ -95,11 +97,11 @@ def latest_gauge(samples: DataFrame, series: Sequence[str], group: Sequence[str]
 
 
 def trend(samples: DataFrame, key: str, at: str, value: str, warm_up: float = 0.25,
-          max_group_rows: int = scan.MAX_GROUP_ROWS) -> DataFrame:
+          **route) -> DataFrame:
     """Peak and least-squares slope per key, the slope without the first ``warm_up`` of samples.
 
     A slope without spread is 0."""
-    placed = scan.numbered(samples, [key], [at, value], "_rn", 0, max_group_rows)
+    placed = scan.numbered(samples, [key], [at, value], "_rn", 0, **route)
     totals = samples.groupBy(key).agg(F.count("*").alias("_n"), F.max(value).alias("peak"))
     sized = placed.join(scan.broadcast_checked(totals), key)
     steady = F.col("_rn") >= F.floor(F.col("_n") * warm_up)

@@ -15,7 +15,7 @@ def events_after(events: DataFrame, job_id, after_seq: int, limit: int = c.FETCH
     return events.filter((F.col("job_id") == job_id) & (F.col("seq") > after_seq)).orderBy("seq").limit(limit)
 
 
-def events_after_cursors(events: DataFrame, cursors: DataFrame, limit: int = c.FETCH_LIMIT, **route: int) -> DataFrame:
+def events_after_cursors(events: DataFrame, cursors: DataFrame, limit: int = c.FETCH_LIMIT, **route) -> DataFrame:
     """The same for many readers at once: cursors has one row (job_id, after_seq) per job."""
     later = events.join(cursors, "job_id").filter(F.col("seq") > F.col("after_seq"))
     return scan.numbered(later, ["job_id"], ["seq"], "_rn", 1, **route).filter(F.col("_rn") <= limit).drop("_rn")

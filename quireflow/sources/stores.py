@@ -45,7 +45,7 @@ def assembled_documents(jobs: DataFrame, results: DataFrame) -> DataFrame:
         "complete", (F.col("status") == "COMPLETE") & (F.col("missing_pages") == 0))
 
 
-def send_batches(outbox: DataFrame, batch: int = c.SEND_BATCH, chunk: int = c.SEND_CHUNK, **route: int) -> DataFrame:
+def send_batches(outbox: DataFrame, batch: int = c.SEND_BATCH, chunk: int = c.SEND_CHUNK, **route) -> DataFrame:
     """Unsent rows oldest first: batch number, and the chunk of their queue within the batch."""
     waiting = outbox.filter("sent_at is null").withColumn("_all", F.lit(0))
     placed = scan.numbered(waiting, ["_all"], ["id"], "_rn", 0, **route).withColumn("batch", F.floor(F.col("_rn") / batch))
