@@ -32,6 +32,7 @@ def match_many(candidates: pd.Series) -> pd.Series:
 def match_boxes(page1, x1, y1, w1, h1, type1, page2, x2, y2, w2, h2, type2) -> tuple[list, list]:
     """IoUs and type agreement of the matches of one pair of trees; boxes of a tree are bounded by
     the node limit. Only boxes of one page whose vertical spans meet are compared."""
+    page1, page2 = (np.array([-1 if v is None or v != v else int(v) for v in p]) for p in (page1, page2))
     order = np.lexsort((y2, page2))
     reach = h2.max() if len(h2) else 0.0  # how far above a box one may start and still meet it
     candidates = []

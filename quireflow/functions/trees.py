@@ -6,51 +6,54 @@ A tree arrives as parallel arrays (one element per node), bounded by the node li
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 BATCH_CELLS = 2_000_000  # distance-table cells worked on together
 
 
-def layout(ids: Sequence, parents: Sequence, positions: Sequence, is_page: Sequence) -> dict[str, np.ndarray]:
-    """Reading order, post-order and related numbers of one tree; arrays follow the input order.
+# Numbers the layout adds to every node.
+LAYOUT = ("pre", "page", "post", "lmld", "mpost", "mlmld")
+
+
+def layout(ids: Sequence, parents: Sequence, is_page: Sequence) -> tuple[list[int], dict[str, list[int]]]:
+    """Reading order of one tree and the ``LAYOUT`` numbers of its nodes in that order.
 
-    ``positions`` orders siblings. ``page`` is the reading-order ordinal of the nearest page
-    node, -1 without one. Post-order and leftmost leaf are also given for the mirrored tree.
-    Nodes that hang on no root get -1 everywhere.
+    Siblings must come in their order. ``page`` is the reading-order ordinal of the nearest page
+    node, None without one; post-order and leftmost leaf are also given for the mirrored tree.
+    Nodes that hang on no root are left out.
     """
-    n = len(ids)
     index = {v: i for i, v in enumerate(ids)}
-    children: list[list[int]] = [[] for _ in range(n)]
+    children: list[list[int]] = [[] for _ in ids]
     roots = []
-    for i in np.argsort(np.asarray(positions), kind="stable"):
-        parent = parents[i]
-        if parent is None or parent != parent:
-            roots.append(int(i))
+    for i, parent in enumerate(parents):
+        if parent is None:
+            roots.append(i)
         elif parent in index:
-            children[index[parent]].append(int(i))
-    out = {c: np.full(n, -1, np.int32) for c in ("pre", "page", "post", "lmld", "mpost", "mlmld", "depth")}
-    stack = [(r, -1, 0) for r in reversed(roots)]
-    visited = []
-    pages = 0
+            children[index[parent]].append(i)
+    visited, pages, depths = [], [], []
+    stack = [(r, None, 0) for r in reversed(roots)]
+    seen_pages = 0
     while stack:
         node, page, depth = stack.pop()
         if is_page[node]:
-            page, pages = pages, pages + 1
-        out["pre"][node], out["page"][node], out["depth"][node] = len(visited), page, depth
+            page, seen_pages = seen_pages, seen_pages + 1
         visited.append(node)
-        stack.extend((c, page, depth + 1) for c in reversed(children[node]))
-    size = np.ones(n, np.int32)
+        pages.append(page)
+        depths.append(depth)
+        stack.extend((child, page, depth + 1) for child in reversed(children[node]))
+    size = [1] * len(index)
     for node in reversed(visited):
         for child in children[node]:
             size[node] += size[child]
-    # A node's post-order number follows from its reading-order number, size and depth;
-    # mirrored, the reading order runs through the siblings from the right.
-    mirrored = np.zeros(n, np.int32)
+    # Mirrored, the reading order runs through the siblings from the right.
+    mirrored = [0] * len(index)
     before = 0
     for root in reversed(roots):
         mirrored[root] = before
@@ -60,21 +63,57 @@ def layout(ids: Sequence, parents: Sequence, positions: Sequence, is_page: Seque
         for child in reversed(children[node]):
             mirrored[child] = before
             before += size[child]
-    seen = out["pre"] >= 0
-    for pre, post, lmld in ((out["pre"], "post", "lmld"), (mirrored, "mpost", "mlmld")):
-        number = pre + size - 1 - out["depth"]
-        out[post] = np.where(seen, number, -1).astype(np.int32)
-        out[lmld] = np.where(seen, number - size + 1, -1).astype(np.int32)
-    return out
-
-
-LAYOUT = ("pre", "page", "post", "lmld", "mpost", "mlmld")
-
-
-@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in LAYOUT]))
-def tree_layout(ids: pd.Series, parents: pd.Series, positions: pd.Series, is_page: pd.Series) -> pd.DataFrame:
-    rows = [layout(*tree) for tree in zip(ids, parents, positions, is_page)]
-    return pd.DataFrame({c: [r[c] for r in rows] for c in LAYOUT})
+    # Post-order follows from reading order, subtree size and depth.
+    sizes = [size[node] for node in visited]
+    post = [pre + n - 1 - d for pre, (n, d) in enumerate(zip(sizes, depths))]
+    mpost = [mirrored[node] + n - 1 - d for node, n, d in zip(visited, sizes, depths)]
+    return visited, {
+        "pre": list(range(len(visited))), "page": pages, "post": post, "lmld": [p - n + 1 for p, n in zip(post, sizes)],
+        "mpost": mpost, "mlmld": [p - n + 1 for p, n in zip(mpost, sizes)]}
+
+
+def keyroot_cost(post: Sequence[int], lmld: Sequence[int]) -> int:
+    """Sum of the sizes of all keyroot subtrees: the last node of every leftmost leaf."""
+    last: dict[int, int] = {}
+    for p, leaf in zip(post, lmld):
+        if p > last.get(leaf, -1):
+            last[leaf] = p
+    return sum(p - leaf + 1 for leaf, p in last.items())
+
+
+def lay_out_side(trees: pa.ListArray) -> tuple[pa.ListArray, pa.Array, pa.Array]:
+    """Trees (lists of node structs, siblings in order) rearranged into reading order with the
+    ``LAYOUT`` numbers added, and the keyroot costs of both orientations."""
+    nodes = trees.flatten()
+    starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(trees), 0).to_numpy())]).tolist()
+    ids, parents = nodes.field("node_id").to_pylist(), nodes.field("parent_id").to_pylist()
+    is_page = pc.fill_null(pc.equal(nodes.field("type"), "page"), False).to_pylist()
+    order: list[int] = []
+    numbers: dict[str, list] = {k: [] for k in LAYOUT}
+    offsets, costs, mirrored_costs = [0], [], []
+    for a, b in zip(starts, starts[1:]):
+        visited, found = layout(ids[a:b], parents[a:b], is_page[a:b])
+        order.extend(a + v for v in visited)
+        for k in LAYOUT:
+            numbers[k].extend(found[k])
+        offsets.append(len(order))
+        costs.append(keyroot_cost(found["post"], found["lmld"]))
+        mirrored_costs.append(keyroot_cost(found["mpost"], found["mlmld"]))
+    arranged = nodes.take(pa.array(order, pa.int64()))
+    kept = [f.name for f in nodes.type if f.name not in ("late", "key")]
+    struct = pa.StructArray.from_arrays(
+        [pa.array(numbers[k], pa.int32()) for k in LAYOUT] + [arranged.field(f) for f in kept], [*LAYOUT, *kept])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(costs, pa.int64()), pa.array(mirrored_costs, pa.int64())
+
+
+def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (pair_id, pred, truth) with both trees laid out and their costs."""
+    for batch in batches:
+        columns = {"pair_id": batch.column("pair_id")}
+        for side in ("pred", "truth"):
+            tree, cost, mirrored = lay_out_side(batch.column(side))
+            columns |= {side: tree, f"{side}_cost": cost, f"{side}_mirrored_cost": mirrored}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def keyroots(lmld: np.ndarray) -> np.ndarray:

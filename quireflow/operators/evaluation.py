@@ -25,6 +25,10 @@ SIDES = ("pred", "truth")
 
 # Box candidates up to this many are matched in the JVM; more go to the Arrow kernel.
 BUILT_IN_CANDIDATES = 200
+_PACKED = (
+    "pre:int,page:int,post:int,lmld:int,mpost:int,mlmld:int,list_pos:int,node_id:bigint,parent_id:bigint,type:string,"
+    "text:string,x:double,y:double,w:double,h:double,ord:int,confidence:double"
+)
 _GRID_ROWS = 32  # horizontal bands of a page used to find overlapping boxes
 
 
@@ -50,7 +54,8 @@ def within_limit(nodes: DataFrame, over: DataFrame) -> DataFrame:
 
 def packed_pairs(nodes: DataFrame, over: DataFrame | None = None) -> DataFrame:
     """One row per pair: ``pred`` and ``truth``, the nodes of each side as an array in reading
-    order, every node with its page ordinal, post-order number and leftmost leaf (also mirrored).
+    order, every node with its page ordinal, post-order number and leftmost leaf (also mirrored),
+    and the keyroot costs of each tree.
 
     Siblings follow ``ord``, those without one come after the others, then list position. One
     shuffle brings both trees of a pair together; everything later works on that row."""
@@ -65,18 +70,9 @@ def packed_pairs(nodes: DataFrame, over: DataFrame | None = None) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     packed = kept.repartition(parts, "pair_id").groupBy("pair_id").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("side") == s, node))).alias(s) for s in SIDES])
-    merged = {}
-    for s in SIDES:
-        # The arrays are sorted by the sibling rule, so a node's place in them orders its siblings.
-        numbers = trees.tree_layout(
-            F.transform(s, lambda n: n["node_id"]), F.transform(s, lambda n: n["parent_id"]),
-            F.transform(s, lambda n, i: i), F.transform(s, lambda n: F.coalesce(n["type"], F.lit("")) == "page"))
-        packed = packed.withColumn(f"_l_{s}", numbers)
-        zipped = F.arrays_zip(F.col(s).alias("n"), *[F.col(f"_l_{s}.{k}").alias(k) for k in trees.LAYOUT])
-        merged[s] = F.array_sort(F.transform(zipped, lambda z: F.struct(
-            z["pre"].alias("pre"), *[z[k].alias(k) for k in trees.LAYOUT if k != "pre"],
-            *[z["n"][f].alias(f) for f in fields])))
-    return packed.select("pair_id", *[merged[s].alias(s) for s in SIDES])
+    schema = (f"pair_id {nodes.schema['pair_id'].dataType.simpleString()}, " + ", ".join(
+        f"{s} array<struct<{_PACKED}>>, {s}_cost bigint, {s}_mirrored_cost bigint" for s in SIDES))
+    return packed.mapInArrow(trees.lay_out, schema)
 
 
 def _by_side(pairs: DataFrame) -> DataFrame:
@@ -92,8 +88,7 @@ def comparable(pairs: DataFrame) -> DataFrame:
 
 def reading_order(nodes: DataFrame) -> DataFrame:
     """Nodes with their place in reading order and the ordinal of their page (null without one)."""
-    return _by_side(packed_pairs(nodes)).select("pair_id", "side", F.inline("nodes")) \
-        .withColumn("page", F.when(F.col("page") >= 0, F.col("page")))
+    return _by_side(packed_pairs(nodes)).select("pair_id", "side", F.inline("nodes"))
 
 
 def post_order(nodes: DataFrame) -> DataFrame:
@@ -114,17 +109,6 @@ def _last_of_leaf(nodes: Column, post: str, lmld: str) -> Column:
                                 lambda z: z["a"]["l"] != z["b"]["l"]), lambda z: z["a"]["p"])
 
 
-def _keyroot_cost(nodes: Column, post: str, lmld: str) -> Column:
-    """Sum of the subtree sizes of all keyroots."""
-    pairs = F.array_sort(F.transform(nodes, lambda n: F.struct(n[lmld].alias("l"), n[post].alias("p"))))
-    # Walking by (leaf, post), the last node of each leaf is the keyroot.
-    start = F.struct(F.lit(-1).cast("int").alias("l"), F.lit(-2).cast("int").alias("p"), F.lit(0).cast("bigint").alias("sum"))
-    done = F.aggregate(pairs, start, lambda acc, n: F.struct(
-        n["l"].alias("l"), n["p"].alias("p"),
-        F.when(acc["l"] == n["l"], acc["sum"]).otherwise(acc["sum"] + acc["p"] - acc["l"] + 1).alias("sum")))
-    return done["sum"] + done["p"] - done["l"] + 1
-
-
 # --- text -----------------------------------------------------------------------------------------
 
 def text_stream(nodes: Column) -> Column:
@@ -243,8 +227,8 @@ def box_scores(df: DataFrame, threshold: float) -> DataFrame:
 def tree_admission(pairs: DataFrame) -> DataFrame:
     """Packed pairs with the cells both orientations need, the cheaper one, and why a pair is
     refused (null when it may run)."""
-    straight = _keyroot_cost(F.col("pred"), "post", "lmld") * _keyroot_cost(F.col("truth"), "post", "lmld")
-    turned = _keyroot_cost(F.col("pred"), "mpost", "mlmld") * _keyroot_cost(F.col("truth"), "mpost", "mlmld")
+    straight = F.col("pred_cost") * F.col("truth_cost")
+    turned = F.col("pred_mirrored_cost") * F.col("truth_mirrored_cost")
     return pairs.withColumns({"cells_straight": straight, "cells_mirrored": turned}) \
         .withColumns({"mirrored": F.col("cells_mirrored") < F.col("cells_straight"),
                       "cells": F.least("cells_straight", "cells_mirrored")}) \
@@ -321,7 +305,8 @@ def evaluate(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
         "matched": F.size("_m.iou").cast("long"), "iou_sum": F.aggregate("_m.iou", F.lit(0.0), lambda a, v: a + v),
         "hits": F.size(F.filter("_m.iou", hit)).cast("long"), "same_type": F.size(same).cast("long")}), threshold)
     full = full.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
-        .drop("_m", "ref", "hyp", "pred", "truth", "mirrored", "cells", "cells_straight", "cells_mirrored")
+        .drop("_m", "ref", "hyp", "pred", "truth", "mirrored", "cells", "cells_straight", "cells_mirrored",
+              *[f"{s}{k}_cost" for s in SIDES for k in ("", "_mirrored")])
     scores = [n for n in full.columns if n not in ("pair_id", "pred_nodes", "truth_nodes", "refused_reason")]
     full = full.withColumns({n: F.when(F.col("refused_reason").isNull(), F.col(n)) for n in scores})
     return full.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
