@@ -118,9 +118,7 @@ def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyroots(lmld: np.ndarray) -> np.ndarray:
     """The last node (in post-order) of every leftmost leaf."""
-    last = np.full(len(lmld), -1)
-    last[lmld] = np.arange(len(lmld))
-    return np.flatnonzero(np.isin(np.arange(len(lmld)), last))
+    return np.array(sorted({leaf: node for node, leaf in enumerate(lmld.tolist())}.values()))
 
 
 def nesting(lmld: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -128,12 +126,12 @@ def nesting(lmld: np.ndarray, roots: np.ndarray) -> np.ndarray:
     nesting span disjoint subtrees, so their tables can be filled side by side."""
     level = np.zeros(len(roots), int)
     open_roots: list[tuple[int, int]] = []  # (leftmost leaf, level), outermost last
-    for k, root in enumerate(roots):
+    for k, leaf in enumerate(lmld[roots].tolist()):
         top = -1
-        while open_roots and open_roots[-1][0] >= lmld[root]:
+        while open_roots and open_roots[-1][0] >= leaf:
             top = max(top, open_roots.pop()[1])
         level[k] = top + 1
-        open_roots.append((lmld[root], top + 1))
+        open_roots.append((leaf, top + 1))
     return level
 
 

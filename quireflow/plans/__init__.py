@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("call_plans", "page_plans", "stream_plans", "evaluation_plans")
+MODULES = ("call_plans", "page_plans", "stream_plans", "evaluation_plans", "report_plans", "live_plans")
 
 
 def load() -> None:
