@@ -100,7 +100,9 @@ def reassembled(frames: DataFrame, idle_s: int | None = None) -> DataFrame:
     """Frames (job_id, seq, page_idx, payload, total_pages) as pages in document order, with one
     completion per job; with ``idle_s`` also a row whenever a job has been silent that long."""
     rows = frames.select("job_id", "seq", F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
-    return rows.groupBy("job_id").transformWithStateInPandas(Reassembly(idle_s), REASSEMBLED, "Append", "ProcessingTime")
+    # Timers keep a stream running even when nothing arrives, so they are only asked for when needed.
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        Reassembly(idle_s), REASSEMBLED, "Append", "None" if idle_s is None else "ProcessingTime")
 
 
 # --- exactly-once sinks and gauges ----------------------------------------------------------------------

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quireflow import contracts as c
 from quireflow.operators import folds
 from quireflow.operators.scan import Fold
 
@@ -55,7 +54,9 @@ class OrderedReplay(StatefulProcessor):
         if new:
             self.held.appendList(new)
             self.handle.registerTimer(max(at for at, _ in new))
-        yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        if new and min(at for at, _ in new) <= watermark_ms:  # otherwise the timer folds them
+            yield from self._fold(key, watermark_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
@@ -72,7 +73,8 @@ class OrderedReplay(StatefulProcessor):
         place = [self.columns.index(n) for n in self.order]
         inputs = [self.columns.index(n) for n in self.fold.inputs]
         kept = [self.columns.index(n) for n in self.keep]
-        state, last = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+        saved = self.state.get()
+        state, last = json.loads(saved[0]) if saved else (None, None)
         out = []
         for row in sorted(ready, key=lambda r: [r[k] for k in place]):
             here = [row[k] for k in place]
@@ -102,7 +104,8 @@ class LimitsReplay(StatefulProcessor):
         self.state = handle.getValueState("state", _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state, last = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+        saved = self.state.get()
+        state, last = json.loads(saved[0]) if saved else (None, None)
         out = []
         for win, verdict, *limits in sorted(_rows(rows, self.COLUMNS)):
             if last is not None and win <= last:
@@ -143,29 +146,54 @@ class Reassembly(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", StructType([StructField("page_idx", LongType())]), _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, following, done, complete = json.loads(self.state.get()[0]) if self.state.exists() else (0, 0, 0, False)
-        for seq, page_idx, payload, total in _rows(rows, ["seq", "page_idx", "payload", "total_pages"]):
+        # The two counts tell whether the maps hold anything, so a job without gaps never reads them.
+        saved = self.state.get()
+        last, following, done, complete, held, waiting = json.loads(saved[0]) if saved else (0, 0, 0, False, 0, 0)
+        frames, pages, out = {}, {}, []
+        for seq, *frame in _rows(rows, ["seq", "page_idx", "payload", "total_pages"]):
             if seq > last:
-                self.held.updateValue((int(seq),), (json.dumps([page_idx, payload, total]),))
-        out = []
-        while self.held.containsKey((last + 1,)):
+                frames.setdefault(int(seq), frame)
+
+        while True:
+            if last + 1 in frames:
+                page_idx, payload, total = frames.pop(last + 1)
+            elif held and self.held.containsKey((last + 1,)):
+                page_idx, payload, total = json.loads(self.held.getValue((last + 1,))[0])
+                self.held.removeKey((last + 1,))
+                held -= 1
+            else:
+                break
             last += 1
-            page_idx, payload, total = json.loads(self.held.getValue((last,))[0])
-            self.held.removeKey((last,))
-            if page_idx is not None and page_idx >= following and not self.waiting.containsKey((int(page_idx),)):
-                self.waiting.updateValue((int(page_idx),), (json.dumps(payload),))
+            if page_idx is not None and page_idx >= following and page_idx not in pages \
+                    and not (waiting and self.waiting.containsKey((int(page_idx),))):
+                pages[int(page_idx)] = payload
                 done += 1
-                while self.waiting.containsKey((following,)):
-                    out.append((*key, "page", following, json.loads(self.waiting.getValue((following,))[0])))
-                    self.waiting.removeKey((following,))
+                while True:
+                    if following in pages:
+                        payload = pages.pop(following)
+                    elif waiting and self.waiting.containsKey((following,)):
+                        payload = json.loads(self.waiting.getValue((following,))[0])
+                        self.waiting.removeKey((following,))
+                        waiting -= 1
+                    else:
+                        break
+                    out.append((*key, "page", following, payload))
                     following += 1
             if not complete and total and done >= total:
                 complete = True
                 out.append((*key, "complete", None, None))
-        self.state.update((json.dumps([last, following, done, complete]),))
+
+        for seq, frame in frames.items():
+            if not (held and self.held.containsKey((seq,))):
+                self.held.updateValue((seq,), (json.dumps(frame),))
+                held += 1
+        for page_idx, payload in pages.items():
+            self.waiting.updateValue((page_idx,), (json.dumps(payload),))
+            waiting += 1
+        self.state.update((json.dumps([last, following, done, complete, held, waiting]),))
         if self.idle_s is not None:
             for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+                self.handle.deleteTimer(timer)
             if not complete:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_s * 1000)
         if out:
@@ -178,5 +206,3 @@ class Reassembly(StatefulProcessor):
     def close(self) -> None:
         pass
 
-
-HEARTBEAT_S = c.HEARTBEAT_S
