@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quireflow.operators import folds
 from quireflow.plans import inputs as i
-from quireflow.plans.registry import query
+from quireflow.plans import call_plans, page_plans  # noqa: F401 - their oracle SQL is shared
+from quireflow.plans.registry import ORACLE, query
 from quireflow.session import scratch_path
 from quireflow.sources import tables
 from quireflow.streaming import live
@@ -42,22 +43,25 @@ def live_verdicts(spark, sf):
     return live.run_available(live.judged(live.call_windows(_event_stream(spark, sf), W)).select("model", "win", "verdict"))
 
 
-@query("x2_live_limits")
+@query("x2_live_limits", f"""
+SELECT * FROM ({ORACLE["x2_limit_replay"]}) r
+WHERE (win + 1) * {W * 1_000_000} <= (SELECT max(epoch_us(ts)) FROM events WHERE NOT (event_type = 'view' AND value < 2))""")
 def live_limits(spark, sf):
-    return live.run_available(live.limits(live.judged(live.call_windows(_event_stream(spark, sf), W))))
+    out = live.run_available(live.limits(live.judged(live.call_windows(_event_stream(spark, sf), W))))
+    return out.withColumn("rps", F.round("rps", 3))
 
 
-@query("x4_live_breaker")
+@query("x4_live_breaker", ORACLE["x4_breaker_replay"])
 def live_breaker(spark, sf):
     return live.run_available(live.breaker(_event_stream(spark, sf), folds.breaker_fold(open_s=3600.0)))
 
 
-@query("x5_live_retry_grants")
+@query("x5_live_retry_grants", ORACLE["x5_retry_grants"])
 def live_retry_grants(spark, sf):
     return live.run_available(live.retry_grants(_event_stream(spark, sf), W))
 
 
-@query("x3_live_page_states")
+@query("x3_live_page_states", ORACLE["x3_page_replay"])
 def live_page_states(spark, sf):
     at = i.as_of() + F.make_dt_interval(secs=F.col("step"))
     return live.run_available(live.page_states(_written(i.deliveries(spark, sf).withColumn("at", at), "deliveries")))
