@@ -12,6 +12,9 @@ MATCHES = ArrayType(StructType([
     StructField("p", IntegerType()), StructField("t", IntegerType())]))
 
 
+SMALL_GRID = 4096  # combinations of boxes compared at once
+
+
 @F.pandas_udf(MATCHES)
 def match_many(candidates: pd.Series) -> pd.Series:
     """Matches of candidate lists that are sorted by (IoU falling, predicted, truth)."""
@@ -33,23 +36,29 @@ def match_boxes(page1, x1, y1, w1, h1, type1, page2, x2, y2, w2, h2, type2) -> t
     """IoUs and type agreement of the matches of one pair of trees; boxes of a tree are bounded by
     the node limit. Only boxes of one page whose vertical spans meet are compared."""
     page1, page2 = (np.array([-1 if v is None or v != v else int(v) for v in p]) for p in (page1, page2))
-    order = np.lexsort((y2, page2))
-    reach = h2.max() if len(h2) else 0.0  # how far above a box one may start and still meet it
-    candidates = []
-    pages, tops = page2[order], y2[order]
-    for p in range(len(x1)):
-        first, last = np.searchsorted(pages, page1[p], "left"), np.searchsorted(pages, page1[p], "right")
-        low = first + np.searchsorted(tops[first:last], y1[p] - max(reach, 0.0), "left")
-        high = first + np.searchsorted(tops[first:last], y1[p] + h1[p], "right")
-        t = order[low:high]
-        if not len(t):
-            continue
+    def overlaps(p, t):
+        """IoU of boxes ``p`` with boxes ``t`` (index arrays that broadcast)."""
         wide = np.maximum(0.0, np.minimum(x1[p] + w1[p], x2[t] + w2[t]) - np.maximum(x1[p], x2[t]))
-        high_ = np.maximum(0.0, np.minimum(y1[p] + h1[p], y2[t] + h2[t]) - np.maximum(y1[p], y2[t]))
-        inter = wide * high_
+        high = np.maximum(0.0, np.minimum(y1[p] + h1[p], y2[t] + h2[t]) - np.maximum(y1[p], y2[t]))
+        inter = wide * high
         union = w1[p] * h1[p] + w2[t] * h2[t] - inter
-        iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-        candidates.extend((-v, p, int(k)) for v, k in zip(iou, t) if v > 0)
+        return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+
+    if len(x1) * len(x2) <= SMALL_GRID:
+        grid = overlaps(np.arange(len(x1))[:, None], np.arange(len(x2))[None, :])
+        found = np.nonzero((grid > 0) & (page1[:, None] == page2[None, :]))
+        candidates = list(zip((-grid[found]).tolist(), found[0].tolist(), found[1].tolist()))
+    else:
+        order = np.lexsort((y2, page2))
+        reach = max(h2.max(), 0.0)  # how far above a box one may start and still meet it
+        candidates = []
+        pages, tops = page2[order], y2[order]
+        for p in range(len(x1)):
+            first, last = np.searchsorted(pages, page1[p], "left"), np.searchsorted(pages, page1[p], "right")
+            low = first + np.searchsorted(tops[first:last], y1[p] - reach, "left")
+            stop = first + np.searchsorted(tops[first:last], y1[p] + max(h1[p], 0.0), "right")
+            t = order[low:stop]
+            candidates.extend((-v, p, k) for v, k in zip(overlaps(p, t).tolist(), t.tolist()) if v > 0)
     candidates.sort()
     free1, free2 = [True] * len(x1), [True] * len(x2)
     ious, same = [], []

@@ -80,13 +80,13 @@ def _long_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 def word_distance(ref_words: Column, hyp_words: Column) -> Column:
     """Edit distance between two short word arrays, in the JVM: each distinct word becomes one
     character, then the built-in character distance applies. For fewer than 50,000 distinct words."""
-    known = F.array_distinct(F.concat(ref_words, hyp_words))
-
-    def encoded(words: Column) -> Column:
+    def encoded(words: Column, known: Column) -> Column:
         codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    return F.levenshtein(encoded(ref_words), encoded(hyp_words))
+    # Held in a one-element array, the list of distinct words is built once a row, not per word.
+    known_once = F.array(F.array_distinct(F.concat(ref_words, hyp_words)))
+    return F.transform(known_once, lambda known: F.levenshtein(encoded(ref_words, known), encoded(hyp_words, known)))[0]
 
 
 def edit_counts(ref: Column, hyp: Column) -> Column:

@@ -97,14 +97,16 @@ def test_layout_orders_pages_and_post_order():
     assert found["lmld"] == [0, 0, 0, 1, 3, 3]
 
 
-def test_packed_matching_is_greedy_by_iou():
+@pytest.mark.parametrize("grid", [4096, 0])
+def test_packed_matching_is_greedy_by_iou(grid, monkeypatch):
+    monkeypatch.setattr(boxes, "SMALL_GRID", grid)
     rng = random.Random(9)
     for _ in range(60):
         def side(n):
             box = [[rng.choice([None, 0, 1]) for _ in range(n)]] + [np.array([float(rng.randint(0, 30)) for _ in range(n)]) for _ in range(2)] \
                 + [np.array([float(rng.randint(1, 20)) for _ in range(n)]) for _ in range(2)] + [[rng.choice("ab") for _ in range(n)]]
             return box
-        p, t = side(rng.randint(0, 12)), side(rng.randint(0, 12))
+        p, t = side(rng.randint(0, 12)), side(rng.randint(0 if grid else 1, 12))
         pairs = []
         for i in range(len(p[0])):
             for j in range(len(t[0])):
