@@ -25,11 +25,13 @@ SIDES = ("pred", "truth")
 
 # Box candidates up to this many are matched in the JVM; more go to the Arrow kernel.
 BUILT_IN_CANDIDATES = 200
+# Candidates of one page that may be collected into a row.
+MAX_PAGE_CANDIDATES = 100_000
 _PACKED = (
     "pre:int,page:int,post:int,lmld:int,mpost:int,mlmld:int,list_pos:int,node_id:bigint,parent_id:bigint,type:string,"
     "text:string,x:double,y:double,w:double,h:double,ord:int,confidence:double"
 )
-_GRID_ROWS = 32  # horizontal bands of a page used to find overlapping boxes
+_CELLS_PER_BOX = 16  # most grid cells one box covers along an axis, less one
 
 
 # --- trees ------------------------------------------------------------------------------------
@@ -146,27 +148,34 @@ def boxes(ordered: DataFrame) -> DataFrame:
 
 
 def box_candidates(boxes_: DataFrame) -> DataFrame:
-    """Overlapping boxes of the same page (no page matches no page), found by horizontal bands:
-    both sides are put into the bands they touch, and a combination counts in the first band the
-    two share, so it is found once. Band height follows the page, which bounds the copies."""
+    """Overlapping boxes of the same page (no page matches no page), found by a grid: both sides
+    are put into the cells they touch, and a combination counts in the first cell the two share,
+    so it is found once. A cell is as large as the page's average box, so cells hold few boxes,
+    but no smaller than a sixteenth of its largest, which bounds the copies of one box."""
     keys = ["pair_id", "_page"]
     placed = boxes_.withColumn("_page", F.coalesce("page", F.lit(-1)))
-    extent = placed.groupBy(*keys).agg(
-        F.min(F.least(F.col("box.y"), F.col("box.y") + F.col("box.h"))).alias("_top"),
-        F.max(F.greatest(F.col("box.y"), F.col("box.y") + F.col("box.h"))).alias("_bottom"))
-    height = F.greatest((F.col("_bottom") - F.col("_top")) / _GRID_ROWS, F.lit(1e-9))
-
-    def band(y: Column) -> Column:
-        return F.floor((y - F.col("_top")) / F.col("_height")).cast("int")
-
-    banded = placed.join(extent, keys).withColumn("_height", height).withColumn("_from", band(F.col("box.y"))) \
-        .withColumn("_to", F.greatest(F.col("_from"), band(F.col("box.y") + F.col("box.h")))) \
-        .select(*keys, "side", "idx", "type", "box", "_from", F.explode(F.sequence("_from", "_to")).alias("_band"))
-    p = banded.filter("side = 'pred'").select(*keys, "_band", F.col("_from").alias("_pf"), F.col("idx").alias("pred_idx"),
-                                              F.col("type").alias("pred_type"), F.col("box").alias("pred_box"))
-    t = banded.filter("side = 'truth'").select(*keys, "_band", F.col("_from").alias("_tf"), F.col("idx").alias("truth_idx"),
-                                               F.col("type").alias("truth_type"), F.col("box").alias("truth_box"))
-    return p.join(t, [*keys, "_band"]).filter(F.col("_band") == F.greatest("_pf", "_tf")) \
+    origin, cell = {}, {}
+    for at, size in (("x", "w"), ("y", "h")):
+        origin[at] = F.min(f"box.{at}").alias(f"_o{at}")
+        cell[at] = F.greatest(F.avg(f"box.{size}"), F.max(f"box.{size}") / _CELLS_PER_BOX, F.lit(1e-9)).alias(f"_c{at}")
+    sizes = placed.groupBy(*keys).agg(*origin.values(), *cell.values())
+
+    def index(at: str, value: Column) -> Column:
+        return F.floor((value - F.col(f"_o{at}")) / F.col(f"_c{at}"))
+
+    gridded = placed.join(sizes, keys)
+    for at, size in (("x", "w"), ("y", "h")):
+        first = index(at, F.col(f"box.{at}"))
+        last = index(at, F.col(f"box.{at}") + F.col(f"box.{size}"))
+        gridded = gridded.withColumn(f"_f{at}", first).withColumn(f"_{at}", F.explode(F.sequence(first, F.greatest(first, last))))
+    gridded = gridded.select(*keys, "side", "idx", "type", "box", "_fx", "_fy", "_x", "_y")
+
+    def half(side: str) -> DataFrame:
+        return gridded.filter(F.col("side") == side).select(
+            *keys, "_x", "_y", *[F.col(n).alias(f"{side}_{n.strip('_')}") for n in ("_fx", "_fy", "idx", "type", "box")])
+
+    first_shared = (F.col("_x") == F.greatest("pred_fx", "truth_fx")) & (F.col("_y") == F.greatest("pred_fy", "truth_fy"))
+    return half("pred").join(half("truth"), [*keys, "_x", "_y"]).filter(first_shared) \
         .withColumn("iou", shaping.iou(F.col("pred_box"), F.col("truth_box"))).filter("iou > 0") \
         .select("pair_id", F.col("_page").alias("page"), "pred_idx", "truth_idx", "pred_type", "truth_type", "iou")
 
@@ -180,7 +189,19 @@ def _match_few(candidates: Column) -> Column:
 
 def match_boxes(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one matches per (pair, page): highest IoU first, then predicted and truth
-    index. Candidates never cross pages, so pages are matched independently."""
+    index. Candidates never cross pages, so pages are matched independently: a page's candidates
+    in one row while they are few, by rounds over all tasks otherwise."""
+    page = ["pair_id", "page"]
+    candidates = written(candidates)
+    crowded = written(candidates.groupBy(*page).count().filter(F.col("count") > MAX_PAGE_CANDIDATES).select(*page))
+    if crowded.isEmpty():
+        return _match_in_rows(candidates)
+    crowded = scan.broadcast_checked(crowded)
+    return _match_in_rows(candidates.join(crowded, page, "left_anti")) \
+        .unionByName(_match_in_rounds(candidates.join(crowded, page, "left_semi")))
+
+
+def _match_in_rows(candidates: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.collect_list(F.struct(
         (-F.col("iou")).alias("rank"), F.col("pred_idx").alias("p"), F.col("truth_idx").alias("t"), "iou",
         (F.col("pred_type") == F.col("truth_type")).alias("same"))))
@@ -191,6 +212,32 @@ def match_boxes(candidates: DataFrame) -> DataFrame:
         .select("pair_id", "page", F.inline("_m"))
 
 
+def _match_in_rounds(candidates: DataFrame) -> DataFrame:
+    """The same matches without a group in one task: a candidate that ranks first for both of its
+    boxes is a match whatever the others do. Take all of those, drop what their boxes touch, and
+    repeat until nothing is left."""
+    page = ["pair_id", "page"]
+    rest = candidates.select(*page, F.struct((-F.col("iou")).alias("rank"), F.col("pred_idx").alias("p"), F.col("truth_idx").alias("t")).alias("k"),
+                             (F.col("pred_type") == F.col("truth_type")).alias("same"))
+    rounds = []
+    while True:
+        rest = written(rest)
+        if rest.isEmpty():
+            break
+        first_p = rest.groupBy(*page, F.col("k.p").alias("p")).agg(F.min(F.struct("k", "same")).alias("b"))
+        first_t = rest.groupBy(*page, F.col("k.t").alias("t")).agg(F.min("k").alias("k"))
+        won = written(first_p.select(*page, "p", F.col("b.k.t").alias("t"), F.col("b.k").alias("k"), F.col("b.same").alias("same"))
+                      .join(first_t, [*page, "t", "k"], "left_semi"))
+        rounds.append(won.select(*page, (-F.col("k.rank")).alias("iou"), "same", "p", "t"))
+        used_p, used_t = won.select(*page, F.col("p").alias("_p")), won.select(*page, F.col("t").alias("_t"))
+        rest = rest.withColumn("_p", F.col("k.p")).withColumn("_t", F.col("k.t")) \
+            .join(used_p, [*page, "_p"], "left_anti").join(used_t, [*page, "_t"], "left_anti").select(*page, "k", "same")
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def box_metrics(boxes_: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Box scores per pair: mean IoU (missed truth counts 0), precision, recall and F1 at the
     threshold, and how often matched types agree."""
