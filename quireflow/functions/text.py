@@ -16,6 +16,9 @@ WHITE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
 # sending both texts to the bit-parallel kernel.
 BUILT_IN_CELLS = 40_000
 
+# Sequences from this length on are tried in a band first.
+BAND_FROM = 3000
+
 
 def collapse_spaces(text: Column) -> Column:
     """White space collapsed to single blanks and stripped; case kept."""
@@ -28,8 +31,10 @@ def words_of(stream: Column) -> Column:
 
 
 def bit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
-    """Edit distance after Hyyro (2003): one column of the distance table per element of ``b``,
-    held as two bit vectors of vertical differences."""
+    """Edit distance with bit vectors, exact for sequences of any length.
+
+    Equal ends are cut off. Long sequences are first tried in a diagonal band: mostly equal texts
+    stay within a narrow one, which is widened until the distance fits."""
     lead = 0
     for x, y in zip(a, b):
         if x != y:
@@ -40,8 +45,23 @@ def bit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     while tail < shorter and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     a, b = a[lead:len(a) - tail], b[lead:len(b) - tail]
-    if not a or not b:
-        return len(a) + len(b)
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    if len(a) >= BAND_FROM:
+        reach = sum(x != y for x, y in zip(a, b)) if len(a) == len(b) else len(a) - len(b) + len(a) // 64
+        while reach < len(a) // 6:
+            distance = _banded(a, b, reach)
+            if distance <= reach:
+                return distance
+            reach *= 2
+    return _full(a, b)
+
+
+def _full(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """After Hyyro (2003): one column of the distance table per element of ``b``, held as two bit
+    vectors of vertical differences over all of ``a``."""
     places: dict[Hashable, int] = {}
     bit = 1
     for item in a:
@@ -61,6 +81,46 @@ def bit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return distance
 
 
+def _banded(a: Sequence[Hashable], b: Sequence[Hashable], reach: int) -> int:
+    """The distance if it is at most ``reach``, otherwise something larger (same paper). Only the
+    rows within ``reach`` of the diagonal are kept; the band moves down a row per column, so the
+    lower border is followed along the diagonal until it meets the last row, then along that row."""
+    size = 2 * reach + 2
+    ones, top = (1 << size) - 1, size - 1
+    positions: dict[Hashable, list[int]] = {}
+    for at, item in enumerate(a):
+        positions.setdefault(item, []).append(at)
+    for found in positions.values():
+        found.reverse()
+    seen: dict[Hashable, tuple[int, int]] = {}  # element -> (its bits, the band start they are for)
+    rises, falls = ones & ~((1 << (size - reach - 1)) - 1), 0
+    distance, start = reach, reach + 1 - size
+    below = top - 1
+    turn = len(a) - reach
+    for column, item in enumerate(b):
+        match, since = seen.get(item, (0, start))
+        match >>= start - since
+        ahead = positions.get(item)
+        while ahead and ahead[-1] < start + size:
+            place = ahead.pop() - start
+            if place >= 0:
+                match |= 1 << place
+        seen[item] = match, start
+        diagonal = (((match & rises) + rises) ^ rises) | match | falls
+        up = falls | (ones & ~(diagonal | rises))
+        down = diagonal & rises
+        if column < turn:
+            distance += not (diagonal >> top) & 1
+        else:
+            distance += ((up >> below) & 1) - ((down >> below) & 1)
+            below -= 1
+        shifted = (diagonal & ones) >> 1
+        rises = ones & (down | ~(shifted | up))
+        falls = shifted & up & ones
+        start += 1
+    return distance
+
+
 @F.pandas_udf(StructType().add("char_edits", "integer").add("word_edits", "integer"))
 def _long_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     chars, words = [], []

@@ -33,6 +33,34 @@ def test_bit_distance_is_the_edit_distance(a, b):
     assert text.bit_distance(a.split(), b.split()) == table_distance(a.split(), b.split())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcd ", min_size=1, max_size=120), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 200), st.sampled_from("abcd ")), max_size=14))
+def test_banded_distance_of_similar_texts(a, edits):
+    b = list(a)
+    for kind, at, c in edits:
+        at %= len(b) + 1
+        if kind == 0:
+            b.insert(at, c)
+        elif at < len(b):
+            b[at:at + 1] = [] if kind == 1 else [c]
+    expected = table_distance(a, b)
+    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+    for reach in range(max(1, len(longer) - len(shorter)), min(len(longer), 16)):
+        got = text._banded(longer, shorter, reach)
+        assert got == expected if expected <= reach else got > reach
+
+
+def test_band_is_used_for_long_texts_only_and_stays_exact(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(text, "BAND_FROM", 50)
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 260)))
+        b = "".join(c for c in a if rng.random() > 0.03).replace("ab", "ba")
+        other = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 260)))
+        assert text.bit_distance(a, b) == table_distance(a, b)
+        assert text.bit_distance(a, other) == table_distance(a, other)
+
+
 def random_tree(rng, n, labels="abc"):
     return [rng.choice(labels) for _ in range(n)], [None] + [rng.randrange(i) for i in range(1, n)]
 
