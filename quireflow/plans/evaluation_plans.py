@@ -203,3 +203,21 @@ def evaluate(spark, sf):
     out = ev.evaluate(i.tree_nodes(spark, sf))
     rates = ["cer", "wer", "mean_iou", "matched_mean_iou", "precision", "recall", "f1", "type_accuracy", "ted_normalized"]
     return out.withColumns({r: F.round(r, 6) for r in rates})
+
+
+_SCORES = f"""
+WITH boxes AS (SELECT pair_id, page, pre AS idx, side, type, x, y, w, h FROM paged WHERE x IS NOT NULL),
+candidates AS (SELECT * FROM (
+  SELECT p.pair_id, p.idx AS pred_idx, t.idx AS truth_idx, p.type AS pred_type, t.type AS truth_type, i / (p.w * p.h + t.w * t.h - i) AS iou
+  FROM (SELECT p, t, greatest(0.0, least(p.x + p.w, t.x + t.w) - greatest(p.x, t.x)) * greatest(0.0, least(p.y + p.h, t.y + t.h) - greatest(p.y, t.y)) AS i
+        FROM boxes p JOIN boxes t ON p.pair_id = t.pair_id AND p.page IS NOT DISTINCT FROM t.page AND p.side = 'pred' AND t.side = 'truth')) WHERE iou > 0),
+streams AS (SELECT pair_id, side, {i.collapse_sql("coalesce(string_agg(text, ' ' ORDER BY pre) FILTER (WHERE text <> ''), '')")} AS stream FROM layout GROUP BY ALL),
+texts AS (SELECT * FROM ({_text_metrics_sql("SELECT pair_id, max(stream) FILTER (WHERE side = 'truth') AS ref, max(stream) FILTER (WHERE side = 'pred') AS hyp FROM streams GROUP BY 1")})),
+found AS (SELECT * FROM (WITH RECURSIVE {_GREEDY.strip()}))
+SELECT t.*, f.* EXCLUDE (pair_id) FROM texts t JOIN found f USING (pair_id)"""
+
+
+@query("v5_text_and_box_scores", i.with_inputs("paged", _SCORES, recursive=True))
+def text_and_box_scores(spark, sf):
+    """The part of the full evaluation that SQL can express."""
+    return evaluate(spark, sf).drop("pred_nodes", "truth_nodes", "refused_reason", "ted", "ted_normalized")
