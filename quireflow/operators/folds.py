@@ -6,7 +6,6 @@ A state is None before the first row of its key and holds JSON values only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame

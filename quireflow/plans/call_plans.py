@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import calls as fx
 from quireflow.operators import calls as ops
-from quireflow.operators import folds, scan, stats
+from quireflow.operators import folds, stats
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
 

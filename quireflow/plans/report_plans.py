@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quireflow import contracts as c
 from quireflow.functions import shaping
-from quireflow.operators import calls as call_ops
-from quireflow.operators import folds, ordered, reports, stats
+from quireflow.operators import ordered, reports, stats
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
 
