@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import line_dedup, mixing, near_dup, packing, warc
+from quireflow.llm import langid, line_dedup, mixing, near_dup, packing, quality, warc
 from quireflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.identify(docs, langid.trained_on_folds(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 LINES = """
     SELECT doc_id, g.pos, g.line, lower_az(trim(g.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key
     FROM documents, LATERAL (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -75,3 +82,39 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = warc.write_store(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
     return warc.read_all(spark, store).drop("payload")
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+RATES = "\n".join(
+    f"""
+    , rate_{r} AS (SELECT source, ({r}_fails + mean * strength) / (docs + strength) AS rate FROM (
+        SELECT *, CASE WHEN between_hosts > 0 THEN greatest(spread / between_hosts - 1, 1.0) ELSE 1.0 END AS strength FROM (
+            SELECT *, mean * (1 - mean) AS spread, greatest(variance - mean * (1 - mean) * per_doc, mean * (1 - mean) * 1e-4) AS between_hosts
+            FROM hosts, (SELECT avg({r}_fails / docs) AS mean, coalesce(var_samp({r}_fails / docs), 0) AS variance, avg(1 / docs) AS per_doc FROM hosts))))"""
+    for r in quality.RULES
+)
+
+
+@query(rf"""
+    WITH words AS (SELECT doc_id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS i FROM documents),
+    windows AS (SELECT doc_id, i, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    again AS (SELECT doc_id, i FROM windows WHERE third IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, word, second, third) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+              FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+    counted AS (SELECT doc_id, source, len({WORDS}) AS n_words, length(regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g')) AS word_chars,
+                       length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                       coalesce(n_repeat_words, 0) AS n_repeat_words, len(string_split(coalesce(text, ''), chr(10))) AS n_lines
+                FROM documents LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+    ruled AS (SELECT *, {quality.RULES["base"]} AS base_failed FROM counted),
+    hosts AS (SELECT source, count(*) AS docs, {", ".join(f"count(*) FILTER ({fail}) AS {r}_fails" for r, fail in quality.RULES.items())} FROM counted GROUP BY source)
+    {RATES}
+    , rejected AS (SELECT DISTINCT source FROM ({" UNION ALL ".join(f"SELECT * FROM rate_{r}" for r in quality.RULES)}) WHERE rate > {quality.LIMIT})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.hit IS NULL AS kept
+    FROM ruled LEFT JOIN (SELECT source, 1 AS hit FROM rejected) AS r ON ruled.source IS NOT DISTINCT FROM r.source AND r.hit = 1
+""")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
