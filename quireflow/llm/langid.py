@@ -234,9 +234,13 @@ def spans_of(states: np.ndarray, places: np.ndarray, n: int, langs: list[str]) -
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *, switch: float = SWITCH) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, spans (of blank-separated words)."""
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *, switch: float = SWITCH, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score, spans (of blank-separated words), and with ``keep`` the whole input row as ``row``."""
     docs, shared = texts(df, id_col, text_col), df.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>"
+    if keep:
+        docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+        schema += f", row struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in df.schema.fields)}>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -262,9 +266,9 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     preds.append(model.langs[best])
                     scores.append(float(min(1.0, (sure * known).sum() / letters.sum())))
                     spans.append(spans_of(path, place, len(ws), model.langs))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, SPANS)], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, SPANS), *[batch.column("row")] * keep], names=["doc_id", "lang_pred", "score", "spans", *["row"] * keep])
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>")
+    return docs.mapInArrow(run, schema)
 
 
 def trained_on_folds(df: DataFrame) -> Model | None:

@@ -31,6 +31,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """(source, docs, source_size, target) of (source, size)."""
     sums = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
@@ -66,9 +71,13 @@ def apportioned(votes: DataFrame, within: list[str], unit: str, vote: str, seats
     return left.select(*[F.col(f"l.{c}") for c in votes.columns], (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
-    sized = written(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")))
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and with ``keep`` the whole input row as ``row``."""
+    columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")]
+    if keep:
+        sized = df.select(*columns, F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    else:
+        sized = written(df.select(*columns))
     targets = source_targets(sized, weights, ceiling)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     counted = targets.withColumn("all", F.lit(0)).withColumn("seats", seats)
@@ -84,4 +93,4 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     passes = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0)
     rest = words - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.coalesce(before, F.lit(0))))
-    return filled.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    return filled.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), *["row"] * keep)

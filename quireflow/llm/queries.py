@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import ann, langid, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, warc
+from quireflow.llm import ann, langid, licenses, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, warc
 from quireflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: small Arrow batches keep the memory of Python workers bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def query(sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # texts may be long: small Arrow batches keep the Python workers' memory bounded
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[fn.__name__] = run
@@ -36,6 +40,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).select("doc_id", "license", "saved_bytes", "rank", "n_different")
+
+
 LINES = """
     SELECT doc_id, g.pos, g.line, lower_az(trim(g.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key
     FROM documents, LATERAL (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line,
