@@ -6,8 +6,9 @@ dictionary. The bytes that a template saves, as a share of what the block costs
 at most ``MOST_DIFFERENT`` of its words are missing or have other words between them, never mind what stands before and after, and no
 word with a digit (a version) is missing.
 
-Blocks. Runs of lines between blank lines; a run longer than ``BLOCK_WORDS`` words is cut into blocks of that size which overlap by half,
-more than any template is long, so every occurrence lies whole in some block and texts of any length are read whole.
+Blocks. Texts are cut into blocks of ``BLOCK_WORDS`` words that overlap by half, at a small scale for notices and at a large one for whole
+licenses. Half of a block is more than the templates of its scale are long, so every occurrence lies whole in some block, and that
+block holds its cue; blocks without a cue are left out. Texts of any length are read whole.
 
 Scale. One pass over the texts without a shuffle; texts without a cue never reach Python. Work is linear in the text with a cue.
 
@@ -17,6 +18,7 @@ to the name that sorts first. Repeated rows give repeated rows. A null id stays
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import texts
 
-BLOCK_WORDS, TRIED, LEAST_SAVED, MOST_DIFFERENT = 800, 3, 8, 0.15
+BLOCK_WORDS, TRIED, LEAST_SAVED, MOST_DIFFERENT = (32, 256), 5, 8, 0.15
 CUE = r"(?i)licen[sc]e|copyright|spdx|warrant|redistribut|permission|public domain|\bCC[ -]|all rights reserved"
 
 # The wording of public licenses and of the notices that refer to them.
@@ -62,14 +64,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str, size: int = BLOCK_WORDS) -> Iterator[str]:
-    """Runs of lines between blank lines, long ones in pieces that overlap by half, as far as they hold a cue."""
-    for run in re.split(r"\n[ \t\r]*\n", text):
-        spans = [m.span() for m in re.finditer(r"\S+", run)] if _CUE.search(run) else []
-        for a in range(0, max(1, len(spans) - size // 2), size // 2):
-            part = run[spans[a][0] : spans[min(a + size, len(spans)) - 1][1]] if spans else ""
-            if _CUE.search(part):
-                yield part
+def blocks_of(text: str, sizes: tuple[int, ...] = BLOCK_WORDS) -> Iterator[str]:
+    """The blocks of each scale that hold a cue."""
+    cues = [m.start() for m in _CUE.finditer(text)]
+    if not cues:
+        return
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    begins = [s[0] for s in spans]
+    words = {bisect.bisect_right(begins, c) - 1 for c in cues}
+    for size in sizes:
+        half = size // 2
+        for k in sorted({max(0, w // half - back) for w in words for back in (0, 1)}):
+            yield text[spans[k * half][0] : spans[min(k * half + size, len(spans)) - 1][1]]
 
 
 class Compressed:
