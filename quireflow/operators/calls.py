@@ -50,10 +50,11 @@ def call_windows(calls: DataFrame, seconds: int = c.WINDOW_S, keys: Sequence[str
     return rows.groupBy(*group).agg(*aggs).join(p95s, group, "left").withColumn("p95", F.coalesce("p95", F.lit(0.0)))
 
 
-def with_limits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The per-model constants attached to rows with a ``model`` (two rows: always broadcast)."""
-    limits = c.model_limits(df.sparkSession)
-    return df.join(F.broadcast(limits.select("model", *columns) if columns else limits), "model")
+def with_limits(df: DataFrame, columns: Sequence[str] | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """The per-model constants attached to rows with a ``model``; null for a model that ``limits`` (the
+    known models by default, two rows) does not have."""
+    known = scan.broadcast_checked(limits) if limits is not None else F.broadcast(c.model_limits(df.sparkSession))
+    return df.join(known.select("model", *columns) if columns else known, "model", "left")
 
 
 def judged(windows: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def spacing_audit(calls: DataFrame, rates: DataFrame, key: str = "model", **rout
     spaced = scan.neighbours(calls, [key], ["ts", "call_id"], 1, {
         "_last": lambda ordered, _: F.lag(F.unix_micros("ts")).over(ordered)}, **route)
     gap = (F.unix_micros("ts") - F.col("_last")) / 1e6
-    return spaced.withColumn("gap_s", gap).drop("_last").join(scan.broadcast_checked(rates), key) \
+    return spaced.withColumn("gap_s", gap).drop("_last").join(scan.broadcast_checked(rates), key, "left") \
         .withColumn("too_close", F.coalesce(F.col("gap_s") < 1 / F.col("rps"), F.lit(False))).drop("rps")
 
 

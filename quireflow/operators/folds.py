@@ -18,22 +18,25 @@ from quireflow.operators import scan
 
 # --- adaptive limits ------------------------------------------------------------------------
 
+#: What a verdict does to the run of like verdicts, which is negative while overloaded.
+_PULL = {"healthy": 1, "overload": -1}
+
+
 def limits_step(state, verdict, hard_rps, start_rps, start_concurrency, max_concurrency):
-    """One judged window: repeated overload halves both limits, steady health raises them."""
-    rps, slots, overloaded, healthy = state or (start_rps, start_concurrency, 0, 0)
-    if verdict == "overload":
-        overloaded, healthy = overloaded + 1, 0
-        if overloaded >= c.OVERLOAD_WINDOWS:
-            rps, slots = rps / 2, slots // 2
-    elif verdict == "healthy":
-        overloaded, healthy = 0, healthy + 1
-        if healthy >= c.HEALTHY_WINDOWS:
-            rps += 0.1 * hard_rps
-            slots += max(1, round(0.1 * max_concurrency))
-    rps = round(min(hard_rps, max(c.MIN_RPS, rps)), 3)
-    slots = int(min(max_concurrency, max(c.MIN_CONCURRENCY, slots)))
-    state = [rps, slots, overloaded, healthy]
-    return state, tuple(state)
+    """One judged window. A run of like verdicts counts up from its first window; a verdict that
+    says nothing leaves it as it is. Long runs move both limits once per window, within bounds."""
+    if hard_rps is None:  # a model without constants has no limits
+        return state, (None, None, None, None)
+    rps, slots, run = state or (start_rps, start_concurrency, 0)
+    pull = _PULL.get(verdict, 0)
+    run = run + pull if run * pull >= 0 else pull
+    if pull and pull * run >= (c.HEALTHY_WINDOWS if pull > 0 else c.OVERLOAD_WINDOWS):
+        rise_rps, rise_slots = hard_rps * 0.1, max(1, round(max_concurrency * 0.1))
+        rps, slots = (rps + rise_rps, slots + rise_slots) if pull > 0 else (rps / 2, slots // 2)
+    _, rps, _ = sorted((c.MIN_RPS, rps, hard_rps))
+    _, slots, _ = sorted((c.MIN_CONCURRENCY, slots, max_concurrency))
+    state = [round(rps, 3), int(slots), run]
+    return state, (*state[:2], max(0, -run), max(0, run))
 
 
 LIMITS = scan.Fold(
@@ -56,53 +59,60 @@ def breaker_step(window: int, threshold: float, open_s: float, probes: int):
     time; a denied call changes nothing more. Answers from the cache, 429s and permanent errors
     say nothing about the model and hand an unused probe back."""
 
+    closed = ("closed", 0.0, 0, 0, "")
+
     def step(state, at, outcome, replay):
-        mode, since, used, good, recent, trips = state or ("closed", 0.0, 0, 0, "", 0)
-        permit = "allow"
-        if mode == "open":
-            if at - since < open_s:
-                permit = "deny"
-            else:
-                mode, since, used, good = "half_open", at, 0, 0
-        if mode == "half_open":
-            if used >= probes and at - since >= open_s:
-                since, used = at, 0
-            permit = "probe" if used < probes else "deny"
-            used += permit == "probe"
-        tripped = False
-        if permit != "deny":
-            if outcome == "auth":
-                tripped = True
-            elif replay or outcome not in ("ok", "retry"):
-                used -= permit == "probe"
-            elif mode == "half_open":
-                if outcome == "ok":
-                    good += 1
-                    if good >= probes:
-                        mode, used, good, recent = "closed", 0, 0, ""
-                else:
-                    tripped = True
-            else:
-                recent = (("1" if outcome == "ok" else "0") + recent)[:window]
-                tripped = outcome == "retry" and len(recent) >= window and recent.count("0") / len(recent) >= threshold
+        mode, since, used, good, recent = state or closed
+        if mode == "open" and at - since >= open_s:
+            mode, since = "half_open", at
+        if mode == "half_open" and used >= probes and at - since >= open_s:
+            since, used = at, 0
+        permit = "allow" if mode == "closed" else "probe" if mode == "half_open" and used < probes else "deny"
+        used += permit == "probe"
+        silent = replay or outcome not in ("ok", "retry")
+        tripped = permit != "deny" and outcome == "auth"
+        if permit == "probe" and not tripped:
+            used, good, tripped = used - silent, good + (outcome == "ok" and not silent), outcome == "retry" and not silent
+        elif permit == "allow" and not silent:
+            recent = ("0" if outcome == "retry" else "1") + recent[: window - 1]
+            tripped = outcome == "retry" and len(recent) == window and recent.count("0") >= threshold * window
         if tripped:
-            mode, since, used, good, trips = "open", at, 0, 0, trips + 1
-        return [mode, since, used, good, recent, trips], (permit, mode, trips)
+            mode, since, used, good, recent = "open", at, 0, 0, ""
+        elif good >= probes:
+            mode, since, used, good, recent = closed
+        return [mode, since, used, good, recent], (permit, mode, int(tripped))
 
     return step
 
 
+def counting_trips(step):
+    """``step`` with the trips so far in the state and in place of its last output, for live use: there no
+    later pass can add them up."""
+
+    def counted(state, *inputs):
+        inner, trips = state or (None, 0)
+        inner, (*out, tripped) = step(inner, *inputs)
+        return [inner, trips + tripped], (*out, trips + tripped)
+
+    return counted
+
+
 def breaker_fold(window: int = c.BREAKER_WINDOW, threshold: float = c.BREAKER_THRESHOLD,
                  open_s: float = c.BREAKER_OPEN_S, probes: int = c.BREAKER_PROBES) -> scan.Fold:
+    """``trips`` is 1 where a call trips the breaker: a count in the state would make it depend on
+    everything before, and chunks of a replay could not run side by side."""
     return scan.Fold(("at_s", "outcome", "replay"), "permit string, breaker string, trips int",
                      breaker_step(window, threshold, open_s, probes))
 
 
 def replay_breaker(calls: DataFrame, keys: Sequence[str] = ("model",), fold: scan.Fold | None = None,
                    **route) -> DataFrame:
-    """Calls with the permit a breaker would have given and its state afterwards."""
+    """Calls with the permit a breaker would have given, its state afterwards and its trips so far."""
+    order = ["at_s", "call_id"]
     rows = call_ops.with_outcome(calls).withColumn("at_s", F.unix_micros("ts") / 1e6)
-    return scan.replay(rows, keys, ["at_s", "call_id"], fold or breaker_fold(), **route)
+    out = scan.replay(rows, keys, order, fold or breaker_fold(), **route).withColumnRenamed("trips", "_trip")
+    counted = scan.running(out, keys, order, {"trips": scan.Running("sum", F.col("_trip"))}, sizes=route.get("sizes"))
+    return counted.withColumn("trips", F.col("trips").cast("int")).drop("_trip")
 
 
 # --- retry grants ---------------------------------------------------------------------------

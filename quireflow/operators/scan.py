@@ -209,7 +209,8 @@ def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
            chunk_rows: int = CHUNK_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``df`` plus the fold's outputs, each key folded in ``order``.
 
-    A fold is sequential, but a chunk's result depends on the earlier chunks only through the
+    Keys of at most ``chunk_rows`` rows are folded whole after one hash shuffle. With larger keys rows
+    are cut into chunks. A fold is sequential, but a chunk's result depends on the earlier chunks only through the
     state it starts with. All chunks run at once from an assumed start; chunks whose true start
     (the end state of the chunk before) turns out different run again, until nothing changes.
     The first chunk is right from the beginning, so the fixed point is exactly the sequential
@@ -217,8 +218,13 @@ def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
     that lie wholly inside one key can pass a changed start on. The driver sees one state per
     chunk, never a row.
     """
-    spark = df.sparkSession
-    rows = sizes[0] if sizes else df.count()
+    rows, largest = _sizes(df, keys, sizes)
+    schema = StructType(df.schema.fields + StructType.fromDDL(fold.outputs).fields)
+    added = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(fold.outputs).fields]
+    if largest <= chunk_rows:  # every key fits a task: one hash shuffle and one pass
+        parts = max(1, math.ceil(rows / chunk_rows), df.sparkSession.sparkContext.defaultParallelism)
+        whole = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+        return whole.mapInArrow(_rows_of(fold, tuple(keys), {}, list(df.columns), added), schema)
     chunks = ordered_chunks(df, keys, order, rows, chunk_rows)
     needed = chunks.select(*dict.fromkeys([*keys, *fold.inputs, _CHUNK]))
     starts: dict[int, tuple] = {}
@@ -239,8 +245,6 @@ def replay(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
                             todo.add(chunk)
                 previous = chunk
 
-    schema = StructType(df.schema.fields + StructType.fromDDL(fold.outputs).fields)
-    added = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(fold.outputs).fields]
     return chunks.mapInArrow(_rows_of(fold, tuple(keys), starts, list(df.columns), added), schema)
 
 
@@ -273,9 +277,9 @@ def _ends_of(fold: Fold, keys: tuple, starts: dict, only: set[int] | None):
 
 def _rows_of(fold: Fold, keys: tuple, starts: dict, columns: list[str], added: list[tuple[str, pa.DataType]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, batches = _peek_chunk(batches)
-        if chunk is None:
-            return
+        chunk = None
+        if starts:
+            chunk, batches = _peek_chunk(batches)
         for batch, out, *_ in _folded(fold, keys, batches, starts.get(chunk)):
             fields = [batch.column(batch.schema.names.index(c)) for c in columns]
             extra = zip(*out) if out else [[] for _ in added]

@@ -14,8 +14,8 @@ from quireflow.session import written
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str, max_group_rows: int) -> DataFrame:
     """One row per (keys, value) with the running count ``_upto`` and the group's total ``_n``.
     The counts are written once; the passes over them do not compute ``df`` again."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    counts = written(counts)
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_c"))
+    counts = written(counts)  # a group's nulls are one row that counts nothing, so no group is lost
     upto = scan.running(counts, keys, [value], {"_upto": scan.Running("sum", F.col("_c"))}, max_group_rows=max_group_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     joined = upto.alias("u").join(totals.alias("t"), [F.col(f"u.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
@@ -38,7 +38,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str,
     ranked = _value_counts(df, keys, value, max_group_rows)
 
     def at_rank(rank: Column) -> Column:  # 0-based
-        return F.min(F.when(F.col("_upto") > rank, F.col(value)))
+        return F.min(F.when((F.col("_upto") > rank) & (F.col("_c") > 0), F.col(value)))
 
     aggs = []
     for name, q in wanted.items():

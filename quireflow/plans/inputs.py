@@ -119,14 +119,24 @@ _PAGE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extend
 def line_sizes(spark, sf_dir, times: int = 1) -> tuple[int, int]:
     """(rows, rows of the largest order), from one column of the raw table; an upper bound for
     everything with at most ``times`` rows per line."""
-    rows, largest = scan.group_stats(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    rows, largest = _measured(spark, sf_dir, "lineitem", F.col("l_orderkey"))
     return rows * times, largest * times
 
 
+def _measured(spark, sf_dir, name: str, key) -> tuple[int, int]:
+    """Rows and rows of the largest key of a raw table, measured once per session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _SIZES:
+        _SIZES[at] = scan.group_stats(table(spark, sf_dir, name).select(key.alias("key")), ["key"])
+    return _SIZES[at]
+
+
+_SIZES: dict[tuple, tuple[int, int]] = {}
+
+
 def call_sizes(spark, sf_dir, times: int = 1) -> tuple[int, int]:
     """(rows, rows of the larger model) of the call log."""
-    half = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("model"))
-    rows, largest = scan.group_stats(half, ["model"])
+    rows, largest = _measured(spark, sf_dir, "events", F.col("user_id") % 2)
     return rows * times, largest * times
 
 

@@ -31,7 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-machine tests) is a temporary folder made and set.
+    Where it is unset, a temporary folder is made and set, on a local master only.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -40,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -38,8 +38,10 @@ def as_sse(events: DataFrame, envelope: Column) -> DataFrame:
 
 def read_sse(spark: SparkSession, path: str) -> DataFrame:
     """Captured event text: one row (id, event, data) per record that has data."""
-    return parse_sse(spark.read.option("lineSep", "\n\n").text(path).withColumnRenamed("value", "record"), "record") \
-        .select("id", "event", "data")
+    chunks = spark.read.option("lineSep", "\n\n").text(path)
+    # a capture with CRLF has no blank line of that form: what one chunk holds is cut again
+    records = chunks.select(F.explode(F.split("value", "\r\n\r\n|\r\r")).alias("record"))
+    return parse_sse(records, "record").select("id", "event", "data")
 
 
 def parse_sse(records: DataFrame, column: str) -> DataFrame:

@@ -76,7 +76,9 @@ def replay(rows: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str
 
 def breaker(calls: DataFrame, fold: Fold | None = None, delay: str = "0 seconds") -> DataFrame:
     rows = call_ops.with_outcome(calls).withColumn("at_s", F.unix_micros("ts") / 1e6)
-    return replay(rows, ["model"], F.col("ts"), ["at_s", "call_id"], ["call_id"], fold or folds.breaker_fold(), delay)
+    fold = fold or folds.breaker_fold()
+    fold = Fold(fold.inputs, fold.outputs, folds.counting_trips(fold.step))
+    return replay(rows, ["model"], F.col("ts"), ["at_s", "call_id"], ["call_id"], fold, delay)
 
 
 def retry_grants(calls: DataFrame, seconds: int = c.WINDOW_S, delay: str = "0 seconds") -> DataFrame:

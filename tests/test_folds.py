@@ -23,13 +23,14 @@ def test_two_overloaded_windows_halve_both_limits():
 
 
 def test_three_healthy_windows_then_a_tenth_per_window():
-    assert limits(["healthy"] * 4, [4, 10, 0, 0]) == [(4, 10), (4, 10), (5, 13), (6, 16)]
+    assert limits(["healthy"] * 4, [4, 10, 0]) == [(4, 10), (4, 10), (5, 13), (6, 16)]
 
 
 def test_limits_are_clamped_and_unknown_changes_nothing():
-    assert limits(["healthy"], [10, 30, 0, 5]) == [(10, 30)]
-    assert limits(["overload"], [1, 1, 5, 0]) == [(1, 1)]
-    assert run(folds.limits_step, [("unknown", *SLOW)], [5, 12, 1, 0])[0] == [5, 12, 1, 0]
+    assert limits(["healthy"], [10, 30, 5]) == [(10, 30)]
+    assert limits(["overload"], [1, 1, -5]) == [(1, 1)]
+    assert run(folds.limits_step, [("unknown", *SLOW)], [5, 12, -1]) == ([5, 12, -1], [(5, 12, 1, 0)])
+    assert run(folds.limits_step, [("healthy", *SLOW)], [5, 12, -1])[0] == [5, 12, 1]
 
 
 def test_breaker_opens_on_failure_rate_then_probes_then_closes():
@@ -37,14 +38,22 @@ def test_breaker_opens_on_failure_rate_then_probes_then_closes():
     _, outs = run(step, [(t, o, False) for t, o in enumerate(["ok", "retry", "ok", "retry", "ok"])]
                   + [(13.0 + k, "ok", False) for k in range(4)])
     assert [o[0] for o in outs] == ["allow"] * 4 + ["deny"] + ["probe"] * 3 + ["allow"]
-    assert outs[3][1] == "open" and outs[7][1] == "closed" and outs[-1][2] == 1
+    assert outs[3][1] == "open" and outs[7][1] == "closed" and sum(o[2] for o in outs) == 1
 
 
 def test_failed_probe_reopens_and_auth_trips_at_once():
     step = folds.breaker_step(4, 0.5, 10.0, 3)
     state, outs = run(step, [(0.0, "auth", False), (5.0, "ok", False), (10.0, "retry", False), (15.0, "ok", False)])
     assert [o[:2] for o in outs] == [("allow", "open"), ("deny", "open"), ("probe", "open"), ("deny", "open")]
-    assert state[5] == 2
+    assert sum(o[2] for o in outs) == 2
+
+
+def test_a_closed_breaker_forgets_what_came_before():
+    step = folds.breaker_step(4, 0.5, 10.0, 3)
+    first, _ = run(step, [(0.0, "auth", False)] + [(10.0 + k, "ok", False) for k in range(3)])
+    assert first == run(step, [(0.0, "throttled", False)])[0]
+    _, outs = run(folds.counting_trips(step), [(0.0, "auth", False), (10.0, "retry", False)])
+    assert [o[2] for o in outs] == [1, 2]
 
 
 def test_probes_without_a_verdict_are_handed_back():

@@ -92,3 +92,32 @@ def test_breaker_and_budget_replays_spread(spark):
     assert rows(folds.replay_retries(log, 60)) == rows(folds.replay_retries(log, 60, chunk_rows=100))
     assert rows(calls.call_windows(log, 600)) == rows(calls.call_windows(log, 600, max_group_rows=10))
     assert rows(calls.failure_ratio(log)) == rows(calls.failure_ratio(log, **SPREAD))
+
+
+@pytest.mark.parametrize("interpolate", [True, False])
+def test_groups_of_nothing_but_nulls_stay_on_both_routes(spark, interpolate):
+    df = spark.createDataFrame([("a", None), ("a", None), (None, 3), ("b", 1), ("b", None), ("b", 2)], "k string, v int")
+    one = rows(stats.quantiles(df, ["k"], "v", {"q": 0.5}, interpolate))
+    assert one == rows(stats.quantiles(df, ["k"], "v", {"q": 0.5}, interpolate, max_group_rows=1)) and len(one) == 3
+
+
+def test_models_without_constants_keep_their_rows(spark):
+    base = spark.range(40).selectExpr("if(id % 2 = 0, 'slow', 'other') model", "id call_id", "timestamp_seconds(id) ts", "200 status", "false timed_out", "1.0D latency_s", "false replay", "false is_retry")
+    windows = calls.judged(calls.call_windows(base, 10))
+    assert windows.count() == 8
+    assert calls.call_windows(base, 10).count() == windows.count()
+    spaced = calls.spacing_audit(base, spark.createDataFrame([("slow", 0.1)], "model string, rps double"))
+    assert spaced.count() == 40 and spaced.filter("model = 'other' and too_close").isEmpty()
+    limits = folds.replay_limits(windows.select("model", "win", "verdict"))
+    assert limits.count() == 8 and limits.filter("model = 'other' and rps is not null").isEmpty()
+
+
+def test_a_breaker_replay_of_forty_chunks_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    ends_of = scan._ends_of
+    monkeypatch.setattr(scan, "_ends_of", lambda *a: rounds.append(1) or ends_of(*a))
+    base = spark.range(40_000).selectExpr("'m' model", "id call_id", "timestamp_seconds(id) ts", "if(pmod(hash(id), 10) < 4, 500, 200) status", "false timed_out", "false replay")
+    one = folds.replay_breaker(base)
+    other = folds.replay_breaker(base, chunk_rows=1000, sizes=(40_000, 40_000))
+    assert rows(one.select("call_id", "permit", "breaker", "trips")) == rows(other.select("call_id", "permit", "breaker", "trips"))
+    assert len(rounds) <= 3
