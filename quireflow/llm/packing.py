@@ -6,7 +6,8 @@ capacities, whose nodes count the open sequences below them, finds it in as many
 
 Scale. Texts are read once and never shuffled: a piece travels as a few numbers (or with its ids if they are asked for). Shards
 hold about ``SHARD`` pieces, so one task's work is bounded whatever the table's size; the loss is at most a sequence a shard.
-Equal words share their ids through a bounded cache: the tokenizer never joins what a blank separates, so words are encoded alone.
+Equal words share their ids through a bounded cache of word hashes (64 bits): the tokenizer never joins what a blank separates, so words
+are encoded alone.
 
 Edge cases. A null or empty text is its end id. Rows that repeat an id are separate documents, with rows of their own. Extra
 columns are ignored. An empty table gives no rows.
@@ -14,22 +15,25 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import texts, written
+from quireflow.llm.common import LOWER, pieces, text_bytes, texts, word_hashes, word_spans, written
 
-WINDOW, END_ID, SHARD, CACHED_WORDS = 4096, 2, 50_000, 300_000
-TEXTS_AT_ONCE = 2_000_000
+WINDOW, END_ID, SHARD, CACHED_WORDS = 4096, 2, 50_000, 1_500_000
+ENCODED_AT_ONCE = 20_000
 
 
 class WordCache:
-    """Ids of blank-separated words, encoded once each; emptied when it holds more than ``CACHED_WORDS``."""
+    """Ids of words by the hash of their bytes, encoded once each; emptied when it holds more than ``CACHED_WORDS``."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -38,53 +42,72 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        # entry 0: no ids (between two blanks); entry 1: the end id
-        self.entry, self.sizes, self.ids = {"": 0}, np.array([0, 1], np.int64), np.array([self.end_id], np.uint32)
-
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where each text begins."""
-        if len(self.entry) > CACHED_WORDS:
+        self.keys, self.first, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.array([self.end_id], np.uint32), 1
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Adds words, whose sorted ``keys`` are new."""
+        sizes, ids = [], [self.ids[: self.used]]
+        for a in range(0, len(words), ENCODED_AT_ONCE):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words[a : a + ENCODED_AT_ONCE]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
+        first = self.used + np.cumsum(size) - size
+        self.ids = np.concatenate(ids)
+        self.used = len(self.ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.sizes = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.sizes, at, size)
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text begins. The tokenizer lowers A-Z itself; doing it before
+        makes more words equal, unless a text may hold the name of a special token, whose case counts."""
+        if len(self.keys) > CACHED_WORDS:
             self.clear()
-        words = [t.replace("\n", " ").split(" ") for t in batch]
-        new = list({w for ws in words for w in ws} - self.entry.keys())
-        if new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.entry.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.uint32)])
-        counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(counts)
-        at = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
-        inner = np.ones(len(at), bool)
-        inner[ends - 1] = False
-        look = self.entry.__getitem__
-        at[inner] = np.fromiter((look(w) for ws in words for w in ws), np.int64, int(inner.sum()))
-        first = np.concatenate([[0], np.cumsum(self.sizes)])
-        sizes = self.sizes[at]
-        stops = np.cumsum(sizes)
-        where = np.arange(stops[-1] if len(stops) else 0) + np.repeat(first[at] - (stops - sizes), sizes)
-        starts = np.concatenate([[0], stops[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
-        return self.ids[where], starts
+        raw = data.tobytes()
+        if b"<|" not in raw:
+            data = LOWER[data]
+            raw = data.tobytes()
+        begin, end, text = word_spans(data, starts)
+        keys, sample, which = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            chosen = sample[new]
+            self._learn(keys[new], [raw[a:b] for a, b in zip(begin[chosen].tolist(), end[chosen].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        # every text's words, then the end id, which stands at 0
+        n = len(starts) - 1
+        counts = np.bincount(text, minlength=n) + 1
+        stops = np.cumsum(counts)
+        first, sizes = np.zeros(int(stops[-1]), np.int64), np.ones(int(stops[-1]), np.int64)
+        slot = np.arange(len(text)) + text
+        first[slot], sizes[slot] = self.first[at][which], self.sizes[at][which]
+        reach = np.cumsum(sizes)
+        where = np.arange(reach[-1]) + np.repeat(first - (reach - sizes), sizes)
+        return self.ids[where], np.concatenate([[0], reach[stops - 1]])
+
+
+@lru_cache(2)
+def word_cache(path: str, end_id: int) -> WordCache:
+    """One cache per worker process, which serves many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return WordCache(path, end_id)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, keep_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and the rest of each document."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
 
-    def slices(column: list[str]) -> Iterator[tuple[int, int]]:
-        a = size = 0
-        for b, t in enumerate(column):
-            size += len(t)
-            if size >= TEXTS_AT_ONCE or b == len(column) - 1:
-                yield a, b + 1
-                a, size = b + 1, 0
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_path, end_id)
+        cache = word_cache(tokenizer_path, end_id)
         for batch in batches:
-            column, names = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            for a, b in slices(column):
-                ids, starts = cache.encode(column[a:b])
+            names = batch.column("doc_id").to_pylist()
+            data, texts_at = text_bytes(batch.column("text"))
+            for a, b in pieces(texts_at):
+                ids, starts = cache.encode(data[texts_at[a] : texts_at[b]], texts_at[a : b + 1] - texts_at[a])
                 rows = []
                 for name, low, high in zip(names[a:b], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     for at in range(low, high, window):
