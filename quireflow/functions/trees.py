@@ -1,7 +1,6 @@
 """Tree layout and tree edit distance over arrays.
 
-A tree arrives as parallel arrays (one element per node), bounded by the node limit of
-``contracts``. The two helpers here run inside Arrow batches of many trees.
+A tree arrives as parallel arrays (one element per node). The two helpers here run inside Arrow batches of many trees.
 """
 
 from __future__ import annotations
@@ -22,21 +21,43 @@ BATCH_CELLS = 2_000_000  # distance-table cells worked on together
 LAYOUT = ("pre", "page", "post", "lmld", "mpost", "mlmld")
 
 
-def layout(ids: Sequence, parents: Sequence, is_page: Sequence) -> tuple[list[int], dict[str, list[int]]]:
+def layout(ids: Sequence, parents: Sequence, is_page: Sequence) -> tuple[list[int], dict[str, list[int]], int]:
     """Reading order of one tree and the ``LAYOUT`` numbers of its nodes in that order.
 
     Siblings must come in their order. ``page`` is the reading-order ordinal of the nearest page
     node, None without one; post-order and leftmost leaf are also given for the mirrored tree.
-    Nodes that hang on no root are left out.
+
+    No node is left out. One whose parent is missing follows the roots as a further root, and a ring of
+    nodes is opened at its first; of nodes with one id the first has the children. The last value
+    counts such misplaced nodes.
     """
-    index = {v: i for i, v in enumerate(ids)}
+    index: dict = {}
+    for i, v in enumerate(ids):
+        index.setdefault(v, i)
+    misplaced = len(ids) - len(index)
     children: list[list[int]] = [[] for _ in ids]
     roots = []
+    lost = []
     for i, parent in enumerate(parents):
         if parent is None:
             roots.append(i)
         elif parent in index:
             children[index[parent]].append(i)
+        else:
+            lost.append(i)
+    roots += lost
+    misplaced += len(lost)
+    reached, todo = [False] * len(ids), list(roots)
+    for i in range(-1, len(ids)):
+        if i >= 0 and not reached[i]:  # only rings are left: cut this one before its first node
+            children[index[parents[i]]].remove(i)
+            roots.append(i)
+            todo.append(i)
+            misplaced += 1
+        while todo:
+            node = todo.pop()
+            reached[node] = True
+            todo.extend(children[node])
     visited, pages, depths = [], [], []
     stack = [(r, None, 0) for r in reversed(roots)]
     seen_pages = 0
@@ -48,12 +69,12 @@ def layout(ids: Sequence, parents: Sequence, is_page: Sequence) -> tuple[list[in
         pages.append(page)
         depths.append(depth)
         stack.extend((child, page, depth + 1) for child in reversed(children[node]))
-    size = [1] * len(index)
+    size = [1] * len(ids)
     for node in reversed(visited):
         for child in children[node]:
             size[node] += size[child]
     # Mirrored, the reading order runs through the siblings from the right.
-    mirrored = [0] * len(index)
+    mirrored = [0] * len(ids)
     before = 0
     for root in reversed(roots):
         mirrored[root] = before
@@ -69,7 +90,7 @@ def layout(ids: Sequence, parents: Sequence, is_page: Sequence) -> tuple[list[in
     mpost = [mirrored[node] + n - 1 - d for node, n, d in zip(visited, sizes, depths)]
     return visited, {
         "pre": list(range(len(visited))), "page": pages, "post": post, "lmld": [p - n + 1 for p, n in zip(post, sizes)],
-        "mpost": mpost, "mlmld": [p - n + 1 for p, n in zip(mpost, sizes)]}
+        "mpost": mpost, "mlmld": [p - n + 1 for p, n in zip(mpost, sizes)]}, misplaced
 
 
 def keyroot_cost(post: Sequence[int], lmld: Sequence[int]) -> int:
@@ -81,18 +102,19 @@ def keyroot_cost(post: Sequence[int], lmld: Sequence[int]) -> int:
     return sum(p - leaf + 1 for leaf, p in last.items())
 
 
-def lay_out_side(trees: pa.ListArray) -> tuple[pa.ListArray, pa.Array, pa.Array]:
+def lay_out_side(trees: pa.ListArray) -> tuple[pa.ListArray, pa.Array, pa.Array, pa.Array]:
     """Trees (lists of node structs, siblings in order) rearranged into reading order with the
-    ``LAYOUT`` numbers added, and the keyroot costs of both orientations."""
+    ``LAYOUT`` numbers added, the keyroot costs of both orientations, and the misplaced nodes."""
     nodes = trees.flatten()
     starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(trees), 0).to_numpy())]).tolist()
     ids, parents = nodes.field("node_id").to_pylist(), nodes.field("parent_id").to_pylist()
     is_page = pc.fill_null(pc.equal(nodes.field("type"), "page"), False).to_pylist()
     order: list[int] = []
     numbers: dict[str, list] = {k: [] for k in LAYOUT}
-    offsets, costs, mirrored_costs = [0], [], []
+    offsets, costs, mirrored_costs, misplaced = [0], [], [], []
     for a, b in zip(starts, starts[1:]):
-        visited, found = layout(ids[a:b], parents[a:b], is_page[a:b])
+        visited, found, astray = layout(ids[a:b], parents[a:b], is_page[a:b])
+        misplaced.append(astray)
         order.extend(a + v for v in visited)
         for k in LAYOUT:
             numbers[k].extend(found[k])
@@ -103,7 +125,8 @@ def lay_out_side(trees: pa.ListArray) -> tuple[pa.ListArray, pa.Array, pa.Array]
     kept = [f.name for f in nodes.type if f.name not in ("late", "key")]
     struct = pa.StructArray.from_arrays(
         [pa.array(numbers[k], pa.int32()) for k in LAYOUT] + [arranged.field(f) for f in kept], [*LAYOUT, *kept])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(costs, pa.int64()), pa.array(mirrored_costs, pa.int64())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(costs, pa.int64()), pa.array(mirrored_costs, pa.int64()), \
+        pa.array(misplaced, pa.int64())
 
 
 def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +134,8 @@ def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = {"pair_id": batch.column("pair_id")}
         for side in ("pred", "truth"):
-            tree, cost, mirrored = lay_out_side(batch.column(side))
-            columns |= {side: tree, f"{side}_cost": cost, f"{side}_mirrored_cost": mirrored}
+            tree, cost, mirrored, misplaced = lay_out_side(batch.column(side))
+            columns |= {side: tree, f"{side}_cost": cost, f"{side}_mirrored_cost": mirrored, f"{side}_misplaced": misplaced}
         yield pa.RecordBatch.from_pydict(columns)
 
 

@@ -1,9 +1,9 @@
 """Scoring predicted documents against the truth: text, boxes and tree structure.
 
-Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
-confidence); ``side`` is 'pred' or 'truth'. Trees over the node limit are refused before anything
-is collected, so a tree packed into one row is bounded. After packing, one row holds a pair and
-every metric is computed where that row is.
+Every pair gets a row: text and boxes are scored whatever its size, also if one side is missing; only the
+tree distance is refused, with a reason. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
+confidence); ``side`` is 'pred' or 'truth'. After packing, one row holds a pair (a document and its
+prediction) and every metric is computed where that row is.
 """
 
 from __future__ import annotations
@@ -36,44 +36,26 @@ _CELLS_PER_BOX = 16  # most grid cells one box covers along an axis, less one
 
 # --- trees ------------------------------------------------------------------------------------
 
-def tree_sizes(nodes: DataFrame) -> DataFrame:
-    """Node counts per pair; counted before the shuffle, so a huge tree is only a number."""
-    return nodes.groupBy("pair_id").agg(
-        *[F.count_if(F.col("side") == s).alias(f"{s}_nodes") for s in SIDES])
-
-
-def over_limit(nodes: DataFrame) -> DataFrame:
-    """Pairs with a tree too large to be compared, written once: usually none or a few."""
-    return written(tree_sizes(nodes).filter(F.greatest("pred_nodes", "truth_nodes") > c.MAX_TREE_NODES))
-
-
-def within_limit(nodes: DataFrame, over: DataFrame) -> DataFrame:
-    """Nodes of the pairs whose trees are small enough to be compared."""
-    if over.isEmpty():
-        return nodes
-    return nodes.join(scan.broadcast_checked(over.select("pair_id")), "pair_id", "left_anti")
-
-
-def packed_pairs(nodes: DataFrame, over: DataFrame | None = None) -> DataFrame:
+def packed_pairs(nodes: DataFrame) -> DataFrame:
     """One row per pair: ``pred`` and ``truth``, the nodes of each side as an array in reading
     order, every node with its page ordinal, post-order number and leftmost leaf (also mirrored),
-    and the keyroot costs of each tree.
+    the keyroot costs of each tree, and how many of its nodes have no place of their own: a parent
+    that is not there (they follow as further roots) or an id that came before.
 
     Siblings follow ``ord``, those without one come after the others, then list position. One
     shuffle brings both trees of a pair together; everything later works on that row."""
     fields = ["node_id", "parent_id", "list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence"]
     node = F.struct(F.col("ord").isNull().alias("late"), F.coalesce("ord", F.lit(0)).alias("key"), "list_pos", "node_id",
                     *[f for f in fields if f not in ("list_pos", "node_id")])
-    kept = within_limit(nodes, over_limit(nodes) if over is None else over)
-    # A fixed number of partitions: the rows are few bytes but much work, so they must not be
-    # merged by size. Hashing spreads the work; one pair costs at most 20 million cells, a second
-    # or two, so no task can hang on one.
+    # A given number of partitions: the rows are few bytes but much work, so they must not be
+    # merged by size. Hashing spreads the work; one tree distance costs at most MAX_TREE_CELLS, a
+    # second or two, so no task can hang on one.
     spark = nodes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = kept.repartition(parts, "pair_id").groupBy("pair_id").agg(
+    packed = nodes.repartition(parts, "pair_id").groupBy("pair_id").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("side") == s, node))).alias(s) for s in SIDES])
     schema = (f"pair_id {nodes.schema['pair_id'].dataType.simpleString()}, " + ", ".join(
-        f"{s} array<struct<{_PACKED}>>, {s}_cost bigint, {s}_mirrored_cost bigint" for s in SIDES))
+        f"{s} array<struct<{_PACKED}>>, {s}_cost bigint, {s}_mirrored_cost bigint, {s}_misplaced bigint" for s in SIDES))
     return packed.mapInArrow(trees.lay_out, schema)
 
 
@@ -83,11 +65,6 @@ def _by_side(pairs: DataFrame) -> DataFrame:
         F.struct(F.lit(s).alias("side"), F.col(s).alias("nodes")) for s in SIDES])))
 
 
-def comparable(pairs: DataFrame) -> DataFrame:
-    """Packed pairs that have both trees."""
-    return pairs.filter((F.size("pred") > 0) & (F.size("truth") > 0))
-
-
 def reading_order(nodes: DataFrame) -> DataFrame:
     """Nodes with their place in reading order and the ordinal of their page (null without one)."""
     return _by_side(packed_pairs(nodes)).select("pair_id", "side", F.inline("nodes"))
@@ -271,28 +248,23 @@ def box_scores(df: DataFrame, threshold: float) -> DataFrame:
 
 # --- tree distance -----------------------------------------------------------------------------------
 
-def tree_admission(pairs: DataFrame) -> DataFrame:
-    """Packed pairs with the cells both orientations need, the cheaper one, and why a pair is
-    refused (null when it may run)."""
+def tree_admission(pairs: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: int = c.MAX_TREE_CELLS) -> DataFrame:
+    """Packed pairs with the cells both orientations need, the cheaper one, and why the tree distance is
+    refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps'."""
     straight = F.col("pred_cost") * F.col("truth_cost")
     turned = F.col("pred_mirrored_cost") * F.col("truth_mirrored_cost")
+    pred, truth = F.size("pred").cast("long"), F.size("truth").cast("long")
+    reason = F.when(F.least(pred, truth) == 0, "unpaired").when(F.col("pred_misplaced") + F.col("truth_misplaced") > 0, "broken") \
+        .when(F.greatest(pred, truth) > max_nodes, "nodes").when(F.col("cells") > max_cells, "steps")
     return pairs.withColumns({"cells_straight": straight, "cells_mirrored": turned}) \
         .withColumns({"mirrored": F.col("cells_mirrored") < F.col("cells_straight"),
-                      "cells": F.least("cells_straight", "cells_mirrored")}) \
-        .withColumn("refused_reason", F.when(F.col("cells") > c.MAX_TREE_CELLS, "steps"))
-
-
-def _costs(nodes: DataFrame, over: DataFrame) -> DataFrame:
-    return tree_admission(comparable(packed_pairs(nodes, over)))
+                      "cells": F.least("cells_straight", "cells_mirrored"), "pred_nodes": pred, "truth_nodes": truth}) \
+        .withColumn("refused_reason", reason)
 
 
-def admission_report(nodes: DataFrame) -> DataFrame:
-    """Sizes, cells and refusal of every pair, also of those over the node limit."""
-    over = over_limit(nodes)
-    fitting = _costs(nodes, over).select(
-        "pair_id", F.size("pred").cast("long").alias("pred_nodes"), F.size("truth").cast("long").alias("truth_nodes"),
-        "cells", "mirrored", "refused_reason")
-    return fitting.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
+def admission_report(nodes: DataFrame, **limits: int) -> DataFrame:
+    """Sizes, cells and refusal of every pair."""
+    return tree_admission(packed_pairs(nodes), **limits).select("pair_id", "pred_nodes", "truth_nodes", "cells", "mirrored", "refused_reason")
 
 
 def _distance(df: DataFrame) -> Column:
@@ -309,15 +281,11 @@ def _distance(df: DataFrame) -> Column:
     return trees.tree_distance(*arrays("pred"), *arrays("truth"))
 
 
-def tree_metrics(nodes: DataFrame) -> DataFrame:
+def tree_metrics(nodes: DataFrame, **limits: int) -> DataFrame:
     """Tree edit distance on node types per pair; refused pairs keep a reason and no distance."""
-    over = over_limit(nodes)
-    pairs = _costs(nodes, over)
-    out = pairs.withColumn("ted", _distance(pairs)).select(
-        "pair_id", F.size("pred").cast("long").alias("pred_nodes"), F.size("truth").cast("long").alias("truth_nodes"),
-        "cells", "refused_reason", "ted")
-    every = out.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
-    return every.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
+    pairs = tree_admission(packed_pairs(nodes), **limits)
+    out = pairs.withColumn("ted", _distance(pairs)).select("pair_id", "pred_nodes", "truth_nodes", "cells", "refused_reason", "ted")
+    return out.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
 
 
 # --- everything ----------------------------------------------------------------------------------------
@@ -332,28 +300,23 @@ def _packed_matches(pairs: DataFrame) -> Column:
     return boxes_fx.match_packed(*columns("pred"), *columns("truth"))
 
 
-def evaluate(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
+def evaluate(nodes: DataFrame, threshold: float = 0.5, **limits: int) -> DataFrame:
     """Text, box and tree scores of every pair, one row each, after a single shuffle of the nodes.
 
-    Pairs over the node limit appear with ``refused_reason`` = 'nodes' and no scores; pairs whose
-    tree comparison would be too costly likewise with 'steps'."""
+    ``refused_reason`` says why a pair has no tree distance; its other scores are there all the same. A
+    missing side counts as an empty document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    over = over_limit(nodes)
-    pairs = _costs(nodes, over)
+    pairs = tree_admission(packed_pairs(nodes), **limits)
     count = lambda side: F.size(F.filter(side, lambda n: n["x"].isNotNull())).cast("long")
     scored = text_metrics(pairs.withColumns({
         "ref": text_stream(F.col("truth")), "hyp": text_stream(F.col("pred")), "ted": _distance(pairs),
-        "_m": _packed_matches(pairs), "predicted_boxes": count("pred"), "truth_boxes": count("truth"),
-        "pred_nodes": F.size("pred").cast("long"), "truth_nodes": F.size("truth").cast("long")}))
+        "_m": _packed_matches(pairs), "predicted_boxes": count("pred"), "truth_boxes": count("truth")}))
     hit = lambda v: v >= threshold
     same = F.filter(F.zip_with("_m.iou", "_m.same", lambda v, s: hit(v) & s), lambda x: x)
     full = box_scores(scored.withColumns({
         "matched": F.size("_m.iou").cast("long"), "iou_sum": F.aggregate("_m.iou", F.lit(0.0), lambda a, v: a + v),
         "hits": F.size(F.filter("_m.iou", hit)).cast("long"), "same_type": F.size(same).cast("long")}), threshold)
-    full = full.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
+    return full.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
         .drop("_m", "ref", "hyp", "pred", "truth", "mirrored", "cells", "cells_straight", "cells_mirrored",
-              *[f"{s}{k}_cost" for s in SIDES for k in ("", "_mirrored")])
-    scores = [n for n in full.columns if n not in ("pair_id", "pred_nodes", "truth_nodes", "refused_reason")]
-    full = full.withColumns({n: F.when(F.col("refused_reason").isNull(), F.col(n)) for n in scores})
-    return full.unionByName(over.withColumn("refused_reason", F.lit("nodes")), allowMissingColumns=True)
+              *[f"{s}_{k}" for s in SIDES for k in ("cost", "mirrored_cost", "misplaced")])

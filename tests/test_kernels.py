@@ -85,7 +85,7 @@ def forest_distance(f, g):
 
 def arrays(tree, mirrored=False):
     labels, parents = tree
-    visited, found = trees.layout(list(range(len(labels))), parents, [False] * len(labels))
+    visited, found, _ = trees.layout(list(range(len(labels))), parents, [False] * len(labels))
     post, leaf = (found["mpost"], found["mlmld"]) if mirrored else (found["post"], found["lmld"])
     codes, leaves = np.zeros(len(labels), int), np.zeros(len(labels), int)
     for place, node in enumerate(visited):
@@ -118,7 +118,7 @@ def test_deep_chain_of_a_thousand_nodes():
 
 def test_layout_orders_pages_and_post_order():
     # document(page(title, p), page(p)): pages are numbered in reading order, -1 nowhere.
-    visited, found = trees.layout([0, 1, 2, 3, 4, 5], [None, 0, 0, 1, 1, 2], [False, True, True, False, False, False])
+    visited, found, _ = trees.layout([0, 1, 2, 3, 4, 5], [None, 0, 0, 1, 1, 2], [False, True, True, False, False, False])
     assert visited == [0, 1, 3, 4, 2, 5]
     assert found["page"] == [None, 0, 0, 0, 1, 1]
     assert found["post"] == [5, 2, 0, 1, 4, 3]
