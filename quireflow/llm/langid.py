@@ -266,7 +266,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     preds.append(model.langs[best])
                     scores.append(float(min(1.0, (sure * known).sum() / letters.sum())))
                     spans.append(spans_of(path, place, len(ws), model.langs))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, SPANS), *[batch.column("row")] * keep], names=["doc_id", "lang_pred", "score", "spans", *["row"] * keep])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, SPANS), *[batch.column("row") for _ in range(keep)]], names=["doc_id", "lang_pred", "score", "spans", *["row"] * keep])
 
     return docs.mapInArrow(run, schema)
 
