@@ -33,6 +33,14 @@ def page_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
 
 
+def page_tree(page_idx: Column, blocks: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """The tree of a page: a page node with the page's box (0 where its size is not known) over its
+    blocks in order."""
+    size = lambda v: F.coalesce(v, F.lit(0.0)).cast("double") if v is not None else F.lit(0.0)
+    box = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), size(width).alias("w"), size(height).alias("h"))
+    return F.struct(F.lit("page").alias("type"), page_idx.cast("int").alias("order"), box.alias("bbox"), ordered_blocks(blocks).alias("children"))
+
+
 # --- page results --------------------------------------------------------------------------
 
 def fallback_confidence(blocks: Column) -> Column:
@@ -48,7 +56,8 @@ def _page_result(page_idx, source, confidence, low, blocks, text, tables, pairs,
     return F.struct(
         page_idx.cast("int").alias("page_index"), F.lit(source).alias("source"), confidence.alias("confidence"),
         F.lit(low).alias("low_confidence"), blocks.alias("blocks"), text.alias("text"),
-        tables.alias("tables_markdown"), pairs.alias("key_values"), error.alias("error"))
+        tables.alias("tables_markdown"), pairs.alias("key_values"), error.alias("error"),
+        page_tree(page_idx, blocks).alias("tree"))
 
 
 _BLOCKS = "array<struct<type:string,text:string,bbox:struct<x:double,y:double,w:double,h:double>,order:int,confidence:double>>"

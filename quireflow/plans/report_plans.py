@@ -207,6 +207,24 @@ def vlm_results(spark, sf):
     return r.select("job_id", "part", "r.source", "r.confidence", "r.low_confidence", F.size("r.blocks").alias("blocks"), F.size("r.tables_markdown").alias("tables"), shown.alias("pairs"), F.md5("r.text").alias("text_md5"))
 
 
+@query("f6_result_trees", i.with_inputs("lines", "WITH " + _BLOCKS.strip() + """,
+n AS (
+  SELECT job_id, -1 AS part, -1 AS rank, 'document' AS type, NULL AS text, NULL::DOUBLE AS x, NULL::DOUBLE AS w, NULL::INT AS ord FROM b GROUP BY 1
+  UNION ALL SELECT job_id, part, -1, 'page', NULL, 0, 0, part FROM b GROUP BY 1, 2
+  UNION ALL SELECT job_id, part, row_number() OVER (PARTITION BY job_id, part ORDER BY o, y, x, page_idx) - 1, 'paragraph', text, x, NULL, NULLIF(o, 0) FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY part, rank) - 1 AS node_id FROM n)
+SELECT job_id AS pair_id, node_id, CASE WHEN type = 'page' THEN 0 WHEN type = 'paragraph' THEN first_value(node_id) OVER (PARTITION BY job_id, part ORDER BY rank) END AS parent_id,
+  CASE WHEN type = 'page' THEN part WHEN type = 'paragraph' THEN rank ELSE 0 END AS list_pos, type, text, x, ord FROM p"""))
+def result_trees(spark, sf):
+    """Page results as document trees, through JSON, back as the nodes that the evaluation takes."""
+    from quireflow.sources import trees
+
+    none = F.lit(None).cast("string")
+    results = _blocks(spark, sf).select("job_id", F.col("part").alias("page_index"), shaping.fallback_result(F.col("part"), F.col("blocks"), none)["tree"].alias("tree"))
+    documents = trees.document_trees(results).select(F.col("job_id").alias("pair_id"), F.lit("truth").alias("side"), "tree")
+    return trees.nodes_of(documents).select("pair_id", "node_id", "parent_id", "list_pos", "type", "text", "x", "ord")
+
+
 @query("f7_fallback_results", i.with_inputs("lines", "WITH " + _BLOCKS.strip() + """
 SELECT job_id, part, 'layout_fallback' AS source, true AS low_confidence, round(CASE WHEN count(confidence) = 0 THEN 0.2 ELSE least(0.49, round_even(sum(confidence ORDER BY page_idx) / count(confidence) * 0.6::DOUBLE, 3)) END, 3) AS confidence FROM b GROUP BY ALL"""))
 def fallback_results(spark, sf):

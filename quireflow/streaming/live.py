@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -100,7 +101,7 @@ def without_duplicates(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def reassembled(frames: DataFrame, idle_s: int | None = None) -> DataFrame:
     """Frames (job_id, seq, page_idx, payload, total_pages) as pages in document order, with one
-    completion per job; with ``idle_s`` also a row whenever a job has been silent that long."""
+    completion per job and a ``late`` row for every frame that comes again; with ``idle_s`` also a row whenever a job has been silent that long."""
     rows = frames.select("job_id", "seq", F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
     # Timers keep a stream running even when nothing arrives, so they are only asked for when needed.
     return rows.groupBy("job_id").transformWithStateInPandas(
@@ -117,36 +118,56 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], every
     return writer.start()
 
 
-def results_once(results: DataFrame, path: str):
-    """Results (with batch-independent partitions) written so that a repeated batch changes nothing:
-    every batch replaces the partition named after it."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def appended_once(batch: DataFrame, path: str, keys: Sequence[str], part: Column) -> None:
+    """Rows of a batch whose keys the store at ``path`` does not hold yet, appended to it.
 
-    return each_batch(results, write)
+    What is there already stays as it is, so neither a repeated batch nor another split into batches changes
+    anything. ``part`` depends on the keys only; of the store, just the parts that the batch touches are read."""
+    spark = batch.sparkSession
+    fresh = batch.withColumn("part", part).dropDuplicates(list(keys)).persist()
+    touched = [r["part"] for r in fresh.select("part").distinct().collect()]
+    if touched:
+        try:
+            there = spark.read.schema(fresh.schema).parquet(path).filter(F.col("part").isin(touched)).select(*keys)
+            new = fresh.join(there, list(keys), "left_anti")
+        except AnalysisException:  # nothing has been written yet
+            new = fresh
+        new.select(fresh.columns).write.mode("append").partitionBy("part").parquet(path)
+    fresh.unpersist()
 
 
-def send_once(outbox: DataFrame, path: str):
-    """Unsent rows exported once each: a repeated batch replaces its own files, and rows that an
-    earlier batch exported are left out."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        waiting = batch.filter("sent_at is null").dropDuplicates(["id"])
-        if batch_id > 0:
-            earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select("id")
-            waiting = waiting.join(earlier, "id", "left_anti")
-        waiting.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+RESULT_PARTS = 64  # parts of a result store
+SEND_PART = 100_000  # ids of one part of the sent rows; ids rise, so batches touch few parts
 
-    return each_batch(outbox, write)
+
+def results_once(results: DataFrame, path: str):
+    """Results (job_id, page_idx, ...) written once each, however they are split into batches."""
+    part = F.pmod(F.xxhash64("job_id"), F.lit(RESULT_PARTS))
+    return each_batch(results, lambda batch, _: appended_once(batch, path, ["job_id", "page_idx"], part))
+
+
+def send_once(outbox: DataFrame, path: str):
+    """Unsent rows (id, ...) exported once each, however often a batch is repeated."""
+    part = F.floor(F.col("id") / SEND_PART)
+    return each_batch(outbox, lambda batch, _: appended_once(batch.filter("sent_at is null"), path, ["id"], part))
 
 
 def page_gauges(state: DataFrame, path: str, as_of: Column, every: str | None = None):
-    """Unfinished pages per status and their ages after every batch (state log: job_id, page_idx,
-    status, status_at, version): the newest status per page counts."""
+    """Unfinished pages per status and their ages after every batch, over all pages seen so far (state log:
+    job_id, page_idx, status, status_at, version): the newest status per page counts.
+
+    The newest statuses are a snapshot under ``path``_pages, a folder per batch made from the one
+    before, so a repeated batch makes the same snapshot again."""
+    page = ["job_id", "page_idx"]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("job_id", "page_idx").agg(F.max_by(F.struct("status", "status_at"), "version").alias("s")).select("s.*")
+        spark = batch.sparkSession
+        known = batch.select(*page, "status", "status_at", "version")
+        if batch_id > 0:
+            known = known.unionByName(spark.read.schema(known.schema).parquet(f"{path}_pages/{batch_id - 1}"))
+        newest = known.groupBy(*page).agg(F.max_by(F.struct("status", "status_at", "version"), "version").alias("s")).select(*page, "s.*")
+        newest.write.mode("overwrite").parquet(f"{path}_pages/{batch_id}")
+        newest = spark.read.schema(known.schema).parquet(f"{path}_pages/{batch_id}")
         pages.unfinished_ages(newest, as_of).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 

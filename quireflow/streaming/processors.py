@@ -1,7 +1,8 @@
 """State processors: the fold steps of ``operators.folds`` over live streams.
 
 Rows of a key arrive unordered within and across micro-batches. Replays therefore hold rows in
-state until the event-time watermark has passed them and fold them in order; reassembly orders by
+state until the event-time watermark has passed them and fold them in order; a row that comes after its
+turn is returned without outputs, so it can be counted; reassembly orders by
 sequence number instead and holds frames behind a gap until the gap fills.
 """
 
@@ -38,7 +39,7 @@ def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 
 class OrderedReplay(StatefulProcessor):
     """A fold in event-time order. Input rows carry ``at_ms``; ``order`` breaks ties; rows behind
-    what has been folded already are late and left out."""
+    what has been folded already are late and have null outputs."""
 
     def __init__(self, fold: Fold, order: list[str], keep: list[str], schema: StructType) -> None:
         self.fold, self.order, self.keep, self.schema = fold, order, keep, schema
@@ -78,7 +79,8 @@ class OrderedReplay(StatefulProcessor):
         out = []
         for row in sorted(ready, key=lambda r: [r[k] for k in place]):
             here = [row[k] for k in place]
-            if last is not None and here <= last:
+            if last is not None and here <= last:  # late: the fold has gone past its place
+                out.append((*key, *[row[k] for k in kept], *[None] * (len(self.schema.fields) - len(key) - len(kept))))
                 continue
             state, values = self.fold.step(state, *[row[k] for k in inputs])
             last = here
@@ -131,10 +133,11 @@ REASSEMBLED = StructType([
 
 class Reassembly(StatefulProcessor):
     """A job's frames back in document order: ``page`` rows for the contiguous prefix, one
-    ``complete`` row when all pages have arrived, ``idle`` rows while nothing comes.
+    ``complete`` row when all pages have arrived, a ``late`` row for each frame whose seq came before, ``idle``
+    rows while nothing comes.
 
     Frames are applied in sequence; those behind a gap are held (one map entry each) until it
-    fills, repeated ones are ignored."""
+    fills. What is kept of a complete job is one short row, by which late frames are known."""
 
     def __init__(self, idle_s: int | None = None) -> None:
         self.idle_s = idle_s
@@ -151,8 +154,10 @@ class Reassembly(StatefulProcessor):
         last, following, done, complete, held, waiting = json.loads(saved[0]) if saved else (0, 0, 0, False, 0, 0)
         frames, pages, out = {}, {}, []
         for seq, *frame in _rows(rows, ["seq", "page_idx", "payload", "total_pages"]):
-            if seq > last:
-                frames.setdefault(int(seq), frame)
+            if seq <= last or seq in frames or held and self.held.containsKey((int(seq),)):
+                out.append((*key, "late", frame[0], frame[1]))
+            else:
+                frames[int(seq)] = frame
 
         while True:
             if last + 1 in frames:
@@ -184,9 +189,8 @@ class Reassembly(StatefulProcessor):
                 out.append((*key, "complete", None, None))
 
         for seq, frame in frames.items():
-            if not (held and self.held.containsKey((seq,))):
-                self.held.updateValue((seq,), (json.dumps(frame),))
-                held += 1
+            self.held.updateValue((seq,), (json.dumps(frame),))
+            held += 1
         for page_idx, payload in pages.items():
             self.waiting.updateValue((page_idx,), (json.dumps(payload),))
             waiting += 1

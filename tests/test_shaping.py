@@ -63,3 +63,29 @@ def test_schemas_parse(spark):
 
     for name in c.SCHEMAS:
         assert tables.schema(name).fields
+
+
+def test_nested_json_trees_become_nodes_and_are_scored(spark):
+    import json
+
+    import pytest
+
+    from quireflow.operators import evaluation as ev
+    from quireflow.sources import trees
+
+    truth = {"type": "page", "children": [{"type": "title", "text": "Größe", "bbox": {"x": 0, "y": 0, "w": 10, "h": 2}, "order": 0},
+                                          {"type": "list", "children": [{"type": "item", "text": "one"}, {"type": "item", "text": "two", "confidence": 0.5}]}]}
+    pred = {"type": "page", "text": None, "children": [{"type": "title", "text": "Grösse", "bbox": {"x": 0, "y": 0, "w": 10, "h": 2}}]}
+    deep = {"type": "a"}
+    for _ in range(400):
+        deep = {"type": "a", "children": [deep]}
+    rows = [(7, "truth", json.dumps(truth)), (7, "pred", json.dumps(pred)), (8, "truth", json.dumps(deep)), (8, "pred", None)]
+    nodes = trees.nodes_of(spark.createDataFrame(rows, "pair_id int, side string, tree string"))
+    got = [tuple(r) for r in nodes.filter("pair_id = 7 and side = 'truth'").orderBy("node_id").select("node_id", "parent_id", "list_pos", "type", "text", "w", "confidence").collect()]
+    assert got == [(0, None, 0, "page", None, None, None), (1, 0, 0, "title", "Größe", 10.0, None), (2, 0, 1, "list", None, None, None),
+                   (3, 2, 0, "item", "one", None, None), (4, 2, 1, "item", "two", None, 0.5)]
+    assert nodes.filter("pair_id = 8").count() == 401
+    row = {r.pair_id: r for r in ev.evaluate(nodes).collect()}
+    assert (row[7].char_edits, row[7].ref_chars, row[7].ted, row[7].f1) == (9, 13, 3, 1.0) and row[8].refused_reason == "unpaired"
+    with pytest.raises(Exception, match="pair 9"):
+        trees.nodes_of(spark.createDataFrame([(9, "pred", "[1")], "pair_id int, side string, tree string")).collect()

@@ -63,6 +63,8 @@ def test_reassembly_of_scattered_frames(spark):
     for f in frames.dropDuplicates(["job_id", "seq"]).orderBy("job_id", "seq").collect():
         state[f.job_id], (ready, finished) = folds.assembly_step(state.get(f.job_id), f.seq, f.page_idx, f.payload, f.total_pages)
         expected += [(f.job_id, "page", k, p) for k, p in ready] + ([(f.job_id, "complete", None, None)] if finished else [])
+    seen = frames.groupBy("job_id", "seq", "page_idx", "payload").count().filter("count > 1").collect()
+    expected += [(f.job_id, "late", f.page_idx, f.payload) for f in seen for _ in range(f["count"] - 1)]
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
@@ -101,7 +103,20 @@ def test_windows_and_limits(spark):
 def test_a_repeated_run_changes_nothing(spark):
     results = spark.range(50).selectExpr("id job_id", "cast(id % 5 as int) page_idx", "'vlm' source")
     path = scratch_path(spark, "once")
-    stream = streamed(results, 1)
-    for _ in range(2):
-        live.results_once(stream, path).awaitTermination()
+    for parts in (5, 5, 2):
+        live.results_once(streamed(results, parts), path).awaitTermination()
     assert spark.read.parquet(path).count() == 50
+
+
+def test_sends_and_gauges_over_several_batches(spark):
+    outbox = spark.range(30).selectExpr("id", "'fast' queue", "if(id < 10, timestamp_seconds(id), null) sent_at")
+    path = scratch_path(spark, "sent")
+    for parts in (6, 3):  # the first batch may have nothing to send
+        live.send_once(streamed(outbox, parts), path).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10, 30))
+    log = spark.range(70).selectExpr("id % 7 job_id", "0 page_idx", "if(id >= 63, 'FAST_QUEUED', 'PENDING') status", "timestamp_seconds(id) status_at", "cast(id as int) version")
+    path = scratch_path(spark, "gauges")
+    live.page_gauges(streamed(log, 4), path, F.lit("1970-01-02").cast("timestamp")).awaitTermination()
+    gauges = spark.read.parquet(path)
+    last = gauges.filter(F.col("batch_id") == gauges.agg(F.max("batch_id")).first()[0]).collect()
+    assert [(r.status, r.n) for r in last] == [("FAST_QUEUED", 7)]
