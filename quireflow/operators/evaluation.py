@@ -27,6 +27,8 @@ SIDES = ("pred", "truth")
 BUILT_IN_CANDIDATES = 200
 # Candidates of one page that may be collected into a row.
 MAX_PAGE_CANDIDATES = 100_000
+# Boxes of one page that are matched in one row; pages with more go through the grid.
+MAX_PAGE_BOXES = 2000
 _PACKED = (
     "pre:int,page:int,post:int,lmld:int,mpost:int,mlmld:int,list_pos:int,node_id:bigint,parent_id:bigint,type:string,"
     "text:string,x:double,y:double,w:double,h:double,ord:int,confidence:double"
@@ -215,21 +217,49 @@ def _match_in_rounds(candidates: DataFrame) -> DataFrame:
     return out
 
 
-def box_metrics(boxes_: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _match_pages(boxes_: DataFrame) -> DataFrame:
+    """Matches (pair_id, iou, same) of pages with few boxes: one shuffle, then one row per page."""
+    node = F.struct("idx", "type", "box")
+    pages = boxes_.groupBy("pair_id", "page").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, node))).alias(s) for s in SIDES]) \
+        .filter((F.size("pred") > 0) & (F.size("truth") > 0))
+
+    def columns(side: str) -> list[Column]:
+        box = F.transform(side, lambda n: n["box"])
+        return [F.transform(side, lambda n: F.lit(0)), *[box[f] for f in ("x", "y", "w", "h")], F.transform(side, lambda n: n["type"])]
+
+    matches = pages.select("pair_id", boxes_fx.match_packed(*columns("pred"), *columns("truth")).alias("_m"))
+    return matches.select("pair_id", F.inline(F.arrays_zip(F.col("_m.iou").alias("iou"), F.col("_m.same").alias("same"))))
+
+
+def box_metrics(boxes_: DataFrame, threshold: float = 0.5, largest_page: int | None = None) -> DataFrame:
     """Box scores per pair: mean IoU (missed truth counts 0), precision, recall and F1 at the
-    threshold, and how often matched types agree."""
+    threshold, and how often matched types agree. ``largest_page`` bounds the boxes of a page, if the
+    caller knows a bound; otherwise pages are counted first."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     counts = boxes_.groupBy("pair_id").agg(
         F.count_if(F.col("side") == "pred").alias("predicted_boxes"),
         F.count_if(F.col("side") == "truth").alias("truth_boxes"))
     hit = F.col("iou") >= threshold
-    matched = match_boxes(box_candidates(boxes_)).groupBy("pair_id").agg(
+    matched = _matches(boxes_, largest_page).groupBy("pair_id").agg(
         F.count("*").alias("matched"), F.sum("iou").alias("iou_sum"), F.count_if(hit).alias("hits"),
         F.count_if(hit & F.col("same")).alias("same_type"))
     return box_scores(counts.join(matched, "pair_id", "left"), threshold)
 
 
+def _matches(boxes_: DataFrame, largest_page: int | None) -> DataFrame:
+    if largest_page is not None and largest_page <= MAX_PAGE_BOXES:
+        return _match_pages(boxes_)
+    crowded = written(boxes_.groupBy("pair_id", "page").count().filter(F.col("count") > MAX_PAGE_BOXES)
+                      .select(F.col("pair_id").alias("_pair"), F.col("page").alias("_page")))
+    if crowded.isEmpty():
+        return _match_pages(boxes_)
+    crowded = scan.broadcast_checked(crowded)
+    there = (F.col("pair_id") == F.col("_pair")) & F.col("page").eqNullSafe(F.col("_page"))
+    gridded = match_boxes(box_candidates(boxes_.join(crowded, there, "left_semi")))
+    return _match_pages(boxes_.join(crowded, there, "left_anti")).unionByName(gridded.select("pair_id", "iou", "same"))
+
+
 def box_scores(df: DataFrame, threshold: float) -> DataFrame:
     df = df.fillna(0, ["matched", "iou_sum", "hits", "same_type", "predicted_boxes", "truth_boxes"])
     col = F.col

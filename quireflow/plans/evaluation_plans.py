@@ -130,7 +130,7 @@ SELECT pair_id, np AS predicted_boxes, nt AS truth_boxes, matched, hits AS match
 
 @query("v2_box_metrics", i.with_inputs("candidates", "WITH " + _GREEDY.strip(), recursive=True))
 def box_metrics(spark, sf):
-    out = ev.box_metrics(i.boxes(spark, sf))
+    out = ev.box_metrics(i.boxes(spark, sf), largest_page=i.line_sizes(spark, sf, 2)[1])
     rates = ["mean_iou", "matched_mean_iou", "precision", "recall", "f1", "type_accuracy"]
     return out.withColumns({r: F.round(r, 6) for r in rates})
 
