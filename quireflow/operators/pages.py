@@ -125,13 +125,16 @@ def loss_audit(pages: DataFrame) -> DataFrame:
 
 
 def completion(jobs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Jobs with finished pages, whether they are complete, and whether only partly successful."""
+    """Jobs with finished pages, the pages in each status (``states``), whether they are complete, and whether
+    only partly successful."""
     status = F.col("status")
+    each = pages.groupBy("job_id", "status").agg(F.count("*").alias("n"))  # a handful of statuses per job
+    states = each.groupBy("job_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("states"))
     done = pages.groupBy("job_id").agg(
         F.count_if(~intake.unfinished(status)).alias("finished"), F.count_if(status == "FAILED").alias("failed_pages"),
         F.count_if(status == "COMPLETED").alias("completed_pages"))
     counts = ["finished", "failed_pages", "completed_pages"]
-    return jobs.select("job_id", "total_pages").join(done, "job_id", "left").fillna(0, counts) \
+    return jobs.select("job_id", "total_pages").join(done, "job_id", "left").join(states, "job_id", "left").fillna(0, counts) \
         .withColumn("complete", (F.col("finished") == F.col("total_pages")) & (F.col("total_pages") > 0)) \
         .withColumn("partial", F.col("complete") & (F.col("failed_pages") > 0))
 

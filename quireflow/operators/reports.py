@@ -35,14 +35,19 @@ def page_lists(frames: DataFrame, **route) -> DataFrame:
         F.array_sort(F.collect_list(low)).alias("low_confidence_pages"))
 
 
-def load_report(assembled: DataFrame, jobs: DataFrame, elapsed_s: float | None = None) -> DataFrame:
-    """One row: pages delivered in order, rate, out-of-order arrivals, whether every job's pages
-    all came out in order. ``assembled`` is ``ordered.reassembly``; jobs has job_id, total_pages."""
-    joined = jobs.select("job_id", "total_pages").join(assembled, "job_id", "left")
+def load_report(assembled: DataFrame, jobs: DataFrame, results: DataFrame, elapsed_s: float) -> DataFrame:
+    """One row: pages delivered in order and per second, those of them that are fallbacks, out-of-order
+    arrivals, whether every job's pages all came out in order. ``assembled`` is ``ordered.reassembly``;
+    jobs has job_id, total_pages; results has job_id, page_idx, low_confidence, one row per page."""
+    low = results.filter("low_confidence").join(assembled.select("job_id", F.col("emitted").alias("_out")), "job_id") \
+        .filter(F.col("page_idx") < F.col("_out")).groupBy("job_id").agg(F.count("*").alias("_low"))
+    joined = jobs.select("job_id", "total_pages").join(assembled, "job_id", "left").join(low, "job_id", "left")
     return joined.agg(
         F.count("*").alias("jobs"), F.coalesce(F.sum("emitted"), F.lit(0)).alias("pages"),
+        F.coalesce(F.sum("_low"), F.lit(0)).alias("fallback_pages"),
         F.coalesce(F.sum("out_of_order"), F.lit(0)).alias("out_of_order_arrivals"),
-        F.bool_and(F.coalesce(F.col("emitted") == F.col("total_pages"), F.lit(False))).alias("all_in_order"))
+        F.bool_and(F.coalesce(F.col("emitted") == F.col("total_pages"), F.lit(False))).alias("all_in_order")) \
+        .withColumn("pages_per_s", F.round(F.col("pages") / F.lit(float(elapsed_s)), 2))
 
 
 def latency_report(marks: DataFrame, **route) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quireflow import contracts as c
 from quireflow.functions import intake, shaping
-from quireflow.operators import folds, pages as ops
+from quireflow.operators import folds, pages as ops, stats
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
 from quireflow.sources import stores, tables
@@ -215,6 +215,16 @@ def send_lags(spark, sf):
     return ops.send_lags(i.outbox(spark, sf)).select("queue", *[F.round(q, 6).alias(q) for q in ("p50", "p95", "p99")])
 
 
+_LAG_EDGES = ", ".join(str(e) for e in c.SEND_LAG_EDGES)
+
+
+@query("d14_send_lag_histogram", i.with_inputs("outbox", f"""
+SELECT queue, e.le, count(*) FILTER (WHERE le IS NULL OR s <= le) AS cumulative FROM (SELECT queue, epoch_us(sent_at - created_at) / 1000000.0::DOUBLE AS s FROM outbox WHERE sent_at IS NOT NULL), (SELECT unnest([{_LAG_EDGES}, NULL]::DOUBLE[]) AS le) e GROUP BY ALL"""))
+def send_lag_histogram(spark, sf):
+    sent = i.outbox(spark, sf).filter("sent_at is not null").withColumn("s", shaping.seconds_between(F.col("created_at"), F.col("sent_at")))
+    return stats.fixed_histogram(sent, ["queue"], "s", c.SEND_LAG_EDGES)
+
+
 @query("d7_repeated_lines", """
 SELECT l_orderkey AS job_id, l_linenumber AS page_idx, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def repeated_lines(spark, sf):
@@ -230,12 +240,14 @@ def loss_audit(spark, sf):
 
 
 @query("d9_job_completion", i.with_inputs("jobs page_state", """
-WITH d AS (SELECT job_id, count(*) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS finished, count(*) FILTER (WHERE status = 'FAILED') AS failed_pages, count(*) FILTER (WHERE status = 'COMPLETED') AS completed_pages FROM page_state GROUP BY 1)
+WITH d AS (SELECT job_id, count(*) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS finished, count(*) FILTER (WHERE status = 'FAILED') AS failed_pages, count(*) FILTER (WHERE status = 'COMPLETED') AS completed_pages FROM page_state GROUP BY 1),
+e AS (SELECT job_id, string_agg(status || '=' || n, ',' ORDER BY status) AS states FROM (SELECT job_id, status, count(*) AS n FROM page_state GROUP BY ALL) GROUP BY 1)
 SELECT job_id, total_pages, coalesce(finished, 0) AS finished, coalesce(failed_pages, 0) AS failed_pages, coalesce(completed_pages, 0) AS completed_pages,
-  total_pages > 0 AND coalesce(finished, 0) = total_pages AS complete, total_pages > 0 AND coalesce(finished, 0) = total_pages AND coalesce(failed_pages, 0) > 0 AS partial
-FROM jobs LEFT JOIN d USING (job_id)"""))
+  total_pages > 0 AND coalesce(finished, 0) = total_pages AS complete, total_pages > 0 AND coalesce(finished, 0) = total_pages AND coalesce(failed_pages, 0) > 0 AS partial, states
+FROM jobs LEFT JOIN d USING (job_id) LEFT JOIN e USING (job_id)"""))
 def job_completion(spark, sf):
-    return ops.completion(i.jobs(spark, sf), i.pages(spark, sf))
+    shown = F.array_join(F.transform(F.map_entries("states"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return ops.completion(i.jobs(spark, sf), i.pages(spark, sf)).withColumn("states", shown)
 
 
 _SPANS = """
@@ -256,6 +268,19 @@ def queue_waits(spark, sf):
     return ops.queue_waits(ops.status_spans(i.status_log(spark, sf), sizes=i.line_sizes(spark, sf, 7))).select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "longest")
 
 
+_WAIT_EDGES = ", ".join(str(e) for e in c.WAIT_EDGES)
+
+
+@query("d14_wait_histogram", i.with_inputs("status_log", f"""
+SELECT stage, e.le, count(*) FILTER (WHERE le IS NULL OR s <= le) AS cumulative FROM (
+  SELECT CASE status WHEN 'FAST_PROCESSING' THEN 'fast' ELSE 'slow' END AS stage, waited_s AS s FROM ({_SPANS}) WHERE status IN ('FAST_PROCESSING', 'SLOW_PROCESSING') AND waited_s IS NOT NULL),
+  (SELECT unnest([{_WAIT_EDGES}, NULL]::DOUBLE[]) AS le) e GROUP BY ALL"""))
+def wait_histogram(spark, sf):
+    spans = ops.status_spans(i.status_log(spark, sf), sizes=i.line_sizes(spark, sf, 7)).filter("status in ('FAST_PROCESSING', 'SLOW_PROCESSING') and waited_s is not null")
+    stage = F.when(F.col("status") == "FAST_PROCESSING", "fast").otherwise("slow")
+    return stats.fixed_histogram(spans.withColumn("stage", stage), ["stage"], "waited_s", c.WAIT_EDGES)
+
+
 @query("d19_page_latencies", i.with_inputs("page_state", """
 SELECT source, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95, max(s) AS longest
 FROM (SELECT source, epoch_us(completed_at - created_at) / 1000000.0::DOUBLE AS s FROM page_state WHERE completed_at IS NOT NULL) GROUP BY 1"""))

@@ -34,10 +34,12 @@ def page_lists(spark, sf):
 WITH done AS (SELECT *, coalesce(list(page_idx) FILTER (WHERE page_idx IS NOT NULL) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING), []) AS done FROM stream_events),
 wm AS (SELECT *, coalesce((SELECT min(g) FROM (SELECT unnest(range(total_pages + 1)) AS g) x WHERE NOT list_contains(done, g::INT)), total_pages) AS w FROM done),
 o AS (SELECT job_id, max(w) AS emitted, count(*) FILTER (WHERE page_idx <> prior) AS ooo FROM (SELECT *, coalesce(lag(w) OVER (PARTITION BY job_id ORDER BY seq), 0) AS prior FROM wm) GROUP BY 1)
-SELECT count(*) AS jobs, coalesce(sum(emitted), 0)::BIGINT AS pages, coalesce(sum(ooo), 0)::BIGINT AS out_of_order_arrivals, bool_and(coalesce(emitted = j.total_pages, false)) AS all_in_order FROM jobs j LEFT JOIN o USING (job_id)"""))
+SELECT count(*) AS jobs, coalesce(sum(emitted), 0)::BIGINT AS pages, coalesce(sum(ooo), 0)::BIGINT AS out_of_order_arrivals, bool_and(coalesce(emitted = j.total_pages, false)) AS all_in_order,
+  (SELECT count(*) FROM stream_events s JOIN o USING (job_id) WHERE page_idx < emitted AND low_confidence) AS fallback_pages, round(coalesce(sum(emitted), 0) / 100.0::DOUBLE, 2) AS pages_per_s FROM jobs j LEFT JOIN o USING (job_id)"""))
 def load_report(spark, sf):
     assembled = ordered.reassembly(i.frames(spark, sf), sizes=i.line_sizes(spark, sf, 6))
-    return reports.load_report(assembled, i.jobs(spark, sf))
+    results = i.stream_events(spark, sf).filter("page_idx is not null").select("job_id", "page_idx", "low_confidence")
+    return reports.load_report(assembled, i.jobs(spark, sf), results, 100.0)
 
 
 def _report_jobs(spark, sf):
