@@ -21,16 +21,22 @@ DELAY = f"{DELAY_S} seconds"
 
 
 def _event_stream(spark, sf):
-    """The call log as five files in the order of time, one per batch; every seventh call comes half a day late."""
-    live.use_rocksdb(spark)
+    """The call log in the order of time; every seventh call comes half a day late."""
     events = i.table(spark, sf, "events")
-    comes = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 7 == 0, LATE_S * 1_000_000).otherwise(0)
-    low, high = events.agg(F.min(comes), F.max(comes)).first()
-    path = scratch_path(spark, "events")
+    late = F.when(F.col("event_id") % 7 == 0, LATE_S * 1_000_000).otherwise(0)
+    return i.calls_of(_in_time(events, F.unix_micros(F.col("ts").cast("timestamp")) + late, "events"))
+
+
+def _in_time(df, comes, name):
+    """``df`` as five files, one per batch, cut by when each row comes (microseconds)."""
+    spark = df.sparkSession
+    live.use_rocksdb(spark)
+    low, high = df.agg(F.min(comes), F.max(comes)).first()
+    path = scratch_path(spark, name)
     for k in range(FILES):
         part = F.floor((comes - (low or 0)) * FILES / ((high or 0) - (low or 0) + 1))
-        events.filter(part == k).write.mode("append").parquet(path)
-    return i.calls_of(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+        df.filter(part == k).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 FILES = 5
@@ -101,8 +107,9 @@ def live_completions(spark, sf):
 
 @query("x9_live_unique_frames", i.with_inputs("frames", "SELECT DISTINCT job_id, seq, kind FROM frames"))
 def live_unique_frames(spark, sf):
-    frames = i.frames(spark, sf).select("job_id", "seq", "kind", "at")
-    return live.run_available(live.without_duplicates(_written(frames, "frames"), "20000 days")).select("job_id", "seq", "kind")
+    frames = i.frames(spark, sf).select("job_id", "seq", "kind", "at", "copy")
+    comes = F.unix_micros("at") + F.col("copy") * (LATE_S * 1_000_000)  # repeats come half a day later
+    return live.run_available(live.without_duplicates(_in_time(frames, comes, "frames"), DELAY)).select("job_id", "seq", "kind")
 
 
 @query("x11_late_results", i.with_inputs("frames", "SELECT job_id, page_idx, kind AS payload FROM frames WHERE copy = 1"))
