@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import WORD, written
 
-BLOCK_WORDS, SHARD_DOCS, CEILING, SEED = 64, 20_000, 3, 17
+BLOCK_WORDS, SHARD_DOCS, CEILING, SEED = 64, 4_000, 3, 17
 WEIGHTS = (5, 2, 1)
 
 
