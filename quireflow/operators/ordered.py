@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quireflow import contracts as c
 from quireflow.functions import shaping
 from quireflow.operators import scan
+from quireflow.session import written
 
 JOB = ["job_id"]
 
@@ -31,11 +32,6 @@ def audit_arrivals(frames: DataFrame, arrival: str = "arrival", **route) -> Data
     return seen.withColumn("duplicate", F.col("seq") <= last).withColumn("gap", F.col("seq") > last + 1).drop("_last")
 
 
-def first_frames(frames: DataFrame) -> DataFrame:
-    """One row per (job, seq)."""
-    return frames.dropDuplicates(["job_id", "seq"])
-
-
 def flush_points(events: DataFrame, **route) -> DataFrame:
     """(job_id, page_idx, first_seq, flush_seq): when each page of the contiguous prefix can be
     emitted in document order. Pages behind a missing page have no flush point and are left out."""
@@ -46,7 +42,12 @@ def flush_points(events: DataFrame, **route) -> DataFrame:
 
 
 def with_watermark(events: DataFrame, **route) -> DataFrame:
-    """Events with ``page_watermark`` after them and ``watermark_before``."""
+    """Events with ``page_watermark`` after them and ``watermark_before``. The events are written once, as
+    they are read more than once."""
+    return _watermarked(written(events), **route)
+
+
+def _watermarked(events: DataFrame, **route) -> DataFrame:
     flushed = flush_points(events, **route).groupBy("job_id", F.col("flush_seq").alias("seq")).agg(F.count("*").alias("_flushed"))
     marked = events.join(flushed, ["job_id", "seq"], "left").withColumn("_flushed", F.coalesce("_flushed", F.lit(0)))
     out = scan.running(marked, JOB, ["seq"], {"page_watermark": scan.Running("sum", F.col("_flushed"))}, **route)
@@ -60,6 +61,7 @@ def with_window_bits(events: DataFrame, **route) -> DataFrame:
     Pages are kept as 64-page words. Each word is a running OR over the events that set its bits;
     an event looks up the two words its window touches, by position in the same order."""
     size = F.lit(c.WINDOW_SIZE)
+    events = written(events)
     pages = events.filter(F.col("page_idx").isNotNull()).groupBy("job_id", "page_idx").agg(F.min("seq").alias("seq"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("page_idx", size).cast("int"))
     none = F.lit(None).cast("int")
@@ -97,9 +99,9 @@ def reassembly(frames: DataFrame, arrival: str = "arrival", **route) -> DataFram
     emitted in order, duplicates, whether the job completed or failed.
 
     A repeated frame is a duplicate; a page counts when its first frame arrives."""
-    audited = audit_arrivals(frames, arrival, **route)
+    audited = written(audit_arrivals(frames, arrival, **route))
     unique = audited.filter(~F.col("duplicate"))
-    marked = with_watermark(unique, **route)
+    marked = _watermarked(unique, **route)
     is_page = F.col("page_idx").isNotNull()
     counted = scan.running(marked, JOB, ["seq"], {
         "_received": scan.Running("sum", is_page.cast("long"))}, **route)
