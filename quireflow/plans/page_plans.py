@@ -9,6 +9,7 @@ from quireflow.functions import intake, shaping
 from quireflow.operators import folds, pages as ops, stats
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
+from quireflow.session import scratch_path
 from quireflow.sources import stores, tables
 
 _AS_OF = f"TIMESTAMP '{i.AS_OF}'"
@@ -369,6 +370,16 @@ def result_keys(spark, sf):
     return stores.keyed_results(rows).select("job_id", "page_idx", "key")
 
 
+@query("s6_result_store", i.with_inputs("page_state", "SELECT job_id, page_idx, source, year(created_at)::INT AS year FROM page_state WHERE source IS NOT NULL"))
+def result_store(spark, sf):
+    """Results written twice by year: the second time replaces the first."""
+    rows = i.pages(spark, sf).filter("source is not null").select("job_id", "page_idx", "source", F.year("created_at").alias("year"))
+    path = scratch_path(spark, "results")
+    for _ in range(2):
+        stores.write_results(rows, path, "year")
+    return spark.read.schema(rows.schema).parquet(path).select("job_id", "page_idx", "source", "year")
+
+
 @query("o1_document_order", i.with_inputs("page_state", """
 SELECT job_id, page_idx, source, row_number() OVER (ORDER BY job_id, page_idx) AS place FROM page_state WHERE source IS NOT NULL"""))
 def document_order(spark, sf):

@@ -8,6 +8,7 @@ from quireflow.functions import shaping
 from quireflow.operators import ordered, scan
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
+from quireflow.session import scratch_path
 from quireflow.sources import event_log, logs, stores
 
 
@@ -148,12 +149,27 @@ def parsed_event_text(spark, sf):
     return event_log.parse_sse(captured, "record").select("job_id", "id", "event", "data")
 
 
+@query("s11_captured_files", i.with_inputs("stream_events", """
+SELECT seq::VARCHAR AS id, kind AS event, '{"seq":' || seq || CASE WHEN page_idx IS NULL THEN '' ELSE ',"page_index":' || page_idx END || '}' AS data FROM stream_events"""))
+def captured_files(spark, sf):
+    """Captures as files, those of odd jobs with CRLF, read back as records."""
+    text = event_text(spark, sf).select("job_id", F.regexp_replace("sse", "\n\n$", "").alias("value"))
+    out = None
+    for name, odd, end in (("lf", 0, "\n"), ("crlf", 1, "\r\n")):
+        path = scratch_path(spark, f"captures-{name}")
+        text.filter(F.col("job_id") % 2 == odd).select(F.replace("value", F.lit("\n"), F.lit(end)).alias("value")).write.option("lineSep", end * 2).text(path)
+        found = event_log.read_sse(spark, path)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("s5_frame_archive", i.with_inputs("frames", """
 SELECT job_id, arrival, '{"received_at":"' || strftime(moment, '%Y-%m-%dT%H:%M:%S.%f+00:00') || '","id":' || seq || ',"event":"' || kind || '"}' AS line FROM frames"""))
 def frame_archive(spark, sf):
     frames = i.frames(spark, sf)
-    line = stores.archive_lines(frames.select(shaping.iso_utc(F.col("at")).alias("received_at"), F.col("seq").alias("id"), F.col("kind").alias("event"), "job_id", "arrival"))
-    parsed = line.select("value", F.from_json("value", "job_id bigint, arrival bigint").alias("k"))
+    path = scratch_path(spark, "archive")
+    stores.write_archive(frames.select(shaping.iso_utc(F.col("at")).alias("received_at"), F.col("seq").alias("id"), F.col("kind").alias("event"), "job_id", "arrival"), path)
+    parsed = spark.read.text(path).select("value", F.from_json("value", "job_id bigint, arrival bigint").alias("k"))
     return parsed.select("k.job_id", "k.arrival", F.concat(F.substring_index("value", ',"job_id"', 1), F.lit("}")).alias("line"))
 
 
@@ -174,6 +190,7 @@ def document_trace(spark, sf):
     turn = i.table(spark, sf, "conversations")
     line = F.to_json(F.struct(F.lpad(F.col("turn").cast("string"), 8, "0").alias("ts"), F.lit("INFO").alias("level"), F.col("role").alias("logger"),
                               F.col("text").alias("msg"), F.col("conv_id").cast("string").alias("request_id")))
-    parsed = logs.parse_logs(turn.select(line.alias("value")))
-    trace = scan.numbered(logs.document_trace(parsed), ["request_id"], ["ts"], "rn")
+    path = scratch_path(spark, "logs")
+    turn.select(line.alias("value")).write.text(path)
+    trace = scan.numbered(logs.document_trace(logs.read_logs(spark, path)), ["request_id"], ["ts"], "rn")
     return trace.select(F.col("request_id").cast("bigint").alias("request_id"), F.col("ts").cast("bigint").alias("place"), "logger", F.md5("msg").alias("msg_md5"), "rn")
