@@ -97,8 +97,9 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
     """(a, b): the least of a bucket with each other member, and neighbours in the order of ids."""
     in_order = Window.partitionBy("bucket").orderBy("rep")
     found = rows.select("rep", F.first("rep").over(in_order).alias("least"), F.lag("rep").over(in_order).alias("before")).where("rep <> least")
-    edge = F.explode(F.array_distinct(F.array("least", "before"))).alias("a")
-    return found.select(edge, F.col("rep").alias("b")).distinct()
+    # a class meets the same neighbours in many buckets: they become one before they become rows
+    met = found.groupBy("rep").agg(F.collect_set("least").alias("least"), F.collect_set("before").alias("before"))
+    return met.select(F.explode(F.array_union("least", "before")).alias("a"), F.col("rep").alias("b"))
 
 
 def _confirmer(k: int, per_cent: int):
