@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Method. Blocks of text that hold a cue word are compressed with zstandard, once alone and once with each license template as a raw
-dictionary. The bytes that a template saves, as a share of what the block costs alone, rank the templates; the best ``TRIED`` that save
+dictionary. The bytes that a template saves, as a share of what the block costs alone, rank the templates; all that save
 ``LEAST_SAVED`` bytes or more are confirmed by wording: the template's words are aligned with the block's, and a template is found if
 at most ``MOST_DIFFERENT`` of its words are missing or have other words between them, never mind what stands before and after, and no
 word with a digit (a version) is missing.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import texts
 
-BLOCK_WORDS, TRIED, LEAST_SAVED, MOST_DIFFERENT = (32, 256), 5, 8, 0.15
+BLOCK_WORDS, LEAST_SAVED, MOST_DIFFERENT = (32, 256), 8, 0.15
 CUE = r"(?i)licen[sc]e|copyright|spdx|warrant|redistribut|permission|public domain|\bCC[ -]|all rights reserved"
 
 # The wording of public licenses and of the notices that refer to them.
@@ -121,11 +121,10 @@ def _scanner(templates: dict[str, str]):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 best: dict[str, tuple] = {}
                 for block in blocks_of(text):
-                    words, rank = words_of(block), 0
-                    for saved, share, name in compressed.savings(block):
-                        if saved < LEAST_SAVED or rank == TRIED:
+                    words = words_of(block)
+                    for rank, (saved, share, name) in enumerate(compressed.savings(block), 1):
+                        if saved < LEAST_SAVED:
                             break
-                        rank += 1
                         n, which = differences(wording[name], words)
                         if n <= MOST_DIFFERENT * len(wording[name]) and not any(_VERSION.match(w) for w in which):
                             row = (doc, name, saved, share, rank, n, which)

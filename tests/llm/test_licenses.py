@@ -33,3 +33,8 @@ def test_edge_cases(docs_of):
     assert found == sorted([(4, "MIT", 3), (7, "MIT notice", 0), (7, "MIT notice", 0), (None, "MIT notice", 0)], key=str)
     assert next(r["differences"] for r in licenses.scan(docs_of(rows)).collect() if r["doc_id"] == 4) == ["-granted", "+given", "-copy"]
     assert licenses.scan(docs_of(rows).where("false")).collect() == []
+
+
+def test_block_that_holds_every_notice(docs_of):
+    found = licenses.scan(docs_of([(1, " ".join(NOTICES.values())), (2, "\n".join(sorted(NOTICES.values())))])).collect()
+    assert {(r["doc_id"], r["license"]) for r in found if r["n_different"] == 0} == {(i, n) for i in (1, 2) for n in NOTICES}
