@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
 Method. Blocks of text that hold a cue word are compressed with zstandard, once alone and once with each license template as a raw
-dictionary. The bytes that a template saves, as a share of what the block costs alone, rank the templates; all that save
-``LEAST_SAVED`` bytes or more are confirmed by wording: the template's words are aligned with the block's, and a template is found if
-at most ``MOST_DIFFERENT`` of its words are missing or have other words between them, never mind what stands before and after, and no
-word with a digit (a version) is missing.
+dictionary, blocks and templates both as words in lower case with one blank between them. The bytes that a template saves, as a share
+of what the block costs alone, rank the templates. Whatever their rank, they are confirmed by wording: the template's words are aligned
+with the block's, and a template is found if at most ``MOST_DIFFERENT`` of its words are missing or have other words between them, never
+mind what stands before and after, and no word with a digit (a version) is missing. Only a template of whose words the block lacks more
+than that, in any order, is not aligned, as it can't be found.
 
 Blocks. Texts are cut into blocks of ``BLOCK_WORDS`` words that overlap by half, at a small scale for notices and at a large one for whole
 licenses. Half of a block is more than the templates of its scale are long, so every occurrence lies whole in some block, and that
-block holds its cue; blocks without a cue are left out. Texts of any length are read whole.
+block holds its cue; blocks without a cue are left out. Texts of any length are read whole. What stands between words (blanks, line
+breaks, marks of comments) counts for nothing.
 
 Scale. One pass over the texts without a shuffle; texts without a cue never reach Python. Work is linear in the text with a cue.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import texts
 
-BLOCK_WORDS, LEAST_SAVED, MOST_DIFFERENT = (32, 256), 8, 0.15
-CUE = r"(?i)licen[sc]e|copyright|spdx|warrant|redistribut|permission|public domain|\bCC[ -]|all rights reserved"
+BLOCK_WORDS, MOST_DIFFERENT = (32, 256), 0.15
+CUE = r"(?i)licen[sc]e|copyright|spdx|warrant|redistribut|permission|public[\W_]+domain|\bCC[\W_]|all[\W_]+rights[\W_]+reserved"
 
 # The wording of public licenses and of the notices that refer to them.
 TEMPLATES = {
@@ -64,18 +67,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str, sizes: tuple[int, ...] = BLOCK_WORDS) -> Iterator[str]:
-    """The blocks of each scale that hold a cue."""
+def blocks_of(text: str, sizes: tuple[int, ...] = BLOCK_WORDS) -> Iterator[list[str]]:
+    """The words of the blocks of each scale that hold a cue."""
+    text = text.lower()
     cues = [m.start() for m in _CUE.finditer(text)]
     if not cues:
         return
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    spans = [m.span() for m in _WORD.finditer(text)]
     begins = [s[0] for s in spans]
-    words = {bisect.bisect_right(begins, c) - 1 for c in cues}
+    held = {bisect.bisect_right(begins, c) - 1 for c in cues}
     for size in sizes:
         half = size // 2
-        for k in sorted({max(0, w // half - back) for w in words for back in (0, 1)}):
-            yield text[spans[k * half][0] : spans[min(k * half + size, len(spans)) - 1][1]]
+        for k in sorted({max(0, w // half - back) for w in held for back in (0, 1)}):
+            yield [text[a:b] for a, b in spans[k * half : k * half + size]]
 
 
 class Compressed:
@@ -85,11 +89,11 @@ class Compressed:
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=3)
-        self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
+        self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(words_of(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
 
-    def savings(self, block: str) -> list[tuple[int, float, str]]:
+    def savings(self, block: list[str]) -> list[tuple[int, float, str]]:
         """(bytes saved, share of the cost alone, template), best first."""
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = " ".join(block).encode("utf-8", "surrogatepass")
         alone = len(self.alone.compress(raw))
         saved = [(alone - len(c.compress(raw)), n) for n, c in self.given.items()]
         return sorted(((s, s / alone, n) for s, n in saved), key=lambda x: (-x[0], x[2]))
@@ -116,17 +120,20 @@ def differences(template: list[str], block: list[str]) -> tuple[int, list[str]]:
 def _scanner(templates: dict[str, str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressed, wording = Compressed(templates), {n: words_of(t) for n, t in templates.items()}
+        most = {n: MOST_DIFFERENT * len(w) for n, w in wording.items()}
+        needed = {n: Counter(w) for n, w in wording.items()}
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 best: dict[str, tuple] = {}
-                for block in blocks_of(text):
-                    words = words_of(block)
-                    for rank, (saved, share, name) in enumerate(compressed.savings(block), 1):
-                        if saved < LEAST_SAVED:
-                            break
+                for words in blocks_of(text):
+                    have = Counter(words)
+                    possible = {n for n, w in needed.items() if sum((w - have).values()) <= most[n]}
+                    for rank, (saved, share, name) in enumerate(compressed.savings(words) if possible else (), 1):
+                        if name not in possible:
+                            continue
                         n, which = differences(wording[name], words)
-                        if n <= MOST_DIFFERENT * len(wording[name]) and not any(_VERSION.match(w) for w in which):
+                        if n <= most[name] and not any(_VERSION.match(w) for w in which):
                             row = (doc, name, saved, share, rank, n, which)
                             if name not in best or (n, -saved) < (best[name][5], -best[name][2]):
                                 best[name] = row

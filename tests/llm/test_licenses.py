@@ -38,3 +38,19 @@ def test_edge_cases(docs_of):
 def test_block_that_holds_every_notice(docs_of):
     found = licenses.scan(docs_of([(1, " ".join(NOTICES.values())), (2, "\n".join(sorted(NOTICES.values())))])).collect()
     assert {(r["doc_id"], r["license"]) for r in found if r["n_different"] == 0} == {(i, n) for i in (1, 2) for n in NOTICES}
+
+
+def test_case_and_what_stands_between_words_do_not_matter(docs_of):
+    filler = "a paragraph about rivers, and about the people who live near them "
+    forms = [str.upper, lambda t: t.replace(" ", "  "), lambda t: t.replace(" ", "\n"), lambda t: "// " + t.replace(" ", "\r\n// "), lambda t: "# " + t.replace(" ", "\n#\n# ")]
+    cases = [(n, form) for n in licenses.TEMPLATES for form in forms]
+    rows = [(i, f"{filler * k}\n{form(licenses.TEMPLATES[n])}\n{filler * 20}") for i, (n, form) in enumerate(cases) for k in (0, 7)]
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(docs_of(rows).repartition(8)).collect() if r["n_different"] == 0}
+    assert {(i, n) for i, (n, _) in enumerate(cases)} - found == set()
+    assert all(len(licenses.words_of(t)) < max(licenses.BLOCK_WORDS) // 2 for t in licenses.TEMPLATES.values())
+
+
+def test_every_pair_of_notices_is_found_whatever_they_save(docs_of):
+    pairs = [(a, b, c) for a in NOTICES for b in NOTICES for c in (" ", "\n * ")]
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(docs_of([(i, c.join([NOTICES[a].upper(), NOTICES[b], NOTICES[a]])) for i, (a, b, c) in enumerate(pairs)])).collect()}
+    assert found == {(i, n) for i, (a, b, _) in enumerate(pairs) for n in (a, b)}
