@@ -32,18 +32,33 @@ from quireflow.llm.common import texts
 LANGUAGES, PER_LANG, WORDS = 256, 2000, 120_000
 SWITCH, FLOOR, BLOCK, CACHED_WORDS = 8.0, -8.0, 256, 300_000
 UNKNOWN = "und"
-#: First code points of ranges and the script of each; "" is none. From the Unicode block list.
+#: First code points of ranges and the script of each, from the Unicode block list. "other" holds the letters of the smaller blocks and of
+#: signs; like any script, languages may be written in it.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
-    (0x0700, ""), (0x0750, "Arabic"), (0x0780, ""), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"),
-    (0x0A80, "Gujarati"), (0x0B00, ""), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"),
-    (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"),
-    (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, ""), (0x1780, "Khmer"), (0x1800, ""), (0x1C80, "Cyrillic"), (0x1CC0, ""),
-    (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x2C60, "Latin"), (0x2C80, ""), (0x3040, "Kana"), (0x3100, ""),
-    (0x3130, "Hangul"), (0x3190, ""), (0x31F0, "Kana"), (0x3200, ""), (0x3400, "Han"), (0xA000, ""), (0xA640, "Cyrillic"),
-    (0xA6A0, ""), (0xA720, "Latin"), (0xA800, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, "Latin"),
-    (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, ""), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"),
-    (0xFFE0, ""), (0x20000, "Han"), (0x32000, ""),
+    (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "NKo"), (0x0800, "Samaritan"), (0x0840, "Mandaic"),
+    (0x0860, "Syriac"), (0x0870, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"),
+    (0x0B00, "Odia"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"),
+    (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
+    (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1400, "Canadian"), (0x1680, "Ogham"), (0x16A0, "Runic"), (0x1700, "Tagalog"),
+    (0x1720, "Hanunoo"), (0x1740, "Buhid"), (0x1760, "Tagbanwa"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Canadian"),
+    (0x1900, "Limbu"), (0x1950, "Tai Le"), (0x1980, "New Tai Lue"), (0x19E0, "Khmer"), (0x1A00, "Buginese"), (0x1A20, "Tai Tham"),
+    (0x1AB0, "other"), (0x1B00, "Balinese"), (0x1B80, "Sundanese"), (0x1BC0, "Batak"), (0x1C00, "Lepcha"), (0x1C50, "Ol Chiki"),
+    (0x1C80, "Cyrillic"), (0x1C90, "Georgian"), (0x1CC0, "Sundanese"), (0x1CD0, "other"), (0x1D00, "Latin"), (0x1F00, "Greek"),
+    (0x2000, "other"), (0x2C00, "Glagolitic"), (0x2C60, "Latin"), (0x2C80, "Coptic"), (0x2D00, "Georgian"), (0x2D30, "Tifinagh"),
+    (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, "other"), (0x3000, "Han"), (0x3040, "Kana"), (0x3100, "Bopomofo"),
+    (0x3130, "Hangul"), (0x3190, "other"), (0x31A0, "Bopomofo"), (0x31C0, "other"), (0x31F0, "Kana"), (0x3200, "other"),
+    (0x3400, "Han"), (0xA000, "Yi"), (0xA4D0, "Lisu"), (0xA500, "Vai"), (0xA640, "Cyrillic"), (0xA6A0, "Bamum"), (0xA700, "other"),
+    (0xA720, "Latin"), (0xA800, "Syloti Nagri"), (0xA830, "other"), (0xA840, "Phags-pa"), (0xA880, "Saurashtra"),
+    (0xA8E0, "Devanagari"), (0xA900, "Kayah Li"), (0xA930, "Rejang"), (0xA960, "Hangul"), (0xA980, "Javanese"), (0xA9E0, "Myanmar"),
+    (0xAA00, "Cham"), (0xAA60, "Myanmar"), (0xAA80, "Tai Viet"), (0xAAE0, "Meetei"), (0xAB00, "Ethiopic"), (0xAB30, "Latin"),
+    (0xAB70, "Cherokee"), (0xABC0, "Meetei"), (0xAC00, "Hangul"), (0xD800, "other"), (0xF900, "Han"), (0xFB00, "Latin"),
+    (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "other"), (0xFE70, "Arabic"), (0xFF00, "Latin"),
+    (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "other"), (0x10400, "Deseret"), (0x10450, "other"), (0x104B0, "Osage"),
+    (0x10500, "other"), (0x10D00, "Rohingya"), (0x10D40, "other"), (0x11100, "Chakma"), (0x11150, "other"), (0x11400, "Newa"),
+    (0x11480, "Tirhuta"), (0x114E0, "other"), (0x1AFF0, "Kana"), (0x1B170, "other"), (0x1E100, "Hmong"), (0x1E150, "other"),
+    (0x1E2C0, "Wancho"), (0x1E300, "other"), (0x1E7E0, "Ethiopic"), (0x1E800, "Mende"), (0x1E8E0, "other"), (0x1E900, "Adlam"),
+    (0x1E960, "other"), (0x20000, "Han"), (0x33480, "other"),
 ]
 _BOUNDS = np.array([s[0] for s in SCRIPTS])
 SCRIPT_NAMES = sorted({s[1] for s in SCRIPTS})
@@ -108,7 +123,7 @@ def train(labelled: DataFrame, lang_col: str = "lang") -> Model | None:
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang_col], min(1.0, PER_LANG / r["n"]))])
     picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.get(F.array(F.element_at(share, F.col(lang_col))), 0) * (1 << 20))
     each = max(200, WORDS // len(langs))
-    word = picked.select(lang_col, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).where(F.length("word") <= 64)
+    word = picked.select(lang_col, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,64})"))).alias("word"))  # longer runs in pieces
     totals = word.groupBy(lang_col, "word").agg(F.count("*").alias("n"))
     top = totals.groupBy(lang_col).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "word"))), 1, each).alias("words"), F.sum("n").alias("all"))
     buckets = 1 << (16 if len(langs) <= 32 else 13)
@@ -134,7 +149,6 @@ def train(labelled: DataFrame, lang_col: str = "lang") -> Model | None:
     for i, lang, part in shares:
         table[i, lang] = part
     fits = scripts > 0.01 * np.maximum(scripts.sum(axis=0), 1)
-    fits[SCRIPT_NAMES.index("")] = False
     return Model(langs, words, table, np.log(triples + 0.05), np.log(pairs + 0.05 * 60), fits)
 
 

@@ -1,5 +1,7 @@
 """Language ID: held-out accuracy, spans of mixed text, and Viterbi against the plain recurrence."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -81,3 +83,22 @@ def test_blocks_give_the_best_path(texts, block):
 def test_scripts():
     names = [langid.SCRIPT_NAMES[i] for i in langid.scripts_of(np.array([ord(c) for c in "aßЖλאحअ中あア한1"]))]
     assert names[:11] == ["Latin", "Latin", "Cyrillic", "Greek", "Hebrew", "Arabic", "Devanagari", "Han", "Kana", "Kana", "Hangul"]
+
+
+def test_every_letter_has_a_script_that_languages_may_fit(docs_of):
+    assert "" not in langid.SCRIPT_NAMES
+    rng = random.Random(3)
+    alphabets = {"or": 0x0B15, "chr": 0x13A0, "iu": 0x1403, "ii": 0xA000, "ff": 0x1E922, "zh": 0x3105, "got": 0x10330}
+    rows = [(i, " ".join("".join(chr(alphabets[x] + rng.randrange(15)) for _ in range(5)) for _ in range(30)), x) for i, x in enumerate([*alphabets] * 8)]
+    docs = docs_of(rows)
+    found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang"))).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: x for i, _, x in rows}
+    assert min(r["score"] for r in found) > 0.9
+
+
+def test_long_runs_of_letters_are_learned(docs_of):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(chr(0x0E01 + low + rng.randrange(12)) for _ in range(100)) for _ in range(5)), x) for i, (x, low) in enumerate([("a", 15), ("b", 0)] * 6)]
+    docs = docs_of(rows)
+    found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang"))).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: x for i, _, x in rows}
