@@ -7,7 +7,7 @@ so the files are ordinary ``.warc.gz`` content in whatever store Spark writes to
 
 Index. The archives are read back and walked member by member. Captures are sorted by reversed-host key over the whole corpus,
 cut into compressed blocks of ``PER_BLOCK`` lines, and a sparse directory keeps the first key of each block. ``lookup`` searches
-the directory, then the block, and reads the byte range of the record; ``read_all`` goes through every block.
+the directory, then the block; ``read_all`` goes through every block. Both load whole archives and cut the ranges of the records out.
 
 Edge cases. Null html: empty payload. Null url: no target URI, empty key. CR and LF in a url are percent-encoded. Pages of one payload with the same
 id are all the response if that id is the least. Payloads of fewer than ``min_bytes`` bytes are all responses. A null page id is
