@@ -14,7 +14,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)

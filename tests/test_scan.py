@@ -1,7 +1,7 @@
 """Both routes of every ordered operator give the same rows, a third of which share one key."""
 
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from quireflow.operators import calls, folds, ordered, scan, stats

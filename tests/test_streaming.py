@@ -1,6 +1,6 @@
 """Streams give what the batch operators give."""
 
-from conftest import rows
+from comparing import rows
 from pyspark.sql import functions as F
 
 from quireflow.operators import folds
