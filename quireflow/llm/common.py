@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quireflow.session import scratch_path, shared_folder, written
 
-__all__ = ["checkpointed", "map_texts", "mixed", "pieces", "scratch_path", "shared_folder", "text_bytes", "word_hashes", "word_spans", "written"]
+__all__ = ["checkpointed", "map_texts", "mixed", "pieces", "scratch_path", "shared_folder", "small_batches", "text_bytes", "word_hashes", "word_spans", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
@@ -134,8 +134,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Only the columns an operator works on, under names of its own, so that extra columns never clash."""
+    """Only the columns an operator works on, under names of its own, so that extra columns never clash.
+
+    Texts may be long: Arrow batches of few rows keep the memory of Python workers bounded, also where an operator is called as a library.
+    """
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 

@@ -7,18 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import ann, langid, licenses, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, warc
-from quireflow.llm.common import documents
+from quireflow.llm import ann, langid, licenses, line_dedup, mixing, near_dup, packing, quality, runs, suffix_dedup, warc
+from quireflow.llm.common import WORD, documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: small Arrow batches keep the memory of Python workers bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 def query(sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +134,24 @@ RATES = "\n".join(
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Of every document with crc32(doc_id) % 10 = 0: its words from some word on repeat a stretch of them (the contract's rule)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    listed = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    placed = listed.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    again = F.expr("array_join(transform(words, (w, i) -> IF(i < a, w, words[CAST(a + (i - a) % p AS INT)])), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_periods(documents(spark, sf_dir)), min_length=12)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS l, r.start AS start, r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("top.l")
+    return out.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+                      F.expr("(-1000 * top.l) DIV top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
