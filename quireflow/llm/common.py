@@ -46,12 +46,12 @@ def pieces(starts: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, i
         a = min(b, n)
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end (exclusive) and text number of each maximal run of bytes outside of ``SPACE``; runs end with their text."""
+def word_spans(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end (exclusive) and text number of each maximal run of bytes outside of ``gap``; runs end with their text."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     closes = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import ann, langid, licenses, line_dedup, mixing, near_dup, packing, quality, runs, suffix_dedup, warc
+from quireflow.llm import ann, langid, lexical, licenses, line_dedup, mixing, near_dup, packing, quality, runs, suffix_dedup, warc
 from quireflow.llm.common import WORD, documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,27 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = -F.col("top.l")
     return out.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
                       F.expr("(-1000 * top.l) DIV top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def terms_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{line_dedup.UPPER}', '{line_dedup.LOW}'), '{TERM}')) AS term FROM {table}"
+
+
+@query(f"""
+    WITH terms AS ({terms_sql("documents", "doc_id")}),
+    sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+    asked AS (SELECT DISTINCT item_id, term FROM ({terms_sql("benchmark", "item_id")})),
+    held AS (SELECT doc_id, term, count(*) AS tf FROM terms SEMI JOIN asked USING (term) GROUP BY doc_id, term),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term, docs),
+    impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms))) AS impact
+                FROM held JOIN sizes USING (doc_id) JOIN weights USING (term), totals),
+    scored AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
