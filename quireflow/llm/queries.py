@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import ann, langid, lexical, licenses, line_dedup, mixing, near_dup, packing, quality, runs, suffix_dedup, warc
+from quireflow.llm import ann, langid, lexical, licenses, line_dedup, main_text, mixing, near_dup, packing, quality, runs, suffix_dedup, warc
 from quireflow.llm.common import WORD, documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,8 @@ def terms_sql(table: str, key: str) -> str:
 """)
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+@query()
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
