@@ -11,7 +11,8 @@ Scale. Equal vectors become one, with the k + 1 least ids (no result can hold mo
 forests and are worked on in blocks as they stream past; the k best of each forest are merged by query.
 
 Edge cases. Vectors that are null, zero, empty, or hold a null or a non-finite component take no part. Vectors of other lengths than
-the query's are no candidates. Ties go to the smaller id. Fewer than k candidates: all of them. Repeated ids: each row is
+the query's are no candidates. Components
+may have any finite size. Ties go to the smaller id. Fewer than k candidates: all of them. Repeated ids: each row is
 a candidate; a query's own id is none. Null ids take no part. Extra columns are ignored.
 """
 
@@ -105,10 +106,14 @@ class Forest:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vec) of the vectors that take part, in double precision."""
+    """(vec_id, vec) of the vectors that take part, in double precision. Very large or small ones are scaled by a power of two, which leaves
+    cosines as they are, so that no square overflows or vanishes."""
     vec = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
-    return df.select(F.col(f"`{id_col}`").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
+    rows = df.select(F.col(f"`{id_col}`").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
+    largest = F.array_max(F.transform("vec", F.abs))
+    scale = F.when(largest > 1e100, 2.0**-600).when(largest < 1e-100, 2.0**600)
+    return rows.withColumn("scale", scale).select("vec_id", F.when(F.col("scale").isNull(), F.col("vec")).otherwise(F.transform("vec", lambda x: x * F.col("scale"))).alias("vec"))
 
 
 def _searcher(k: int, sure: float):

@@ -10,8 +10,8 @@ A run is a Parquet table sorted by the 16-byte hash of the key. All runs are rea
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased. Keys of fewer than ``min_chars`` code
 points are never dropped. Edge cases: null or empty text is one empty line; every line of the first document stays, repeats
-included; rows that repeat an id form one document for the purpose of "first"; a null id comes before every other id, as one
-document; other columns are ignored.
+included; rows that repeat an id form one document for the purpose of "first", and each row loses lines by its own text; a null id comes
+before every other id, as one document. Other columns are passed through under any name; those called like a new column give way to it.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class LineRuns:
         return self.spark.read.schema("key binary").parquet(*paths) if paths else None
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """The dropped lines (owner, pos) of a batch (owner, pos, key) whose ids are above those of all batches before it."""
+        """The dropped lines (owner, text_key, pos) of a batch (owner, text_key, pos, key) whose ids are above those of all batches before it."""
         runs = self.seen()
         distinct = lines.select("key", "owner").groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
         if runs is None:
@@ -64,9 +64,9 @@ class LineRuns:
         self._push(0, fresh.select("key"))
         if runs is None:
             gone = fresh.where("first < last")
-            return lines.join(gone, "key").where("owner > first").select("owner", "pos")
-        old = lines.join(runs.hint("merge"), "key", "left_semi").select("owner", "pos")
-        return old.union(lines.join(fresh.where("first < last"), "key").where("owner > first").select("owner", "pos"))
+            return lines.join(gone, "key").where("owner > first").select("owner", "text_key", "pos")
+        old = lines.join(runs.hint("merge"), "key", "left_semi").select("owner", "text_key", "pos")
+        return old.union(lines.join(fresh.where("first < last"), "key").where("owner > first").select("owner", "text_key", "pos"))
 
     def _push(self, level: int, keys: DataFrame) -> None:
         path = scratch_path(self.spark, f"line_runs/level={level}")
@@ -77,12 +77,15 @@ class LineRuns:
             self._push(level + 1, merged.repartitionByRange("key"))
 
 
+def owner_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(owner, pos, key) of the lines whose key has ``min_chars`` code points or more."""
-    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner")
-    line = docs.select(owner, F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
-    key = line.select("owner", "pos", key_of(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return key.select("owner", "pos", F.unhex(F.md5("key")).alias("key"))
+    """(owner, text_key, pos, key) of the lines whose key has ``min_chars`` code points or more; ``text_key`` tells an id's texts apart."""
+    line = docs.select(owner_of(F.col("doc_id")).alias("owner"), F.xxhash64("text").alias("text_key"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    key = line.where(F.length("line") >= min_chars).select("owner", "text_key", "pos", key_of(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return key.select("owner", "text_key", "pos", F.unhex(F.md5("key")).alias("key"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
@@ -102,14 +105,16 @@ def dropped_lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     return gone
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = BATCHES) -> DataFrame:
-    """All columns of ``df`` with ``kept_text`` (null stays null), ``n_lines`` and ``n_dropped``."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = BATCHES, *, keep: bool = False) -> DataFrame:
+    """All columns of ``df`` with ``kept_text`` (null stays null), ``n_lines`` and ``n_dropped``; with ``keep`` those three and the
+    whole row as a struct ``row``."""
     gone = dropped_lines(texts(df, id_col, text_col), min_chars, batches)
-    lists = gone.distinct().groupBy("owner").agg(F.collect_set("pos").alias("gone"))
-    owner = F.coalesce(df[id_col].cast("long"), F.lit(NO_ID))
-    joined = df.join(lists, owner == lists["owner"], "left")
-    lines = lines_of(F.col(f"`{text_col}`"))
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("pos"))), lambda x: ~F.array_contains(F.col("gone"), x["pos"])), lambda x: x["line"]), "\n")
-    return joined.select(
-        *[df[c] for c in df.columns], F.when(F.col("gone").isNull(), df[text_col]).otherwise(kept).alias("kept_text"),
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    lists = gone.distinct().groupBy("owner", "text_key").agg(F.collect_list("pos").alias("gone"))
+    text = F.col(f"`{text_col}`")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text.alias("text"), owner_of(F.col(f"`{id_col}`")).alias("owner"), F.xxhash64(text).alias("text_key"))
+    joined = rows.join(lists, ["owner", "text_key"], "left").withColumn("lines", lines_of(F.col("text")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    new = {"kept_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept), "n_lines": F.size("lines").cast("long"), "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
+    old = [F.col("row")] if keep else [F.col("row")[c].alias(c) for c in df.columns if c not in new]
+    return joined.select(*old, *[v.alias(n) for n, v in new.items()])

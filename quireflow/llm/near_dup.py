@@ -5,25 +5,27 @@ Method. A text's set holds its distinct shingles of ``k`` words (64-bit hashes).
 ``m * m`` tables of ``2 * ROWS`` minhashes, about the square root of what separate tables would need. Two sets of similarity s
 meet in a table with probability ``(1 - (1 - s^ROWS)^m)^2``; ``m`` is the smallest that loses at most ``MISS`` at the threshold.
 
-Scale. Equal sets become one class first. Tables yield star and chain candidates (linear in the rows of a bucket, never all
-pairs); links are confirmed on full sets, and components come from label propagation. Buckets that still hold several
-components go to an exact pass: their classes meet family by family in blocks of bounded size, where an inverted index of
-shingles finds every link between different components. Sets are recomputed from the texts where they are needed.
+Scale. Equal sets become one class first. A pair of sub-keys can only recur if both do, so sub-keys that occur once go before pairs are
+made. Then rounds: every bucket that holds several components names one class as its pivot, every class of another component is proposed
+to the pivot it shares most buckets with, and the proposals (at most one a class) are confirmed on full sets. Buckets that have become one
+component drop out. When a round confirms nothing, what is still torn goes to an exact pass: its classes meet family by family in
+blocks of bounded size, where an inverted index of shingles finds every link between different components. Sets are recomputed from the
+texts where they are needed.
 
 Edge cases. Null or blank text: empty set, linked with nothing. Fewer than ``k`` words: the whole sequence is one shingle.
-Repeated rows are one class. An id that comes with several texts stands for its last text in code point order when links are
-confirmed. A row with a null id links with nothing but equal sets, and stays only if all those have null ids too. Other columns
-of the input are ignored.
+Repeated rows are one class. An id that comes with several texts has a row, a set and links for each. Null ids link like others but name no
+class or component unless all its ids are null. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.common import LOWER, checkpointed, pieces, shingle_hashes, text_bytes, texts, word_hashes, word_spans, written
@@ -69,7 +71,7 @@ def shingle_keys(groups: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, left_keys, right_keys) of (doc_id, text); keys are null for an empty set."""
+    """(doc_id, text_key, n_shingles, set_hash, left_keys, right_keys) of (doc_id, text, text_key); keys are null for an empty set."""
     m = sub_keys(threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,24 +84,41 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 left.append(keys if keys is None else keys[:m])
                 right.append(keys if keys is None else keys[m:])
             long_list = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(left, long_list), pa.array(right, long_list)], names=["doc_id", "n_shingles", "set_hash", "left_keys", "right_keys"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(left, long_list), pa.array(right, long_list)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_hash", "left_keys", "right_keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, left_keys array<long>, right_keys array<long>")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash binary, left_keys array<long>, right_keys array<long>")
 
 
-def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, rep): every pair of a left and a right sub-key names a bucket."""
-    pair = F.expr("flatten(transform(left_keys, (a, i) -> transform(right_keys, (b, j) -> xxhash64(a, b, i, j))))")
-    return classes.where("left_keys is not null").select(F.explode(pair).alias("bucket"), "rep")
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, cls) of the buckets with several classes; every pair of a left and a right sub-key names a bucket."""
+    slots = F.expr("concat(transform(left_keys, (k, i) -> struct(i AS slot, k AS key)), transform(right_keys, (k, i) -> struct(-1 - i AS slot, k AS key)))")
+    keys = classes.select("cls", F.inline(slots))
+    twice = keys.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1").select("slot", "key")
+    found = keys.join(twice, ["slot", "key"], "left_semi").groupBy("cls").agg(F.collect_list(F.struct("slot", "key")).alias("keys"))
+    pair = F.expr("flatten(transform(filter(keys, k -> k.slot >= 0), a -> transform(filter(keys, k -> k.slot < 0), b -> xxhash64(a.key, b.key, a.slot, b.slot))))")
+    rows = found.select(F.explode(pair).alias("bucket"), "cls")
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): the least of a bucket with each other member, and neighbours in the order of ids."""
-    in_order = Window.partitionBy("bucket").orderBy("rep")
-    found = rows.select("rep", F.first("rep").over(in_order).alias("least"), F.lag("rep").over(in_order).alias("before")).where("rep <> least")
-    # a class meets the same neighbours in many buckets: they become one before they become rows
-    met = found.groupBy("rep").agg(F.collect_set("least").alias("least"), F.collect_set("before").alias("before"))
-    return met.select(F.explode(F.array_union("least", "before")).alias("a"), F.col("rep").alias("b"))
+def torn(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, cls, label) of buckets with several labels."""
+    ends = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return rows.join(ends, "bucket", "left_semi")
+
+
+def proposals(rows: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b), at most one a class: with the pivot of another label that it shares most buckets with, none that was ``tested`` before.
+
+    A bucket's pivot is its least class in turn 0, then its first in an order that changes with each turn."""
+    place = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    pivot = rows.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), "cls", "label")).alias("p")).select("bucket", F.col("p.cls").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    met = rows.join(pivot, "bucket").where("label <> pivot_label").groupBy("cls", "pivot").agg(F.count("*").alias("n"))
+    met = met.select("cls", "n", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+    if tested is not None:
+        met = met.join(tested, ["a", "b"], "left_anti")
+    best = met.groupBy("cls").agg(F.max(F.struct("n", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
 
 
 def _confirmer(k: int, per_cent: int):
@@ -201,16 +220,13 @@ def _family_links(k: int, per_cent: int):
     return run
 
 
-def residual_links(rows: DataFrame, labels: DataFrame, reps: DataFrame, k: int, per_cent: int) -> DataFrame | None:
-    """The links between classes of different labels that share a bucket; None if no bucket holds two labels.
+def residual_links(rows: DataFrame, reps: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """The links between classes of different labels that share one of the buckets in ``rows`` (bucket, cls, label), all of them torn.
 
     Families are what shared buckets connect; a family beyond ``BLOCK`` classes is compared block by block.
     """
-    named = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    torn = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "low")
-    left = written(named.join(torn, "bucket").select("rep", "label", "low").distinct())
-    if left.isEmpty():
-        return None
+    low = rows.groupBy("bucket").agg(F.min("label").alias("low"))
+    left = written(rows.join(low, "bucket").select(F.col("cls").alias("rep"), "label", "low").distinct())
     family = components(left.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("family"))
     members = left.select("rep", "label").distinct().join(family, "label")
     sizes = members.groupBy("family").agg(F.count("*").alias("n"))
@@ -223,29 +239,51 @@ def residual_links(rows: DataFrame, labels: DataFrame, reps: DataFrame, k: int,
     return laid.mapInArrow(_family_links(k, per_cent), "a long, b long")
 
 
+def all_links(shared: DataFrame, reps: DataFrame, k: int, per_cent: int) -> list[DataFrame]:
+    """Links (a, b) that connect all classes which links connect."""
+    rows, tested, links, turn = written(shared.withColumn("label", F.col("cls"))), None, [], 0
+    while not rows.isEmpty():
+        edges = written(proposals(rows, tested, turn))
+        if edges.isEmpty():
+            break
+        found = written(confirmed(edges, reps, k, per_cent))
+        new = not found.isEmpty()
+        if new:
+            links.append(found)
+            label = rows.select("cls", "label").distinct()
+            ends = found.join(label.select(F.col("cls").alias("a"), F.col("label").alias("one")), "a").join(label.select(F.col("cls").alias("b"), F.col("label").alias("two")), "b")
+            named = components(ends.select(F.col("one").alias("a"), F.col("two").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+            rows = written(torn(rows.join(named, "label", "left").select("bucket", "cls", F.coalesce("lower", "label").alias("label"))))
+        tested = edges if tested is None else tested.union(edges)
+        turn += 1
+        if not new and turn > 2:
+            break
+    if not rows.isEmpty():
+        links.append(written(residual_links(rows, reps, k, per_cent)))
+    return links
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (the least id with the same set), component_id, kept.
+    """One row per document: doc_id, text_key (``xxhash64`` of the text), n_shingles, class_id (the least id with the same set),
+    component_id, kept.
 
     ``kept`` is true for the document whose id names its component.
     """
-    docs = texts(df, id_col, text_col)
-    spark = df.sparkSession
+    docs = texts(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     signed = written(signatures(docs, k, per_cent / 100))
-    classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("left_keys").alias("left_keys"), F.first("right_keys").alias("right_keys"))
-    rows = bucket_rows(classes)
-    shared = written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"))
-    edges = candidate_edges(shared)
-    members = shared.select("rep").distinct()
-    reps = written(docs.join(members, docs["doc_id"] == members["rep"], "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text")))
-    links = written(confirmed(edges, reps, k, per_cent))
-    labels = components(links)
-    more = residual_links(shared, labels, reps, k, per_cent)
-    if more is not None:
-        more = written(more)
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    named = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    out = out.join(labels.withColumnRenamed("node", "class_id").withColumnRenamed("label", "found"), "class_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("found", "class_id", "doc_id").alias("component_id"))
+    first = [F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("chosen"), F.first("left_keys").alias("left_keys"), F.first("right_keys").alias("right_keys")]
+    classes = written(signed.where("n_shingles > 0").groupBy("set_hash").agg(*first).withColumn("cls", F.monotonically_increasing_id()))
+    shared = written(shared_buckets(classes))
+    chosen = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("rep"), F.col("chosen.text_key").alias("chosen_key"), F.col("chosen.doc_id").alias("chosen_id"))
+    texts_of = docs.join(chosen, (F.col("text_key") == F.col("chosen_key")) & F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    reps = written(texts_of.groupBy("rep").agg(F.max("text").alias("text")))
+    named = classes.select("set_hash", "class_id", F.col("class_id").alias("found"))
+    links = all_links(shared, reps, k, per_cent)
+    if links:
+        labels = written(components(reduce(DataFrame.union, links)).join(classes.select(F.col("cls").alias("node"), "set_hash", "class_id"), "node"))
+        least = labels.groupBy("label").agg(F.min("class_id").alias("least"))
+        lower = labels.join(least, "label").select("set_hash", "least")
+        named = classes.join(lower, "set_hash", "left").select("set_hash", "class_id", F.coalesce("least", "class_id").alias("found"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("found", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

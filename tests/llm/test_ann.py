@@ -56,3 +56,13 @@ def test_many_small_forests_give_the_same_neighbours(spark):
     want = brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
     hits = sum(r["vec_id"] in {i for i, _ in want[r["query_id"]]} for r in found)
     assert hits >= 0.95 * len(found) and len(found) == 5 * len(want)
+
+
+def test_any_finite_magnitude(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [1.7e308, 1.7e308]), (50, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.vec_id): r.score for r in ann.neighbours(df, df.where("vec_id % 50 = 0"), k=5).collect()}
+    assert len(out) == 10
+    for (q, v), score in out.items():
+        diagonal = {0, 2, 4}
+        assert abs(score - (1.0 if (q in diagonal) == (v in diagonal) else 0.5**0.5)) < 1e-12

@@ -57,3 +57,25 @@ def test_edge_cases(docs_of):
     assert got(docs_of(rows).where("false")) == []
     clash = docs_of([(1, line), (2, line)]).toDF("doc_id", "text", "owner", "key")
     assert sorted(r[2] for r in got(clash)) == [0, 1]
+
+
+def test_rows_of_one_id_lose_lines_by_their_own_text(docs_of):
+    rows = [(1, "shared long line one"), (2, "shared long line one\ntail"), (2, "only here, never repeated\ntail two")]
+    out = {(r["doc_id"], r["text"]): (r["kept_text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs_of(rows)).collect()}
+    assert out == {(1, rows[0][1]): (rows[0][1], 0), (2, rows[1][1]): ("tail", 1), (2, rows[2][1]): (rows[2][1], 0)}
+
+
+def test_columns_called_like_internal_ones(docs_of):
+    names = ["gone", "owner", "text_key", "pos", "key", "row", "lines", "kept_text", "n_lines", "n_dropped", "first", "last"]
+    for name in names:
+        clash = docs_of([(1, "ten chars!", "x"), (2, "ten chars!", "y")]).toDF("doc_id", "text", name, "source")
+        out = line_dedup.dedup_lines(clash)
+        assert sorted(r[2] for r in got(clash)) == [0, 1]
+        assert len(set(out.columns)) == len(out.columns)
+        kept = line_dedup.dedup_lines(clash, keep=True)
+        assert sorted((r["row"][name], r["n_dropped"]) for r in kept.collect()) == [("x", 0), ("y", 1)]
+
+
+def test_a_document_of_very_many_repeated_lines(docs_of):
+    text = "\n".join(f"line number {i}" for i in range(100_000))
+    assert sorted(r[2] for r in got(docs_of([(1, text), (2, text)]))) == [0, 100_000]

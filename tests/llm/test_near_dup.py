@@ -74,3 +74,25 @@ def test_number_of_sub_keys():
     for threshold in (0.5, 0.8, 0.85):
         m = near_dup.sub_keys(threshold)
         assert 1 - (1 - (1 - threshold**near_dup.ROWS) ** m) ** 2 <= near_dup.MISS
+
+
+def test_every_text_of_a_repeated_id_links(docs_of):
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join(words), " ".join(["x", *words[1:]])
+    out = near_dup.near_duplicates(docs_of([(1, near), (2, other), (2, "zzz is another text of the same id"), (None, near + " more"), (None, "alone here")]), k=3, per_cent=85)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
+    assert found == sorted([(1, 98, 1, True), (2, 98, 1, False), (2, 6, 2, True), (None, 99, 1, False), (None, 1, None, True)], key=str)
+
+
+def test_a_round_proposes_at_most_one_edge_a_class(spark):
+    rng = random.Random(8)
+    rows = [(bucket, cls, cls) for bucket in range(300) for cls in rng.sample(range(400), 40)]
+    df = spark.createDataFrame(rows, "bucket long, cls long, label long")
+    tested = None
+    for turn in range(3):
+        edges = near_dup.proposals(df, tested, turn).collect()
+        pairs = {(e.a, e.b) for e in edges}
+        assert 0 < len(edges) <= 400 and len(pairs) == len(edges) and all(a < b for a, b in pairs)
+        assert tested is None or not pairs & {tuple(r) for r in tested.collect()}
+        more = spark.createDataFrame(edges)
+        tested = more if tested is None else tested.union(more)
