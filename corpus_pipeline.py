@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of ``documents``; the last
-returns packed pieces. Repeated rows stay rows of their own, apart from near-dedup, which keeps all rows of the id that stays.
+returns packed pieces. Repeated rows stay rows of their own; near-dedup keeps all equal rows of the document that stays.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten code points or more stay only in the least document; a text left without a word goes."""
-    out = line_dedup.dedup_lines(docs).where(F.col("kept_text").rlike(WORD))
+    out = line_dedup.dedup_lines(docs, keep=True).where(F.col("kept_text").rlike(WORD))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five words, a similarity of 0.8 or more. Of an id with several texts each is judged on its own."""
     small_batches(spark)
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id", "text_key").distinct().alias("near_dup_kept")
+    same = F.col("row.doc_id").eqNullSafe(F.col("near_dup_kept.doc_id")) & (F.xxhash64("row.text") == F.col("near_dup_kept.text_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept, same, "left_semi")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
