@@ -8,7 +8,7 @@ meet in a table with probability ``(1 - (1 - s^ROWS)^m)^2``; ``m`` is the smalle
 Scale. Equal sets become one class first. A pair of sub-keys can only recur if both do, so sub-keys that occur once go before pairs are
 made. Then rounds: every bucket that holds several components names one class as its pivot, every class of another component is proposed
 to the pivot it shares most buckets with, and the proposals (at most one a class) are confirmed on full sets. Buckets that have become one
-component drop out. When a round confirms nothing, what is still torn goes to an exact pass: its classes meet family by family in
+component drop out. When a round confirms few, what is still torn goes to an exact pass: its classes meet family by family in
 blocks of bounded size, where an inverted index of shingles finds every link between different components. Sets are recomputed from the
 texts where they are needed.
 
@@ -34,6 +34,8 @@ from quireflow.llm.common import LOWER, checkpointed, pieces, shingle_hashes, te
 ROWS, MISS = 3, 5e-4
 #: Classes of a block in the exact pass.
 BLOCK = 1024
+#: Rounds go on while one proposal in so many is confirmed; what they leave goes to the exact pass.
+FRUITFUL = 3
 _SEEDS = np.random.default_rng(771).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -247,7 +249,7 @@ def all_links(shared: DataFrame, reps: DataFrame, k: int, per_cent: int) -> list
         if edges.isEmpty():
             break
         found = written(confirmed(edges, reps, k, per_cent))
-        new = not found.isEmpty()
+        new = found.count()
         if new:
             links.append(found)
             label = rows.select("cls", "label").distinct()
@@ -256,7 +258,7 @@ def all_links(shared: DataFrame, reps: DataFrame, k: int, per_cent: int) -> list
             rows = written(torn(rows.join(named, "label", "left").select("bucket", "cls", F.coalesce("lower", "label").alias("label"))))
         tested = edges if tested is None else tested.union(edges)
         turn += 1
-        if not new and turn > 2:
+        if new * FRUITFUL < edges.count():
             break
     if not rows.isEmpty():
         links.append(written(residual_links(rows, reps, k, per_cent)))
