@@ -5,12 +5,10 @@ A tree arrives as parallel arrays (one element per node). The two helpers here r
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -102,43 +100,6 @@ def keyroot_cost(post: Sequence[int], lmld: Sequence[int]) -> int:
     return sum(p - leaf + 1 for leaf, p in last.items())
 
 
-def lay_out_side(trees: pa.ListArray) -> tuple[pa.ListArray, pa.Array, pa.Array, pa.Array]:
-    """Trees (lists of node structs, siblings in order) rearranged into reading order with the
-    ``LAYOUT`` numbers added, the keyroot costs of both orientations, and the misplaced nodes."""
-    nodes = trees.flatten()
-    starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(trees), 0).to_numpy())]).tolist()
-    ids, parents = nodes.field("node_id").to_pylist(), nodes.field("parent_id").to_pylist()
-    is_page = pc.fill_null(pc.equal(nodes.field("type"), "page"), False).to_pylist()
-    order: list[int] = []
-    numbers: dict[str, list] = {k: [] for k in LAYOUT}
-    offsets, costs, mirrored_costs, misplaced = [0], [], [], []
-    for a, b in zip(starts, starts[1:]):
-        visited, found, astray = layout(ids[a:b], parents[a:b], is_page[a:b])
-        misplaced.append(astray)
-        order.extend(a + v for v in visited)
-        for k in LAYOUT:
-            numbers[k].extend(found[k])
-        offsets.append(len(order))
-        costs.append(keyroot_cost(found["post"], found["lmld"]))
-        mirrored_costs.append(keyroot_cost(found["mpost"], found["mlmld"]))
-    arranged = nodes.take(pa.array(order, pa.int64()))
-    kept = [f.name for f in nodes.type if f.name not in ("late", "key")]
-    struct = pa.StructArray.from_arrays(
-        [pa.array(numbers[k], pa.int32()) for k in LAYOUT] + [arranged.field(f) for f in kept], [*LAYOUT, *kept])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct), pa.array(costs, pa.int64()), pa.array(mirrored_costs, pa.int64()), \
-        pa.array(misplaced, pa.int64())
-
-
-def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (pair_id, pred, truth) with both trees laid out and their costs."""
-    for batch in batches:
-        columns = {"pair_id": batch.column("pair_id")}
-        for side in ("pred", "truth"):
-            tree, cost, mirrored, misplaced = lay_out_side(batch.column(side))
-            columns |= {side: tree, f"{side}_cost": cost, f"{side}_mirrored_cost": mirrored, f"{side}_misplaced": misplaced}
-        yield pa.RecordBatch.from_pydict(columns)
-
-
 def keyroots(lmld: np.ndarray) -> np.ndarray:
     """The last node (in post-order) of every leftmost leaf."""
     return np.array(sorted({leaf: node for node, leaf in enumerate(lmld.tolist())}.values()))
@@ -282,15 +243,13 @@ def _distances(rows: list[tuple]) -> list[int | None]:
 
 
 @F.pandas_udf(IntegerType())
-def tree_distance(labels1: pd.Series, lmld1: pd.Series, labels2: pd.Series, lmld2: pd.Series) -> pd.Series:
-    """Tree edit distance per row; null inputs (refused pairs) give null."""
+def tree_distance(labels1: pd.Series, leaf1: pd.Series, labels2: pd.Series, leaf2: pd.Series) -> pd.Series:
+    """Tree edit distance per row; rows without trees (refused pairs) give null."""
     rows: list[tuple | None] = []
-    for a, la, b, lb in zip(labels1, lmld1, labels2, lmld2):
-        if a is None or b is None:
+    for a, la, b, lb in zip(labels1, leaf1, labels2, leaf2):
+        if not len(a):
             rows.append(None)
             continue
-        codes: dict[str, int] = {}
-        first = np.array([codes.setdefault(v, len(codes)) for v in a])
-        second = np.array([codes.setdefault(v, len(codes)) for v in b])
-        rows.append((first, np.asarray(la, int), second, np.asarray(lb, int)))
+        codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+        rows.append((codes[: len(a)], np.asarray(la, int), codes[len(a) :], np.asarray(lb, int)))
     return pd.Series(_distances(rows), dtype="Int32")

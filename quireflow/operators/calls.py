@@ -166,3 +166,8 @@ def request_excess(requests: DataFrame, key: str, rate: float, burst: int, **rou
     low = scan.running(placed, [key], ["ts", "request_no"], {"_low": scan.Running("min", F.col("_s"))}, **route)
     return low.withColumn("excess", F.col("_s") - F.col("_low")).withColumn("over_burst", F.col("excess") > burst) \
         .drop("_n", "_s", "_low")
+
+
+def late_call_results(replayed: DataFrame) -> DataFrame:
+    """Calls whose result came while the breaker took none, with the reason: ``breaker_open``, or ``probes_used`` while it was half open."""
+    return replayed.filter("permit = 'deny'").withColumn("reason", F.when(F.col("breaker") == "open", "breaker_open").otherwise("probes_used"))

@@ -2,18 +2,26 @@
 
 Every pair gets a row: text and boxes are scored whatever its size, also if one side is missing; only the
 tree distance is refused, with a reason. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
-confidence); ``side`` is 'pred' or 'truth'. After packing, one row holds a pair (a document and its
-prediction) and every metric is computed where that row is.
+confidence); ``side`` is 'pred' or 'truth'. Nodes are shuffled once and sorted by pair; tasks then read them as a stream
+and work on whole pairs, as many as fit some ten thousand nodes, or one larger pair. Only pairs whose tree distance is computed
+carry arrays further, dealt to tasks by what their distances cost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow import contracts as c
 from quireflow.functions import boxes as boxes_fx
 from quireflow.functions import shaping, text, trees
+from quireflow.functions.boxes import match_groups  # by name: what runs in tasks must not reach for a module that holds UDFs
+from quireflow.functions.layout import Laid, lay_out
 from quireflow.operators import scan
 from quireflow.session import written
 
@@ -29,74 +37,140 @@ BUILT_IN_CANDIDATES = 200
 MAX_PAGE_CANDIDATES = 100_000
 # Boxes of one page that are matched in one row; pages with more go through the grid.
 MAX_PAGE_BOXES = 2000
-_PACKED = (
-    "pre:int,page:int,post:int,lmld:int,mpost:int,mlmld:int,list_pos:int,node_id:bigint,parent_id:bigint,type:string,"
-    "text:string,x:double,y:double,w:double,h:double,ord:int,confidence:double"
-)
 _CELLS_PER_BOX = 16  # most grid cells one box covers along an axis, less one
 
 
 # --- trees ------------------------------------------------------------------------------------
 
-def packed_pairs(nodes: DataFrame) -> DataFrame:
-    """One row per pair: ``pred`` and ``truth``, the nodes of each side as an array in reading
-    order, every node with its page ordinal, post-order number and leftmost leaf (also mirrored),
-    the keyroot costs of each tree, and how many of its nodes have no place of their own: a parent
-    that is not there (they follow as further roots) or an id that came before.
-
-    Siblings follow ``ord``, those without one come after the others, then list position. One
-    shuffle brings both trees of a pair together; everything later works on that row."""
-    fields = ["node_id", "parent_id", "list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence"]
-    node = F.struct(F.col("ord").isNull().alias("late"), F.coalesce("ord", F.lit(0)).alias("key"), "list_pos", "node_id",
-                    *[f for f in fields if f not in ("list_pos", "node_id")])
-    # A given number of partitions: the rows are few bytes but much work, so they must not be
-    # merged by size. Hashing spreads the work; one tree distance costs at most MAX_TREE_CELLS, a
-    # second or two, so no task can hang on one.
+CHUNK_NODES = 65_536  # nodes worked on together; a larger pair is a chunk of its own
+CELLS_PER_TASK = 100_000_000  # about ten seconds of tree distances
+
+
+def _in_order(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Nodes of a pair side by side, siblings in their order: those with ``ord`` by it, the others behind, then by list position."""
+    late, key = F.col("ord").isNull(), F.coalesce("ord", F.lit(0))
+    # A given number of partitions: the rows are few bytes but much work, so they must not be merged by size.
     spark = nodes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = nodes.repartition(parts, "pair_id").groupBy("pair_id").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, node))).alias(s) for s in SIDES])
-    schema = (f"pair_id {nodes.schema['pair_id'].dataType.simpleString()}, " + ", ".join(
-        f"{s} array<struct<{_PACKED}>>, {s}_cost bigint, {s}_mirrored_cost bigint, {s}_misplaced bigint" for s in SIDES))
-    return packed.mapInArrow(trees.lay_out, schema)
+    rows = nodes.select("pair_id", (F.col("side") == SIDES[1]).alias("is_truth"), "node_id", "parent_id", late.alias("_late"), key.alias("_key"), "list_pos", *columns)
+    # Not by the key itself: a union below whose sides are hashed by it would do away with the shuffle, and then sides that are coalesced
+    # differently leave a pair in two tasks.
+    sorted_ = rows.repartition(parts, F.xxhash64("pair_id")).sortWithinPartitions("pair_id", "is_truth", "_late", "_key", "list_pos", "node_id")
+    return sorted_.select("pair_id", "is_truth", "node_id", "parent_id", *columns)
+
+
+def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted node rows as tables of whole pairs with the number of each row's tree."""
+    held: list[pa.RecordBatch] = []
+    rows, cut, last = 0, None, None  # cut: (batches, rows of the next one) before the last pair
+
+    def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        pair, truth = _changes(table["pair_id"]), table["is_truth"].to_numpy().astype(np.int8)
+        fresh = pair | np.append(False, truth[1:] != truth[:-1])
+        return table, np.cumsum(fresh) - 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _changes(batch.column("pair_id"))
+        new[0] = last is not None and not batch.column("pair_id").slice(0, 1).equals(last)
+        at = np.flatnonzero(new)
+        if len(at):
+            cut = (len(held), int(at[-1]))
+        held.append(batch)
+        rows += batch.num_rows
+        last = batch.column("pair_id").slice(batch.num_rows - 1, 1)
+        if rows >= CHUNK_NODES and cut is not None:
+            full, part = cut
+            yield numbered(held[:full] + ([held[full].slice(0, part)] if part else []))
+            held = [held[full].slice(part), *held[full + 1 :]]
+            rows, cut = sum(b.num_rows for b in held), None
+    if held:
+        yield numbered(held)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; true for the first row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    code = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.append(True, code[1:] != code[:-1])[: len(code)]
+
+
+def _laid(table: pa.Table, tree: np.ndarray) -> Laid:
+    parents = table["parent_id"]
+    is_page = pc.fill_null(pc.equal(table["type"], "page"), False).to_numpy() if "type" in table.column_names else np.zeros(len(tree), bool)
+    return lay_out(tree, pc.fill_null(table["node_id"], -1).to_numpy(), pc.fill_null(parents, 0).to_numpy(), pc.is_null(parents).to_numpy(), is_page)
+
+
+def _pair_type(nodes: DataFrame) -> str:
+    return nodes.schema["pair_id"].dataType.simpleString()
+
+
+def reading_order(nodes: DataFrame, columns: Sequence[str] = ("list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence")) -> DataFrame:
+    """Nodes with their place in reading order and the ordinal of their page (null without one), and ``columns`` of theirs."""
+    inner = list(dict.fromkeys(["type", *columns]))
+    kept = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in columns)
+    order_of = {c: i for i, c in enumerate(inner)}
+    renamed = nodes.select("pair_id", "side", "node_id", "parent_id", "list_pos", "ord", *[F.col(c).alias(f"c{i}") for c, i in order_of.items()], F.col("type").alias("type"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tree in _whole_pairs(batches):
+            laid = _laid(table, tree)
+            order = np.empty(len(tree), np.int64)
+            order[laid.first[tree] + laid.pre] = np.arange(len(tree))
+            rows = table.take(pa.array(order))
+            page = laid.page[order]
+            side = pc.if_else(rows["is_truth"], SIDES[1], SIDES[0])
+            columns_ = [rows["pair_id"], side, rows["node_id"], rows["parent_id"], pa.array(laid.pre[order], pa.int32()), pa.array(page, pa.int32(), mask=page < 0), *[rows[f"c{order_of[c]}"] for c in columns]]
+            yield from pa.Table.from_arrays(columns_, names=["pair_id", "side", "node_id", "parent_id", "pre", "page", *columns]).to_batches()
+
+    ordered = _in_order(renamed, ["type", *[f"c{i}" for i in order_of.values()]])
+    return ordered.mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, node_id bigint, parent_id bigint, pre int, page int" + (f", {kept}" if kept else ""))
 
 
-def _by_side(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, nodes)."""
-    return pairs.select("pair_id", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("side"), F.col(s).alias("nodes")) for s in SIDES])))
+def post_order(nodes: DataFrame) -> DataFrame:
+    """Nodes with post-order number, leftmost leaf, subtree size and whether they are keyroots."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tree in _whole_pairs(batches):
+            laid = _laid(table, tree)
+            side = pc.if_else(table["is_truth"], SIDES[1], SIDES[0])
+            numbers = [pa.array(v, pa.int32()) for v in (laid.post, laid.lmld, laid.post - laid.lmld + 1)]
+            columns = [table["pair_id"], side, table["node_id"], *numbers, pa.array(laid.keyroot)]
+            yield from pa.Table.from_arrays(columns, names=["pair_id", "side", "node_id", "post", "lmld", "size", "keyroot"]).to_batches()
 
-def reading_order(nodes: DataFrame) -> DataFrame:
-    """Nodes with their place in reading order and the ordinal of their page (null without one)."""
-    return _by_side(packed_pairs(nodes)).select("pair_id", "side", F.inline("nodes"))
+    return _in_order(nodes, []).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, node_id bigint, post int, lmld int, size int, keyroot boolean")
 
 
-def post_order(nodes: DataFrame) -> DataFrame:
-    """Nodes with post-order number, leftmost leaf, subtree size and whether they are keyroots."""
-    sides = _by_side(packed_pairs(nodes)).withColumn("_last", _last_of_leaf(F.col("nodes"), "post", "lmld"))
-    spread = sides.select("pair_id", "side", "_last", F.inline(F.transform("nodes", lambda n: F.struct(
-        n["node_id"].alias("node_id"), n["post"].alias("post"), n["lmld"].alias("lmld")))))
-    return spread.withColumn("size", F.col("post") - F.col("lmld") + 1) \
-        .withColumn("keyroot", F.array_contains("_last", F.col("post"))).drop("_last")
+def text_streams(nodes: DataFrame) -> DataFrame:
+    """(pair_id, side, stream): the text of each tree's non-empty nodes in reading order, white space collapsed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tree in _whole_pairs(batches):
+            laid = _laid(table, tree)
+            side = pc.if_else(table["is_truth"], SIDES[1], SIDES[0]).take(pa.array(laid.first))
+            yield from pa.Table.from_arrays([table["pair_id"].take(pa.array(laid.first)), side, _streams(table, tree, laid)], names=["pair_id", "side", "stream"]).to_batches()
 
-def _last_of_leaf(nodes: Column, post: str, lmld: str) -> Column:
-    """Keyroots: post-order numbers not followed by a larger one with the same leftmost leaf."""
-    pairs = F.array_sort(F.transform(nodes, lambda n: F.struct(n[lmld].alias("l"), n[post].alias("p"))))
-    following = F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.struct(
-        F.lit(-1).alias("l"), F.lit(-1).alias("p"))))
-    return F.transform(F.filter(F.arrays_zip(pairs.alias("a"), following.alias("b")),
-                                lambda z: z["a"]["l"] != z["b"]["l"]), lambda z: z["a"]["p"])
+    found = _in_order(nodes, ["text"]).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, stream string")
+    return found.withColumn("stream", text.collapse_spaces(F.col("stream")))
 
 
-# --- text -----------------------------------------------------------------------------------------
+def _streams(table: pa.Table, tree: np.ndarray, laid: Laid) -> pa.Array:
+    """The joined texts of each tree."""
+    order = np.empty(len(tree), np.int64)
+    order[laid.first[tree] + laid.pre] = np.arange(len(tree))
+    words = table["text"].combine_chunks().take(pa.array(order))
+    full = pc.fill_null(pc.greater(pc.binary_length(words), 0), False)
+    counts = np.bincount(tree, full.to_numpy(zero_copy_only=False), minlength=len(laid.first)).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), words.filter(full))
+    return pc.binary_join(lists, " ")
 
-def text_stream(nodes: Column) -> Column:
-    """Text of the non-empty nodes in reading order, white space collapsed."""
-    texts = F.filter(F.transform(nodes, lambda n: n["text"]), lambda t: t.isNotNull() & (t != ""))
-    return text.collapse_spaces(F.array_join(texts, " "))
 
+# --- text -----------------------------------------------------------------------------------------
 
 def text_metrics(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Character and word error counts and rates of collapsed texts ``ref`` and ``hyp``."""
@@ -278,75 +352,158 @@ def box_scores(df: DataFrame, threshold: float) -> DataFrame:
 
 # --- tree distance -----------------------------------------------------------------------------------
 
-def tree_admission(pairs: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: int = c.MAX_TREE_CELLS) -> DataFrame:
-    """Packed pairs with the cells both orientations need, the cheaper one, and why the tree distance is
-    refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps'."""
-    straight = F.col("pred_cost") * F.col("truth_cost")
-    turned = F.col("pred_mirrored_cost") * F.col("truth_mirrored_cost")
-    pred, truth = F.size("pred").cast("long"), F.size("truth").cast("long")
-    reason = F.when(F.least(pred, truth) == 0, "unpaired").when(F.col("pred_misplaced") + F.col("truth_misplaced") > 0, "broken") \
-        .when(F.greatest(pred, truth) > max_nodes, "nodes").when(F.col("cells") > max_cells, "steps")
-    return pairs.withColumns({"cells_straight": straight, "cells_mirrored": turned}) \
-        .withColumns({"mirrored": F.col("cells_mirrored") < F.col("cells_straight"),
-                      "cells": F.least("cells_straight", "cells_mirrored"), "pred_nodes": pred, "truth_nodes": truth}) \
-        .withColumn("refused_reason", reason)
+_SIZES = "pred_nodes bigint, truth_nodes bigint, cells bigint, mirrored boolean, refused_reason string, task int, upto bigint"
+_TREES = "pred_labels array<int>, pred_leaf array<int>, truth_labels array<int>, truth_leaf array<int>"
+_SCORED = "hyp string, ref string, predicted_boxes bigint, truth_boxes bigint, matched bigint, iou_sum double, hits bigint, same_type bigint"
+
+
+class _Pairs:
+    """The pairs of a chunk: which trees they consist of, what their distance costs, and why it is refused."""
+
+    def __init__(self, table: pa.Table, tree: np.ndarray, max_nodes: int, max_cells: int):
+        self.table, self.tree, self.laid = table, tree, _laid(table, tree)
+        first = self.laid.first
+        self.truth = table["is_truth"].to_numpy()[first].astype(int)
+        self.of = np.cumsum(_changes(table["pair_id"]))[first] - 1  # the pair of each tree
+        self.count = n = int(self.of[-1]) + 1
+        self.ids = table["pair_id"].take(pa.array(first[np.unique(self.of, return_index=True)[1]]))
+        spread = lambda values: np.zeros((2, n), np.int64) if values is None else self._by_side(values)
+        self.nodes = spread(np.diff(np.append(first, len(tree))))
+        cost, turned, misplaced = spread(self.laid.cost), spread(self.laid.mirrored_cost), spread(self.laid.misplaced)
+        most = float(np.iinfo(np.int64).max // 2)
+        straight, mirrored = (np.minimum(c[0].astype(float) * c[1], most) for c in (cost, turned))
+        exact = lambda c, big: np.where(big < 2.0**53, c[0] * np.where(big < 2.0**53, c[1], 0), big.astype(np.int64))
+        straight, mirrored = exact(cost, straight), exact(turned, mirrored)
+        self.cells, self.mirrored = np.minimum(straight, mirrored), mirrored < straight
+        reason = np.full(n, None, object)
+        reason[self.cells > max_cells] = "steps"
+        reason[self.nodes.max(axis=0) > max_nodes] = "nodes"
+        reason[misplaced.sum(axis=0) > 0] = "broken"
+        reason[self.nodes.min(axis=0) == 0] = "unpaired"
+        self.reason, self.admitted = reason, np.equal(reason, None)
+
+    def _by_side(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, self.count), np.int64)
+        out[self.truth, self.of] = values
+        return out
+
+    def arrays(self) -> list[pa.Array]:
+        """Labels and leftmost leaves in post-order, in the cheaper orientation; empty where the distance is refused."""
+        laid, tree, out = self.laid, self.tree, []
+        labels = pc.fill_null(self.table["type"], "").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        turned = self.mirrored[self.of][tree]
+        post, leaf = np.where(turned, laid.mpost, laid.post), np.where(turned, laid.mlmld, laid.lmld)
+        for side in (0, 1):
+            sizes = np.where(self.admitted, self.nodes[side], 0)
+            base = np.cumsum(sizes) - sizes
+            rows = np.flatnonzero((self.truth[tree] == side) & self.admitted[self.of[tree]])
+            place = base[self.of[tree[rows]]] + post[rows]
+            for values in (labels, leaf):
+                flat = np.empty(len(rows), np.int32)
+                flat[place] = values[rows]
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(base, sizes.sum()), pa.int32()), pa.array(flat)))
+        return out
+
+    def counted(self, threshold: float) -> list[pa.Array]:
+        """Texts of both sides and counts of boxes and matches."""
+        table, laid, tree = self.table, self.laid, self.tree
+        streams = _streams(table, tree, laid)
+        texts = []
+        for side in (0, 1):
+            at = np.full(self.count, -1)
+            mine = np.flatnonzero(self.truth == side)
+            at[self.of[mine]] = mine
+            texts.append(pc.fill_null(streams.take(pa.array(at, mask=at < 0)), ""))
+        boxed = np.flatnonzero(pc.is_valid(table["x"]).to_numpy())
+        kinds = pc.fill_null(table["type"], "").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        pair, page = self.of[tree], laid.page
+        sides = []
+        for side in (0, 1):
+            rows = boxed[self.truth[tree[boxed]] == side]
+            rows = rows[np.lexsort((laid.pre[rows], page[rows], pair[rows]))]
+            box = np.stack([pc.fill_null(table[c], np.nan).to_numpy()[rows] for c in ("x", "y", "w", "h")])
+            sides.append((rows, box))
+        groups, code = np.unique(np.concatenate([np.stack([pair[r], page[r]], axis=1) for r, _ in sides]), axis=0, return_inverse=True)
+        cut = len(sides[0][0])
+        code = code.ravel()
+        group, iou, same = match_groups(code[:cut], sides[0][1], kinds[sides[0][0]], code[cut:], sides[1][1], kinds[sides[1][0]])
+        of = groups[group, 0] if len(group) else group
+        hit = iou >= threshold
+        count = lambda at, weight=None: np.bincount(at, weight, minlength=self.count)
+        numbers = [count(pair[sides[0][0]]), count(pair[sides[1][0]]), count(of), count(of, iou), count(of[hit]), count(of[hit & same])]
+        kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return [*texts, *[pa.array(v.astype(float if k == pa.float64() else np.int64), k) for v, k in zip(numbers, kinds_, strict=True)]]
+
+
+def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: int = c.MAX_TREE_CELLS, with_trees: bool = False,
+              threshold: float | None = None) -> DataFrame:
+    """One row per pair: nodes of both sides, the cells of the tree distance in the cheaper orientation (and whether that is the mirrored one),
+    and why it is refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps'. ``with_trees`` adds the trees of admitted
+    pairs, a ``threshold`` the texts and the counts of box matches. ``task`` and ``upto`` place the pair's cells in the running
+    sum of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, before = TaskContext.get().partitionId(), 0
+        for table, tree in _whole_pairs(batches):
+            pairs = _Pairs(table, tree, max_nodes, max_cells)
+            upto = before + np.cumsum(np.where(pairs.admitted, pairs.cells, 0))
+            before = int(upto[-1])
+            columns = [pairs.ids, *[pa.array(n) for n in pairs.nodes], pa.array(pairs.cells), pa.array(pairs.mirrored), pa.array(pairs.reason, pa.string()),
+                       pa.array(np.full(pairs.count, task, np.int32)), pa.array(upto)]
+            columns += pairs.arrays() if with_trees else []
+            columns += pairs.counted(threshold) if threshold is not None else []
+            yield from pa.Table.from_arrays(columns, names=names).to_batches()
+
+    schema = f"pair_id {_pair_type(nodes)}, {_SIZES}" + f", {_TREES}" * with_trees + f", {_SCORED}" * (threshold is not None)
+    names = [part.strip().split()[0] for part in schema.replace("array<int>", "a").split(",")]
+    needed = ["type"] * (with_trees or threshold is not None) + ["text", "x", "y", "w", "h"] * (threshold is not None)
+    return _in_order(nodes, needed).mapInArrow(run, schema)
 
 
 def admission_report(nodes: DataFrame, **limits: int) -> DataFrame:
     """Sizes, cells and refusal of every pair."""
-    return tree_admission(packed_pairs(nodes), **limits).select("pair_id", "pred_nodes", "truth_nodes", "cells", "mirrored", "refused_reason")
+    return pair_rows(nodes, **limits).drop("task", "upto")
 
 
-def _distance(df: DataFrame) -> Column:
-    """Tree distance of admitted pairs, in the cheaper orientation."""
-    def arrays(side: str) -> tuple[Column, Column]:
-        ordered = F.array_sort(F.transform(side, lambda n: F.struct(
-            F.when(F.col("mirrored"), n["mpost"]).otherwise(n["post"]).alias("post"),
-            F.when(F.col("mirrored"), n["mlmld"]).otherwise(n["lmld"]).alias("lmld"),
-            F.coalesce(n["type"], F.lit("")).alias("type"))))
-        admitted = F.col("refused_reason").isNull()
-        return (F.when(admitted, F.transform(ordered, lambda n: n["type"])),
-                F.when(admitted, F.transform(ordered, lambda n: n["lmld"])))
+def dealt_by_cost(pairs: DataFrame, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+    """Pairs (written, with ``task`` and ``upto``) in partitions of about equal cells: each takes an interval of the running sum over all
+    tasks, so it holds more than its share by one pair at most, and a pair is bounded by the limit on cells."""
+    spark = pairs.sparkSession
+    sums = [(r.task, r.cells) for r in pairs.groupBy("task").agg(F.max("upto").alias("cells")).orderBy("task").collect()]  # a row per task
+    total = sum(cells for _, cells in sums)
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // cells_per_task))
+    offsets, before = [], 0
+    for task, cells in sums:
+        offsets.append((task, before))
+        before += cells
+    named = spark.createDataFrame(offsets, "task int, before bigint")
+    share = F.floor((F.col("before") + F.col("upto") - 1) / max(1, -(-total // parts))).cast("int")
+    return pairs.join(F.broadcast(named), "task").repartitionById(parts, F.greatest(F.lit(0), F.least(share, F.lit(parts - 1)))).drop("task", "upto", "before")
 
-    return trees.tree_distance(*arrays("pred"), *arrays("truth"))
+
+def _distance() -> Column:
+    return trees.tree_distance("pred_labels", "pred_leaf", "truth_labels", "truth_leaf")
 
 
 def tree_metrics(nodes: DataFrame, **limits: int) -> DataFrame:
     """Tree edit distance on node types per pair; refused pairs keep a reason and no distance."""
-    pairs = tree_admission(packed_pairs(nodes), **limits)
-    out = pairs.withColumn("ted", _distance(pairs)).select("pair_id", "pred_nodes", "truth_nodes", "cells", "refused_reason", "ted")
+    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, **limits)))
+    out = pairs.withColumn("ted", _distance()).select("pair_id", "pred_nodes", "truth_nodes", "cells", "refused_reason", "ted")
     return out.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
 
 
 # --- everything ----------------------------------------------------------------------------------------
 
-def _packed_matches(pairs: DataFrame) -> Column:
-    """Box matches of packed pairs: struct of IoU and same-type arrays, in order of matching."""
-    def columns(side: str) -> list[Column]:
-        boxed = F.filter(side, lambda n: n["x"].isNotNull())
-        return [boxed[f] for f in ("page", "x", "y", "w", "h")] + [
-            F.transform(boxed, lambda n: F.coalesce(n["type"], F.lit("")))]
-
-    return boxes_fx.match_packed(*columns("pred"), *columns("truth"))
-
-
 def evaluate(nodes: DataFrame, threshold: float = 0.5, **limits: int) -> DataFrame:
-    """Text, box and tree scores of every pair, one row each, after a single shuffle of the nodes.
+    """Text, box and tree scores of every pair, one row each.
 
     ``refused_reason`` says why a pair has no tree distance; its other scores are there all the same. A
     missing side counts as an empty document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    pairs = tree_admission(packed_pairs(nodes), **limits)
-    count = lambda side: F.size(F.filter(side, lambda n: n["x"].isNotNull())).cast("long")
-    scored = text_metrics(pairs.withColumns({
-        "ref": text_stream(F.col("truth")), "hyp": text_stream(F.col("pred")), "ted": _distance(pairs),
-        "_m": _packed_matches(pairs), "predicted_boxes": count("pred"), "truth_boxes": count("truth")}))
-    hit = lambda v: v >= threshold
-    same = F.filter(F.zip_with("_m.iou", "_m.same", lambda v, s: hit(v) & s), lambda x: x)
-    full = box_scores(scored.withColumns({
-        "matched": F.size("_m.iou").cast("long"), "iou_sum": F.aggregate("_m.iou", F.lit(0.0), lambda a, v: a + v),
-        "hits": F.size(F.filter("_m.iou", hit)).cast("long"), "same_type": F.size(same).cast("long")}), threshold)
-    return full.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
-        .drop("_m", "ref", "hyp", "pred", "truth", "mirrored", "cells", "cells_straight", "cells_mirrored",
-              *[f"{s}_{k}" for s in SIDES for k in ("cost", "mirrored_cost", "misplaced")])
+    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, threshold=threshold, **limits)))
+    scored = text_metrics(pairs.withColumns({"ref": text.collapse_spaces(F.col("ref")), "hyp": text.collapse_spaces(F.col("hyp")), "ted": _distance()}))
+    return box_scores(scored, threshold).withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
+        .drop("ref", "hyp", "mirrored", "cells", "pred_labels", "pred_leaf", "truth_labels", "truth_leaf")

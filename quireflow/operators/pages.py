@@ -170,3 +170,9 @@ def page_latencies(pages: DataFrame, **route) -> DataFrame:
 def outcome_counts(steps: DataFrame) -> DataFrame:
     """Worked messages per stage and action (retries with their reason, give-ups, duplicates)."""
     return steps.groupBy("stage", "action").agg(F.count("*").alias("n"))
+
+
+def late_stage_results(steps: DataFrame) -> DataFrame:
+    """Stage results that came after their page had gone on, with the reason."""
+    over = F.col("status").isin(*c.TERMINAL_STATUSES)
+    return steps.filter("action = 'duplicate'").withColumn("reason", F.when(over, "page_finished").otherwise("stage_passed"))

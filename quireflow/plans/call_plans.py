@@ -8,7 +8,7 @@ from quireflow.functions import calls as fx
 from quireflow.operators import calls as ops
 from quireflow.operators import folds, stats
 from quireflow.plans import inputs as i
-from quireflow.plans.registry import query
+from quireflow.plans.registry import ORACLE, query
 
 W = i.WINDOW_S
 
@@ -221,6 +221,21 @@ def breaker_replay(spark, sf):
     return out.select("call_id", "model", "permit", "breaker", "trips")
 
 
+@query("x11_late_call_results", f"""
+SELECT call_id, model, CASE breaker WHEN 'open' THEN 'breaker_open' ELSE 'probes_used' END AS reason FROM ({ORACLE["x4_breaker_replay"]}) r WHERE permit = 'deny'""")
+def late_call_results(spark, sf):
+    return ops.late_call_results(breaker_replay(spark, sf)).select("call_id", "model", "reason")
+
+
+@query("d5_sketched_windows", i.with_inputs("outcomes", f"""
+SELECT model, win, CASE WHEN p95 > 0 THEN round(2 * pow({stats.SLOT_RATIO}::DOUBLE, ceil(ln(p95) / ln({stats.SLOT_RATIO}::DOUBLE))) / ({stats.SLOT_RATIO}::DOUBLE + 1), 9) WHEN p95 <= 0 THEN 0 END AS p95
+FROM (SELECT model, epoch_us(ts) // {W * 1_000_000} AS win, quantile_disc(latency_s, 0.95) FILTER (WHERE NOT timed_out) AS p95 FROM outcomes GROUP BY ALL)"""))
+def sketched_windows(spark, sf):
+    """Tail latency per window from counts per slot, within half a per cent."""
+    calls = i.calls(spark, sf).select("model", ops.window_id(F.col("ts"), W).alias("win"), F.when(~F.col("timed_out"), F.col("latency_s")).alias("latency_s"))
+    return stats.sketched_quantiles(calls, ["model", "win"], "latency_s", {"p95": 0.95}).withColumn("p95", F.round("p95", 9))
+
+
 @query("x5_retry_grants", i.with_inputs("calls", f"""
 WITH v AS (SELECT call_id, model, is_retry, replay, epoch_us(ts) // {W * 1_000_000} AS win, row_number() OVER (PARTITION BY model ORDER BY ts, call_id) AS rn FROM calls),
 s AS (

@@ -78,8 +78,7 @@ def word_distances(spark, sf):
 @query("f3_text_streams", i.with_inputs("layout", f"""
 SELECT pair_id, side, {i.collapse_sql("coalesce(string_agg(text, ' ' ORDER BY pre) FILTER (WHERE text <> ''), '')")} AS stream FROM layout GROUP BY ALL""", recursive=True))
 def text_streams(spark, sf):
-    sides = ev._by_side(ev.packed_pairs(i.tree_nodes(spark, sf)))
-    return sides.select("pair_id", "side", ev.text_stream(F.col("nodes")).alias("stream"))
+    return ev.text_streams(i.tree_nodes(spark, sf))
 
 
 @query("f3_collapsed_documents", f"SELECT doc_id, md5({i.collapse_sql('text')}) AS stream_md5 FROM documents")
@@ -139,7 +138,7 @@ def box_metrics(spark, sf):
 
 @query("e13_reading_order", i.with_inputs("paged", "SELECT pair_id, side, node_id, pre, page FROM paged", recursive=True))
 def reading_order(spark, sf):
-    return ev.reading_order(i.tree_nodes(spark, sf)).select("pair_id", "side", "node_id", "pre", "page")
+    return ev.reading_order(i.tree_nodes(spark, sf), []).select("pair_id", "side", "node_id", "pre", "page")
 
 
 @query("o5_sibling_ranks", i.with_inputs("ranked_nodes", "SELECT pair_id, side, node_id, rank FROM ranked_nodes"))

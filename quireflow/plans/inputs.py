@@ -265,22 +265,34 @@ SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq + 2 * copy, copy,
   SELECT *, unnest(CASE WHEN l_quantity > 45 THEN [0, 1] ELSE [0] END) AS copy FROM stream_events)""", "stream_events")
 
 
+#: Days of calls of two users that make up a page of the delivery log.
+PAGE_DAYS = 3
+
+
+def deliveries_of(calls: DataFrame) -> DataFrame:
+    """The call log as deliveries: what two users call within three days is a page, the calls of one of them its fast stage and of the
+    other its slow stage. A call that timed out leaves its message to be delivered again."""
+    from quireflow.functions.calls import classify
+
+    return calls.select(
+        F.col("call_id"), F.floor(F.col("user_id") / 2).alias("job_id"), F.floor((F.dayofmonth("ts") - 1) / PAGE_DAYS).cast("int").alias("page_idx"), "ts",
+        F.when(F.col("user_id") % 2 == 0, "fast").otherwise("slow").alias("stage"), "timed_out", classify(F.col("status"), F.col("timed_out")).alias("outcome"),
+        (~F.col("is_retry")).alias("within_budget"))
+
+
 def deliveries(spark, sf_dir) -> DataFrame:
-    """Eight message deliveries per page with the outcome a call would have."""
-    step = F.col("step")
-    draw = (F.col("l_partkey") + 3 * step + F.col("l_linenumber")) % 10
-    outcome = F.when(draw < 5, "ok").when(draw == 5, "throttled").when(draw < 8, "retry").when(draw == 8, "auth").otherwise("permanent")
-    return pages(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")).select(
-        "job_id", "page_idx", "step", F.when(step < 4, "fast").otherwise("slow").alias("stage"),
-        F.when((F.col("l_tax") >= 0.08) & (step == 5), 4).otherwise(1).alias("delivery"), outcome.alias("outcome"),
-        (F.col("l_discount") < 0.09).alias("within_budget"))
-
-
-_sql("deliveries", """
-SELECT job_id, page_idx, step, CASE WHEN step < 4 THEN 'fast' ELSE 'slow' END AS stage,
-  CASE WHEN l_tax >= 0.08 AND step = 5 THEN 4 ELSE 1 END AS delivery, l_discount < 0.09 AS within_budget,
-  CASE WHEN d < 5 THEN 'ok' WHEN d = 5 THEN 'throttled' WHEN d < 8 THEN 'retry' WHEN d = 8 THEN 'auth' ELSE 'permanent' END AS outcome
-FROM (SELECT *, (l_partkey + 3 * step + l_linenumber) % 10 AS d FROM page_state, range(8) r(step))""", "page_state")
+    """Deliveries of every page in the order of their calls."""
+    found = deliveries_of(calls(spark, sf_dir))
+    placed = scan.numbered(found, ["job_id", "page_idx"], ["ts", "call_id"], "step", 0)
+    again = scan.running(placed, ["job_id", "page_idx", "stage"], ["step"], {"_timeouts": scan.Running("sum", F.col("timed_out").cast("long"))})
+    return again.withColumn("delivery", (1 + F.col("_timeouts") - F.col("timed_out").cast("long")).cast("int")).drop("_timeouts")
+
+
+_sql("deliveries", f"""
+SELECT *, 1 + count(*) FILTER (WHERE timed_out) OVER (PARTITION BY job_id, page_idx, stage ORDER BY step) - timed_out::INT AS delivery FROM (
+  SELECT call_id, user_id // 2 AS job_id, ((day(ts) - 1) // {PAGE_DAYS})::INT AS page_idx, ts, timed_out, outcome, NOT is_retry AS within_budget,
+    CASE WHEN user_id % 2 = 0 THEN 'fast' ELSE 'slow' END AS stage,
+    row_number() OVER (PARTITION BY user_id // 2, day(ts) - 1 - (day(ts) - 1) % {PAGE_DAYS} ORDER BY ts, call_id) - 1 AS step FROM outcomes)""", "outcomes")
 
 
 def status_log(spark, sf_dir) -> DataFrame:

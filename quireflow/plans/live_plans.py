@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quireflow.operators import folds
+from quireflow.operators import folds, stats
 from quireflow.plans import inputs as i
 from quireflow.plans import call_plans, page_plans  # noqa: F401 - their oracle SQL is shared
 from quireflow.plans.registry import ORACLE, query
@@ -15,31 +15,38 @@ from quireflow.streaming import live
 W = i.WINDOW_S
 
 
-#: How late calls may come, and the watermark that waits for them.
-LATE_S, DELAY_S = 43_200, 86_400
-DELAY = f"{DELAY_S} seconds"
+#: How late every seventh call comes; a clock that waits for all of them, and one that does not.
+LATE_S, DELAY_S, SHORT_S = 43_200, 86_400, 21_600
+FILES, FILE_ROWS = 5, 1_000_000
+
+
+def _ends():
+    """A row without a call id ends the input of its model."""
+    return F.col("call_id").isNull()
 
 
 def _event_stream(spark, sf):
-    """The call log in the order of time; every seventh call comes half a day late."""
+    """The call log in the order of time; every seventh call comes half a day late. At last each model's input is ended."""
     events = i.table(spark, sf, "events")
     late = F.when(F.col("event_id") % 7 == 0, LATE_S * 1_000_000).otherwise(0)
-    return i.calls_of(_in_time(events, F.unix_micros(F.col("ts").cast("timestamp")) + late, "events"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != "user_id"]
+    ends = spark.range(2).select(F.col("id").alias("user_id"), *nothing).select(events.columns)
+    return i.calls_of(_in_time(events, F.unix_micros(F.col("ts").cast("timestamp")) + late, "events", ends))
 
 
-def _in_time(df, comes, name):
-    """``df`` as five files, one per batch, cut by when each row comes (microseconds)."""
+def _in_time(df, comes, name, last=None):
+    """``df`` as a stream of five batches, cut by when each row comes (microseconds), and ``last`` behind them."""
     spark = df.sparkSession
     live.use_rocksdb(spark)
-    low, high = df.agg(F.min(comes), F.max(comes)).first()
+    low, high, rows = df.agg(F.min(comes), F.max(comes), F.count("*")).first()
+    files = max(1, rows // (FILES * FILE_ROWS))
     path = scratch_path(spark, name)
     for k in range(FILES):
         part = F.floor((comes - (low or 0)) * FILES / ((high or 0) - (low or 0) + 1))
-        df.filter(part == k).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-FILES = 5
+        df.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _written(df, name, *place):
@@ -51,43 +58,84 @@ def _written(df, name, *place):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-_CLOSED = f"(win + 1) * {W * 1_000_000} <= (SELECT max(epoch_us(ts)) FROM calls WHERE NOT replay) - {DELAY_S * 1_000_000}"
-_PASSED = f"call_id IN (SELECT event_id FROM events WHERE epoch_ms(ts::TIMESTAMP) <= (SELECT max(epoch_ms(ts::TIMESTAMP)) FROM events) - {DELAY_S * 1000})"
+#: The batch that each call comes with, and the clock of its model before a batch, in the oracle.
+_ARRIVALS = f"""
+came AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) + CASE WHEN call_id % 7 = 0 THEN {LATE_S * 1_000_000} ELSE 0 END AS comes FROM outcomes),
+filed AS (SELECT came.*, ((comes - low) * {FILES}) // (high - low + 1) AS file FROM came, (SELECT min(comes) AS low, max(comes) AS high FROM came)),
+batches AS (SELECT model, f.file FROM (SELECT DISTINCT model FROM outcomes), range({FILES + 1}) f(file))"""
 
 
-@query("x1_live_windows", i.with_inputs("windows", f"""
-SELECT model, win, calls, throttled, timeouts, server_errors, latencies, p95 FROM windows WHERE {_CLOSED}"""))
+@query("x1_live_windows", i.with_inputs("windows", "SELECT model, win, calls, throttled, timeouts, server_errors, latencies, p95 FROM windows"))
 def live_windows(spark, sf):
-    return live.run_available(live.call_windows(_event_stream(spark, sf), W, DELAY).drop("_w"))
+    return live.run_available(live.call_windows(_event_stream(spark, sf), W, DELAY_S, ends=_ends()))
 
 
-@query("x1_live_verdicts", i.with_inputs("judged", f"SELECT model, win, verdict FROM judged WHERE {_CLOSED}"))
+@query("x1_live_window_sketches", i.with_inputs("windows", f"""
+SELECT model, win, latencies, CASE WHEN p95 > 0 THEN round(2 * pow({stats.SLOT_RATIO}::DOUBLE, ceil(ln(p95) / ln({stats.SLOT_RATIO}::DOUBLE))) / ({stats.SLOT_RATIO}::DOUBLE + 1), 9) ELSE 0 END AS p95 FROM windows"""))
+def live_window_sketches(spark, sf):
+    """Windows whose state has a bounded size: latencies are counted per slot."""
+    out = live.run_available(live.call_windows(_event_stream(spark, sf), W, DELAY_S, exact=False, ends=_ends()))
+    return out.select("model", "win", "latencies", F.round("p95", 9).alias("p95"))
+
+
+@query("x1_live_verdicts", i.with_inputs("judged", "SELECT model, win, verdict FROM judged"))
 def live_verdicts(spark, sf):
-    return live.run_available(live.judged(live.call_windows(_event_stream(spark, sf), W, DELAY)).select("model", "win", "verdict"))
+    return live.run_available(live.judged(live.call_windows(_event_stream(spark, sf), W, DELAY_S, ends=_ends())).select("model", "win", "verdict"))
+
+
+@query("x11_late_windows", i.with_inputs("outcomes", f"""
+WITH {_ARRIVALS},
+clocks AS (SELECT b.model, b.file, max(us) AS clock FROM batches b LEFT JOIN filed f ON f.model = b.model AND f.file < b.file AND NOT f.replay GROUP BY ALL),
+told AS (SELECT f.*, us // {W * 1_000_000} AS win, coalesce(us // {W * 1_000_000} < (clock - {SHORT_S * 1_000_000}) // {W * 1_000_000}, false) AS late FROM filed f JOIN clocks USING (model, file) WHERE NOT replay)
+SELECT model, CASE WHEN late THEN 'late' ELSE 'window' END AS what, win, count(*) AS calls, count(*) FILTER (WHERE outcome = 'throttled') AS throttled,
+  count(*) FILTER (WHERE timed_out) AS timeouts, count(*) FILTER (WHERE NOT timed_out AND status >= 500) AS server_errors, count(*) FILTER (WHERE NOT timed_out) AS latencies,
+  CASE WHEN NOT late THEN coalesce(quantile_disc(latency_s, 0.95) FILTER (WHERE NOT timed_out), 0) END AS p95
+FROM told GROUP BY model, win, late"""))
+def late_windows(spark, sf):
+    """Windows that do not wait for the late calls: all calls come out, those whose window had gone as late ones."""
+    out = live.run_available(live.window_rows(_event_stream(spark, sf), W, SHORT_S, ends=_ends()))
+    return out.groupBy("model", "what", "win").agg(*[F.sum(n).alias(n) for n in ("calls", "throttled", "timeouts", "server_errors", "latencies")], F.max("p95").alias("p95"))
 
 
-@query("x2_live_limits", f"""
-SELECT * FROM ({ORACLE["x2_limit_replay"]}) r
-WHERE (win + 1) * {W * 1_000_000} <= (SELECT max(epoch_us(ts)) FROM events WHERE NOT (event_type = 'view' AND value < 2)) - {DELAY_S * 1_000_000}""")
+@query("x2_live_limits", ORACLE["x2_limit_replay"])
 def live_limits(spark, sf):
-    out = live.run_available(live.limits(live.judged(live.call_windows(_event_stream(spark, sf), W, DELAY))))
+    out = live.run_available(live.limits(live.judged(live.call_windows(_event_stream(spark, sf), W, DELAY_S, ends=_ends()))))
     return out.withColumn("rps", F.round("rps", 3))
 
 
-@query("x4_live_breaker", f"SELECT * FROM ({ORACLE['x4_breaker_replay']}) r WHERE {_PASSED}")
+@query("x4_live_breaker", ORACLE["x4_breaker_replay"])
 def live_breaker(spark, sf):
-    return live.run_available(live.breaker(_event_stream(spark, sf), folds.breaker_fold(open_s=3600.0), DELAY))
+    return live.run_available(live.breaker(_event_stream(spark, sf), DELAY_S, folds.breaker_fold(open_s=3600.0), _ends())).drop("late")
 
 
-@query("x5_live_retry_grants", f"SELECT * FROM ({ORACLE['x5_retry_grants']}) r WHERE {_PASSED}")
+@query("x5_live_retry_grants", ORACLE["x5_retry_grants"])
 def live_retry_grants(spark, sf):
-    return live.run_available(live.retry_grants(_event_stream(spark, sf), W, delay=DELAY))
+    return live.run_available(live.retry_grants(_event_stream(spark, sf), DELAY_S, W, _ends())).drop("late")
+
+
+@query("x11_late_calls", i.with_inputs("outcomes", f"""
+WITH {_ARRIVALS},
+clocks AS (SELECT b.model, b.file, max(us // 1000) AS clock FROM batches b LEFT JOIN filed f ON f.model = b.model AND f.file < b.file GROUP BY ALL),
+turns AS (SELECT c.model, c.file, max({{'us': us, 'id': call_id}}) AS turn FROM clocks c JOIN filed f ON f.model = c.model AND f.file < c.file AND us // 1000 <= clock - {SHORT_S * 1000} GROUP BY ALL)
+SELECT call_id, f.model, coalesce({{'us': us, 'id': call_id}} <= turn, false) AS late FROM filed f LEFT JOIN turns t ON t.model = f.model AND t.file = f.file"""))
+def late_calls(spark, sf):
+    """A breaker that does not wait for the late calls: every call comes out once, in its turn or as late."""
+    out = live.run_available(live.breaker(_event_stream(spark, sf), SHORT_S, folds.breaker_fold(open_s=3600.0), _ends()))
+    return out.select("call_id", "model", "late")
+
+
+def _delivery_stream(spark, sf):
+    """Deliveries in the order of time, every seventh half a day late; at last every page's input is ended by a row without a step."""
+    rows = i.deliveries(spark, sf)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("job_id", "page_idx")]
+    ends = rows.select("job_id", "page_idx").distinct().select("job_id", "page_idx", *nothing).select(rows.columns)
+    late = F.when(F.col("call_id") % 7 == 0, LATE_S * 1_000_000).otherwise(0)
+    return _in_time(rows, F.unix_micros("ts") + late, "deliveries", ends).withColumnRenamed("ts", "at")
 
 
 @query("x3_live_page_states", ORACLE["x3_page_replay"])
 def live_page_states(spark, sf):
-    at = i.as_of() + F.make_dt_interval(secs=F.col("step"))
-    return live.run_available(live.page_states(_written(i.deliveries(spark, sf).withColumn("at", at), "deliveries")))
+    return live.run_available(live.page_states(_delivery_stream(spark, sf), DELAY_S, F.col("step").isNull())).drop("late")
 
 
 @query("x6_live_reassembly", i.with_inputs("stream_events", """
@@ -105,11 +153,25 @@ def live_completions(spark, sf):
     return live_reassembly(spark, sf).filter("what = 'complete'").select("job_id")
 
 
+def _frame_stream(spark, sf):
+    """Frames in the order of time; repeats come half a day later."""
+    frames = i.frames(spark, sf).select("job_id", F.col("seq").cast("bigint").alias("seq"), "kind", "at", "copy")
+    return _in_time(frames, F.unix_micros("at") + F.col("copy") * (LATE_S * 1_000_000), "frames")
+
+
 @query("x9_live_unique_frames", i.with_inputs("frames", "SELECT DISTINCT job_id, seq, kind FROM frames"))
 def live_unique_frames(spark, sf):
-    frames = i.frames(spark, sf).select("job_id", "seq", "kind", "at", "copy")
-    comes = F.unix_micros("at") + F.col("copy") * (LATE_S * 1_000_000)  # repeats come half a day later
-    return live.run_available(live.without_duplicates(_in_time(frames, comes, "frames"), DELAY)).select("job_id", "seq", "kind")
+    return live.run_available(live.without_duplicates(_frame_stream(spark, sf), ["kind"], DELAY_S)).select("job_id", "seq", "kind")
+
+
+@query("x9_frames_told_apart", i.with_inputs("frames", f"""
+WITH came AS (SELECT job_id, seq, copy, epoch_us(moment) AS us, epoch_us(moment) + copy * {LATE_S * 1_000_000} AS comes FROM frames),
+filed AS (SELECT came.*, ((comes - low) * {FILES}) // (high - low + 1) AS file FROM came, (SELECT min(comes) AS low, max(comes) AS high FROM came)),
+clocks AS (SELECT b.job_id, b.file, max(f.us // 1000) AS clock FROM (SELECT DISTINCT job_id, file FROM filed) b JOIN filed f ON f.job_id = b.job_id AND f.file < b.file GROUP BY ALL)
+SELECT job_id, seq, copy, CASE WHEN us // 1000 < clock - {SHORT_S * 1000} THEN 'late' WHEN copy = 0 THEN 'first' ELSE 'repeat' END AS what FROM filed LEFT JOIN clocks USING (job_id, file)"""))
+def frames_told_apart(spark, sf):
+    """Every frame is the first of its place, a repeat, or too late to be told."""
+    return live.run_available(live.told_apart(_frame_stream(spark, sf), ["copy"], SHORT_S)).select("job_id", "seq", "copy", "what")
 
 
 @query("x11_late_results", i.with_inputs("frames", "SELECT job_id, page_idx, kind AS payload FROM frames WHERE copy = 1"))

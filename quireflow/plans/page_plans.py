@@ -291,7 +291,7 @@ def page_latencies(spark, sf):
 
 _PAGE_STEPS = """
 WITH s AS (
-  SELECT job_id, page_idx, -1 AS step, ''::VARCHAR AS action, 'PENDING' AS status, 'fast' AS st, 0 AS fa, 0 AS sa, false AS has_fast, NULL::VARCHAR AS source, false AS low FROM page_state
+  SELECT job_id, page_idx, -1 AS step, ''::VARCHAR AS action, 'PENDING' AS status, 'fast' AS st, 0 AS fa, 0 AS sa, false AS has_fast, NULL::VARCHAR AS source, false AS low, 0::BIGINT AS call_id, ''::VARCHAR AS stage FROM deliveries WHERE step = 0
   UNION ALL
   SELECT job_id, page_idx, step, action,
     CASE WHEN action = 'duplicate' THEN status WHEN action = 'fallback' OR (action = 'ok' AND stage = 'slow') THEN 'COMPLETED' WHEN action = 'failed' THEN 'FAILED'
@@ -299,9 +299,9 @@ WITH s AS (
     CASE WHEN action IN ('ok', 'gave_up') THEN 'slow' ELSE st END, fa + (action = 'failure' AND stage = 'fast')::INT, sa + (action = 'failure' AND stage = 'slow')::INT,
     CASE WHEN stage = 'fast' AND action IN ('ok', 'gave_up') THEN action = 'ok' ELSE has_fast END,
     CASE WHEN action = 'ok' AND stage = 'slow' THEN 'vlm' WHEN action = 'fallback' THEN 'layout_fallback' WHEN action = 'failed' THEN 'none' ELSE source END,
-    low OR action IN ('fallback', 'failed')
+    low OR action IN ('fallback', 'failed'), call_id, stage
   FROM (SELECT *, CASE WHEN a = 'gave_up' AND stage = 'slow' THEN CASE WHEN has_fast THEN 'fallback' ELSE 'failed' END ELSE a END AS action
-    FROM (SELECT d.job_id, d.page_idx, d.step, d.stage, s.status, s.st, s.fa, s.sa, s.has_fast, s.source, s.low,
+    FROM (SELECT d.job_id, d.page_idx, d.step, d.stage, d.call_id, s.status, s.st, s.fa, s.sa, s.has_fast, s.source, s.low,
         CASE WHEN d.stage <> s.st OR s.status IN ('COMPLETED', 'FAILED') THEN 'duplicate' WHEN d.delivery > 3 THEN 'gave_up'
           WHEN (CASE d.stage WHEN 'fast' THEN s.fa ELSE s.sa END) > 0 AND NOT d.within_budget THEN 'budget_deferred'
           WHEN d.outcome IN ('ok', 'throttled', 'auth') THEN d.outcome
@@ -314,14 +314,20 @@ WITH s AS (
 SELECT job_id, page_idx, step, action, status, st AS page_stage, fa AS fast_attempts, sa AS slow_attempts, has_fast AS has_fast_result, source, low AS low_confidence
 FROM s WHERE step >= 0""", recursive=True))
 def page_replay(spark, sf):
-    return folds.replay_pages(i.deliveries(spark, sf), ["step"], sizes=i.line_sizes(spark, sf, 8)).select(
+    return folds.replay_pages(i.deliveries(spark, sf), ["step"]).select(
         "job_id", "page_idx", "step", "action", "status", "page_stage", "fast_attempts", "slow_attempts", "has_fast_result", "source", "low_confidence")
 
 
 @query("d20_outcome_counts", i.with_inputs("deliveries", _PAGE_STEPS + """
-SELECT CASE WHEN step < 4 THEN 'fast' ELSE 'slow' END AS stage, action, count(*) AS n FROM s WHERE step >= 0 GROUP BY ALL""", recursive=True))
+SELECT stage, action, count(*) AS n FROM s WHERE step >= 0 GROUP BY ALL""", recursive=True))
 def outcome_counts(spark, sf):
-    return ops.outcome_counts(folds.replay_pages(i.deliveries(spark, sf), ["step"], sizes=i.line_sizes(spark, sf, 8)))
+    return ops.outcome_counts(folds.replay_pages(i.deliveries(spark, sf), ["step"]))
+
+
+@query("x11_late_stage_results", i.with_inputs("deliveries", _PAGE_STEPS + """
+SELECT job_id, page_idx, call_id, stage, CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 'page_finished' ELSE 'stage_passed' END AS reason FROM s WHERE action = 'duplicate'""", recursive=True))
+def late_stage_results(spark, sf):
+    return ops.late_stage_results(folds.replay_pages(i.deliveries(spark, sf), ["step"])).select("job_id", "page_idx", "call_id", "stage", "reason")
 
 
 # --- message export and documents --------------------------------------------------------------------

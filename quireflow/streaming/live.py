@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quireflow import contracts as c
 from quireflow.functions import calls as fx
 from quireflow.operators import calls as call_ops
-from quireflow.operators import folds, pages
+from quireflow.operators import folds, pages, stats
 from quireflow.operators.scan import Fold
 from quireflow.session import ROCKSDB_PROVIDER, scratch_path
-from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, OrderedReplay, Reassembly
+from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, LiveWindows, OrderedReplay, Reassembly, UniqueFrames
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -35,18 +36,41 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 # --- windows ------------------------------------------------------------------------------------
 
-def call_windows(calls: DataFrame, seconds: int = c.WINDOW_S, delay: str = "0 seconds") -> DataFrame:
-    """Tumbling call windows of a stream, each emitted once when the watermark closes it."""
-    rows = call_ops.with_outcome(calls.filter(~F.col("replay"))).withWatermark("ts", delay)
+def counted_calls(calls: DataFrame, seconds: int, exact: bool, ends: Column) -> DataFrame:
+    """Calls of each Arrow batch summed per window and latency slot: far fewer rows than calls go into the shuffle. The row that ends a
+    model's input keeps its place with a null window."""
     timed_out = F.col("timed_out")
     latency = F.when(~timed_out, F.col("latency_s"))
-    aggs = rows.withColumn("_latency", latency).groupBy("model", F.window("ts", f"{seconds} seconds").alias("_w")).agg(
-        F.count("*").alias("calls"), F.count_if(F.col("outcome") == "throttled").alias("throttled"),
-        F.count_if(timed_out).alias("timeouts"), F.count_if(~timed_out & (F.col("status") >= 500)).alias("server_errors"),
-        F.count("_latency").alias("latencies"),
-        F.expr("percentile_disc(0.95) within group (order by _latency)").alias("_p95"))
-    return aggs.select("model", "_w", F.floor(F.unix_seconds("_w.start") / seconds).alias("win"), "calls", "throttled", "timeouts",
-                       "server_errors", "latencies", F.coalesce("_p95", F.lit(0.0)).alias("p95"))
+    one = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+    rows = call_ops.with_outcome(calls.filter(ends | ~F.col("replay"))).select(
+        "model", F.when(~ends, F.floor(F.unix_micros("ts") / (seconds * 1_000_000))).alias("win"),
+        (latency if exact else stats.slot_value(stats.slot_of(latency))).cast("double").alias("slot"), one(~ends).alias("calls"),
+        one(F.col("outcome") == "throttled").alias("throttled"), one(timed_out).alias("timeouts"),
+        one(~timed_out & (F.col("status") >= 500)).alias("server_errors"), one(latency.isNotNull()).alias("latencies"), F.unix_micros("ts").alias("at_us"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(["model", "win", "slot"]).aggregate([*[(n, "sum") for n in LiveWindows.COUNTS], ("at_us", "max")])
+            sums = sums.rename_columns([n.removesuffix("_sum").removesuffix("_max") for n in sums.column_names])
+            yield from sums.select(batch.schema.names).to_batches()
+
+    return rows.mapInArrow(summed, LiveWindows.COUNTED)
+
+
+def window_rows(calls: DataFrame, seconds: int = c.WINDOW_S, delay_s: int = 0, exact: bool = True, ends: Column | None = None) -> DataFrame:
+    """Tumbling call windows of a stream, cache replays left out: ``window`` rows, each once, when the model's clock is ``delay_s`` past its end, and ``late``
+    rows with the counts of calls whose window has gone. Calls in are calls of both kinds out and of windows still open.
+
+    Latencies are counted per value with ``exact``, otherwise per slot (``stats.slot_of``), whose number is bounded: p95 then lies
+    within half a per cent of the exact one. A row for which ``ends`` holds closes the windows of its model."""
+    counted = counted_calls(calls, seconds, exact, F.lit(False) if ends is None else ends)
+    return counted.groupBy("model").transformWithStateInPandas(
+        LiveWindows(seconds * 1_000_000, delay_s * 1_000_000), LiveWindows.SCHEMA, "Append", "None")
+
+
+def call_windows(calls: DataFrame, seconds: int = c.WINDOW_S, delay_s: int = 0, exact: bool = True, ends: Column | None = None) -> DataFrame:
+    """The closed windows of ``window_rows``."""
+    return window_rows(calls, seconds, delay_s, exact, ends).filter("what = 'window'").drop("what")
 
 
 def judged(windows: DataFrame) -> DataFrame:
@@ -66,46 +90,60 @@ def limits(judged_windows: DataFrame) -> DataFrame:
 # --- replays --------------------------------------------------------------------------------------
 
 def replay(rows: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str], keep: Sequence[str], fold: Fold,
-           delay: str = "0 seconds") -> DataFrame:
-    """A fold over a stream in event-time order (column ``at``), ties broken by ``order``."""
+           delay_s: float, ends: Column | None = None) -> DataFrame:
+    """A fold over a stream in event-time order (column ``at``, with which ``order`` must agree). Rows wait until their key's clock, the
+    latest time it has seen, is ``delay_s`` ahead; every row comes out once, ``late`` and without outputs if its turn has passed. A
+    row for which ``ends`` holds ends its key's input: all that waits is folded, and the row itself does not come out."""
     key_fields = [rows.schema[k] for k in keys] + [rows.schema[k] for k in keep]
-    schema = StructType(key_fields + StructType.fromDDL(fold.outputs).fields)
-    timed = rows.withColumn("event_at", at).withWatermark("event_at", delay).withColumn("at_ms", F.unix_millis("event_at"))
+    schema = StructType(key_fields + StructType.fromDDL(fold.outputs + ", late boolean").fields)
+    timed = rows.withColumns({"at_ms": F.unix_millis(at), "ends": F.coalesce(ends, F.lit(False)) if ends is not None else F.lit(False)})
     return timed.groupBy(*keys).transformWithStateInPandas(
-        OrderedReplay(fold, list(order), list(keep), schema), schema, "Append", "EventTime")
+        OrderedReplay(fold, list(order), list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
 
 
-def breaker(calls: DataFrame, fold: Fold | None = None, delay: str = "0 seconds") -> DataFrame:
+def breaker(calls: DataFrame, delay_s: float, fold: Fold | None = None, ends: Column | None = None) -> DataFrame:
     rows = call_ops.with_outcome(calls).withColumn("at_s", F.unix_micros("ts") / 1e6)
     fold = fold or folds.breaker_fold()
     fold = Fold(fold.inputs, fold.outputs, folds.counting_trips(fold.step))
-    return replay(rows, ["model"], F.col("ts"), ["at_s", "call_id"], ["call_id"], fold, delay)
+    return replay(rows, ["model"], F.col("ts"), ["at_s", "call_id"], ["call_id"], fold, delay_s, ends)
 
 
-def retry_grants(calls: DataFrame, seconds: int = c.WINDOW_S, delay: str = "0 seconds") -> DataFrame:
+def retry_grants(calls: DataFrame, delay_s: float, seconds: int = c.WINDOW_S, ends: Column | None = None) -> DataFrame:
     rows = calls.withColumn("win", call_ops.window_id(F.col("ts"), seconds)).withColumn("at_us", F.unix_micros("ts"))
-    return replay(rows, ["model"], F.col("ts"), ["at_us", "call_id"], ["call_id"], folds.RETRIES, delay)
+    return replay(rows, ["model"], F.col("ts"), ["at_us", "call_id"], ["call_id"], folds.RETRIES, delay_s, ends)
 
 
-def page_states(deliveries: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def page_states(deliveries: DataFrame, delay_s: float, ends: Column | None = None) -> DataFrame:
     """Deliveries (job_id, page_idx, at, step, ...) with the page's state afterwards."""
-    return replay(deliveries, ["job_id", "page_idx"], F.col("at"), ["step"], ["step"], folds.PAGES, delay)
+    return replay(deliveries, ["job_id", "page_idx"], F.col("at"), ["step"], ["step"], folds.PAGES, delay_s, ends)
 
 
 # --- reassembly ---------------------------------------------------------------------------------------
 
-def without_duplicates(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Frames (job_id, seq, at) with repeats inside the watermark's reach dropped."""
-    return frames.withWatermark("at", delay).dropDuplicatesWithinWatermark(["job_id", "seq"])
+SEQ_BLOCK = 1024  # sequence numbers of a job that share a state row
+
+
+def told_apart(frames: DataFrame, keep: Sequence[str] = (), delay_s: float = 3600) -> DataFrame:
+    """Every frame (job_id, seq, at) with ``what``: ``first``, ``repeat`` of a seq seen within ``delay_s``, or ``late``, older than that."""
+    schema = StructType([StructField("job_id", frames.schema["job_id"].dataType), StructField("seq", LongType()), *[frames.schema[k] for k in keep], StructField("what", StringType())])
+    rows = frames.withColumns({"at_ms": F.unix_millis("at"), "block": F.floor(F.col("seq") / SEQ_BLOCK)})
+    return rows.groupBy("job_id", "block").transformWithStateInPandas(UniqueFrames(list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
+
+
+def without_duplicates(frames: DataFrame, keep: Sequence[str] = (), delay_s: float = 3600) -> DataFrame:
+    """Frames with repeats left out, also those too late to be told."""
+    return told_apart(frames, keep, delay_s).filter("what = 'first'").drop("what")
 
 
-def reassembled(frames: DataFrame, idle_s: int | None = None) -> DataFrame:
-    """Frames (job_id, seq, page_idx, payload, total_pages) as pages in document order, with one
-    completion per job and a ``late`` row for every frame that comes again; with ``idle_s`` also a row whenever a job has been silent that long."""
-    rows = frames.select("job_id", "seq", F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
+def reassembled(frames: DataFrame, idle_s: int | None = None, keep_s: int | None = None) -> DataFrame:
+    """Frames (job_id, seq, page_idx, payload, total_pages; kind, if jobs may fail) as pages in document order, with one
+    completion or failure per job and a ``late`` row for every frame that comes again or after a failure; with ``idle_s`` also a row whenever
+    a job has been silent that long. With ``keep_s`` nothing is kept of a job so long after its end."""
+    kind = F.col("kind") if "kind" in frames.columns else F.lit(None).cast("string")
+    rows = frames.select("job_id", "seq", kind.alias("kind"), F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
     # Timers keep a stream running even when nothing arrives, so they are only asked for when needed.
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        Reassembly(idle_s), REASSEMBLED, "Append", "None" if idle_s is None else "ProcessingTime")
+    timers = "None" if idle_s is None and keep_s is None else "ProcessingTime"
+    return rows.groupBy("job_id").transformWithStateInPandas(Reassembly(idle_s, keep_s), REASSEMBLED, "Append", timers)
 
 
 # --- exactly-once sinks and gauges ----------------------------------------------------------------------

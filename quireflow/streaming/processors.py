@@ -1,9 +1,10 @@
 """State processors: the fold steps of ``operators.folds`` over live streams.
 
-Rows of a key arrive unordered within and across micro-batches. Replays therefore hold rows in
-state until the event-time watermark has passed them and fold them in order; a row that comes after its
-turn is returned without outputs, so it can be counted; reassembly orders by
-sequence number instead and holds frames behind a gap until the gap fills.
+Rows of a key arrive unordered within and across micro-batches. Spark's event-time operators drop what its watermark has passed
+without a trace, so the processors here keep an event-time clock of their own (per key: the latest time seen) and hold rows until
+the clock is ``delay`` ahead of them. Every row that comes in goes out: in its turn, or flagged as late. A row that ends the
+input of a key (``ends``) closes what is open. Reassembly orders by sequence number instead and holds frames behind a gap until it
+fills.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quireflow.operators import folds
 from quireflow.operators.scan import Fold
 
 _TEXT = StructType([StructField("text", StringType())])
-_HELD = StructType([StructField("at_ms", LongType()), StructField("row", StringType())])
-
+_NUMBER = StructType([StructField("number", LongType())])
 
 def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list]:
     for batch in batches:
@@ -38,54 +38,173 @@ def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 
 
 class OrderedReplay(StatefulProcessor):
-    """A fold in event-time order. Input rows carry ``at_ms``; ``order`` breaks ties; rows behind
-    what has been folded already are late and have null outputs."""
+    """A fold in event-time order. Input rows carry ``at_ms`` and ``ends``; ``order``, which starts with the time, breaks ties. Rows
+    behind what has been folded already come out with ``late`` set and null outputs.
+
+    Held rows lie in a map by slice of time, ``SLICES`` to a delay, so a batch touches only the slices it has rows in and those
+    that fall due."""
 
-    def __init__(self, fold: Fold, order: list[str], keep: list[str], schema: StructType) -> None:
+    SLICES = 32
+
+    def __init__(self, fold: Fold, order: list[str], keep: list[str], schema: StructType, delay_ms: int) -> None:
         self.fold, self.order, self.keep, self.schema = fold, order, keep, schema
-        self.columns = list(dict.fromkeys(["at_ms", *order, *keep, *fold.inputs]))
+        self.delay_ms, self.width = delay_ms, max(1, delay_ms // self.SLICES)
+        self.columns = list(dict.fromkeys(["at_ms", "ends", *order, *keep, *fold.inputs]))
+        self.place = [self.columns.index(n) for n in order]
+        self.inputs = [self.columns.index(n) for n in fold.inputs]
+        self.kept = [self.columns.index(n) for n in keep]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("state", _TEXT)
-        self.held = handle.getListState("held", _HELD)
+        self.held = handle.getMapState("held", _NUMBER, _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [(int(row[0]), json.dumps(row)) for row in _rows(rows, self.columns)]
-        if new:
-            self.held.appendList(new)
-            self.handle.registerTimer(max(at for at, _ in new))
-        watermark_ms = timerValues.getCurrentWatermarkInMs()
-        if new and min(at for at, _ in new) <= watermark_ms:  # otherwise the timer folds them
-            yield from self._fold(key, watermark_ms)
+        saved = self.state.get()
+        state, last, clock, slices = json.loads(saved[0]) if saved else (None, None, None, [])
+        out, new, ends = [], {}, False
+        nothing = [None] * len(self.schema.fields[len(key) + len(self.kept) : -1])
+        for row in _rows(rows, self.columns):
+            if row[1]:
+                ends = True
+                continue
+            if last is not None and [row[k] for k in self.place] <= last:
+                out.append((*key, *[row[k] for k in self.kept], *nothing, True))
+            else:
+                new.setdefault(int(row[0]) // self.width, []).append(row)
+            clock = max(clock if clock is not None else int(row[0]), int(row[0]))
+        due = clock - self.delay_ms if clock is not None else None
+        waiting, ready = set(slices) | set(new), []
+        for at in sorted(waiting):
+            if not ends and at * self.width > due:
+                break
+            held = new.pop(at, [])
+            if at in slices:
+                held += json.loads(self.held.getValue((at,))[0])
+                self.held.removeKey((at,))
+            waiting.discard(at)
+            stay = [] if ends else [r for r in held if r[0] > due]
+            ready += held if ends else [r for r in held if r[0] <= due]
+            if stay:
+                self.held.updateValue((at,), (json.dumps(stay),))
+                waiting.add(at)
+                break
+        for at, held in new.items():
+            if at in slices:
+                held = json.loads(self.held.getValue((at,))[0]) + held
+            self.held.updateValue((at,), (json.dumps(held),))
+        for row in sorted(ready, key=lambda r: [r[k] for k in self.place]):
+            state, values = self.fold.step(state, *[row[k] for k in self.inputs])
+            last = [row[k] for k in self.place]
+            out.append((*key, *[row[k] for k in self.kept], *values, False))
+        self.state.update((json.dumps([state, last, clock, sorted(waiting)]),))
+        if out:
+            yield _frame(out, self.schema)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+    def close(self) -> None:
+        pass
 
-    def _fold(self, key: Any, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        held = list(self.held.get())
-        ready = [json.loads(row) for at, row in held if at <= watermark_ms]
-        if not ready:
-            return
-        self.held.clear()
-        waiting = [(at, row) for at, row in held if at > watermark_ms]
-        if waiting:
-            self.held.put(waiting)
-        place = [self.columns.index(n) for n in self.order]
-        inputs = [self.columns.index(n) for n in self.fold.inputs]
-        kept = [self.columns.index(n) for n in self.keep]
+
+class LiveWindows(StatefulProcessor):
+    """Tumbling windows of a model from pre-aggregated rows (``COUNTED``): each comes out once, as ``window``, when the clock is
+    ``delay`` past its end; rows of a window that has gone come out as ``late`` with their counts.
+
+    A window's latencies are kept as a count per slot, so its state is as large as the number of slots."""
+
+    COUNTS = ["calls", "throttled", "timeouts", "server_errors", "latencies"]
+    COUNTED = "model string, win bigint, slot double, calls bigint, throttled bigint, timeouts bigint, server_errors bigint, latencies bigint, at_us bigint"
+    SCHEMA = StructType([
+        StructField("model", StringType()), StructField("what", StringType()), StructField("win", LongType()), *[StructField(n, LongType()) for n in (
+            "calls", "throttled", "timeouts", "server_errors", "latencies")], StructField("p95", DoubleType())])
+
+    def __init__(self, width_us: int, delay_us: int, per_cent: int = 95) -> None:
+        self.width_us, self.delay_us, self.per_cent = width_us, delay_us, per_cent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _TEXT)
+        self.open = handle.getMapState("open", _NUMBER, _TEXT)
+
+    def _quantile(self, slots: list[list[float]], n: int) -> float:
+        rank = -(-self.per_cent * n // 100)
+        for value, many in slots:
+            rank -= many
+            if rank <= 0:
+                return value
+        return 0.0
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         saved = self.state.get()
-        state, last = json.loads(saved[0]) if saved else (None, None)
-        out = []
-        for row in sorted(ready, key=lambda r: [r[k] for k in place]):
-            here = [row[k] for k in place]
-            if last is not None and here <= last:  # late: the fold has gone past its place
-                out.append((*key, *[row[k] for k in kept], *[None] * (len(self.schema.fields) - len(key) - len(kept))))
+        clock, waiting = json.loads(saved[0]) if saved else (None, [])
+        waiting, out, ends = set(waiting), [], False
+        closed = (clock - self.delay_us) // self.width_us if clock is not None else None  # windows below have gone
+        fresh: dict[int, tuple[list[int], dict[float, int]]] = {}
+        late: dict[int, list[int]] = {}
+        for win, slot, at_us, *counts in _rows(rows, ["win", "slot", "at_us", *self.COUNTS]):
+            if win is None:
+                ends = True
                 continue
-            state, values = self.fold.step(state, *[row[k] for k in inputs])
-            last = here
-            out.append((*key, *[row[k] for k in kept], *values))
-        self.state.update((json.dumps([state, last]),))
+            win = int(win)
+            if closed is not None and win < closed:
+                late[win] = [a + int(b) for a, b in zip(late.get(win, [0] * len(counts)), counts)]
+            else:
+                sums, slots = fresh.setdefault(win, ([0] * len(counts), {}))
+                sums[:] = [a + int(b) for a, b in zip(sums, counts)]
+                if slot is not None:
+                    slots[slot] = slots.get(slot, 0) + int(counts[-1])
+            clock = max(clock if clock is not None else int(at_us), int(at_us))
+        closed = (clock - self.delay_us) // self.width_us if clock is not None else None
+        for win in sorted(waiting | set(fresh)):
+            goes = ends or win < closed
+            if win not in fresh and not goes:
+                continue
+            sums, slots = fresh.get(win, ([0] * len(self.COUNTS), {}))
+            if win in waiting:
+                old_sums, old_slots = json.loads(self.open.getValue((win,))[0])
+                sums = [a + b for a, b in zip(sums, old_sums)]
+                for value, many in old_slots:
+                    slots[value] = slots.get(value, 0) + many
+            listed = [[v, slots[v]] for v in sorted(slots)]
+            if goes:
+                out.append((*key, "window", win, *sums, self._quantile(listed, sums[-1])))
+                if win in waiting:
+                    self.open.removeKey((win,))
+                    waiting.discard(win)
+            else:
+                self.open.updateValue((win,), (json.dumps([sums, listed]),))
+                waiting.add(win)
+        out += [(*key, "late", win, *sums, None) for win, sums in sorted(late.items())]
+        self.state.update((json.dumps([clock, sorted(waiting)]),))
+        if out:
+            yield _frame(out, self.SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+
+class UniqueFrames(StatefulProcessor):
+    """Frames of a block of sequence numbers: ``first`` for a seq not seen within ``delay``, ``repeat`` for one that was, and
+    ``late`` for a frame older than that, of which nothing is known any more. What is kept are the seqs of the delay."""
+
+    def __init__(self, keep: list[str], schema: StructType, delay_ms: int) -> None:
+        self.keep, self.schema, self.delay_ms = keep, schema, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _TEXT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        clock, seen = json.loads(saved[0]) if saved else (None, {})
+        gone, out = clock - self.delay_ms if clock is not None else None, []
+        for at, seq, *kept in sorted(_rows(rows, ["at_ms", "seq", *self.keep]), key=lambda r: r[:2]):
+            name = str(int(seq))
+            if gone is not None and at < gone:
+                what = "late"
+            else:
+                what = "repeat" if name in seen else "first"
+                seen[name] = max(int(at), seen.get(name, int(at)))
+                clock = max(clock if clock is not None else int(at), int(at))
+            out.append((key[0], int(seq), *kept, what))
+        seen = {name: at for name, at in seen.items() if at >= clock - self.delay_ms}
+        self.state.update((json.dumps([clock, seen]),))
         if out:
             yield _frame(out, self.schema)
 
@@ -133,14 +252,15 @@ REASSEMBLED = StructType([
 
 class Reassembly(StatefulProcessor):
     """A job's frames back in document order: ``page`` rows for the contiguous prefix, one
-    ``complete`` row when all pages have arrived, a ``late`` row for each frame whose seq came before, ``idle``
-    rows while nothing comes.
+    ``complete`` row when all pages have arrived or one ``failed`` row when the job is said to have failed, a ``late`` row for each
+    frame whose seq came before or that comes after a failure, ``idle`` rows while nothing comes.
 
     Frames are applied in sequence; those behind a gap are held (one map entry each) until it
-    fills. What is kept of a complete job is one short row, by which late frames are known."""
+    fills. What is kept of an ended job is one short row, by which late frames are known; with ``keep_s`` that row goes as well so many
+    seconds after the end. ``idle_s`` and ``keep_s`` need processing-time timers."""
 
-    def __init__(self, idle_s: int | None = None) -> None:
-        self.idle_s = idle_s
+    def __init__(self, idle_s: int | None = None, keep_s: int | None = None) -> None:
+        self.idle_s, self.keep_s = idle_s, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -151,24 +271,29 @@ class Reassembly(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # The two counts tell whether the maps hold anything, so a job without gaps never reads them.
         saved = self.state.get()
-        last, following, done, complete, held, waiting = json.loads(saved[0]) if saved else (0, 0, 0, False, 0, 0)
+        last, following, done, ended, held, waiting = json.loads(saved[0]) if saved else (0, 0, 0, False, 0, 0)
+        was_ended = ended
         frames, pages, out = {}, {}, []
-        for seq, *frame in _rows(rows, ["seq", "page_idx", "payload", "total_pages"]):
-            if seq <= last or seq in frames or held and self.held.containsKey((int(seq),)):
+        for seq, kind, *frame in _rows(rows, ["seq", "kind", "page_idx", "payload", "total_pages"]):
+            if ended == "failed" or seq <= last or seq in frames or held and self.held.containsKey((int(seq),)):
                 out.append((*key, "late", frame[0], frame[1]))
             else:
-                frames[int(seq)] = frame
+                frames[int(seq)] = [kind, *frame]
 
-        while True:
+        while ended != "failed":
             if last + 1 in frames:
-                page_idx, payload, total = frames.pop(last + 1)
+                kind, page_idx, payload, total = frames.pop(last + 1)
             elif held and self.held.containsKey((last + 1,)):
-                page_idx, payload, total = json.loads(self.held.getValue((last + 1,))[0])
+                kind, page_idx, payload, total = json.loads(self.held.getValue((last + 1,))[0])
                 self.held.removeKey((last + 1,))
                 held -= 1
             else:
                 break
             last += 1
+            if kind == "job_failed":
+                ended = "failed"
+                out.append((*key, "failed", None, payload))
+                break
             if page_idx is not None and page_idx >= following and page_idx not in pages \
                     and not (waiting and self.waiting.containsKey((int(page_idx),))):
                 pages[int(page_idx)] = payload
@@ -184,29 +309,44 @@ class Reassembly(StatefulProcessor):
                         break
                     out.append((*key, "page", following, payload))
                     following += 1
-            if not complete and total and done >= total:
-                complete = True
+            if not ended and total and done >= total:
+                ended = "complete"
                 out.append((*key, "complete", None, None))
 
-        for seq, frame in frames.items():
-            self.held.updateValue((seq,), (json.dumps(frame),))
-            held += 1
-        for page_idx, payload in pages.items():
-            self.waiting.updateValue((page_idx,), (json.dumps(payload),))
-            waiting += 1
-        self.state.update((json.dumps([last, following, done, complete, held, waiting]),))
-        if self.idle_s is not None:
+        if ended == "failed":  # nothing held will ever be shown
+            for _, page_idx, payload, _ in frames.values():
+                out.append((*key, "late", page_idx, payload))
+            if held:
+                self.held.clear()
+            if waiting:
+                self.waiting.clear()
+            held = waiting = 0
+        else:
+            for seq, frame in frames.items():
+                self.held.updateValue((seq,), (json.dumps(frame),))
+                held += 1
+            for page_idx, payload in pages.items():
+                self.waiting.updateValue((page_idx,), (json.dumps(payload),))
+                waiting += 1
+        self.state.update((json.dumps([last, following, done, ended, held, waiting]),))
+        if self.idle_s is not None and not was_ended or ended and not was_ended and self.keep_s is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if not complete:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_s * 1000)
+            wait_s = self.keep_s if ended else self.idle_s
+            if wait_s is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_s * 1000)
         if out:
             yield _frame(out, REASSEMBLED)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        if saved and json.loads(saved[0])[3]:
+            self.state.clear()
+            self.held.clear()
+            self.waiting.clear()
+            return
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_s * 1000)
         yield _frame([(*key, "idle", None, None)], REASSEMBLED)
 
     def close(self) -> None:
         pass
-
