@@ -37,7 +37,6 @@ BUILT_IN_CANDIDATES = 200
 MAX_PAGE_CANDIDATES = 100_000
 # Boxes of one page that are matched in one row; pages with more go through the grid.
 MAX_PAGE_BOXES = 2000
-_CELLS_PER_BOX = 16  # most grid cells one box covers along an axis, less one
 
 
 # --- trees ------------------------------------------------------------------------------------
@@ -201,34 +200,29 @@ def boxes(ordered: DataFrame) -> DataFrame:
 
 
 def box_candidates(boxes_: DataFrame) -> DataFrame:
-    """Overlapping boxes of the same page (no page matches no page), found by a grid: both sides
-    are put into the cells they touch, and a combination counts in the first cell the two share,
-    so it is found once. A cell is as large as the page's average box, so cells hold few boxes,
-    but no smaller than a sixteenth of its largest, which bounds the copies of one box."""
+    """Overlapping boxes of the same page (no page matches no page), found by grids of several levels: the cells of level n have
+    sides of 2^n, and a box belongs to the level whose cells are just as large as it, so it touches four of them at most. Two boxes can
+    only meet in the level of the larger one; each side enters its own level and the coarser ones that the other side has on the page. A
+    combination counts in the first cell the two share, so it is found once."""
     keys = ["pair_id", "_page"]
-    placed = boxes_.withColumn("_page", F.coalesce("page", F.lit(-1)))
-    origin, cell = {}, {}
+    side_of = F.greatest("box.w", "box.h", F.lit(2.0**-60))
+    placed = boxes_.withColumn("_page", F.coalesce("page", F.lit(-1))).withColumn("_own", F.ceil(F.log2(side_of)).cast("int"))
+    levels = placed.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("side") == s, F.col("_own"))).alias(f"_{s}") for s in SIDES])  # a few numbers per page
+    other = F.when(F.col("side") == SIDES[0], F.col(f"_{SIDES[1]}")).otherwise(F.col(f"_{SIDES[0]}"))
+    entered = F.array_union(F.array("_own"), F.filter(other, lambda level: level > F.col("_own")))
+    gridded = placed.join(levels, keys).withColumn("_level", F.explode(entered)).withColumn("_cell", F.pow(F.lit(2.0), F.col("_level")))
     for at, size in (("x", "w"), ("y", "h")):
-        origin[at] = F.min(f"box.{at}").alias(f"_o{at}")
-        cell[at] = F.greatest(F.avg(f"box.{size}"), F.max(f"box.{size}") / _CELLS_PER_BOX, F.lit(1e-9)).alias(f"_c{at}")
-    sizes = placed.groupBy(*keys).agg(*origin.values(), *cell.values())
-
-    def index(at: str, value: Column) -> Column:
-        return F.floor((value - F.col(f"_o{at}")) / F.col(f"_c{at}"))
-
-    gridded = placed.join(sizes, keys)
-    for at, size in (("x", "w"), ("y", "h")):
-        first = index(at, F.col(f"box.{at}"))
-        last = index(at, F.col(f"box.{at}") + F.col(f"box.{size}"))
+        first = F.floor(F.col(f"box.{at}") / F.col("_cell"))
+        last = F.floor((F.col(f"box.{at}") + F.col(f"box.{size}")) / F.col("_cell"))
         gridded = gridded.withColumn(f"_f{at}", first).withColumn(f"_{at}", F.explode(F.sequence(first, F.greatest(first, last))))
-    gridded = gridded.select(*keys, "side", "idx", "type", "box", "_fx", "_fy", "_x", "_y")
+    gridded = gridded.select(*keys, "side", "idx", "type", "box", "_own", "_level", "_fx", "_fy", "_x", "_y")
 
     def half(side: str) -> DataFrame:
         return gridded.filter(F.col("side") == side).select(
-            *keys, "_x", "_y", *[F.col(n).alias(f"{side}_{n.strip('_')}") for n in ("_fx", "_fy", "idx", "type", "box")])
+            *keys, "_level", "_x", "_y", *[F.col(n).alias(f"{side}_{n.strip('_')}") for n in ("_own", "_fx", "_fy", "idx", "type", "box")])
 
-    first_shared = (F.col("_x") == F.greatest("pred_fx", "truth_fx")) & (F.col("_y") == F.greatest("pred_fy", "truth_fy"))
-    return half("pred").join(half("truth"), [*keys, "_x", "_y"]).filter(first_shared) \
+    here = (F.col("_level") == F.greatest("pred_own", "truth_own")) & (F.col("_x") == F.greatest("pred_fx", "truth_fx")) & (F.col("_y") == F.greatest("pred_fy", "truth_fy"))
+    return half("pred").join(half("truth"), [*keys, "_level", "_x", "_y"]).filter(here) \
         .withColumn("iou", shaping.iou(F.col("pred_box"), F.col("truth_box"))).filter("iou > 0") \
         .select("pair_id", F.col("_page").alias("page"), "pred_idx", "truth_idx", "pred_type", "truth_type", "iou")
 

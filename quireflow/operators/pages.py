@@ -13,6 +13,9 @@ from quireflow.operators import scan, stats
 
 PAGE = ["job_id", "page_idx"]
 
+# The statuses of a page, in order.
+PAGE_STATUSES = ("PENDING", "FAST_QUEUED", "FAST_PROCESSING", "FAST_COMPLETED", "SLOW_QUEUED", "SLOW_PROCESSING", "RETRY_WAIT", "COMPLETED", "FAILED")
+
 # The status changes a page may make ("" is the page's creation).
 TRANSITIONS = (
     ("", "PENDING"), ("PENDING", "FAST_QUEUED"), ("PENDING", "FAST_PROCESSING"), ("FAST_QUEUED", "FAST_PROCESSING"),
@@ -128,13 +131,12 @@ def completion(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """Jobs with finished pages, the pages in each status (``states``), whether they are complete, and whether
     only partly successful."""
     status = F.col("status")
-    each = pages.groupBy("job_id", "status").agg(F.count("*").alias("n"))  # a handful of statuses per job
-    states = each.groupBy("job_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("states"))
+    each = {name: F.count_if(status == name) for name in PAGE_STATUSES}  # one aggregation, no second shuffle for the map
     done = pages.groupBy("job_id").agg(
-        F.count_if(~intake.unfinished(status)).alias("finished"), F.count_if(status == "FAILED").alias("failed_pages"),
-        F.count_if(status == "COMPLETED").alias("completed_pages"))
+        F.count_if(~intake.unfinished(status)).alias("finished"), each["FAILED"].alias("failed_pages"), each["COMPLETED"].alias("completed_pages"),
+        F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("status"), each[n].alias("n")) for n in sorted(PAGE_STATUSES)]), lambda e: e["n"] > 0)).alias("states"))
     counts = ["finished", "failed_pages", "completed_pages"]
-    return jobs.select("job_id", "total_pages").join(done, "job_id", "left").join(states, "job_id", "left").fillna(0, counts) \
+    return jobs.select("job_id", "total_pages").join(done, "job_id", "left").fillna(0, counts) \
         .withColumn("complete", (F.col("finished") == F.col("total_pages")) & (F.col("total_pages") > 0)) \
         .withColumn("partial", F.col("complete") & (F.col("failed_pages") > 0))
 

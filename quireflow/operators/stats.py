@@ -74,8 +74,12 @@ def sketched_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: d
     lists = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_c") > 0, F.struct(slot_value(F.col("_slot")).alias("v"), F.col("_c").alias("c"))))).alias("_s"))
     upto = F.aggregate("_s", F.array().cast("array<struct<v:double,u:bigint>>"), lambda acc, s: F.array_append(
         acc, F.struct(s["v"].alias("v"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["u"], F.lit(0)) + s["c"]).alias("u"))))
-    ranked = lists.withColumn("_u", upto)
-    return ranked.select(*keys, *[F.get(F.filter("_u", lambda s, q=q: s["u"] >= F.ceil(F.col("_n") * F.lit(float(q)))), F.lit(0))["v"].alias(n) for n, q in wanted.items()])
+
+    def at(q: float) -> Column:
+        rank = F.ceil(F.col("_n") * F.lit(q))
+        return F.get(F.filter("_u", lambda s: s["u"] >= rank), F.lit(0))["v"]
+
+    return lists.withColumn("_u", upto).select(*keys, *[at(float(q)).alias(n) for n, q in wanted.items()])
 
 
 def fixed_histogram(df: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float]) -> DataFrame:

@@ -200,15 +200,55 @@ def live_sends(spark, sf):
     return spark.read.parquet(path).select("id", "queue")
 
 
+@query("s8_live_send_batches", ORACLE["s8_send_batches"])
+def live_send_batches(spark, sf):
+    """Batches and chunks of a stream of messages in five micro-batches, numbered as if it had come at once."""
+    rows = i.outbox(spark, sf).select("id", "queue", "sent_at")
+    path = scratch_path(spark, "numbered")
+    live.numbered_sends(_in_time(rows, F.col("id"), "outbox-in-order"), path).awaitTermination()
+    return spark.read.parquet(path).select("id", "queue", "batch", "chunk")
+
+
+def _present(gauges):
+    return gauges.groupBy("status").agg(F.max_by(F.struct("n", "oldest_us"), "turn").alias("g")).select("status", "g.*")
+
+
 @query("x12_live_gauges", i.with_inputs("page_state", f"""
 SELECT status, count(*) AS n, epoch_us(TIMESTAMP '{i.AS_OF}' - min(status_at)) / 1000000.0 AS oldest_s FROM page_state WHERE status NOT IN ('COMPLETED', 'FAILED') GROUP BY 1"""))
 def live_gauges(spark, sf):
-    state = i.pages(spark, sf).select("job_id", "page_idx", "status", "status_at", F.lit(1).alias("version"))
-    path = scratch_path(spark, "gauges")
-    earlier = state.withColumns({"status": F.lit("PENDING"), "version": F.lit(0)})  # every page also has a past
-    live.page_gauges(_written(state.unionByName(earlier), "page-states"), path, i.as_of()).awaitTermination()
-    gauges = spark.read.parquet(path)
-    return gauges.filter(F.col("batch_id") == gauges.agg(F.max("batch_id")).first()[0]).select("status", "n", "oldest_s")
+    """Unfinished pages per status from changes that come in any order; every page has been pending before."""
+    none = F.lit(None)
+    state = i.pages(spark, sf).select("job_id", "page_idx", "status", "status_at", F.lit("PENDING").alias("was_status"), F.col("created_at").alias("was_at"))
+    earlier = state.select("job_id", "page_idx", F.col("was_status").alias("status"), F.col("was_at").alias("status_at"), none.cast("string").alias("was_status"), none.cast("timestamp").alias("was_at"))
+    now = _present(live.run_available(live.gauges(_written(state.unionByName(earlier), "page-changes")))).filter("n > 0 and status not in ('COMPLETED', 'FAILED')")
+    return now.select("status", "n", ((F.unix_micros(i.as_of()) - F.col("oldest_us")) / 1e6).alias("oldest_s"))
+
+
+@query("x12_live_backlog", i.with_inputs("outbox", f"""
+SELECT queue, count(*) AS unsent, epoch_us(TIMESTAMP '{i.AS_OF}' - min(created_at)) / 1000000.0 AS oldest_s FROM outbox WHERE sent_at IS NULL GROUP BY 1"""))
+def live_backlog(spark, sf):
+    """Unsent messages per queue: each waits from its creation until it is sent."""
+    rows = i.outbox(spark, sf).select("id", "queue", "created_at", "sent_at")
+    none = F.lit(None)
+    waits = rows.select("id", F.col("queue").alias("status"), F.col("created_at").alias("status_at"), none.cast("string").alias("was_status"), none.cast("timestamp").alias("was_at"))
+    leaves = rows.filter("sent_at is not null").select("id", none.cast("string").alias("status"), none.cast("timestamp").alias("status_at"), F.col("queue").alias("was_status"), F.col("created_at").alias("was_at"))
+    now = _present(live.run_available(live.gauges(_written(waits.unionByName(leaves), "outbox-changes")))).filter("n > 0")
+    return now.select(F.col("status").alias("queue"), F.col("n").alias("unsent"), ((F.unix_micros(i.as_of()) - F.col("oldest_us")) / 1e6).alias("oldest_s"))
+
+
+@query("x12_live_calls_in_flight", i.with_inputs("calls", """
+SELECT model, epoch_us(max(ts)) AS newest_us, count(*) FILTER (WHERE ends_us > newest_us) AS n FROM (
+  SELECT *, epoch_us(ts) + CAST(floor(latency_s * 1000000) AS BIGINT) AS ends_us, max(epoch_us(ts)) OVER () AS newest_us FROM calls) GROUP BY model"""))
+def live_calls_in_flight(spark, sf):
+    """Calls per model that had not ended when the last call began: a call is +1 when it begins and -1 when it ends."""
+    calls = i.calls(spark, sf)
+    newest = calls.agg(F.max("ts").alias("ts")).first().ts
+    begins = calls.select("call_id", F.col("model").alias("status"), F.col("ts").alias("status_at"), F.lit(None).cast("string").alias("was_status"), F.lit(None).cast("timestamp").alias("was_at"))
+    ended = F.unix_micros("ts") + F.floor(F.col("latency_s") * 1_000_000).cast("bigint") <= F.unix_micros(F.lit(newest))
+    ends = calls.filter(ended).select("call_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("timestamp").alias("status_at"), F.col("model").alias("was_status"), F.col("ts").alias("was_at"))
+    now = _present(live.run_available(live.gauges(_written(begins.unionByName(ends), "call-changes"))))
+    newest_of = calls.groupBy("model").agg(F.max(F.unix_micros("ts")).alias("newest_us"))
+    return now.join(F.broadcast(newest_of), F.col("status") == F.col("model")).select("model", "newest_us", "n")
 
 
 @query("s1_state_tables", i.with_inputs("page_state", "SELECT job_id::VARCHAR AS job_id, page_idx, status, source FROM page_state"))

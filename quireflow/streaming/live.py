@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quireflow import contracts as c
 from quireflow.functions import calls as fx
 from quireflow.operators import calls as call_ops
-from quireflow.operators import folds, pages, stats
+from quireflow.operators import folds, scan, stats
 from quireflow.operators.scan import Fold
 from quireflow.session import ROCKSDB_PROVIDER, scratch_path
-from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, LiveWindows, OrderedReplay, Reassembly, UniqueFrames
+from quireflow.sources import stores
+from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, LiveWindows, OrderedReplay, Reassembly, StatusCounts, UniqueFrames
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -43,7 +43,7 @@ def counted_calls(calls: DataFrame, seconds: int, exact: bool, ends: Column) ->
     latency = F.when(~timed_out, F.col("latency_s"))
     one = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
     rows = call_ops.with_outcome(calls.filter(ends | ~F.col("replay"))).select(
-        "model", F.when(~ends, F.floor(F.unix_micros("ts") / (seconds * 1_000_000))).alias("win"),
+        "model", F.when(~ends, F.coalesce(F.floor(F.unix_micros("ts") / (seconds * 1_000_000)), F.lit(LiveWindows.NO_TIME))).alias("win"),
         (latency if exact else stats.slot_value(stats.slot_of(latency))).cast("double").alias("slot"), one(~ends).alias("calls"),
         one(F.col("outcome") == "throttled").alias("throttled"), one(timed_out).alias("timeouts"),
         one(~timed_out & (F.col("status") >= 500)).alias("server_errors"), one(latency.isNotNull()).alias("latencies"), F.unix_micros("ts").alias("at_us"))
@@ -120,14 +120,17 @@ def page_states(deliveries: DataFrame, delay_s: float, ends: Column | None = Non
 
 # --- reassembly ---------------------------------------------------------------------------------------
 
-SEQ_BLOCK = 1024  # sequence numbers of a job that share a state row
+SEQ_BLOCK = 1024  # sequence numbers of a job that share a clock
 
 
-def told_apart(frames: DataFrame, keep: Sequence[str] = (), delay_s: float = 3600) -> DataFrame:
-    """Every frame (job_id, seq, at) with ``what``: ``first``, ``repeat`` of a seq seen within ``delay_s``, or ``late``, older than that."""
+def told_apart(frames: DataFrame, keep: Sequence[str] = (), delay_s: float = 3600, shares: int | None = None) -> DataFrame:
+    """Every frame (job_id, seq, at) with ``what``: ``first``, ``repeat`` of a seq seen within ``delay_s``, or ``late``, older than that. Blocks of
+    sequence numbers are dealt to ``shares`` state rows (eight per shuffle partition), so no job holds one up."""
+    spark = frames.sparkSession
+    shares = shares or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType([StructField("job_id", frames.schema["job_id"].dataType), StructField("seq", LongType()), *[frames.schema[k] for k in keep], StructField("what", StringType())])
-    rows = frames.withColumns({"at_ms": F.unix_millis("at"), "block": F.floor(F.col("seq") / SEQ_BLOCK)})
-    return rows.groupBy("job_id", "block").transformWithStateInPandas(UniqueFrames(list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
+    rows = frames.withColumns({"at_ms": F.unix_millis("at"), "block": F.floor(F.col("seq") / SEQ_BLOCK)}).withColumn("share", F.pmod(F.xxhash64("job_id", "block"), F.lit(shares)))
+    return rows.groupBy("share").transformWithStateInPandas(UniqueFrames(list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
 
 
 def without_duplicates(frames: DataFrame, keep: Sequence[str] = (), delay_s: float = 3600) -> DataFrame:
@@ -156,57 +159,84 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], every
     return writer.start()
 
 
-def appended_once(batch: DataFrame, path: str, keys: Sequence[str], part: Column) -> None:
+def appended_once(batch: DataFrame, path: str, keys: Sequence[str], parts: int) -> None:
     """Rows of a batch whose keys the store at ``path`` does not hold yet, appended to it.
 
     What is there already stays as it is, so neither a repeated batch nor another split into batches changes
-    anything. ``part`` depends on the keys only; of the store, just the parts that the batch touches are read."""
+    anything. The store lies in ``parts`` folders by a hash of the keys; of it, just the folders that the batch touches are read."""
     spark = batch.sparkSession
-    fresh = batch.withColumn("part", part).dropDuplicates(list(keys)).persist()
-    touched = [r["part"] for r in fresh.select("part").distinct().collect()]
-    if touched:
-        try:
-            there = spark.read.schema(fresh.schema).parquet(path).filter(F.col("part").isin(touched)).select(*keys)
-            new = fresh.join(there, list(keys), "left_anti")
-        except AnalysisException:  # nothing has been written yet
-            new = fresh
-        new.select(fresh.columns).write.mode("append").partitionBy("part").parquet(path)
+    fresh = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).dropDuplicates(list(keys)).persist()
+    new = fresh
+    if _exists(spark, path):
+        touched = F.broadcast(fresh.select("part").distinct())  # a row per folder at most; prunes the folders that are read
+        there = spark.read.schema(fresh.schema).parquet(path).join(touched, "part", "left_semi").select(*keys)
+        new = fresh.join(there, list(keys), "left_anti")
+    new.select(fresh.columns).repartition("part").write.mode("append").partitionBy("part").parquet(path)
     fresh.unpersist()
 
 
-RESULT_PARTS = 64  # parts of a result store
-SEND_PART = 100_000  # ids of one part of the sent rows; ids rise, so batches touch few parts
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def results_once(results: DataFrame, path: str):
+STORE_PARTS = 64  # folders of a store; for larger stores give more: a batch reads the folders it has keys in
+
+
+def results_once(results: DataFrame, path: str, parts: int = STORE_PARTS):
     """Results (job_id, page_idx, ...) written once each, however they are split into batches."""
-    part = F.pmod(F.xxhash64("job_id"), F.lit(RESULT_PARTS))
-    return each_batch(results, lambda batch, _: appended_once(batch, path, ["job_id", "page_idx"], part))
+    return each_batch(results, lambda batch, _: appended_once(batch, path, ["job_id", "page_idx"], parts))
 
 
-def send_once(outbox: DataFrame, path: str):
+def send_once(outbox: DataFrame, path: str, parts: int = STORE_PARTS):
     """Unsent rows (id, ...) exported once each, however often a batch is repeated."""
-    part = F.floor(F.col("id") / SEND_PART)
-    return each_batch(outbox, lambda batch, _: appended_once(batch.filter("sent_at is null"), path, ["id"], part))
-
-
-def page_gauges(state: DataFrame, path: str, as_of: Column, every: str | None = None):
-    """Unfinished pages per status and their ages after every batch, over all pages seen so far (state log:
-    job_id, page_idx, status, status_at, version): the newest status per page counts.
-
-    The newest statuses are a snapshot under ``path``_pages, a folder per batch made from the one
-    before, so a repeated batch makes the same snapshot again."""
-    page = ["job_id", "page_idx"]
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = batch.select(*page, "status", "status_at", "version")
-        if batch_id > 0:
-            known = known.unionByName(spark.read.schema(known.schema).parquet(f"{path}_pages/{batch_id - 1}"))
-        newest = known.groupBy(*page).agg(F.max_by(F.struct("status", "status_at", "version"), "version").alias("s")).select(*page, "s.*")
-        newest.write.mode("overwrite").parquet(f"{path}_pages/{batch_id}")
-        newest = spark.read.schema(known.schema).parquet(f"{path}_pages/{batch_id}")
-        pages.unfinished_ages(newest, as_of).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-
-    return each_batch(state, write, every)
+    return each_batch(outbox, lambda batch, _: appended_once(batch.filter("sent_at is null"), path, ["id"], parts))
+
+
+def numbered_sends(outbox: DataFrame, path: str):
+    """Unsent rows (id, queue, ...), which come in the order of their ids, under ``path`` with ``batch`` and ``chunk`` as
+    ``stores.send_batches`` numbers them: both go on where the last micro-batch stopped, however the stream is cut.
+
+    What goes on are counters, a row per queue, written under ``path``_counters for each micro-batch and read by the next; a repeated
+    micro-batch starts from the same ones and writes the same rows again."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = spark.read.parquet(f"{path}_counters/{batch_id - 1}").collect() if batch_id else []  # a row per queue
+        sent = sum(r.sent for r in before)
+        going_on = sent // c.SEND_BATCH
+        began = spark.createDataFrame([(going_on, r.queue, r.open) for r in before], "batch bigint, queue string, began bigint")
+        unsent = rows.filter("sent_at is null").drop("sent_at").withColumn("_all", F.lit(0))
+        placed = scan.numbered(unsent, ["_all"], ["id"], "_place", sent).withColumn("batch", F.floor(F.col("_place") / c.SEND_BATCH))
+        in_batch = F.row_number().over(Window.partitionBy("batch", "queue").orderBy("id")) - 1  # no more rows than a batch has
+        chunked = placed.join(F.broadcast(began), ["batch", "queue"], "left").withColumn("chunk", F.floor((in_batch + F.coalesce("began", F.lit(0))) / c.SEND_CHUNK))
+        chunked.drop("began", "_place", "_all").write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+        done = spark.read.schema(chunked.drop("began", "_place", "_all").schema).parquet(f"{path}/micro_batch={batch_id}")
+        now = {r.queue: r for r in done.groupBy("queue").agg(F.count("*").alias("n"), F.max("batch").alias("last")).collect()}
+        last = (sent + sum(r.n for r in now.values())) // c.SEND_BATCH
+        fresh = {r.queue: r.n for r in done.filter(F.col("batch") == last).groupBy("queue").agg(F.count("*").alias("n")).collect()}
+        old = {r.queue: r for r in before}
+        counters = [(q, (old[q].sent if q in old else 0) + (now[q].n if q in now else 0), fresh.get(q, 0) + (old[q].open if q in old and last == going_on else 0)) for q in sorted({*old, *now})]
+        spark.createDataFrame(counters, "queue string, sent bigint, open bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}_counters/{batch_id}")
+
+    return each_batch(outbox, write)
+
+
+def gauges(changes: DataFrame) -> DataFrame:
+    """Things per status and since when the oldest of them, after every batch that changes a status: (status, turn, n, oldest_us); the row of the
+    highest ``turn`` is the present one.
+
+    ``changes`` are rows (status, status_at, was_status, was_at), the last two null for a new thing, as change logs with a before-image give
+    them. Each counts +1 where the thing is and -1 where it was, so they may come in any order, and nothing is kept of a thing itself. Changes are summed
+    per status and time before the shuffle."""
+    both = F.array(F.struct(F.col("status"), F.unix_micros("status_at").alias("at_us"), F.lit(1).cast("bigint").alias("delta")),
+                   F.struct(F.col("was_status").alias("status"), F.unix_micros("was_at").alias("at_us"), F.lit(-1).cast("bigint").alias("delta")))
+    rows = changes.select(F.inline(both)).filter("status is not null").withColumn("at_us", F.coalesce("at_us", F.lit(0)))  # without a time: the oldest
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(["status", "at_us"]).aggregate([("delta", "sum")]).rename_columns(["status", "at_us", "delta"])
+            yield from sums.to_batches()
+
+    return rows.mapInArrow(summed, "status string, at_us bigint, delta bigint").groupBy("status") \
+        .transformWithStateInPandas(StatusCounts(), StatusCounts.SCHEMA, "Append", "None")

@@ -39,7 +39,7 @@ def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 
 class OrderedReplay(StatefulProcessor):
     """A fold in event-time order. Input rows carry ``at_ms`` and ``ends``; ``order``, which starts with the time, breaks ties. Rows
-    behind what has been folded already come out with ``late`` set and null outputs.
+    behind what has been folded already, or without a time or place, come out with ``late`` set and null outputs.
 
     Held rows lie in a map by slice of time, ``SLICES`` to a delay, so a batch touches only the slices it has rows in and those
     that fall due."""
@@ -67,11 +67,13 @@ class OrderedReplay(StatefulProcessor):
             if row[1]:
                 ends = True
                 continue
-            if last is not None and [row[k] for k in self.place] <= last:
+            place = [row[k] for k in self.place]
+            if row[0] is None or None in place or last is not None and place <= last:
                 out.append((*key, *[row[k] for k in self.kept], *nothing, True))
             else:
                 new.setdefault(int(row[0]) // self.width, []).append(row)
-            clock = max(clock if clock is not None else int(row[0]), int(row[0]))
+            if row[0] is not None:
+                clock = max(clock if clock is not None else int(row[0]), int(row[0]))
         due = clock - self.delay_ms if clock is not None else None
         waiting, ready = set(slices) | set(new), []
         for at in sorted(waiting):
@@ -108,8 +110,10 @@ class LiveWindows(StatefulProcessor):
     """Tumbling windows of a model from pre-aggregated rows (``COUNTED``): each comes out once, as ``window``, when the clock is
     ``delay`` past its end; rows of a window that has gone come out as ``late`` with their counts.
 
-    A window's latencies are kept as a count per slot, so its state is as large as the number of slots."""
+    A window's latencies are kept as a count per slot, so its state is as large as the number of slots. Calls without a time
+    (``NO_TIME``) are late, of no window."""
 
+    NO_TIME = -(1 << 62)
     COUNTS = ["calls", "throttled", "timeouts", "server_errors", "latencies"]
     COUNTED = "model string, win bigint, slot double, calls bigint, throttled bigint, timeouts bigint, server_errors bigint, latencies bigint, at_us bigint"
     SCHEMA = StructType([
@@ -143,8 +147,10 @@ class LiveWindows(StatefulProcessor):
                 ends = True
                 continue
             win = int(win)
-            if closed is not None and win < closed:
+            if win == self.NO_TIME or closed is not None and win < closed:
                 late[win] = [a + int(b) for a, b in zip(late.get(win, [0] * len(counts)), counts)]
+                if win == self.NO_TIME:
+                    continue
             else:
                 sums, slots = fresh.setdefault(win, ([0] * len(counts), {}))
                 sums[:] = [a + int(b) for a, b in zip(sums, counts)]
@@ -171,7 +177,7 @@ class LiveWindows(StatefulProcessor):
             else:
                 self.open.updateValue((win,), (json.dumps([sums, listed]),))
                 waiting.add(win)
-        out += [(*key, "late", win, *sums, None) for win, sums in sorted(late.items())]
+        out += [(*key, "late", None if win == self.NO_TIME else win, *sums, None) for win, sums in sorted(late.items())]
         self.state.update((json.dumps([clock, sorted(waiting)]),))
         if out:
             yield _frame(out, self.SCHEMA)
@@ -181,8 +187,9 @@ class LiveWindows(StatefulProcessor):
 
 
 class UniqueFrames(StatefulProcessor):
-    """Frames of a block of sequence numbers: ``first`` for a seq not seen within ``delay``, ``repeat`` for one that was, and
-    ``late`` for a frame older than that, of which nothing is known any more. What is kept are the seqs of the delay."""
+    """Frames of a share of all blocks of sequence numbers: ``first`` for a seq not seen within ``delay``, ``repeat`` for one that was, and
+    ``late`` for a frame older than that, of which nothing is known any more. Each block has its own clock; what is kept are the seqs
+    of the delay."""
 
     def __init__(self, keep: list[str], schema: StructType, delay_ms: int) -> None:
         self.keep, self.schema, self.delay_ms = keep, schema, delay_ms
@@ -192,19 +199,24 @@ class UniqueFrames(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         saved = self.state.get()
-        clock, seen = json.loads(saved[0]) if saved else (None, {})
-        gone, out = clock - self.delay_ms if clock is not None else None, []
-        for at, seq, *kept in sorted(_rows(rows, ["at_ms", "seq", *self.keep]), key=lambda r: r[:2]):
-            name = str(int(seq))
-            if gone is not None and at < gone:
+        blocks = json.loads(saved[0]) if saved else {}
+        gone = {name: clock - self.delay_ms for name, (clock, _) in blocks.items()}
+        out = []
+        everything = list(_rows(rows, ["at_ms", "seq", "job_id", "block", *self.keep]))
+        out += [(job_id, seq, *kept, "late") for at, seq, job_id, _, *kept in everything if at is None or seq is None]  # nothing can be told
+        for at, seq, job_id, block, *kept in sorted((r for r in everything if r[0] is not None and r[1] is not None), key=lambda r: r[:2]):
+            at, name, place = int(at), f"{job_id}/{int(block)}", str(int(seq))
+            if name in gone and at < gone[name]:
                 what = "late"
             else:
-                what = "repeat" if name in seen else "first"
-                seen[name] = max(int(at), seen.get(name, int(at)))
-                clock = max(clock if clock is not None else int(at), int(at))
-            out.append((key[0], int(seq), *kept, what))
-        seen = {name: at for name, at in seen.items() if at >= clock - self.delay_ms}
-        self.state.update((json.dumps([clock, seen]),))
+                clock, seen = blocks.setdefault(name, [at, {}])
+                what = "repeat" if place in seen else "first"
+                seen[place] = max(at, seen.get(place, at))
+                blocks[name][0] = max(clock, at)
+            out.append((job_id, int(seq), *kept, what))
+        for name, (clock, seen) in blocks.items():
+            blocks[name][1] = {place: at for place, at in seen.items() if at >= clock - self.delay_ms}
+        self.state.update((json.dumps(blocks),))
         if out:
             yield _frame(out, self.schema)
 
@@ -212,6 +224,49 @@ class UniqueFrames(StatefulProcessor):
         pass
 
 
+class StatusCounts(StatefulProcessor):
+    """How many things are in a status and since when the oldest, from changes (at_us, delta) of +1 and -1 in any order. Counts are
+    kept per time, by hour: an hour that has come to nothing is dropped."""
+
+    HOUR_US = 3_600_000_000
+    SCHEMA = StructType([StructField("status", StringType()), StructField("turn", LongType()), StructField("n", LongType()), StructField("oldest_us", LongType())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _TEXT)
+        self.hours = handle.getMapState("hours", _NUMBER, _TEXT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        turn, n, open_ = json.loads(saved[0]) if saved else (0, 0, [])
+        open_, changes = set(open_), {}
+        for at, delta in _rows(rows, ["at_us", "delta"]):
+            times = changes.setdefault(int(at) // self.HOUR_US, {})
+            times[str(int(at))] = times.get(str(int(at)), 0) + int(delta)
+            n += int(delta)
+        for hour, times in changes.items():
+            if hour in open_:
+                for at, many in json.loads(self.hours.getValue((hour,))[0]).items():
+                    times[at] = times.get(at, 0) + many
+            times = {at: many for at, many in times.items() if many}
+            if times:
+                self.hours.updateValue((hour,), (json.dumps(times),))
+                open_.add(hour)
+            elif hour in open_:
+                self.hours.removeKey((hour,))
+                open_.discard(hour)
+        oldest = None
+        for hour in sorted(open_):  # an hour may hold nothing but changes that wait for their counterpart
+            waiting = [int(at) for at, many in json.loads(self.hours.getValue((hour,))[0]).items() if many > 0]
+            if waiting:
+                oldest = min(waiting)
+                break
+        self.state.update((json.dumps([turn + 1, n, sorted(open_)]),))
+        yield _frame([(*key, turn + 1, n, oldest)], self.SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+
 class LimitsReplay(StatefulProcessor):
     """Adaptive limits over closed windows, which arrive once each; windows without calls in
     between are idle and count as healthy."""

@@ -11,10 +11,12 @@ from quireflow.streaming import live
 SF = "/root/testdata/sf0.001"
 
 
-def streamed(df, parts=3):
-    """``df`` as a stream of several files, read one per micro-batch, in scrambled order."""
+def streamed(df, parts=3, last=None):
+    """``df`` as a stream of several files, read one per micro-batch, in scrambled order, and ``last`` behind them."""
     path = scratch_path(df.sparkSession, "test-stream")
     df.repartition(parts, F.xxhash64(*df.columns)).write.parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
     live.use_rocksdb(df.sparkSession)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -23,37 +25,68 @@ def test_breaker_and_budget(spark):
     calls = inputs.calls(spark, SF)
     fold = folds.breaker_fold(open_s=3600.0)
     names = ["model", "call_id", "permit", "breaker", "trips"]
-    batch = {r[1]: r for r in rows(folds.replay_breaker(calls, fold=fold).select(names))}
-    whole = live.run_available(live.breaker(streamed(calls, 1), fold))
-    assert rows(whole.select(names)) == sorted(batch.values(), key=str)
-    grants = live.run_available(live.retry_grants(streamed(calls, 1), inputs.WINDOW_S))
+    batch = rows(folds.replay_breaker(calls, fold=fold).select(names))
+    ends = F.col("call_id").isNull()
+    last = spark.createDataFrame([("layout",), ("vlm",)], "model string").select(*[F.col(c) if c == "model" else F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in calls.columns])
+    whole = live.run_available(live.breaker(streamed(calls, 1, last), 0, fold, ends))
+    assert rows(whole.select(names)) == batch and whole.filter("late").isEmpty()
+    scattered = live.run_available(live.breaker(streamed(calls, 4, last), 40 * 86_400, fold, ends))  # waits for everything
+    assert rows(scattered.select(names)) == batch
+    grants = live.run_available(live.retry_grants(streamed(calls, 1, last), 0, inputs.WINDOW_S, ends))
     assert rows(grants.select("call_id", "granted")) == rows(folds.replay_retries(calls, inputs.WINDOW_S).select("call_id", "granted"))
 
 
-def test_rows_are_folded_in_order_across_batches(spark):
+def test_every_row_comes_out_in_its_turn_or_as_late(spark):
     base = spark.range(240).selectExpr("id % 2 k", "id", "timestamp_seconds(id * 60) at", "cast(id % 7 as int) v")
     from quireflow.operators.scan import Fold, replay
 
     fold = Fold(("v",), "total bigint", lambda s, v: ((s or 0) * 2 % 1009 + v, ((s or 0) * 2 % 1009 + v,)))
-    # Five files, one per batch; rows come up to half an hour late, the watermark waits an hour.
+    # Five files, one per batch; rows come up to half an hour late.
     path = scratch_path(spark, "test-stream")
     scattered = base.withColumn("part", F.floor((F.col("id") + F.pmod(F.hash("id"), F.lit(30))) / 60))
     for part in range(5):
         scattered.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    ends = spark.range(2).selectExpr("id k", "cast(null as bigint) id", "cast(null as timestamp) at", "cast(null as int) v")
+    ends.coalesce(1).write.mode("append").parquet(path)
     live.use_rocksdb(spark)
     source = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stream = live.run_available(live.replay(source, ["k"], F.col("at"), ["id"], ["id"], fold, delay="1 hour"))
     batch = {r.id: r.total for r in replay(base, ["k"], ["id"], fold).collect()}
-    got = {r.id: r.total for r in stream.collect()}
-    assert len(got) >= 100 and all(batch[k] == v for k, v in got.items())
+    patient = live.run_available(live.replay(source, ["k"], F.col("at"), ["id"], ["id"], fold, 3600, F.col("id").isNull())).collect()
+    assert {r.id: r.total for r in patient} == batch and not any(r.late for r in patient)
+    hasty = live.run_available(live.replay(source, ["k"], F.col("at"), ["id"], ["id"], fold, 60, F.col("id").isNull())).collect()
+    assert sorted(r.id for r in hasty) == list(range(240)) and 0 < sum(r.late for r in hasty) < 100
+    assert all((r.total is None) == r.late for r in hasty)
+    unended = live.run_available(live.replay(source, ["k"], F.col("at"), ["id"], ["id"], fold, 3600)).filter("id is not null").collect()
+    assert len(unended) < 240 and all(batch[r.id] == r.total for r in unended)  # what the clock has not passed stays open
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark):
+    """The checkpoint is the cursor: stopped after some batches and started again, every event comes once."""
+    events = spark.range(60).selectExpr("id job_id", "id % 5 seq", "'k' kind", "timestamp_seconds(id) at")
+    path, out = scratch_path(spark, "cursor-in"), scratch_path(spark, "cursor-out")
+    for part in range(3):
+        events.filter(f"job_id % 6 = {part}").coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        live.without_duplicates(source, ["kind"]).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/cursor") \
+            .trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.job_id for r in spark.read.parquet(f"{out}/rows").collect())
+
+    live.use_rocksdb(spark)
+    assert run() == [i for i in range(60) if i % 6 < 3]
+    for part in range(3, 6):
+        events.filter(f"job_id % 6 = {part}").coalesce(1).write.mode("append").parquet(path)
+    assert run() == list(range(60)) and run() == list(range(60))
 
 
 def test_page_states(spark):
-    deliveries = inputs.deliveries(spark, SF).filter("job_id < 60")
-    timed = deliveries.withColumn("at", F.lit(inputs.AS_OF).cast("timestamp") + F.make_dt_interval(secs=F.col("step")))
+    deliveries = inputs.deliveries(spark, SF)
     names = ["job_id", "page_idx", "step", "action", "status", "fast_attempts", "slow_attempts", "source"]
-    stream = live.run_available(live.page_states(streamed(timed, 1)))
-    assert rows(stream.select(names)) == rows(folds.replay_pages(deliveries, ["step"]).select(names))
+    stream = live.run_available(live.page_states(streamed(deliveries.withColumnRenamed("ts", "at"), 1), 0)).filter("not late")
+    batch = set(map(tuple, folds.replay_pages(deliveries, ["step"]).select(names).collect()))
+    got = set(map(tuple, stream.select(names).collect()))
+    assert got and got <= batch
 
 
 def test_reassembly_of_scattered_frames(spark):
@@ -68,36 +101,70 @@ def test_reassembly_of_scattered_frames(spark):
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
-def test_idle_jobs_are_reported(spark):
-    frames = spark.createDataFrame([(1, 1, 0, "a", 2), (2, 1, 0, "a", 1)], "job_id long, seq long, page_idx int, payload string, total_pages int")
-    path = scratch_path(spark, "idle")
-    query = live.reassembled(streamed(frames, 1), idle_s=1).writeStream.format("parquet").outputMode("append") \
-        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(processingTime="1 second").start()
+def started(stream, every="1 second"):
+    path = scratch_path(stream.sparkSession, "idle")
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(processingTime=every).start()
+    return query, f"{path}/out"
+
+
+def found(spark, path, what):
+    from quireflow.streaming.processors import REASSEMBLED
+
     try:
-        for _ in range(40):
+        return sorted(r.job_id for r in spark.read.schema(REASSEMBLED).parquet(path).filter(F.col("what") == what).select("job_id").distinct().collect())
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return []
+
+
+def test_idle_jobs_are_reported_and_ended_ones_forgotten(spark):
+    frames = spark.createDataFrame([(1, 1, "page_result", 0, "a", 2), (2, 1, "page_result", 0, "a", 1), (3, 1, "page_result", 0, "a", 9), (3, 2, "job_failed", None, None, 9)],
+                                   "job_id long, seq long, kind string, page_idx int, payload string, total_pages int")
+    query, path = started(live.reassembled(streamed(frames, 1), idle_s=1, keep_s=1))
+    try:
+        for _ in range(60):
             query.awaitTermination(1)
-            from quireflow.streaming.processors import REASSEMBLED
-            try:
-                idle = spark.read.schema(REASSEMBLED).parquet(f"{path}/out").filter("what = 'idle'").select("job_id").distinct().collect()
-            except Exception:  # noqa: BLE001 - nothing written yet
-                idle = []
-            if idle:
+            state = query.lastProgress and query.lastProgress.stateOperators
+            if found(spark, path, "idle") and state and state[0].numRowsTotal <= 2:
                 break
     finally:
         query.stop()
-    assert [r.job_id for r in idle] == [1]
+    # job 1 goes on; of jobs 2 and 3 nothing is left, and no timer of theirs has fired again
+    assert found(spark, path, "idle") == [1] and found(spark, path, "complete") == [2] and found(spark, path, "failed") == [3]
+    assert state[0].numRowsTotal <= 2
+
+
+def test_a_failed_job_shows_nothing_more(spark):
+    frames = spark.createDataFrame([(1, 1, "page_result", 0, "a", 3), (1, 3, "job_failed", None, "why", 3), (1, 2, "page_result", 1, "b", 3), (1, 4, "page_result", 2, "c", 3)],
+                                   "job_id long, seq long, kind string, page_idx int, payload string, total_pages int")
+    for parts in (1, 4):
+        out = sorted(((r.what, r.page_idx, r.payload) for r in live.run_available(live.reassembled(streamed(frames, parts))).collect()), key=str)
+        assert out == sorted([("page", 0, "a"), ("page", 1, "b"), ("failed", None, "why"), ("late", 2, "c")], key=str)
 
 
 def test_windows_and_limits(spark):
     from quireflow.operators import calls as ops
 
     calls = inputs.calls(spark, SF)
-    stream = live.run_available(live.limits(live.judged(live.call_windows(streamed(calls, 1), inputs.WINDOW_S))))
+    ends = F.col("call_id").isNull()
+    last = spark.createDataFrame([("layout",), ("vlm",)], "model string").select(*[F.col(c) if c == "model" else F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in calls.columns])
+    stream = live.run_available(live.limits(live.judged(live.call_windows(streamed(calls, 1, last), inputs.WINDOW_S, ends=ends))))
     judged = ops.judged(ops.with_idle_windows(ops.call_windows(calls, inputs.WINDOW_S))).select("model", "win", "verdict")
     names = ["model", "win", "verdict", "rps", "concurrency", "overload_streak", "healthy_streak"]
-    batch = set(map(tuple, folds.replay_limits(judged).select(names).collect()))
-    got = set(map(tuple, stream.select(names).collect()))
-    assert got and got <= batch
+    assert rows(stream.select(names)) == rows(folds.replay_limits(judged).select(names))
+
+
+def test_no_call_is_lost_and_sketches_are_near(spark):
+    calls = inputs.calls(spark, SF)
+    for parts in (1, 6):
+        out = live.run_available(live.window_rows(streamed(calls, parts), inputs.WINDOW_S, 30 * 86_400, exact=False))
+        assert out.isEmpty()  # nothing closes while the clock has not passed
+    ends = F.col("call_id").isNull()
+    last = spark.createDataFrame([("layout",), ("vlm",)], "model string").select(*[F.col(c) if c == "model" else F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in calls.columns])
+    hasty = live.run_available(live.window_rows(streamed(calls, 6, last), inputs.WINDOW_S, 0, ends=ends))
+    counts = {r.what: r.n for r in hasty.groupBy("what").agg(F.sum("calls").alias("n")).collect()}
+    assert counts["late"] > 0 and sum(counts.values()) == calls.filter(~F.col("replay")).count()
+    exact, near = ({(r.model, r.win): r.p95 for r in live.run_available(live.call_windows(streamed(calls, 3, last), inputs.WINDOW_S, 40 * 86_400, e, ends)).collect()} for e in (True, False))
+    assert exact.keys() == near.keys() and all(abs(near[k] - v) <= 0.005 * v + 1e-12 for k, v in exact.items())
 
 
 def test_a_repeated_run_changes_nothing(spark):
@@ -114,9 +181,22 @@ def test_sends_and_gauges_over_several_batches(spark):
     for parts in (6, 3):  # the first batch may have nothing to send
         live.send_once(streamed(outbox, parts), path).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10, 30))
-    log = spark.range(70).selectExpr("id % 7 job_id", "0 page_idx", "if(id >= 63, 'FAST_QUEUED', 'PENDING') status", "timestamp_seconds(id) status_at", "cast(id as int) version")
-    path = scratch_path(spark, "gauges")
-    live.page_gauges(streamed(log, 4), path, F.lit("1970-01-02").cast("timestamp")).awaitTermination()
-    gauges = spark.read.parquet(path)
-    last = gauges.filter(F.col("batch_id") == gauges.agg(F.max("batch_id")).first()[0]).collect()
-    assert [(r.status, r.n) for r in last] == [("FAST_QUEUED", 7)]
+    changes = spark.range(70).selectExpr("if(id >= 63, 'FAST_QUEUED', 'PENDING') status", "timestamp_seconds(id) status_at", "if(id >= 7, 'PENDING', null) was_status", "if(id >= 7, timestamp_seconds(id - 7), null) was_at")
+    for parts in (1, 4):
+        turns = live.run_available(live.gauges(streamed(changes, parts))).collect()
+        now = {s: max((r.turn, r.n, r.oldest_us) for r in turns if r.status == s)[1:] for s in ("PENDING", "FAST_QUEUED")}
+        assert now == {"PENDING": (0, None), "FAST_QUEUED": (7, 63_000_000)}
+
+
+def test_send_numbers_go_on_however_the_stream_is_cut(spark):
+    from quireflow.sources import stores
+
+    outbox = spark.range(730).selectExpr("id", "concat('q', id * id % 3) queue", "if(id % 11 = 0, timestamp_seconds(id), null) sent_at")
+    want = rows(stores.send_batches(outbox).select("id", "queue", "batch", "chunk"))
+    for cuts in ([730], [95, 100, 101, 350, 730], [1, 2, 400, 700, 730]):
+        path, source = scratch_path(spark, "sends"), scratch_path(spark, "sends-in")
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            outbox.filter(f"id >= {a} and id < {b}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(outbox.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        live.numbered_sends(stream, path).awaitTermination()
+        assert rows(spark.read.parquet(path).select("id", "queue", "batch", "chunk")) == want
