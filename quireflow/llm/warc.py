@@ -3,11 +3,13 @@
 Writing. Each page is one record: ``response`` with its HTTP message, or ``revisit`` (headers only) if an earlier page id has the same
 payload. A record is a gzip member of its own. Spark's text writer lays the members end to end: a member's last byte is zero (the
 high byte of the length; a record of 16 MiB or more is followed by an empty member), and that byte is the writer's line separator,
-so the files are ordinary ``.warc.gz`` content in whatever store Spark writes to. A file holds ``PER_ARCHIVE`` records at most.
+so the files are ordinary ``.warc.gz`` content in whatever store Spark writes to. A file holds ``PER_ARCHIVE`` records at most, and a page of more
+than ``LARGE`` bytes is a file of its own, so no file comes near the two gigabytes that Spark's reader takes.
 
 Index. The archives are read back and walked member by member. Captures are sorted by reversed-host key over the whole corpus,
 cut into compressed blocks of ``PER_BLOCK`` lines, and a sparse directory keeps the first key of each block. ``lookup`` searches
-the directory, then the block; ``read_all`` goes through every block. Both load whole archives and cut the ranges of the records out.
+the directory, then the blocks, and loads only the archives it needs; ``read_all`` goes through every block. Both load whole archives and cut
+the ranges of the records out: tasks of Python have no way to seek in the stores that only Spark's readers reach.
 
 Edge cases. Null html: empty payload. Null url: no target URI, empty key. CR and LF in a url are percent-encoded. Pages of one payload with the same
 id are all the response if that id is the least. Payloads of fewer than ``min_bytes`` bytes are all responses. A null page id is
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from quireflow.llm.common import scratch_path, written
 
 PER_ARCHIVE, PER_BLOCK, BROADCAST_ROWS = 1000, 3000, 20_000
+#: Bytes of a page that gets an archive of its own; archives a lookup names one by one.
+LARGE, LISTED = 1_000_000, 1000
 DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 CAPTURE = "capture_key string, page_id long, path string, position long, size long, payload_digest string, record_type string"
@@ -48,6 +52,7 @@ def capture_key(url: str | None) -> str:
     """Reversed host, then port, path and query; the scheme, the user and the fragment play no part."""
     if url is None:
         return ""
+    url = url.replace("\r", "%0D").replace("\n", "%0A").replace("\t", "%09")  # as records and index lines hold it
     try:
         parts = urlsplit(url.strip())
         host, port = parts.hostname or "", parts.port
@@ -139,8 +144,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             made = [member(record(p, u, (h or "").encode(), r))[:-1] for p, u, h, r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
-    out = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    out.write.option("lineSep", "\0").option("maxRecordsPerFile", PER_ARCHIVE).text(path)
+    large = F.coalesce(F.octet_length("html"), F.lit(0)) > LARGE
+    for kind, chosen, most in (("pages", ~large, PER_ARCHIVE), ("large", large, 1)):
+        out = rows.where(chosen).mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+        out.write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(f"{path}/{kind}")
 
 
 def captures(spark: SparkSession, archives: str) -> DataFrame:
@@ -160,8 +167,8 @@ def captures(spark: SparkSession, archives: str) -> DataFrame:
     return binary_files(spark, archives).mapInArrow(run, CAPTURE)
 
 
-def binary_files(spark: SparkSession, archives: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
+def binary_files(spark: SparkSession, archives: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(archives).select("path", "content")
 
 
 def write_index(found: DataFrame, blocks: str, directory: str) -> None:
@@ -219,9 +226,9 @@ def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PAGE.split(", ")])
 
 
-def _fetched(spark: SparkSession, store: Store, wanted: DataFrame) -> DataFrame:
+def _fetched(spark: SparkSession, archives: str | list[str], wanted: DataFrame) -> DataFrame:
     ranges = wanted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("position", "size"))).alias("ranges"))
-    return binary_files(spark, store.archives).join(ranges, "path").select("content", "ranges").mapInArrow(_ranges, PAGE)
+    return binary_files(spark, archives).join(ranges, "path").select("content", "ranges").mapInArrow(_ranges, PAGE)
 
 
 def read_all(spark: SparkSession, store: Store) -> DataFrame:
@@ -233,7 +240,7 @@ def read_all(spark: SparkSession, store: Store) -> DataFrame:
                 rows = lines_of(data)
                 yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows]), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64())], names=["path", "position", "size"])
 
-    return _fetched(spark, store, spark.read.parquet(store.blocks).select("lines").mapInArrow(run, "path string, position long, size long"))
+    return _fetched(spark, store.archives, spark.read.parquet(store.blocks).select("lines").mapInArrow(run, "path string, position long, size long"))
 
 
 def lookup(spark: SparkSession, store: Store, url: str) -> DataFrame:
@@ -244,10 +251,17 @@ def lookup(spark: SparkSession, store: Store, url: str) -> DataFrame:
     near = directory.where(F.col("first_key") <= key)
     if before is not None:
         near = near.where(F.col("first_key") >= before)
-    wanted = [r["block"] for r in near.select("block").collect()]
-    found = []
-    for r in spark.read.parquet(store.blocks).where(F.col("block").isin(wanted)).select("lines").collect():
-        rows = lines_of(r["lines"])
-        low = bisect.bisect_left(rows, key, key=lambda x: x[0])
-        found += [(x[2], int(x[3]), int(x[4])) for x in rows[low : bisect.bisect_right(rows, key, key=lambda x: x[0])]]
-    return _fetched(spark, store, spark.createDataFrame(found, "path string, position long, size long"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("lines").to_pylist():
+                rows = lines_of(data)
+                low = bisect.bisect_left(rows, key, key=lambda x: x[0])
+                found = [(x[2], int(x[3]), int(x[4])) for x in rows[low : bisect.bisect_right(rows, key, key=lambda x: x[0])]]
+                kinds = (pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], k) for c, k in enumerate(kinds)], names=["path", "position", "size"])
+
+    blocks = spark.read.parquet(store.blocks).join(near.select("block"), "block", "left_semi").select("lines")
+    found = written(blocks.mapInArrow(run, "path string, position long, size long"))
+    paths = [r["path"] for r in found.select("path").distinct().limit(LISTED + 1).collect()]
+    return _fetched(spark, paths if 0 < len(paths) <= LISTED else store.archives, found)

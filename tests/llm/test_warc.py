@@ -63,3 +63,16 @@ def test_capture_keys():
     assert warc.capture_key("https://www.Example.com:443/a/b?q=1#f") == "com,example,www)/a/b?q=1"
     assert warc.capture_key("http://example.com:8080") == "com,example:8080)/"
     assert warc.capture_key("mailto:x") == "mailto:x" and warc.capture_key(None) == "" and warc.capture_key("http://[x") == "http://[x"
+
+
+def test_odd_urls_and_large_pages(spark, monkeypatch):
+    urls = ["nohost\tq", "http://a.example/x\ty", "http://a.example/x\r\ny", "plain\nline", None, "http://a.example/"]
+    rows = [(i, u, f"page {i} " * (2000 if i % 2 else 1)) for i, u in enumerate(urls)] + [(10 + i, "http://hot.example/", f"hot {i}") for i in range(30)]
+    monkeypatch.setattr(warc, "LARGE", 10_000)
+    store = warc.write_store(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for i, u in enumerate(urls):
+        if u is not None:
+            assert [(r.page_id, bytes(r.payload).decode()) for r in warc.lookup(spark, store, u).collect()] == [(i, rows[i][2])]
+    assert warc.lookup(spark, store, "http://hot.example/").count() == 30 and warc.lookup(spark, store, "http://none.example/").count() == 0
+    large = spark.read.format("binaryFile").load(f"{store.archives}/large/part-*").where("length > 0")
+    assert large.count() == 3 and warc.read_all(spark, store).count() == len(rows)
