@@ -369,10 +369,11 @@ class Reassembly(StatefulProcessor):
                 out.append((*key, "complete", None, None))
 
         if ended == "failed":  # nothing held will ever be shown
-            for _, page_idx, payload, _ in frames.values():
-                out.append((*key, "late", page_idx, payload))
             if held:
+                frames |= {seq: json.loads(text) for (seq,), (text,) in self.held.iterator()}
                 self.held.clear()
+            for _, page_idx, payload, _ in frames.values():
+                out.append((*key, "late", page_idx, payload))
             if waiting:
                 self.waiting.clear()
             held = waiting = 0
