@@ -129,3 +129,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 def sse_text(seq: Column, kind: Column, envelope: Column) -> Column:
     """One server-sent event; ``envelope`` is a struct (compact JSON) or a JSON string."""
     return F.concat(F.lit("id: "), seq.cast("string"), F.lit("\nevent: "), kind, F.lit("\ndata: "), envelope, F.lit("\n\n"))
+
+
+def envelope_field(envelope: Column, path: str, kind: str) -> Column:
+    """A field of a VARIANT envelope, read as ``kind``; null where it is absent or of another kind, so payloads of any schema may be mixed."""
+    return F.try_variant_get(envelope, path, kind)

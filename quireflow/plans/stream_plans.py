@@ -184,6 +184,25 @@ def envelope_fields(spark, sf):
                       F.get_json_object("envelope", "$.payload.source").alias("source"))
 
 
+@query("f10_variant_fields", """
+SELECT event_id, event_type AS kind, CASE WHEN event_type IN ('view', 'click') THEN value END AS seconds, CASE WHEN event_type = 'purchase' THEN (props->>'k')::BIGINT END AS items,
+  CASE WHEN event_type IN ('signup', 'error') THEN props END AS detail, CASE WHEN event_type IN ('view', 'click') THEN user_id END AS page FROM events""")
+def variant_fields(spark, sf):
+    """Envelopes whose payloads differ by kind, kept as VARIANT in a file and given a schema on reading."""
+    event = i.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    of = lambda *fields: F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(*fields).alias("payload")))
+    text = F.when(F.col("event_type").isin("view", "click"), of(F.col("value").alias("took"), F.struct(F.col("user_id").alias("page")).alias("at"))) \
+        .when(F.col("event_type") == "purchase", of(F.col("k").alias("took"), F.array("k", "user_id").alias("at"))).otherwise(of(F.col("props").alias("took")))
+    path = scratch_path(spark, "envelopes")
+    event.select("event_id", F.parse_json(text).alias("envelope")).write.parquet(path)
+    read = spark.read.parquet(path)
+    field = lambda where, kind: shaping.envelope_field(F.col("envelope"), where, kind)
+    kind = field("$.kind", "string")
+    return read.select("event_id", kind.alias("kind"), F.when(kind.isin("view", "click"), field("$.payload.took", "double")).alias("seconds"),
+                       F.when(kind == "purchase", field("$.payload.took", "bigint")).alias("items"), F.when(kind.isin("signup", "error"), field("$.payload.took", "string")).alias("detail"),
+                       field("$.payload.at.page", "bigint").alias("page"))
+
+
 @query("s9_document_trace", """
 SELECT conv_id AS request_id, turn AS place, role AS logger, md5(text) AS msg_md5, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations""")
 def document_trace(spark, sf):
