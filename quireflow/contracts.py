@@ -49,7 +49,6 @@ FETCH_LIMIT = 64
 SEND_BATCH = 100
 SEND_CHUNK = 10
 DUPLICATES_LISTED = 50
-HEARTBEAT_S = 15
 WINDOW_SIZE = 64
 
 # Histogram edges in seconds.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quireflow.operators import calls as call_ops
 from quireflow.operators import folds, stats
 from quireflow.plans import inputs as i
 from quireflow.plans import call_plans, page_plans  # noqa: F401 - their oracle SQL is shared
@@ -255,8 +256,35 @@ def live_calls_in_flight(spark, sf):
 def state_tables(spark, sf):
     """Pages through the table's own files and schema, every row written twice and read once."""
     path = scratch_path(spark, "pages")
-    rows = i.pages(spark, sf).withColumn("job_id", F.col("job_id").cast("string"))
-    have = {f.name for f in rows.schema.fields}
-    full = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in tables.schema("pages").fields])
+    full = tables.shaped(i.pages(spark, sf), "pages")
     full.unionByName(full).write.parquet(path)
     return tables.unique(tables.read_table(spark, "pages", path), "pages").select("job_id", "page_idx", "status", "source")
+
+
+@query("s1_table_files", i.with_inputs("jobs outbox outcomes stream_events", """
+SELECT 'clients' AS name, count(*) AS n, epoch_us(max(t)) AS newest_us FROM (SELECT client_id, min(created_at) AS t FROM jobs GROUP BY 1)
+UNION ALL SELECT 'jobs', count(*), epoch_us(max(created_at)) FROM jobs UNION ALL SELECT 'outbox', count(*), epoch_us(max(created_at)) FROM outbox
+UNION ALL SELECT 'model_attempts', count(*), epoch_us(max(ts)) FROM outcomes UNION ALL SELECT 'events', count(*), epoch_us(max(moment)) FROM stream_events"""))
+def table_files(spark, sf):
+    """The other tables through files of their own schema, every row written twice and read once; events are read as a stream."""
+    jobs, calls = i.jobs(spark, sf), i.calls(spark, sf)
+    made = {
+        "clients": jobs.groupBy("client_id").agg(F.min("created_at").alias("created_at")), "jobs": jobs, "outbox": i.outbox(spark, sf),
+        "model_attempts": call_ops.with_outcome(calls).select(
+            F.col("call_id").alias("id"), F.col("user_id").alias("job_id"), F.when(F.col("model") == "layout", "fast").otherwise("slow").alias("stage"), "outcome",
+            F.col("status").alias("http_status"), F.floor(F.col("latency_s") * 1000).alias("latency_ms"), F.col("ts").alias("created_at")),
+        "events": i.stream_events(spark, sf).withColumnRenamed("at", "created_at"),
+    }
+    out = None
+    for name, df in made.items():
+        path = scratch_path(spark, f"table-{name}")
+        for _ in range(2):
+            tables.shaped(df, name).write.mode("append").parquet(path)
+        if name == "events":
+            live.use_rocksdb(spark)
+            read = live.run_available(tables.unique(tables.stream_table(spark, name, path), name))
+        else:
+            read = tables.unique(tables.read_table(spark, name, path), name)
+        row = read.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.max(F.unix_micros("created_at")).alias("newest_us"))
+        out = row if out is None else out.unionByName(row)
+    return out

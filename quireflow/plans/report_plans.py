@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quireflow import contracts as c
 from quireflow.functions import shaping
+from quireflow.operators import calls as call_ops
 from quireflow.operators import ordered, reports, stats
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
@@ -122,6 +123,13 @@ def latency_histogram(spark, sf):
     return _latency_histogram(spark, sf)
 
 
+@query("d14_evaluation_histogram", i.with_inputs("outcomes", f"""
+SELECT outcome, e.le, count(*) FILTER (WHERE le IS NULL OR latency_s <= le) AS cumulative FROM outcomes, (SELECT unnest([{", ".join(str(e) for e in c.EVALUATION_EDGES)}, NULL]::DOUBLE[]) AS le) e WHERE NOT timed_out GROUP BY ALL"""))
+def evaluation_histogram(spark, sf):
+    """The finer edges of evaluation requests, here over calls by outcome."""
+    return stats.fixed_histogram(call_ops.with_outcome(i.calls(spark, sf)).filter("not timed_out"), ["outcome"], "latency_s", c.EVALUATION_EDGES)
+
+
 _WAITS = ", ".join(str(e) for e in c.PAGE_EDGES)
 
 

@@ -12,12 +12,6 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema("logs")).json(path)
 
 
-def parse_logs(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Log lines held in a text column; unreadable lines are dropped."""
-    parsed = lines.select(F.from_json(column, schema("logs")).alias("_l")).filter("_l is not null and _l.ts is not null")
-    return parsed.select("_l.*")
-
-
 def document_trace(logs: DataFrame, request_id: str | None = None) -> DataFrame:
     """Log lines of one request in time order, or those of all requests as they come: sorting whole logs
     is for whoever needs it."""

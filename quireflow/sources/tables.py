@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quireflow import contracts
+from quireflow.functions import intake
 
 
 def schema(name: str) -> StructType:
@@ -24,6 +25,12 @@ def stream_table(spark: SparkSession, name: str, path: str, files_per_batch: int
     return reader.parquet(path)
 
 
+def shaped(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the columns and types of a table; columns it does not have are null."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name).fields])
+
+
 def unique(df: DataFrame, name: str) -> DataFrame:
     """One row per key: files carry no constraints, so repeated rows are dropped on read."""
     return df.dropDuplicates(contracts.KEYS[name])
@@ -42,6 +49,5 @@ def split_documents(documents: DataFrame, lines_per_page: int = 20) -> DataFrame
     judged = counted.withColumn("refused_reason", reason)
     kept = judged.withColumn("_p", F.when(F.col("refused_reason").isNull(), pages))
     exploded = kept.select("job_id", "client_id", "total_pages", "refused_reason", F.inline_outer("_p"))
-    return exploded.withColumn("object_key", F.when(F.col("page_idx").isNotNull(), F.format_string(
-        "pages/%s/%04d.pdf", F.col("job_id").cast("string"), F.col("page_idx")))) \
+    return exploded.withColumn("object_key", F.when(F.col("page_idx").isNotNull(), intake.page_key(F.col("job_id"), F.col("page_idx")))) \
         .withColumn("status", F.when(F.col("page_idx").isNotNull(), "PENDING").otherwise("REJECTED"))
