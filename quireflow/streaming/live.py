@@ -138,15 +138,22 @@ def without_duplicates(frames: DataFrame, keep: Sequence[str] = (), delay_s: flo
     return told_apart(frames, keep, delay_s).filter("what = 'first'").drop("what")
 
 
-def reassembled(frames: DataFrame, idle_s: int | None = None, keep_s: int | None = None) -> DataFrame:
+def reassembled(frames: DataFrame, idle_s: int | None = None, keep_s: int | None = None, shares: int | None = None) -> DataFrame:
     """Frames (job_id, seq, page_idx, payload, total_pages; kind, if jobs may fail) as pages in document order, with one
     completion or failure per job and a ``late`` row for every frame that comes again or after a failure; with ``idle_s`` also a row whenever
-    a job has been silent that long. With ``keep_s`` nothing is kept of a job so long after its end."""
+    a job has been silent that long. With ``keep_s`` nothing is kept of a job so long after its end.
+
+    Jobs are dealt to ``shares`` state rows (eight per shuffle partition). A batch reads the rows it has jobs in, so a store of very
+    many jobs wants more of them."""
+    spark = frames.sparkSession
+    shares = shares or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = F.col("kind") if "kind" in frames.columns else F.lit(None).cast("string")
-    rows = frames.select("job_id", "seq", kind.alias("kind"), F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
+    # The job as a string: beside a null, pandas would make a number of it that cannot hold every id.
+    rows = frames.select(F.pmod(F.xxhash64("job_id"), F.lit(shares)).alias("share"), F.col("job_id").cast("string").alias("job"), "seq", kind.alias("kind"),
+                         F.col("page_idx").cast("bigint").alias("page_idx"), "payload", F.col("total_pages").cast("bigint").alias("total_pages"))
     # Timers keep a stream running even when nothing arrives, so they are only asked for when needed.
     timers = "None" if idle_s is None and keep_s is None else "ProcessingTime"
-    return rows.groupBy("job_id").transformWithStateInPandas(Reassembly(idle_s, keep_s), REASSEMBLED, "Append", timers)
+    return rows.groupBy("share").transformWithStateInPandas(Reassembly(idle_s, keep_s), REASSEMBLED, "Append", timers)
 
 
 # --- exactly-once sinks and gauges ----------------------------------------------------------------------

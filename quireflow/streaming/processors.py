@@ -306,103 +306,151 @@ REASSEMBLED = StructType([
 
 
 class Reassembly(StatefulProcessor):
-    """A job's frames back in document order: ``page`` rows for the contiguous prefix, one
+    """The jobs of a share, each with its frames back in document order: ``page`` rows for the contiguous prefix, one
     ``complete`` row when all pages have arrived or one ``failed`` row when the job is said to have failed, a ``late`` row for each
     frame whose seq came before or that comes after a failure, ``idle`` rows while nothing comes.
 
-    Frames are applied in sequence; those behind a gap are held (one map entry each) until it
-    fills. What is kept of an ended job is one short row, by which late frames are known; with ``keep_s`` that row goes as well so many
-    seconds after the end. ``idle_s`` and ``keep_s`` need processing-time timers."""
+    Frames are applied in sequence; those behind a gap are held until it fills. A share is one state row with a short list per job, which
+    carries up to ``INLINE`` held frames and as many waiting pages; what a job holds beyond that has a map entry each, so a hot job is not read as a whole.
+    Of an ended job the short list stays, by which late frames are known; with ``keep_s`` that goes as well so many
+    seconds after the end. ``idle_s`` and ``keep_s`` need processing-time timers; a share's timer is set to the first job that is due."""
+
+    INLINE = 256
+    NEW = (0, 0, 0, False, 0, 0, {}, {}, None)  # last seq, next page, pages done, ended, map entries held and waiting, those inline, due
 
     def __init__(self, idle_s: int | None = None, keep_s: int | None = None) -> None:
         self.idle_s, self.keep_s = idle_s, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        place = lambda name: StructType([StructField("job", StringType()), StructField(name, LongType())])
         self.state = handle.getValueState("state", _TEXT)
-        self.held = handle.getMapState("held", StructType([StructField("seq", LongType())]), _TEXT)
-        self.waiting = handle.getMapState("waiting", StructType([StructField("page_idx", LongType())]), _TEXT)
+        self.held = handle.getMapState("held", place("seq"), _TEXT)
+        self.waiting = handle.getMapState("waiting", place("page_idx"), _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # The two counts tell whether the maps hold anything, so a job without gaps never reads them.
         saved = self.state.get()
-        last, following, done, ended, held, waiting = json.loads(saved[0]) if saved else (0, 0, 0, False, 0, 0)
-        was_ended = ended
-        frames, pages, out = {}, {}, []
-        for seq, kind, *frame in _rows(rows, ["seq", "kind", "page_idx", "payload", "total_pages"]):
-            if ended == "failed" or seq <= last or seq in frames or held and self.held.containsKey((int(seq),)):
-                out.append((*key, "late", frame[0], frame[1]))
+        jobs = json.loads(saved[0]) if saved else {}
+        came: dict[str, list] = {}
+        for job, *frame in _rows(rows, ["job", "seq", "kind", "page_idx", "payload", "total_pages"]):
+            came.setdefault(job or "", []).append(frame)
+        out, timers = [], self.idle_s is not None or self.keep_s is not None
+        now = timerValues.getCurrentProcessingTimeInMs() if timers else None
+        for job, frames in came.items():
+            jobs[job] = self._advanced(job, jobs.get(job, self.NEW), frames, out, now)
+        self.state.update((json.dumps(jobs),))
+        if timers:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self._set_timer(jobs)
+        if out:
+            yield _frame(out, REASSEMBLED)
+
+    def _set_timer(self, jobs: dict[str, list]) -> None:
+        due = [job[-1] for job in jobs.values() if job[-1] is not None]
+        if due:
+            self.handle.registerTimer(min(due))
+
+    def _advanced(self, job: str, saved: list, came: list[list], out: list[tuple], now: int | None) -> list:
+        """A job's state after ``came``, whose rows go to ``out``."""
+        # The two counts tell whether the maps hold anything of the job, so one with few gaps never reads them.
+        last, following, done, ended, held, waiting, near, pages, due = saved
+        was_ended, name = ended, int(job) if job else None
+        frames, pages = {int(k): v for k, v in near.items()}, {int(k): v for k, v in pages.items()}
+        for seq, kind, *frame in came:
+            if ended == "failed" or seq <= last or seq in frames or held and self.held.containsKey((job, int(seq))):
+                out.append((name, "late", frame[0], frame[1]))
             else:
                 frames[int(seq)] = [kind, *frame]
 
         while ended != "failed":
             if last + 1 in frames:
                 kind, page_idx, payload, total = frames.pop(last + 1)
-            elif held and self.held.containsKey((last + 1,)):
-                kind, page_idx, payload, total = json.loads(self.held.getValue((last + 1,))[0])
-                self.held.removeKey((last + 1,))
+            elif held and self.held.containsKey((job, last + 1)):
+                kind, page_idx, payload, total = json.loads(self.held.getValue((job, last + 1))[0])
+                self.held.removeKey((job, last + 1))
                 held -= 1
             else:
                 break
             last += 1
             if kind == "job_failed":
                 ended = "failed"
-                out.append((*key, "failed", None, payload))
+                out.append((name, "failed", None, payload))
                 break
             if page_idx is not None and page_idx >= following and page_idx not in pages \
-                    and not (waiting and self.waiting.containsKey((int(page_idx),))):
+                    and not (waiting and self.waiting.containsKey((job, int(page_idx)))):
                 pages[int(page_idx)] = payload
                 done += 1
                 while True:
                     if following in pages:
                         payload = pages.pop(following)
-                    elif waiting and self.waiting.containsKey((following,)):
-                        payload = json.loads(self.waiting.getValue((following,))[0])
-                        self.waiting.removeKey((following,))
+                    elif waiting and self.waiting.containsKey((job, following)):
+                        payload = json.loads(self.waiting.getValue((job, following))[0])
+                        self.waiting.removeKey((job, following))
                         waiting -= 1
                     else:
                         break
-                    out.append((*key, "page", following, payload))
+                    out.append((name, "page", following, payload))
                     following += 1
             if not ended and total and done >= total:
                 ended = "complete"
-                out.append((*key, "complete", None, None))
+                out.append((name, "complete", None, None))
 
         if ended == "failed":  # nothing held will ever be shown
             if held:
-                frames |= {seq: json.loads(text) for (seq,), (text,) in self.held.iterator()}
-                self.held.clear()
+                frames |= {seq: json.loads(text) for seq, text in self._taken(self.held, job)}
             for _, page_idx, payload, _ in frames.values():
-                out.append((*key, "late", page_idx, payload))
+                out.append((name, "late", page_idx, payload))
             if waiting:
-                self.waiting.clear()
-            held = waiting = 0
+                self._taken(self.waiting, job)
+            held, waiting, frames, pages = 0, 0, {}, {}
         else:
-            for seq, frame in frames.items():
-                self.held.updateValue((seq,), (json.dumps(frame),))
-                held += 1
-            for page_idx, payload in pages.items():
-                self.waiting.updateValue((page_idx,), (json.dumps(payload),))
-                waiting += 1
-        self.state.update((json.dumps([last, following, done, ended, held, waiting]),))
-        if self.idle_s is not None and not was_ended or ended and not was_ended and self.keep_s is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            held += self._moved(self.held, job, frames)
+            waiting += self._moved(self.waiting, job, pages)
+        if now is not None and not was_ended:
             wait_s = self.keep_s if ended else self.idle_s
-            if wait_s is not None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_s * 1000)
-        if out:
-            yield _frame(out, REASSEMBLED)
+            due = now + wait_s * 1000 if wait_s is not None else None
+        return [last, following, done, ended, held, waiting, frames, pages, due]
+
+    def _moved(self, entries: Any, job: str, inline: dict[int, Any]) -> int:
+        """How many of ``inline`` became map entries: all, if there are more than a share's row should carry."""
+        if len(inline) <= self.INLINE:
+            return 0
+        many = len(inline)
+        for place, value in inline.items():
+            entries.updateValue((job, place), (json.dumps(value),))
+        inline.clear()
+        return many
+
+    @staticmethod
+    def _taken(entries: Any, job: str) -> list[tuple[int, str]]:
+        """A job's map entries, which go."""
+        mine = [(place, text) for (owner, place), (text,) in entries.iterator() if owner == job]
+        for place, _ in mine:
+            entries.removeKey((job, place))
+        return mine
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        saved = self.state.get()
-        if saved and json.loads(saved[0])[3]:
+        saved, now, out = self.state.get(), timerValues.getCurrentProcessingTimeInMs(), []
+        jobs = json.loads(saved[0]) if saved else {}
+        for job, state in list(jobs.items()):
+            if state[-1] is None or state[-1] > now:
+                continue
+            if state[3]:
+                for entries, many in ((self.held, state[4]), (self.waiting, state[5])):
+                    if many:
+                        self._taken(entries, job)
+                del jobs[job]
+            else:
+                out.append((int(job) if job else None, "idle", None, None))
+                state[-1] = now + self.idle_s * 1000
+        if jobs:
+            self.state.update((json.dumps(jobs),))
+        else:
             self.state.clear()
-            self.held.clear()
-            self.waiting.clear()
-            return
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_s * 1000)
-        yield _frame([(*key, "idle", None, None)], REASSEMBLED)
+        self._set_timer(jobs)
+        if out:
+            yield _frame(out, REASSEMBLED)
 
     def close(self) -> None:
         pass

@@ -141,6 +141,27 @@ def test_a_failed_job_shows_nothing_more(spark):
         assert out == sorted([("page", 0, "a"), ("page", 1, "b"), ("failed", None, "why"), ("late", 2, "c")], key=str)
 
 
+def test_jobs_share_state_rows(spark):
+    """Few state rows for many jobs, among them one without an id, one whose id is no double, and two that hold more than a row carries."""
+    many, large = 700, (1 << 60) + 1
+    frame = lambda job, seq, total, kind="page_result": (job, seq, kind, seq - 1, f"{job}/{seq}", total)
+    rows = [frame(job, seq, 3) for job in [*range(300), None, large] for seq in (1, 2, 3)]
+    rows += [frame(job, seq, many) for job in (1000, 1001) for seq in range(2, many + 1)]
+    rows += [frame(1000, 1, many), (1001, 1, "job_failed", None, "why", many), frame(7, 2, 3)]
+    frames = spark.createDataFrame(rows, "job_id long, seq long, kind string, page_idx int, payload string, total_pages int")
+    first = frames.filter("seq > 1 or job_id < 1000")  # what the two large jobs wait for comes at last
+    stream = live.reassembled(streamed(first, 4, frames.filter("seq = 1 and job_id >= 1000 or seq = 1 and job_id is null").select(frames.columns)), shares=4)
+    path = scratch_path(spark, "shares")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 4
+    got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(f"{path}/out").collect()), key=str)
+    want = [(job, "page", k, f"{job}/{k + 1}") for job, n in [*((j, 3) for j in [*range(300), None, large]), (1000, many)] for k in range(n)]
+    want += [(job, "complete", None, None) for job in [*range(300), None, large, 1000]] + [(7, "late", 1, "7/2"), (1001, "failed", None, "why")]
+    want += [(1001, "late", seq - 1, f"1001/{seq}") for seq in range(2, many + 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_windows_and_limits(spark):
     from quireflow.operators import calls as ops
 
