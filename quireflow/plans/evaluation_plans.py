@@ -286,7 +286,7 @@ def unpaired_and_large(spark, sf):
     seen = F.when(F.col("l_quantity") > 45, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
     node = lambda side, text: F.struct(F.lit(side).alias("side"), text.alias("text"))
     lines = i.lines(spark, sf).select((-1 - F.floor(F.col("job_id") / 400)).alias("pair_id"), place.alias("place"), F.inline(F.array(node("truth", F.col("l_linestatus")), node("pred", seen))))
-    leaves = lines.select("pair_id", "side", (F.col("place") + 1).alias("node_id"), F.lit(0).cast("bigint").alias("parent_id"), F.col("place").cast("int").alias("list_pos"), F.lit("line").alias("type"), "text")
+    leaves = lines.select("pair_id", "side", (F.col("place") + 1).alias("node_id"), F.lit(0).cast("bigint").alias("parent_id"), F.col("place").alias("list_pos"), F.lit("line").alias("type"), "text")
     roots = leaves.select("pair_id", "side").distinct().select(
         "pair_id", "side", F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).alias("list_pos"), F.lit("document").alias("type"), F.lit(None).cast("string").alias("text"))
     out = ev.evaluate(whole.unionByName(leaves.unionByName(roots), allowMissingColumns=True))
