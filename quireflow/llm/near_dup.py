@@ -150,20 +150,30 @@ def confirmed(edges: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataF
     return pairs.mapInArrow(_confirmer(k, per_cent), "a long, b long")
 
 
+def rooted(labels: DataFrame) -> DataFrame:
+    """(node, label) with every label followed to a node that is its own; labels never rise."""
+    while True:
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        found = checkpointed(labels.join(above, "label").select("node", F.col("label").alias("old"), F.col("above").alias("label")))
+        labels = found.select("node", "label")
+        if found.where("old <> label").isEmpty():
+            return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of (a, b) can reach.
 
-    Each round takes the least label of the neighbours (combined before the shuffle) and then the label of the label.
+    Each round leads every node down its least neighbours to one that has none below it, and goes on with the different edges between those only.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    left, labels = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        found = checkpointed(lower.join(up, "label", "left").select("node", "old", F.least(F.col("label"), F.coalesce("above", "label")).alias("label")))
-        labels = found.select("node", "label")
-        if found.where("old <> label").isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lower = rooted(checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))))
+        up = lower.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+        labels = lower if labels is None else checkpointed(labels.join(up, "label", "left").select("node", F.coalesce("lower", "label").alias("label")))
+        ends = left.join(lower.select(F.col("node").alias("a"), F.col("label").alias("one")), "a").join(lower.select(F.col("node").alias("b"), F.col("label").alias("two")), "b")
+        left = checkpointed(ends.where("one <> two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
+        if left.isEmpty():
             return labels
 
 

@@ -84,6 +84,38 @@ def test_every_text_of_a_repeated_id_links(docs_of):
     assert found == sorted([(1, 98, 1, True), (2, 98, 1, False), (2, 6, 2, True), (None, 99, 1, False), (None, 1, None, True)], key=str)
 
 
+def test_components_of_chains_stars_and_random_edges(spark):
+    rng = random.Random(11)
+    names = rng.sample(range(10**6), 400)
+    edges = [(i, i + 1) for i in range(100)] + [(999, 900 + i) for i in range(50)] + [(names[rng.randrange(400)], names[rng.randrange(400)]) for _ in range(260)]
+    edges += [(b, a) for a, b in edges[:120]] + [(5000, 5000)]
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
+    while any(label[a] != label[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    found = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(label) and {r.node: r.label for r in found} == label
+    assert near_dup.components(spark.createDataFrame([(1, 1)], "a long, b long")).isEmpty()
+
+
+def test_edges_within_a_component_leave_after_a_round(spark, monkeypatch):
+    """Only the different edges between roots go on to the next round, however many edges there were."""
+    sizes = []
+    fixed = near_dup.checkpointed
+
+    def counted(df):
+        out = fixed(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "checkpointed", counted)
+    edges = [(a, 10_000 + b) for a in range(60) for b in range(60)]
+    near_dup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sizes[0] == 3600 and sizes[1] <= 60 and sizes[-1] == 0
+
+
 def test_a_round_proposes_at_most_one_edge_a_class(spark):
     rng = random.Random(8)
     rows = [(bucket, cls, cls) for bucket in range(300) for cls in rng.sample(range(400), 40)]
