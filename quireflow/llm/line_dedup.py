@@ -116,5 +116,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     new = {"kept_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept), "n_lines": F.size("lines").cast("long"), "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
-    old = [F.col("row")] if keep else [F.col("row")[c].alias(c) for c in df.columns if c not in new]
-    return joined.select(*old, *[v.alias(n) for n, v in new.items()])
+    out = joined.select("row", *[v.alias(n) for n, v in new.items()])  # a step of its own: beside columns of ``df``, names above could be taken for theirs
+    return out if keep else out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in new], *new)
