@@ -41,17 +41,31 @@ def flush_points(events: DataFrame, **route) -> DataFrame:
     return placed.filter(F.col("page_idx") == F.col("_rn") - 1).drop("_rn")
 
 
-def with_watermark(events: DataFrame, **route) -> DataFrame:
-    """Events with ``page_watermark`` after them and ``watermark_before``. The events are written once, as
-    they are read more than once."""
-    return _watermarked(written(events), **route)
+def _measured(events: DataFrame, route: dict) -> tuple[DataFrame, dict]:
+    """Events and a route with sizes. Where nobody knows them, the events are written, as measuring reads them once more."""
+    if route.get("sizes"):
+        return events, route
+    events = written(events)
+    return events, {**route, "sizes": scan.group_stats(events, JOB)}
 
 
-def _watermarked(events: DataFrame, **route) -> DataFrame:
-    flushed = flush_points(events, **route).groupBy("job_id", F.col("flush_seq").alias("seq")).agg(F.count("*").alias("_flushed"))
-    marked = events.join(flushed, ["job_id", "seq"], "left").withColumn("_flushed", F.coalesce("_flushed", F.lit(0)))
-    out = scan.running(marked, JOB, ["seq"], {"page_watermark": scan.Running("sum", F.col("_flushed"))}, **route)
-    return out.withColumn("watermark_before", F.col("page_watermark") - F.col("_flushed")).drop("_flushed")
+def with_watermark(events: DataFrame, **route) -> DataFrame:
+    """Events with ``page_watermark`` after them and ``watermark_before``, in one pass: every order is a window over the job, so the
+    events are hashed once. A page has its place among the first events of the job's pages; where none is missing before it, a
+    row at its flush point raises the watermark."""
+    events, route = _measured(events, route)
+    placed = scan.running(events, ["job_id", "page_idx"], ["seq"], {"_times": scan.row_count()}, **route)
+    first = F.col("page_idx").isNotNull() & (F.col("_times") == 1)
+    ranked = scan.running(placed.withColumn("_rest", ~first), [*JOB], ["_rest", "page_idx", "seq"], {
+        "_rn": scan.Running("sum", F.when(first, 1).otherwise(0).cast("long")), "_flush": scan.Running("max", F.when(first, F.col("seq")))}, **route)
+    row = lambda at, flushed, event: F.struct(at.cast("long").alias("_at"), F.lit(flushed).cast("long").alias("_flushes"), F.lit(event).alias("_event"))
+    flush = F.when(first & (F.col("page_idx") == F.col("_rn") - 1), row(F.col("_flush"), 1, False))
+    rows = ranked.select(*events.columns, F.inline(F.filter(F.array(row(F.col("seq"), 0, True), flush), lambda r: r.isNotNull())))
+    route = {**route, "sizes": tuple(2 * n for n in route["sizes"])}  # a flush point per event at most
+    raised = scan.Running("sum", F.col("_flushes"))
+    summed = scan.running(rows, JOB, ["_at", "_event", "page_idx"], {"page_watermark": raised}, **route)
+    out = scan.running(summed, ["job_id", "_at"], ["_event", "page_idx"], {"_here": raised}, **route).filter("_event")
+    return out.withColumn("watermark_before", F.col("page_watermark") - F.col("_here")).drop("_at", "_flushes", "_event", "_here")
 
 
 def with_window_bits(events: DataFrame, **route) -> DataFrame:
@@ -60,29 +74,24 @@ def with_window_bits(events: DataFrame, **route) -> DataFrame:
 
     Pages are kept as 64-page words. Each word is a running OR over the events that set its bits;
     an event looks up the two words its window touches, by position in the same order."""
+    events, route = _measured(events, route)
     size = F.lit(c.WINDOW_SIZE)
-    events = written(events)
-    pages = events.filter(F.col("page_idx").isNotNull()).groupBy("job_id", "page_idx").agg(F.min("seq").alias("seq"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("page_idx", size).cast("int"))
-    none = F.lit(None).cast("int")
-    updates = pages.select("job_id", F.floor(F.col("page_idx") / size).alias("word"), "seq", F.lit(0).alias("lookup"),
-                           F.col("page_idx").alias("at"), bit.alias("bit"), none.alias("which"), F.lit(None).cast("long").alias("base"))
-    base = F.col("page_watermark").cast("long")
-    lookups = events.select("job_id", "seq", base.alias("base"), F.explode(F.array(F.lit(0), F.lit(1))).alias("which")) \
-        .select("job_id", (F.floor(F.col("base") / size) + F.col("which")).alias("word"), "seq", F.lit(1).alias("lookup"),
-                F.col("which").alias("at"), F.lit(0).cast("long").alias("bit"), "which", "base")
-    if route.get("sizes"):  # two lookups per event and the updates
-        route = {**route, "sizes": tuple(3 * n for n in route["sizes"])}
-    words = scan.running(updates.unionByName(lookups), ["job_id", "word"], ["seq", "lookup", "at"],
-                         {"bits": scan.Running("bit_or", F.col("bit"))}, **route).filter("lookup = 1")
-    pair = words.groupBy("job_id", "seq").agg(
-        F.max(F.when(F.col("which") == 0, F.col("bits"))).alias("_low"),
-        F.max(F.when(F.col("which") == 1, F.col("bits"))).alias("_high"), F.max("base").alias("_base"))
-    shift = F.pmod("_base", size).cast("int")
+    base, number = F.col("page_watermark").cast("long"), lambda n: F.lit(n).cast("long")
+
+    def row(word: Column, which: int, bit: Column) -> Column:  # which: -1 sets a bit, 0 and 1 look a word up
+        return F.struct(word.cast("long").alias("_word"), F.lit(which).alias("_which"), bit.alias("_bit"))
+
+    bit = F.call_function("shiftleft", number(1), F.pmod("page_idx", size).cast("int"))
+    update = F.when(F.col("page_idx").isNotNull(), row(F.floor(F.col("page_idx") / size), -1, bit))
+    lookups = [row(F.floor(base / size) + k, k, number(0)) for k in (0, 1)]
+    rows = events.select("*", F.inline(F.filter(F.array(update, *lookups), lambda r: r.isNotNull())))
+    route = {**route, "sizes": tuple(3 * n for n in route["sizes"])}  # two lookups per event and the updates
+    words = scan.running(rows, ["job_id", "_word"], ["seq", "_which"], {"_bits": scan.Running("bit_or", F.col("_bit"))}, **route).filter("_which >= 0")
+    pair = scan.running(words, ["job_id", "seq"], ["_which"], {"_low": scan.Running("max", F.when(F.col("_which") == 0, F.col("_bits")))}, **route).filter("_which = 1")
+    shift = F.pmod(base, size).cast("int")
     low = F.call_function("shiftrightunsigned", F.col("_low"), shift)
-    high = F.when(shift == 0, F.lit(0).cast("long")).otherwise(
-        F.call_function("shiftleft", F.col("_high"), F.lit(c.WINDOW_SIZE) - shift))
-    return events.join(pair.select("job_id", "seq", low.bitwiseOR(high).alias("window_bits")), ["job_id", "seq"])
+    high = F.when(shift == 0, number(0)).otherwise(F.call_function("shiftleft", F.col("_bits"), F.lit(c.WINDOW_SIZE) - shift))
+    return pair.select(*events.columns, low.bitwiseOR(high).alias("window_bits"))
 
 
 def framed(events: DataFrame, jobs: DataFrame, emitted_at: Column, **route) -> DataFrame:
@@ -101,7 +110,9 @@ def reassembly(frames: DataFrame, arrival: str = "arrival", **route) -> DataFram
     A repeated frame is a duplicate; a page counts when its first frame arrives."""
     audited = written(audit_arrivals(frames, arrival, **route))
     unique = audited.filter(~F.col("duplicate"))
-    marked = _watermarked(unique, **route)
+    if route.get("sizes"):  # files are not hashed by anything
+        unique = scan.together(unique, JOB, route["sizes"], route.get("max_group_rows", scan.MAX_GROUP_ROWS))
+    marked = with_watermark(unique, **route)
     is_page = F.col("page_idx").isNotNull()
     counted = scan.running(marked, JOB, ["seq"], {
         "_received": scan.Running("sum", is_page.cast("long"))}, **route)

@@ -29,6 +29,7 @@ from quireflow.session import shared_folder
 
 MAX_GROUP_ROWS = 1_000_000  # rows of one key that one task may sort
 CHUNK_ROWS = 500_000  # target rows per chunk on the other route
+PART_ROWS = 250_000  # target rows of a partition that several windows sort in one task
 MAX_BROADCAST_ROWS = 1_000_000  # rows of a narrow table that may be broadcast
 
 _CHUNK = "_chunk"
@@ -52,6 +53,17 @@ def at_least_parallel(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def together(df: DataFrame, keys: Sequence[str], sizes: tuple[int, int], max_group_rows: int = MAX_GROUP_ROWS,
+             part_rows: int = PART_ROWS) -> DataFrame:
+    """``df`` hashed by ``keys``, so that windows over them follow without a shuffle: into Spark's own number of partitions, or
+    more of them where those would hold more than ``part_rows`` each. Unchanged if a group is too large for a task."""
+    rows, largest = sizes
+    if largest > max_group_rows:
+        return df
+    parts = math.ceil(rows / part_rows)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows; otherwise unchanged,
     so Spark shuffles (and splits skewed partitions of) the join instead."""
@@ -139,6 +151,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, F.col(name) + (start - 1)) if start != 1 else out
 
 
+def totals(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], max_group_rows: int = MAX_GROUP_ROWS,
+           sizes: tuple[int, int] | None = None) -> DataFrame:
+    """``df`` plus aggregates over the whole of each key."""
+    _, largest = _sizes(df, keys, sizes)
+    if largest <= max_group_rows:
+        return df.withColumns({name: total.over(Window.partitionBy(*keys)) for name, total in columns.items()})
+    sums = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[total.alias(name) for name, total in columns.items()])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(sums, match).select(*df.columns, *columns)
+
+
 # --- neighbours --------------------------------------------------------------------------
 
 

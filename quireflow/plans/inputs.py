@@ -144,7 +144,8 @@ def lines(spark, sf_dir) -> DataFrame:
     """Order lines as the pages of a job, numbered from 0."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id") \
         .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
-    return scan.numbered(items, ["job_id"], _PAGE_ORDER, "page_idx", 0, sizes=line_sizes(spark, sf_dir)) \
+    sizes = line_sizes(spark, sf_dir)
+    return scan.numbered(scan.together(items, ["job_id"], sizes), ["job_id"], _PAGE_ORDER, "page_idx", 0, sizes=sizes) \
         .withColumn("page_idx", F.col("page_idx").cast("int"))
 
 
@@ -224,19 +225,24 @@ FROM page_state""", "page_state")
 
 def stream_events(spark, sf_dir) -> DataFrame:
     """Events of every job: split, one per finished page in order of time, complete at the end."""
-    page = pages(spark, sf_dir)
-    job = jobs(spark, sf_dir).filter("total_pages > 0").select("job_id", "client_id", "request_id", "created_at", "total_pages")
-    finished = page.filter("source is not null")
-    done = finished.groupBy("job_id").agg(F.count("*").alias("_done"), F.max("completed_at").alias("_last"))
-    page_event = finished.join(job.select("job_id", "total_pages"), "job_id").select(
-        "job_id", F.lit(1).alias("phase"), F.col("created_at").alias("at"), "page_idx",
-        intake.event_kind(F.col("source"), F.col("source") == "none").alias("kind"), "total_pages", "source", "low_confidence", "l_quantity")
-    nothing = {"page_idx": "int", "source": "string", "low_confidence": "boolean", "l_quantity": "double"}
-    empty = [F.lit(None).cast(t).alias(n) for n, t in nothing.items()]
-    split = job.select("job_id", F.lit(0).alias("phase"), F.col("created_at").alias("at"), F.lit("job_split").alias("kind"), "total_pages", *empty)
-    complete = job.join(done, "job_id").filter("_done = total_pages").select(
-        "job_id", F.lit(2).alias("phase"), F.col("_last").alias("at"), F.lit("job_complete").alias("kind"), "total_pages", *empty)
-    every = page_event.unionByName(split).unionByName(complete)
+    finished = F.col("source").isNotNull()
+    counted = scan.totals(pages(spark, sf_dir), ["job_id"], {
+        "total_pages": F.count("*"), "_done": F.count_if(finished), "_last": F.max(F.when(finished, F.col("completed_at")))}, sizes=line_sizes(spark, sf_dir))
+    job = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("_split_at"))
+
+    def event(phase, at, kind, **of_page):
+        nothing = {"page_idx": "int", "source": "string", "low_confidence": "boolean", "l_quantity": "double"}
+        return F.struct(F.lit(phase).alias("phase"), F.col(at).alias("at"), kind.alias("kind"),
+                        *[of_page.get(n, F.lit(None)).cast(t).alias(n) for n, t in nothing.items()])
+
+    # A page's row carries its own event, that of the first page those of the job as well: pages and jobs meet in one join.
+    first = F.col("page_idx") == 0
+    own = event(1, "created_at", intake.event_kind(F.col("source"), F.col("source") == "none"),
+                **{n: F.col(n) for n in ("page_idx", "source", "low_confidence", "l_quantity")})
+    of_row = F.array(F.when(finished, own), F.when(first, event(0, "_split_at", F.lit("job_split"))),
+                     F.when(first & (F.col("_done") == F.col("total_pages")), event(2, "_last", F.lit("job_complete"))))
+    every = counted.join(job, "job_id").select("job_id", F.col("total_pages").cast("int").alias("total_pages"), F.inline(F.filter(of_row, lambda e: e.isNotNull()))) \
+        .select("job_id", "phase", "at", "page_idx", "kind", "total_pages", "source", "low_confidence", "l_quantity")
     # At most a split and a completion more than lines.
     return ordered.allocate_seq(every, ["phase", "at", "page_idx"], sizes=line_sizes(spark, sf_dir, 3))
 

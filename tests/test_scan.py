@@ -121,3 +121,26 @@ def test_a_breaker_replay_of_forty_chunks_takes_few_rounds(spark, monkeypatch):
     other = folds.replay_breaker(base, chunk_rows=1000, sizes=(40_000, 40_000))
     assert rows(one.select("call_id", "permit", "breaker", "trips")) == rows(other.select("call_id", "permit", "breaker", "trips"))
     assert len(rounds) <= 3
+
+
+def test_watermark_and_window_bits_hash_the_events_once(spark):
+    events = spark.createDataFrame([(j, s, "page_result", p, 3) for j in range(4) for s, p in ((1, 0), (2, 2), (3, 1))],
+                                   "job_id long, seq long, kind string, page_idx int, total_pages int")
+    sizes = (12, 3)
+    full = ordered.with_window_bits(ordered.with_watermark(scan.together(events, ["job_id"], sizes), sizes=sizes), sizes=sizes)
+    assert [(r.page_watermark, r.watermark_before, r.window_bits) for r in full.filter("job_id = 2").orderBy("seq").collect()] == [(1, 0, 0), (1, 1, 2), (3, 1, 0)]
+    assert full._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_that_are_hashed_together_get_partitions_by_their_number(spark):
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    assert scan.together(rows, ["k"], (10_000, 1), part_rows=100).rdd.getNumPartitions() == 100
+    assert scan.together(rows, ["k"], (10_000, 5000), max_group_rows=1000) is rows
+
+
+def test_totals_of_both_routes(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), (None, 7)], "k string, v int")
+    want = [("a", 1, 3), ("a", 2, 3), ("b", 5, 5), (None, 7, 7)]
+    for largest in (10, 0):
+        got = scan.totals(rows, ["k"], {"s": F.sum("v")}, max_group_rows=largest).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
