@@ -95,16 +95,15 @@ def bits_to_base64(bits: Column) -> Column:
 
 def base64_to_pages(bitmap: Column, base: Column) -> Column:
     """Page indexes whose bit is set in a window bitmap starting at ``base``."""
-    hexed = F.hex(F.unbase64(bitmap))
-    # Lowest byte last again, then one number; wrapped in an array so that it is read once a row.
-    turned = F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)])
-    word = F.conv(turned, 16, -10).cast("bigint")
+    # Lowest byte last again, then one number; held in one-element arrays so that bitmap and number are read once a row.
+    number = lambda hexed: F.conv(F.concat(*[F.substring(hexed, k, 2) for k in range(15, 0, -2)]), 16, -10).cast("bigint")
+    words = F.transform(F.array(F.hex(F.unbase64(bitmap))), number)
 
     def pages_of(bits: Column) -> Column:
         is_set = lambda k: F.call_function("getbit", bits, k) == 1
         return F.filter(F.sequence(F.lit(0), F.lit(c.WINDOW_SIZE - 1)), is_set)
 
-    offsets = F.flatten(F.transform(F.array(word), pages_of))
+    offsets = F.flatten(F.transform(words, pages_of))
     return F.transform(offsets, lambda k: k + base.cast("int"))
 
 

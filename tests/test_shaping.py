@@ -89,3 +89,8 @@ def test_nested_json_trees_become_nodes_and_are_scored(spark):
     assert (row[7].char_edits, row[7].ref_chars, row[7].ted, row[7].f1) == (9, 13, 3, 1.0) and row[8].refused_reason == "unpaired"
     with pytest.raises(Exception, match="pair 9"):
         trees.nodes_of(spark.createDataFrame([(9, "pred", "[1")], "pair_id int, side string, tree string")).collect()
+
+
+def test_a_bitmap_is_decoded_once_a_row():
+    pages = str(shaping.base64_to_pages(F.col("bitmap"), F.col("base")))
+    assert pages.lower().count("unbase64") == 1
