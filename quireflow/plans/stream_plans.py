@@ -8,7 +8,7 @@ from quireflow.functions import shaping
 from quireflow.operators import ordered, scan
 from quireflow.plans import inputs as i
 from quireflow.plans.registry import query
-from quireflow.session import scratch_path
+from quireflow.session import scratch_path, written
 from quireflow.sources import event_log, logs, stores
 
 
@@ -153,7 +153,7 @@ def parsed_event_text(spark, sf):
 SELECT seq::VARCHAR AS id, kind AS event, '{"seq":' || seq || CASE WHEN page_idx IS NULL THEN '' ELSE ',"page_index":' || page_idx END || '}' AS data FROM stream_events"""))
 def captured_files(spark, sf):
     """Captures as files, those of odd jobs with CRLF, read back as records."""
-    text = event_text(spark, sf).select("job_id", F.regexp_replace("sse", "\n\n$", "").alias("value"))
+    text = written(event_text(spark, sf).select("job_id", F.regexp_replace("sse", "\n\n$", "").alias("value")))  # read for each form
     out = None
     for name, odd, end in (("lf", 0, "\n"), ("crlf", 1, "\r\n")):
         path = scratch_path(spark, f"captures-{name}")

@@ -57,8 +57,7 @@ def parse_sse(records: DataFrame, column: str) -> DataFrame:
         return F.transform(F.filter("_f", lambda f: f["name"] == name), lambda f: f["value"])
 
     def last(name: str, other: str) -> Column:
-        found = values(name)
-        return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(F.lit(other))
+        return F.coalesce(F.try_element_at(values(name), F.lit(-1)), F.lit(other))
 
     parsed = records.withColumn("_f", fields).withColumns({
         "id": last("id", ""), "event": last("event", "message"), "_data": values("data")})
