@@ -91,6 +91,6 @@ def test_nested_json_trees_become_nodes_and_are_scored(spark):
         trees.nodes_of(spark.createDataFrame([(9, "pred", "[1")], "pair_id int, side string, tree string")).collect()
 
 
-def test_a_bitmap_is_decoded_once_a_row():
+def test_a_bitmap_is_decoded_once_a_row(spark):
     pages = str(shaping.base64_to_pages(F.col("bitmap"), F.col("base")))
     assert pages.lower().count("unbase64") == 1
