@@ -2,7 +2,7 @@
 
 Every pair gets a row: text and boxes are scored whatever its size, also if one side is missing; only the
 tree distance is refused, with a reason. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
-confidence); ``side`` is 'pred' or 'truth'. Nodes are shuffled once and sorted by pair; tasks then read them as a stream
+confidence); ``side`` is 'pred' or 'truth'. Nodes are shuffled once by pair, unless the caller says that those of a pair come ``together`` already; tasks then read them as a stream
 and work on whole pairs, as many as fit some ten thousand nodes, or one larger pair. Only pairs whose tree distance is computed
 carry arrays further, dealt to tasks by what their distances cost.
 """
@@ -45,26 +45,38 @@ CHUNK_NODES = 65_536  # nodes worked on together; a larger pair is a chunk of it
 CELLS_PER_TASK = 100_000_000  # about ten seconds of tree distances
 
 
-def _in_order(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nodes of a pair side by side, siblings in their order: those with ``ord`` by it, the others behind, then by list position."""
-    late, key = F.col("ord").isNull(), F.coalesce("ord", F.lit(0))
+def _in_order(nodes: DataFrame, columns: Sequence[str], together: bool) -> DataFrame:
+    """Nodes of a pair one after another. ``together``: they are so already, each pair in one partition, and are neither shuffled nor sorted."""
+    rows = nodes.select("pair_id", (F.col("side") == SIDES[1]).alias("is_truth"), "node_id", "parent_id", "list_pos", F.col("ord").alias("_ord"), *columns)
+    if together:
+        return rows
     # A given number of partitions: the rows are few bytes but much work, so they must not be merged by size.
     spark = nodes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = nodes.select("pair_id", (F.col("side") == SIDES[1]).alias("is_truth"), "node_id", "parent_id", late.alias("_late"), key.alias("_key"), "list_pos", *columns)
     # Not by the key itself: a union below whose sides are hashed by it would do away with the shuffle, and then sides that are coalesced
     # differently leave a pair in two tasks.
-    sorted_ = rows.repartition(parts, F.xxhash64("pair_id")).sortWithinPartitions("pair_id", "is_truth", "_late", "_key", "list_pos", "node_id")
-    return sorted_.select("pair_id", "is_truth", "node_id", "parent_id", *columns)
+    return rows.repartition(parts, F.xxhash64("pair_id")).sortWithinPartitions("pair_id")
+
+
+def _siblings_in_order(table: pa.Table) -> pa.Table:
+    """Whole pairs, each pred before truth, siblings in their order: those with ``ord`` by it, the others behind, then by list position and id."""
+    least = np.iinfo(np.int64).min
+    number = lambda name, none: pc.fill_null(table[name].cast(pa.int64()), none).to_numpy()
+    late = pc.is_null(table["_ord"]).to_numpy().astype(np.int64)
+    tree = 2 * (np.cumsum(_changes(table["pair_id"])) - 1) + table["is_truth"].to_numpy().astype(np.int64)
+    order = np.lexsort((number("node_id", least), number("list_pos", least), number("_ord", 0), 2 * tree + late))
+    return table.drop_columns(["list_pos", "_ord"]).take(pa.array(order))
 
 
 def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted node rows as tables of whole pairs with the number of each row's tree."""
+    """Node rows, pair after pair, as tables of whole pairs (siblings in their order, if rows have what that goes by) with the number of each row's tree."""
     held: list[pa.RecordBatch] = []
     rows, cut, last = 0, None, None  # cut: (batches, rows of the next one) before the last pair
 
     def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         table = pa.Table.from_batches(parts).combine_chunks()
+        if "_ord" in table.column_names:
+            table = _siblings_in_order(table).combine_chunks()
         pair, truth = _changes(table["pair_id"]), table["is_truth"].to_numpy().astype(np.int8)
         fresh = pair | np.append(False, truth[1:] != truth[:-1])
         return table, np.cumsum(fresh) - 1
@@ -109,7 +121,7 @@ def _pair_type(nodes: DataFrame) -> str:
     return nodes.schema["pair_id"].dataType.simpleString()
 
 
-def reading_order(nodes: DataFrame, columns: Sequence[str] = ("list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence")) -> DataFrame:
+def reading_order(nodes: DataFrame, columns: Sequence[str] = ("list_pos", "type", "text", "x", "y", "w", "h", "ord", "confidence"), together: bool = False) -> DataFrame:
     """Nodes with their place in reading order and the ordinal of their page (null without one), and ``columns`` of theirs."""
     inner = list(dict.fromkeys(["type", *columns]))
     kept = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in columns)
@@ -127,11 +139,11 @@ def reading_order(nodes: DataFrame, columns: Sequence[str] = ("list_pos", "type"
             columns_ = [rows["pair_id"], side, rows["node_id"], rows["parent_id"], pa.array(laid.pre[order], pa.int32()), pa.array(page, pa.int32(), mask=page < 0), *[rows[f"c{order_of[c]}"] for c in columns]]
             yield from pa.Table.from_arrays(columns_, names=["pair_id", "side", "node_id", "parent_id", "pre", "page", *columns]).to_batches()
 
-    ordered = _in_order(renamed, ["type", *[f"c{i}" for i in order_of.values()]])
+    ordered = _in_order(renamed, ["type", *[f"c{i}" for i in order_of.values()]], together)
     return ordered.mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, node_id bigint, parent_id bigint, pre int, page int" + (f", {kept}" if kept else ""))
 
 
-def post_order(nodes: DataFrame) -> DataFrame:
+def post_order(nodes: DataFrame, together: bool = False) -> DataFrame:
     """Nodes with post-order number, leftmost leaf, subtree size and whether they are keyroots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +154,10 @@ def post_order(nodes: DataFrame) -> DataFrame:
             columns = [table["pair_id"], side, table["node_id"], *numbers, pa.array(laid.keyroot)]
             yield from pa.Table.from_arrays(columns, names=["pair_id", "side", "node_id", "post", "lmld", "size", "keyroot"]).to_batches()
 
-    return _in_order(nodes, []).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, node_id bigint, post int, lmld int, size int, keyroot boolean")
+    return _in_order(nodes, [], together).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, node_id bigint, post int, lmld int, size int, keyroot boolean")
 
 
-def text_streams(nodes: DataFrame) -> DataFrame:
+def text_streams(nodes: DataFrame, together: bool = False) -> DataFrame:
     """(pair_id, side, stream): the text of each tree's non-empty nodes in reading order, white space collapsed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +166,7 @@ def text_streams(nodes: DataFrame) -> DataFrame:
             side = pc.if_else(table["is_truth"], SIDES[1], SIDES[0]).take(pa.array(laid.first))
             yield from pa.Table.from_arrays([table["pair_id"].take(pa.array(laid.first)), side, _streams(table, tree, laid)], names=["pair_id", "side", "stream"]).to_batches()
 
-    found = _in_order(nodes, ["text"]).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, stream string")
+    found = _in_order(nodes, ["text"], together).mapInArrow(run, f"pair_id {_pair_type(nodes)}, side string, stream string")
     return found.withColumn("stream", text.collapse_spaces(F.col("stream")))
 
 
@@ -430,7 +442,7 @@ class _Pairs:
 
 
 def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: int = c.MAX_TREE_CELLS, with_trees: bool = False,
-              threshold: float | None = None) -> DataFrame:
+              threshold: float | None = None, together: bool = False) -> DataFrame:
     """One row per pair: nodes of both sides, the cells of the tree distance in the cheaper orientation (and whether that is the mirrored one),
     and why it is refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps'. ``with_trees`` adds the trees of admitted
     pairs, a ``threshold`` the texts and the counts of box matches. ``task`` and ``upto`` place the pair's cells in the running
@@ -453,12 +465,12 @@ def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: in
     schema = f"pair_id {_pair_type(nodes)}, {_SIZES}" + f", {_TREES}" * with_trees + f", {_SCORED}" * (threshold is not None)
     names = [part.strip().split()[0] for part in schema.replace("array<int>", "a").split(",")]
     needed = ["type"] * (with_trees or threshold is not None) + ["text", "x", "y", "w", "h"] * (threshold is not None)
-    return _in_order(nodes, needed).mapInArrow(run, schema)
+    return _in_order(nodes, needed, together).mapInArrow(run, schema)
 
 
-def admission_report(nodes: DataFrame, **limits: int) -> DataFrame:
+def admission_report(nodes: DataFrame, together: bool = False, **limits: int) -> DataFrame:
     """Sizes, cells and refusal of every pair."""
-    return pair_rows(nodes, **limits).drop("task", "upto")
+    return pair_rows(nodes, together=together, **limits).drop("task", "upto")
 
 
 def dealt_by_cost(pairs: DataFrame, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
@@ -481,23 +493,23 @@ def _distance() -> Column:
     return trees.tree_distance("pred_labels", "pred_leaf", "truth_labels", "truth_leaf")
 
 
-def tree_metrics(nodes: DataFrame, **limits: int) -> DataFrame:
+def tree_metrics(nodes: DataFrame, together: bool = False, **limits: int) -> DataFrame:
     """Tree edit distance on node types per pair; refused pairs keep a reason and no distance."""
-    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, **limits)))
+    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, together=together, **limits)))
     out = pairs.withColumn("ted", _distance()).select("pair_id", "pred_nodes", "truth_nodes", "cells", "refused_reason", "ted")
     return out.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
 
 
 # --- everything ----------------------------------------------------------------------------------------
 
-def evaluate(nodes: DataFrame, threshold: float = 0.5, **limits: int) -> DataFrame:
+def evaluate(nodes: DataFrame, threshold: float = 0.5, together: bool = False, **limits: int) -> DataFrame:
     """Text, box and tree scores of every pair, one row each.
 
     ``refused_reason`` says why a pair has no tree distance; its other scores are there all the same. A
     missing side counts as an empty document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, threshold=threshold, **limits)))
+    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, threshold=threshold, together=together, **limits)))
     scored = text_metrics(pairs.withColumns({"ref": text.collapse_spaces(F.col("ref")), "hyp": text.collapse_spaces(F.col("hyp")), "ted": _distance()}))
     return box_scores(scored, threshold).withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
         .drop("ref", "hyp", "mirrored", "cells", "pred_labels", "pred_leaf", "truth_labels", "truth_leaf")

@@ -78,7 +78,7 @@ def word_distances(spark, sf):
 @query("f3_text_streams", i.with_inputs("layout", f"""
 SELECT pair_id, side, {i.collapse_sql("coalesce(string_agg(text, ' ' ORDER BY pre) FILTER (WHERE text <> ''), '')")} AS stream FROM layout GROUP BY ALL""", recursive=True))
 def text_streams(spark, sf):
-    return ev.text_streams(i.tree_nodes(spark, sf))
+    return ev.text_streams(i.tree_nodes(spark, sf), i.trees_together(spark, sf))
 
 
 @query("f3_collapsed_documents", f"SELECT doc_id, md5({i.collapse_sql('text')}) AS stream_md5 FROM documents")
@@ -138,7 +138,7 @@ def box_metrics(spark, sf):
 
 @query("e13_reading_order", i.with_inputs("paged", "SELECT pair_id, side, node_id, pre, page FROM paged", recursive=True))
 def reading_order(spark, sf):
-    return ev.reading_order(i.tree_nodes(spark, sf), []).select("pair_id", "side", "node_id", "pre", "page")
+    return ev.reading_order(i.tree_nodes(spark, sf), [], i.trees_together(spark, sf)).select("pair_id", "side", "node_id", "pre", "page")
 
 
 @query("o5_sibling_ranks", i.with_inputs("ranked_nodes", "SELECT pair_id, side, node_id, rank FROM ranked_nodes"))
@@ -155,7 +155,7 @@ def sibling_ranks(spark, sf):
 @query("e14_post_order", i.with_inputs("sized", """
 SELECT pair_id, side, node_id, post, lmld, size, post = max(post) OVER (PARTITION BY pair_id, side, lmld) AS keyroot FROM sized""", recursive=True))
 def post_order(spark, sf):
-    return ev.post_order(i.tree_nodes(spark, sf))
+    return ev.post_order(i.tree_nodes(spark, sf), i.trees_together(spark, sf))
 
 
 @query("v3_tree_admission", i.with_inputs("sized", """
@@ -173,13 +173,13 @@ SELECT pair_id, pred_nodes, truth_nodes, least(straight, turned) AS cells, turne
   CASE WHEN greatest(pred_nodes, truth_nodes) > 1000 THEN 'nodes' WHEN least(straight, turned) > 20000000 THEN 'steps' END AS refused_reason
 FROM a JOIN s USING (pair_id) JOIN m USING (pair_id)""", recursive=True))
 def tree_admission(spark, sf):
-    return ev.admission_report(i.tree_nodes(spark, sf))
+    return ev.admission_report(i.tree_nodes(spark, sf), i.trees_together(spark, sf))
 
 
 @query("v4_tree_distance")
 def tree_distance(spark, sf):
     """Checked against the recursive definition on random trees in the tests."""
-    return ev.tree_metrics(i.tree_nodes(spark, sf)).withColumn("ted_normalized", F.round("ted_normalized", 6))
+    return ev.tree_metrics(i.tree_nodes(spark, sf), i.trees_together(spark, sf)).withColumn("ted_normalized", F.round("ted_normalized", 6))
 
 
 @query("v4_flat_trees", i.with_inputs("lines", """
@@ -233,7 +233,7 @@ def segment_trees(spark, sf):
 @query("v5_evaluate")
 def evaluate(spark, sf):
     """All scores of every pair of trees, one row each."""
-    out = ev.evaluate(i.tree_nodes(spark, sf))
+    out = ev.evaluate(i.tree_nodes(spark, sf), together=i.trees_together(spark, sf))
     rates = ["cer", "wer", "mean_iou", "matched_mean_iou", "precision", "recall", "f1", "type_accuracy", "ted_normalized"]
     return out.withColumns({r: F.round(r, 6) for r in rates})
 

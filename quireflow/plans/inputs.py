@@ -140,10 +140,12 @@ def call_sizes(spark, sf_dir, times: int = 1) -> tuple[int, int]:
     return rows * times, largest * times
 
 
-def lines(spark, sf_dir) -> DataFrame:
-    """Order lines as the pages of a job, numbered from 0."""
+def lines(spark, sf_dir, looked_up: DataFrame | None = None) -> DataFrame:
+    """Order lines as the pages of a job, numbered from 0; ``looked_up`` adds columns to the lines of a part (a row per part)."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id") \
         .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    if looked_up is not None:  # ahead of the numbering, which leaves the lines of a job side by side
+        items = items.join(looked_up, "l_partkey", "left")
     sizes = line_sizes(spark, sf_dir)
     return scan.numbered(scan.together(items, ["job_id"], sizes), ["job_id"], _PAGE_ORDER, "page_idx", 0, sizes=sizes) \
         .withColumn("page_idx", F.col("page_idx").cast("int"))
@@ -355,8 +357,10 @@ _sql("document_pairs", text_pairs_sql("documents", "doc_id"))
 def tree_nodes(spark, sf_dir) -> DataFrame:
     """Truth and predicted trees of every order: document > page per line > title, paragraph,
     key-value. Predictions have slipped text, moved boxes, relabelled, lost and added nodes."""
-    line = lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type"),
-                                     "l_partkey", "left")
+    named = ["p_name", "p_brand", "p_type"]
+    parts = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.count("*").alias("_n"), *[F.collect_list(F.struct(c)).alias(f"_{c}") for c in named])
+    copies = lines(spark, sf_dir, parts).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n").cast("int"), F.lit(1)) - 1)))
+    line = copies.withColumns({c: F.col(f"_{c}")[F.col("_copy")][c] for c in named})
     number, page = (F.col("page_idx") + 1) * 10, F.col("page_idx")
     x, width = (F.col("l_partkey") % 100).cast("double"), F.lit(50.0) + F.col("l_quantity")
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -385,11 +389,15 @@ def tree_nodes(spark, sf_dir) -> DataFrame:
              F.concat_ws(" ", "p_brand", "p_type"), moved, 20, width, lit(1))]
     kv = F.when(F.col("l_returnflag") != "R", node("pred", number + 3, number, lit(2), lit("kv"), truth[3]["text"], moved, 40, width))
     cell = F.when(F.col("l_discount") >= 0.09, node("pred", number + 4, number + 2, lit(0), lit("cell"), none_s))
-    made = line.select(F.col("job_id").alias("pair_id"), F.explode(F.array(*truth, *pred, kv, cell)).alias("n")) \
+    first = (page == 0) & (F.col("_copy") == 0)
+    roots = [F.when(first, node(s, zero, lit(None), zero, lit("document"), none_s)) for s in ("truth", "pred")]
+    return line.select(F.col("job_id").alias("pair_id"), F.explode(F.array(*roots, *truth, *pred, kv, cell)).alias("n")) \
         .filter("n is not null").select("pair_id", "n.*")
-    roots = line.select(F.col("job_id").alias("pair_id")).dropDuplicates().select("pair_id", F.explode(F.array(*[
-        node(s, zero, lit(None), zero, lit("document"), none_s) for s in ("truth", "pred")])).alias("n")).select("pair_id", "n.*")
-    return made.unionByName(roots)
+
+
+def trees_together(spark, sf_dir) -> bool:
+    """Whether the nodes of a pair come one after another in one partition of ``tree_nodes``: unless an order is too large for a task."""
+    return line_sizes(spark, sf_dir)[1] <= scan.MAX_GROUP_ROWS
 
 
 _sql("tree_nodes", """
