@@ -10,6 +10,7 @@ fills.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,9 +43,11 @@ class OrderedReplay(StatefulProcessor):
     behind what has been folded already, or without a time or place, come out with ``late`` set and null outputs.
 
     Held rows lie in a map by slice of time, ``SLICES`` to a delay, so a batch touches only the slices it has rows in and those
-    that fall due."""
+    that fall due. What a batch brings is packed by slice as it is read, and slices are unpacked and folded one after the other, so a task
+    holds Python objects for a slice, not for a batch."""
 
     SLICES = 32
+    OUT_ROWS = 50_000
 
     def __init__(self, fold: Fold, order: list[str], keep: list[str], schema: StructType, delay_ms: int) -> None:
         self.fold, self.order, self.keep, self.schema = fold, order, keep, schema
@@ -61,43 +64,54 @@ class OrderedReplay(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         saved = self.state.get()
         state, last, clock, slices = json.loads(saved[0]) if saved else (None, None, None, [])
-        out, new, ends = [], {}, False
-        nothing = [None] * len(self.schema.fields[len(key) + len(self.kept) : -1])
-        for row in _rows(rows, self.columns):
-            if row[1]:
-                ends = True
-                continue
-            place = [row[k] for k in self.place]
-            if row[0] is None or None in place or last is not None and place <= last:
-                out.append((*key, *[row[k] for k in self.kept], *nothing, True))
-            else:
-                new.setdefault(int(row[0]) // self.width, []).append(row)
-            if row[0] is not None:
-                clock = max(clock if clock is not None else int(row[0]), int(row[0]))
+        nothing, slices = [None] * len(self.schema.fields[len(key) + len(self.kept) : -1]), set(slices)
+        out, done, new, ends = [], [], {}, False  # new: packed rows by slice; done: frames of late rows
+        for batch in rows:
+            came: dict[int, list] = {}
+            for row in _rows([batch], self.columns):
+                if row[1]:
+                    ends = True
+                    continue
+                place = [row[k] for k in self.place]
+                if row[0] is None or None in place or last is not None and place <= last:
+                    out.append((*key, *[row[k] for k in self.kept], *nothing, True))
+                else:
+                    came.setdefault(int(row[0]) // self.width, []).append(row)
+                if row[0] is not None:
+                    clock = max(clock if clock is not None else int(row[0]), int(row[0]))
+            for at, some in came.items():
+                new.setdefault(at, []).append(pickle.dumps(some))
+            if len(out) >= self.OUT_ROWS:
+                done.append(_frame(out, self.schema))
+                out = []
+        yield from done
         due = clock - self.delay_ms if clock is not None else None
-        waiting, ready = set(slices) | set(new), []
+        waiting = slices | set(new)
         for at in sorted(waiting):
             if not ends and at * self.width > due:
                 break
-            held = new.pop(at, [])
+            held = [row for packed in new.pop(at, []) for row in pickle.loads(packed)]
             if at in slices:
                 held += json.loads(self.held.getValue((at,))[0])
                 self.held.removeKey((at,))
             waiting.discard(at)
             stay = [] if ends else [r for r in held if r[0] > due]
-            ready += held if ends else [r for r in held if r[0] <= due]
+            for row in sorted(held if ends else [r for r in held if r[0] <= due], key=lambda r: [r[k] for k in self.place]):
+                state, values = self.fold.step(state, *[row[k] for k in self.inputs])
+                last = [row[k] for k in self.place]
+                out.append((*key, *[row[k] for k in self.kept], *values, False))
+            if len(out) >= self.OUT_ROWS:
+                yield _frame(out, self.schema)
+                out = []
             if stay:
                 self.held.updateValue((at,), (json.dumps(stay),))
                 waiting.add(at)
                 break
-        for at, held in new.items():
+        for at, packed in new.items():
+            held = [row for some in packed for row in pickle.loads(some)]
             if at in slices:
                 held = json.loads(self.held.getValue((at,))[0]) + held
             self.held.updateValue((at,), (json.dumps(held),))
-        for row in sorted(ready, key=lambda r: [r[k] for k in self.place]):
-            state, values = self.fold.step(state, *[row[k] for k in self.inputs])
-            last = [row[k] for k in self.place]
-            out.append((*key, *[row[k] for k in self.kept], *values, False))
         self.state.update((json.dumps([state, last, clock, sorted(waiting)]),))
         if out:
             yield _frame(out, self.schema)
