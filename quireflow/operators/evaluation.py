@@ -1,7 +1,7 @@
 """Scoring predicted documents against the truth: text, boxes and tree structure.
 
 Every pair gets a row: text and boxes are scored whatever its size, also if one side is missing; only the
-tree distance is refused, with a reason. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
+tree distance is refused, with a reason: of a missing side, of misplaced nodes, and of trees above the limits, if there are any. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
 confidence); ``side`` is 'pred' or 'truth'. Nodes are shuffled once by pair, unless the caller says that those of a pair come ``together`` already; tasks then read them as a stream
 and work on whole pairs, as many as fit some ten thousand nodes, or one larger pair. Only pairs whose tree distance is computed
 carry arrays further, dealt to tasks by what their distances cost.
@@ -43,6 +43,7 @@ MAX_PAGE_BOXES = 2000
 
 CHUNK_NODES = 65_536  # nodes worked on together; a larger pair is a chunk of its own
 CELLS_PER_TASK = 100_000_000  # about ten seconds of tree distances
+UNLIMITED = {"max_nodes": None, "max_cells": None}  # limits of a job that computes every distance there is
 
 
 def _in_order(nodes: DataFrame, columns: Sequence[str], together: bool) -> DataFrame:
@@ -366,7 +367,7 @@ _SCORED = "hyp string, ref string, predicted_boxes bigint, truth_boxes bigint, m
 class _Pairs:
     """The pairs of a chunk: which trees they consist of, what their distance costs, and why it is refused."""
 
-    def __init__(self, table: pa.Table, tree: np.ndarray, max_nodes: int, max_cells: int):
+    def __init__(self, table: pa.Table, tree: np.ndarray, max_nodes: int | None, max_cells: int | None):
         self.table, self.tree, self.laid = table, tree, _laid(table, tree)
         first = self.laid.first
         self.truth = table["is_truth"].to_numpy()[first].astype(int)
@@ -376,14 +377,14 @@ class _Pairs:
         spread = lambda values: np.zeros((2, n), np.int64) if values is None else self._by_side(values)
         self.nodes = spread(np.diff(np.append(first, len(tree))))
         cost, turned, misplaced = spread(self.laid.cost), spread(self.laid.mirrored_cost), spread(self.laid.misplaced)
-        most = float(np.iinfo(np.int64).max // 2)
-        straight, mirrored = (np.minimum(c[0].astype(float) * c[1], most) for c in (cost, turned))
-        exact = lambda c, big: np.where(big < 2.0**53, c[0] * np.where(big < 2.0**53, c[1], 0), big.astype(np.int64))
-        straight, mirrored = exact(cost, straight), exact(turned, mirrored)
-        self.cells, self.mirrored = np.minimum(straight, mirrored), mirrored < straight
+        straight, mirrored = (c[0].astype(object) * c[1] for c in (cost, turned))  # as Python numbers: those of large pairs pass 64 bits
+        self.mirrored = (mirrored < straight).astype(bool)
+        self.cells = np.minimum(np.minimum(straight, mirrored), np.iinfo(np.int64).max).astype(np.int64)
         reason = np.full(n, None, object)
-        reason[self.cells > max_cells] = "steps"
-        reason[self.nodes.max(axis=0) > max_nodes] = "nodes"
+        if max_cells is not None:
+            reason[self.cells > max_cells] = "steps"
+        if max_nodes is not None:
+            reason[self.nodes.max(axis=0) > max_nodes] = "nodes"
         reason[misplaced.sum(axis=0) > 0] = "broken"
         reason[self.nodes.min(axis=0) == 0] = "unpaired"
         self.reason, self.admitted = reason, np.equal(reason, None)
@@ -441,12 +442,12 @@ class _Pairs:
         return [*texts, *[pa.array(v.astype(float if k == pa.float64() else np.int64), k) for v, k in zip(numbers, kinds_, strict=True)]]
 
 
-def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: int = c.MAX_TREE_CELLS, with_trees: bool = False,
+def pair_rows(nodes: DataFrame, max_nodes: int | None = c.MAX_TREE_NODES, max_cells: int | None = c.MAX_TREE_CELLS, with_trees: bool = False,
               threshold: float | None = None, together: bool = False) -> DataFrame:
     """One row per pair: nodes of both sides, the cells of the tree distance in the cheaper orientation (and whether that is the mirrored one),
-    and why it is refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps'. ``with_trees`` adds the trees of admitted
-    pairs, a ``threshold`` the texts and the counts of box matches. ``task`` and ``upto`` place the pair's cells in the running
-    sum of its task."""
+    and why it is refused (null when it may run): 'unpaired', 'broken' (misplaced nodes), 'nodes' or 'steps', the last two not if the limit is None.
+    ``with_trees`` adds the trees of admitted pairs, a ``threshold`` the texts and the counts of box matches. ``task`` and ``upto`` place the
+    pair's cells (those of one task at most) in the running sum of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -454,7 +455,7 @@ def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: in
         task, before = TaskContext.get().partitionId(), 0
         for table, tree in _whole_pairs(batches):
             pairs = _Pairs(table, tree, max_nodes, max_cells)
-            upto = before + np.cumsum(np.where(pairs.admitted, pairs.cells, 0))
+            upto = before + np.cumsum(np.where(pairs.admitted, np.minimum(pairs.cells, CELLS_PER_TASK), 0))
             before = int(upto[-1])
             columns = [pairs.ids, *[pa.array(n) for n in pairs.nodes], pa.array(pairs.cells), pa.array(pairs.mirrored), pa.array(pairs.reason, pa.string()),
                        pa.array(np.full(pairs.count, task, np.int32)), pa.array(upto)]
@@ -468,14 +469,14 @@ def pair_rows(nodes: DataFrame, max_nodes: int = c.MAX_TREE_NODES, max_cells: in
     return _in_order(nodes, needed, together).mapInArrow(run, schema)
 
 
-def admission_report(nodes: DataFrame, together: bool = False, **limits: int) -> DataFrame:
+def admission_report(nodes: DataFrame, together: bool = False, **limits: int | None) -> DataFrame:
     """Sizes, cells and refusal of every pair."""
     return pair_rows(nodes, together=together, **limits).drop("task", "upto")
 
 
 def dealt_by_cost(pairs: DataFrame, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """Pairs (written, with ``task`` and ``upto``) in partitions of about equal cells: each takes an interval of the running sum over all
-    tasks, so it holds more than its share by one pair at most, and a pair is bounded by the limit on cells."""
+    tasks, so it holds more than its share by one pair at most."""
     spark = pairs.sparkSession
     sums = [(r.task, r.cells) for r in pairs.groupBy("task").agg(F.max("upto").alias("cells")).orderBy("task").collect()]  # a row per task
     total = sum(cells for _, cells in sums)
@@ -493,8 +494,8 @@ def _distance() -> Column:
     return trees.tree_distance("pred_labels", "pred_leaf", "truth_labels", "truth_leaf")
 
 
-def tree_metrics(nodes: DataFrame, together: bool = False, **limits: int) -> DataFrame:
-    """Tree edit distance on node types per pair; refused pairs keep a reason and no distance."""
+def tree_metrics(nodes: DataFrame, together: bool = False, **limits: int | None) -> DataFrame:
+    """Tree edit distance on node types per pair; refused pairs keep a reason and no distance (``UNLIMITED``: no pair is refused for its size)."""
     pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, together=together, **limits)))
     out = pairs.withColumn("ted", _distance()).select("pair_id", "pred_nodes", "truth_nodes", "cells", "refused_reason", "ted")
     return out.withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes"))
@@ -502,7 +503,7 @@ def tree_metrics(nodes: DataFrame, together: bool = False, **limits: int) -> Dat
 
 # --- everything ----------------------------------------------------------------------------------------
 
-def evaluate(nodes: DataFrame, threshold: float = 0.5, together: bool = False, **limits: int) -> DataFrame:
+def evaluate(nodes: DataFrame, threshold: float = 0.5, together: bool = False, **limits: int | None) -> DataFrame:
     """Text, box and tree scores of every pair, one row each.
 
     ``refused_reason`` says why a pair has no tree distance; its other scores are there all the same. A

@@ -178,8 +178,8 @@ def tree_admission(spark, sf):
 
 @query("v4_tree_distance")
 def tree_distance(spark, sf):
-    """Checked against the recursive definition on random trees in the tests."""
-    return ev.tree_metrics(i.tree_nodes(spark, sf), i.trees_together(spark, sf)).withColumn("ted_normalized", F.round("ted_normalized", 6))
+    """Of every pair, whatever its size. Checked against the recursive definition on random trees in the tests."""
+    return ev.tree_metrics(i.tree_nodes(spark, sf), i.trees_together(spark, sf), **ev.UNLIMITED).withColumn("ted_normalized", F.round("ted_normalized", 6))
 
 
 @query("v4_flat_trees", i.with_inputs("lines", """
@@ -198,7 +198,7 @@ def flat_trees(spark, sf):
     none = F.lit(None).cast("double")
     nodes = rows.select("pair_id", "side", "node_id", "parent_id", F.col("page_idx").cast("int").alias("list_pos"), "type", F.lit(None).cast("string").alias("text"),
                         *[none.alias(n) for n in "xywh"], F.lit(None).cast("int").alias("ord"), none.alias("confidence"))
-    return ev.tree_metrics(nodes).select("pair_id", "ted")
+    return ev.tree_metrics(nodes, **ev.UNLIMITED).select("pair_id", "ted")
 
 
 @query("v4_segment_trees")
@@ -232,8 +232,8 @@ def segment_trees(spark, sf):
 
 @query("v5_evaluate")
 def evaluate(spark, sf):
-    """All scores of every pair of trees, one row each."""
-    out = ev.evaluate(i.tree_nodes(spark, sf), together=i.trees_together(spark, sf))
+    """All scores of every pair of trees, whatever its size, one row each."""
+    out = ev.evaluate(i.tree_nodes(spark, sf), together=i.trees_together(spark, sf), **ev.UNLIMITED)
     rates = ["cer", "wer", "mean_iou", "matched_mean_iou", "precision", "recall", "f1", "type_accuracy", "ted_normalized"]
     return out.withColumns({r: F.round(r, 6) for r in rates})
 

@@ -1,15 +1,18 @@
 """Kernels that work on many pairs at once, and inputs that come without a further shuffle."""
 
+import dataclasses
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quireflow.functions import text, trees
 from quireflow.operators import evaluation as ev
 from quireflow.operators.scan import Fold
+from quireflow.plans import evaluation_plans
 from quireflow.plans import inputs as i
 from quireflow.streaming import processors
 from quireflow.streaming.processors import OrderedReplay
@@ -47,6 +50,52 @@ def test_alignments_settle_only_what_the_tables_give():
     assert trees._distances(list(pairs)) == exact.tolist()
 
 
+def test_large_trees_are_as_far_apart_as_their_tables_say(monkeypatch):
+    rng = random.Random(5)
+    pairs = [(*_tree(rng, rng.randrange(1, 25)), *_tree(rng, rng.randrange(1, 25))) for _ in range(300)]
+    exact = trees.tree_distances(pairs).tolist()
+    assert [trees.large_distance(*p) for p in pairs] == exact
+    monkeypatch.setattr(trees, "LARGE_CELLS", 0)  # all in files, all one by one
+    assert trees._distances([None, *pairs]) == [None, *exact]
+
+
+def test_tables_of_wide_trees_do_not_run_into_each_other():
+    """A few nodes against very many, which all tables of a level hold side by side."""
+    lab, leaf = np.zeros(40_000, int), np.arange(40_000) - np.arange(40_000) % 2  # pairs of a node and its child
+    leaf[-1] = 0
+    few = np.array([1, 0, 1, 0, 0]), np.array([0, 0, 2, 2, 0])
+    pair = (*few, lab, leaf)
+    assert trees.tree_distances([pair])[0] == trees.large_distance(*pair) == 40_000 - 3  # two of the five nodes are relabelled or lost
+
+
+@pytest.fixture(scope="module")
+def large_order(spark, tmp_path_factory):
+    """An order of 1,100 lines (4,401 nodes a tree) and one of two."""
+    at = str(tmp_path_factory.mktemp("large"))
+    rows = [(order, n % 7, n, float(n)) for order, lines in ((1, 1100), (2, 2)) for n in range(1, lines + 1)]
+    item = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double")
+    item.select("*", F.lit(7).cast("bigint").alias("l_suppkey"), F.lit("1995-01-01").cast("timestamp").alias("l_shipdate"), F.lit(10.0).alias("l_extendedprice"),
+                F.lit(0.05).alias("l_discount"), F.lit(0.1).alias("l_tax"), F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(k, f"part {k}", "b", "t") for k in range(7)], "p_partkey bigint, p_name string, p_brand string, p_type string").write.parquet(f"{at}/part.parquet")
+    return at
+
+
+def test_tree_distances_of_every_size(spark, large_order):
+    """A paragraph of every line is seen as a list, and the leaves of all but 40 lines as another."""
+    assert {r.pair_id: (r.pred_nodes, r.refused_reason, r.ted) for r in evaluation_plans.tree_distance(spark, large_order).collect()} == {1: (4401, None, 1100), 2: (9, None, 2)}
+    assert {r.pair_id: r.ted for r in evaluation_plans.flat_trees(spark, large_order).collect()} == {1: 1060, 2: 0}
+
+
+def test_cells_of_large_pairs_are_counted_exactly(monkeypatch):
+    table = pa.table({"pair_id": [1, 1], "is_truth": [False, True], "node_id": [0, 0], "parent_id": pa.array([None, None], pa.int64()), "type": ["a", "a"]})
+    pairs = ev._Pairs(table, np.array([0, 1]), None, None)
+    assert pairs.cells.tolist() == [1] and pairs.admitted.all()
+    laid = dataclasses.replace(ev._laid(table, np.array([0, 1])), cost=np.array([2**40, 2**40 + 1]), mirrored_cost=np.array([2**26 + 1, 2**30 + 1]))
+    monkeypatch.setattr(ev, "_laid", lambda *_: laid)
+    pairs = ev._Pairs(table, np.array([0, 1]), None, None)
+    assert pairs.cells.tolist() == [(2**26 + 1) * (2**30 + 1)] and pairs.mirrored.tolist() == [True]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Lines of a few orders, one of them null; part 1 is there twice, part 3 is missing."""
