@@ -86,6 +86,11 @@ def test_tree_distances_of_every_size(spark, large_order):
     assert {r.pair_id: r.ted for r in evaluation_plans.flat_trees(spark, large_order).collect()} == {1: 1060, 2: 0}
 
 
+def test_a_full_evaluation_has_the_distance_of_every_size(spark, large_order):
+    out = {r.pair_id: r for r in evaluation_plans.evaluate(spark, large_order).collect()}
+    assert {k: (r.pred_nodes, r.refused_reason, r.ted, r.truth_boxes, r.char_edits) for k, r in out.items()} == {1: (4401, None, 1100, 3300, 0), 2: (9, None, 2, 6, 0)}
+
+
 def test_cells_of_large_pairs_are_counted_exactly(monkeypatch):
     table = pa.table({"pair_id": [1, 1], "is_truth": [False, True], "node_id": [0, 0], "parent_id": pa.array([None, None], pa.int64()), "type": ["a", "a"]})
     pairs = ev._Pairs(table, np.array([0, 1]), None, None)
