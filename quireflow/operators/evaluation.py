@@ -4,7 +4,7 @@ Every pair gets a row: text and boxes are scored whatever its size, also if one
 tree distance is refused, with a reason: of a missing side, of misplaced nodes, and of trees above the limits, if there are any. Nodes are rows (pair_id, side, node_id, parent_id, list_pos, type, text, x, y, w, h, ord,
 confidence); ``side`` is 'pred' or 'truth'. Nodes are shuffled once by pair, unless the caller says that those of a pair come ``together`` already; tasks then read them as a stream
 and work on whole pairs, as many as fit some ten thousand nodes, or one larger pair. Only pairs whose tree distance is computed
-carry arrays further, dealt to tasks by what their distances cost.
+carry arrays further, dealt to tasks by what their distances cost; texts are compared before that and not carried at all.
 """
 
 from __future__ import annotations
@@ -510,7 +510,9 @@ def evaluate(nodes: DataFrame, threshold: float = 0.5, together: bool = False, *
     missing side counts as an empty document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    pairs = dealt_by_cost(written(pair_rows(nodes, with_trees=True, threshold=threshold, together=together, **limits)))
-    scored = text_metrics(pairs.withColumns({"ref": text.collapse_spaces(F.col("ref")), "hyp": text.collapse_spaces(F.col("hyp")), "ted": _distance()}))
+    pairs = pair_rows(nodes, with_trees=True, threshold=threshold, together=together, **limits)
+    # Texts are compared where they are put together: only their counts are written and dealt.
+    compared = text_metrics(pairs.withColumns({"ref": text.collapse_spaces(F.col("ref")), "hyp": text.collapse_spaces(F.col("hyp"))})).drop("ref", "hyp")
+    scored = dealt_by_cost(written(compared)).withColumn("ted", _distance())
     return box_scores(scored, threshold).withColumn("ted_normalized", F.col("ted") / F.greatest("pred_nodes", "truth_nodes")) \
-        .drop("ref", "hyp", "mirrored", "cells", "pred_labels", "pred_leaf", "truth_labels", "truth_leaf")
+        .drop("mirrored", "cells", "pred_labels", "pred_leaf", "truth_labels", "truth_leaf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import shaping, text
@@ -282,13 +283,43 @@ def unpaired_and_large(spark, sf):
     the node limit: every pair keeps its text and box scores."""
     pair = F.col("pair_id")
     whole = i.tree_nodes(spark, sf).filter(~((F.col("side") == "pred") & (pair % 11 == 0)) & ~((F.col("side") == "truth") & (pair % 13 == 0)))
-    place = F.col("job_id") * 1000 + F.col("page_idx")
-    seen = F.when(F.col("l_quantity") > 45, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
-    node = lambda side, text: F.struct(F.lit(side).alias("side"), text.alias("text"))
-    lines = i.lines(spark, sf).select((-1 - F.floor(F.col("job_id") / 400)).alias("pair_id"), place.alias("place"), F.inline(F.array(node("truth", F.col("l_linestatus")), node("pred", seen))))
-    leaves = lines.select("pair_id", "side", (F.col("place") + 1).alias("node_id"), F.lit(0).cast("bigint").alias("parent_id"), F.col("place").alias("list_pos"), F.lit("line").alias("type"), "text")
-    roots = leaves.select("pair_id", "side").distinct().select(
-        "pair_id", "side", F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).alias("list_pos"), F.lit("document").alias("type"), F.lit(None).cast("string").alias("text"))
-    out = ev.evaluate(whole.unionByName(leaves.unionByName(roots), allowMissingColumns=True))
+    together = i.groups_together(spark, sf, _JOBS) and _apart(spark, sf)
+    flat = _flat_nodes(spark, sf, together)
+    if together:  # neither nodes of orders nor flat trees are shuffled
+        out = ev.evaluate(whole, together=i.trees_together(spark, sf)).unionByName(ev.evaluate(flat, together=True))
+    else:
+        out = ev.evaluate(whole.unionByName(flat))
     rates = ["cer", "wer", "mean_iou", "precision", "recall", "f1"]
     return out.withColumns({r: F.round(r, 6) for r in rates}).drop("iou_threshold", "matched_mean_iou", "type_accuracy", "ted", "ted_normalized")
+
+
+_JOBS = 400  # orders of a flat tree
+
+
+def _apart(spark, sf) -> bool:
+    """Whether no flat tree has the number of an order: those of flat trees are negative where no order has a negative number or none."""
+    key = F.col("l_orderkey")
+    return not i.table(spark, sf, "lineitem").filter(key.isNull() | (key < 0)).select(key).head(1)
+
+
+def _flat_nodes(spark, sf, together):
+    """A root and a leaf per line, both sides. ``together``: the nodes of a tree come side by side, as the lines do."""
+    none = {"x": "double", "y": "double", "w": "double", "h": "double", "ord": "int", "confidence": "double"}
+    place = F.col("job_id") * 1000 + F.col("page_idx")
+    seen = F.when(F.col("l_quantity") > 45, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
+    line = i.lines(spark, sf, group=-1 - F.floor(F.col("job_id") / _JOBS), most_jobs=_JOBS).withColumnRenamed("group_id", "pair_id")
+
+    def node(side, node_id, parent, pos, kind, text):
+        return F.struct(F.lit(side).alias("side"), node_id.cast("bigint").alias("node_id"), parent.cast("bigint").alias("parent_id"), pos.cast("bigint").alias("list_pos"),
+                        F.lit(kind).alias("type"), text.cast("string").alias("text"))
+
+    zero = F.lit(0)
+    leaves = [node(side, place + 1, zero, place, "line", text) for side, text in (("truth", F.col("l_linestatus")), ("pred", seen))]
+    roots = [node(side, zero, F.lit(None), zero, "document", F.lit(None)) for side in ("truth", "pred")]
+    if together:
+        first = F.row_number().over(Window.partitionBy("pair_id").orderBy("job_id", "page_idx")) == 1
+        nodes = line.withColumn("_first", first).select("pair_id", F.inline(F.filter(F.array(*leaves, *[F.when(F.col("_first"), r) for r in roots]), lambda n: n.isNotNull())))
+    else:
+        nodes = line.select("pair_id", F.inline(F.array(*leaves)))
+        nodes = nodes.unionByName(line.select("pair_id").distinct().select("pair_id", F.inline(F.array(*roots))))
+    return nodes.withColumns({n: F.lit(None).cast(t) for n, t in none.items()})

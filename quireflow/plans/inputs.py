@@ -140,15 +140,23 @@ def call_sizes(spark, sf_dir, times: int = 1) -> tuple[int, int]:
     return rows * times, largest * times
 
 
-def lines(spark, sf_dir, looked_up: DataFrame | None = None) -> DataFrame:
-    """Order lines as the pages of a job, numbered from 0; ``looked_up`` adds columns to the lines of a part (a row per part)."""
+def lines(spark, sf_dir, looked_up: DataFrame | None = None, group: Column | None = None, most_jobs: int = 1) -> DataFrame:
+    """Order lines as the pages of a job, numbered from 0; ``looked_up`` adds columns to the lines of a part (a row per part). ``group``, an
+    expression of ``job_id`` with at most ``most_jobs`` of them to a value, comes out as ``group_id``, the lines of a group side by side (``groups_together``)."""
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id") \
         .withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
     if looked_up is not None:  # ahead of the numbering, which leaves the lines of a job side by side
         items = items.join(looked_up, "l_partkey", "left")
-    sizes = line_sizes(spark, sf_dir)
-    return scan.numbered(scan.together(items, ["job_id"], sizes), ["job_id"], _PAGE_ORDER, "page_idx", 0, sizes=sizes) \
-        .withColumn("page_idx", F.col("page_idx").cast("int"))
+    sizes, keys = line_sizes(spark, sf_dir), ["job_id"]
+    if group is not None:
+        items, keys = items.withColumn("group_id", group), ["group_id", "job_id"]
+    placed = scan.together(items, keys[:1], (sizes[0], sizes[1] * most_jobs))
+    return scan.numbered(placed, keys, _PAGE_ORDER, "page_idx", 0, sizes=sizes).withColumn("page_idx", F.col("page_idx").cast("int"))
+
+
+def groups_together(spark, sf_dir, most_jobs: int) -> bool:
+    """Whether ``lines`` leaves the lines of a group side by side in one partition: unless it is too large for a task."""
+    return line_sizes(spark, sf_dir)[1] * most_jobs <= scan.MAX_GROUP_ROWS
 
 
 _sql("lines", f"""

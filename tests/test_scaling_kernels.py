@@ -2,6 +2,7 @@
 
 import dataclasses
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from quireflow.operators import evaluation as ev
 from quireflow.operators.scan import Fold
 from quireflow.plans import evaluation_plans
 from quireflow.plans import inputs as i
+from quireflow.session import CLEAN_SHUFFLES, written
 from quireflow.streaming import processors
 from quireflow.streaming.processors import OrderedReplay
 
@@ -91,6 +93,47 @@ def test_a_full_evaluation_has_the_distance_of_every_size(spark, large_order):
     assert {k: (r.pred_nodes, r.refused_reason, r.ted, r.truth_boxes, r.char_edits) for k, r in out.items()} == {1: (4401, None, 1100, 3300, 0), 2: (9, None, 2, 6, 0)}
 
 
+def test_texts_are_not_carried_on(spark, large_order, monkeypatch):
+    """What is written and dealt has the counts of the texts, not the texts."""
+    written = []
+    monkeypatch.setattr(ev, "written", lambda df: written.append(df.columns) or df)
+    monkeypatch.setattr(ev, "dealt_by_cost", lambda df: df)
+    assert ev.evaluate(i.tree_nodes(spark, large_order), together=True, **ev.UNLIMITED).count() == 2
+    assert "char_edits" in written[0] and not {"ref", "hyp"} & set(written[0])
+
+
+@pytest.mark.parametrize("first_order", [0, -3, None])
+def test_flat_trees_are_scored_the_same_shuffled_or_in_place(spark, tmp_path, monkeypatch, first_order):
+    """Without a negative or a null order flat trees are made of lines that lie side by side; otherwise their numbers may be those of orders."""
+    rows = [(order, part, n, float(40 + n), None if n == 2 else "F") for order in (first_order, 11, 13, 399, 400, 801, 2000) for n, part in enumerate((1, 2, 3, 1), 1)]
+    item = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_linestatus string")
+    item.select("*", F.lit(7).cast("bigint").alias("l_suppkey"), F.lit("1995-01-01").cast("timestamp").alias("l_shipdate"), F.lit(10.0).alias("l_extendedprice"),
+                (F.col("l_linenumber") * 0.03).alias("l_discount"), F.lit(0.1).alias("l_tax"), F.lit("A").alias("l_returnflag")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "one", "b", "t"), (2, "two", "b", None)], "p_partkey bigint, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    routes, evaluate = [], ev.evaluate
+    monkeypatch.setattr(ev, "evaluate", lambda nodes, together=False, **rest: routes.append(together) or evaluate(nodes, together=together, **rest))
+    found = sorted(map(str, evaluation_plans.unpaired_and_large(spark, str(tmp_path)).collect()))
+    assert routes == ([True, True] if first_order == 0 else [False])
+    monkeypatch.setattr(evaluation_plans, "_apart", lambda *_: False)
+    assert found == sorted(map(str, evaluation_plans.unpaired_and_large(spark, str(tmp_path)).collect())) and len(found) >= 10
+
+
+def test_the_shuffle_of_a_written_table_is_removed(spark):
+    before, kept = spark.conf.get(CLEAN_SHUFFLES), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = kept.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    known = files()
+    table = written(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):  # they go in the background
+        if files() <= known:
+            break
+        time.sleep(0.2)
+    assert files() <= known and table.count() == 1000 and spark.conf.get(CLEAN_SHUFFLES) == before
+
+
 def test_cells_of_large_pairs_are_counted_exactly(monkeypatch):
     table = pa.table({"pair_id": [1, 1], "is_truth": [False, True], "node_id": [0, 0], "parent_id": pa.array([None, None], pa.int64()), "type": ["a", "a"]})
     pairs = ev._Pairs(table, np.array([0, 1]), None, None)
