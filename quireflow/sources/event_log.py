@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,56 @@ def as_sse(events: DataFrame, envelope: Column) -> DataFrame:
     return events.select("job_id", "seq", shaping.sse_text(F.col("seq"), F.col("kind"), envelope).alias("sse"))
 
 
+# What ends a record, by the line ends of a capture.
+_BLANK_LINES = ("\n\n", "\r\n\r\n", "\r\r")
+
+
+def _captures(spark: SparkSession, path: str | list[str], separator: str, longest: int | None = None) -> DataFrame:
+    reader = spark.read.option("lineSep", separator)
+    if longest:
+        reader = reader.option("mapreduce.input.linerecordreader.line.maxlength", longest)  # longer rows are passed over, not held
+    return reader.text(path)
+
+
+def _by_separator(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a capture by the blank line they have most of. Only blank lines are held while they are counted."""
+    named = lambda file: re.sub("^file:/+", "file:/", file)  # noqa: E731 - both forms are in use
+    counts = {named(file): [0, 0, 0] for file in spark.read.text(path).inputFiles()}
+
+    def count(line_end: str, blank: dict[int, str]) -> None:
+        found = _captures(spark, path, line_end, 8).select("value", F.col("_metadata.file_path").alias("file"))
+        for row in found.groupBy("file").agg(*[F.count_if(F.col("value") == line).alias(f"n{k}") for k, line in blank.items()]).collect():  # a row per file
+            for k in blank:
+                counts[named(row.file)][k] = row[f"n{k}"]
+
+    count("\n", {0: "", 1: "\r"})
+    if not all(map(any, counts.values())):
+        count("\r", {2: ""})
+    out: dict[str, list[str]] = {}
+    for file, n in counts.items():
+        out.setdefault(_BLANK_LINES[n.index(max(n))], []).append(file)
+    return out
+
+
 def read_sse(spark: SparkSession, path: str) -> DataFrame:
-    """Captured event text: one row (id, event, data) per record that has data."""
-    chunks = spark.read.option("lineSep", "\n\n").text(path)
-    # a capture with CRLF has no blank line of that form: what one chunk holds is cut again
-    records = chunks.select(F.explode(F.split("value", "\r\n\r\n|\r\r")).alias("record"))
+    """Captured event text: one row (id, event, data) per record that has data. A file is read record by record, by the blank line it has most
+    of: read by another, it would be a single row."""
+    separators = _by_separator(spark, path) or {_BLANK_LINES[0]: []}
+    chunks = None
+    for separator, files in separators.items():
+        # all files of one form are read by the path, which also holds for none
+        found = _captures(spark, path if len(separators) == 1 else [_as_path(f) for f in files], separator)
+        chunks = found.select("value") if chunks is None else chunks.unionByName(found.select("value"))
+    # a capture of mixed line ends has blank lines of other forms too: what one chunk holds is cut again
+    records = chunks.select(F.explode(F.split("value", "|".join(_BLANK_LINES))).alias("record"))
     return parse_sse(records, "record").select("id", "event", "data")
 
 
+def _as_path(file: str) -> str:
+    """A file as a path of its own: its name is not encoded and its signs are no pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file))
+
+
 def parse_sse(records: DataFrame, column: str) -> DataFrame:
     """Records with id, event and data: comment lines are skipped, data lines joined by newline,
     one blank after the colon belongs to the syntax; the last id or event line wins."""

@@ -58,6 +58,21 @@ def test_captured_event_text_is_read_back(spark, tmp_path):
     assert [tuple(r) for r in got] == [("3", "page_result", '{"a":\n1}'), ("4", "message", "x: y")]
 
 
+def test_captures_are_read_record_by_record_whatever_ends_their_lines(spark, tmp_path):
+    one = "id: {}{e}event: page_result{e}data: {{}}{e}data:{e}{e}"
+    for name, end, n in (("lf", "\n", 400), ("crlf [1]", "\r\n", 300), ("c%20r*", "\r", 200)):
+        (tmp_path / name).write_bytes("".join(one.format(k, e=end) for k in range(n)).encode())
+    (tmp_path / "mixed").write_bytes(b"data: a\n\r\ndata: b\n\ndata: c\r\r\n\r\ndata: d\r\n\r\n\ndata: e\r\rdata: f\n\n")
+    (tmp_path / "empty").write_bytes(b"")
+    forms = event_log._by_separator(spark, str(tmp_path))
+    assert {k: sorted(f.rsplit("/", 1)[1] for f in v) for k, v in forms.items()} == {"\n\n": ["empty", "lf", "mixed"], "\r\n\r\n": ["crlf%20%5B1%5D"], "\r\r": ["c%2520r*"]}
+    for separator, files in forms.items():  # no row holds a file
+        assert event_log._captures(spark, [event_log._as_path(f) for f in files], separator).agg(F.max(F.length("value"))).first()[0] < 60
+    got = event_log.read_sse(spark, str(tmp_path))
+    assert got.filter("id != ''").groupBy("event", "data").count().collect() == [("page_result", "{}\n", 900)]
+    assert sorted(r.data for r in got.filter("id = ''").collect()) == ["a\nb", "c", "d", "e", "f"]
+
+
 def test_schemas_parse(spark):
     from quireflow.sources import tables
 
