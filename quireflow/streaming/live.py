@@ -16,7 +16,7 @@ from quireflow.operators import folds, scan, stats
 from quireflow.operators.scan import Fold
 from quireflow.session import ROCKSDB_PROVIDER, scratch_path
 from quireflow.sources import stores
-from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, LiveWindows, OrderedReplay, Reassembly, StatusCounts, UniqueFrames
+from quireflow.streaming.processors import REASSEMBLED, LimitsReplay, LiveWindows, OrderedReplay, Reassembly, SharedReplay, StatusCounts, UniqueFrames
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -90,15 +90,20 @@ def limits(judged_windows: DataFrame) -> DataFrame:
 # --- replays --------------------------------------------------------------------------------------
 
 def replay(rows: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str], keep: Sequence[str], fold: Fold,
-           delay_s: float, ends: Column | None = None) -> DataFrame:
+           delay_s: float, ends: Column | None = None, shares: int | None = None) -> DataFrame:
     """A fold over a stream in event-time order (column ``at``, with which ``order`` must agree). Rows wait until their key's clock, the
     latest time it has seen, is ``delay_s`` ahead; every row comes out once, ``late`` and without outputs if its turn has passed. A
-    row for which ``ends`` holds ends its key's input: all that waits is folded, and the row itself does not come out."""
+    row for which ``ends`` holds ends its key's input: all that waits is folded, and the row itself does not come out. Few keys have a
+    state row each; very many are dealt to ``shares``."""
     key_fields = [rows.schema[k] for k in keys] + [rows.schema[k] for k in keep]
     schema = StructType(key_fields + StructType.fromDDL(fold.outputs + ", late boolean").fields)
     timed = rows.withColumns({"at_ms": F.unix_millis(at), "ends": F.coalesce(ends, F.lit(False)) if ends is not None else F.lit(False)})
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        OrderedReplay(fold, list(order), list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
+    if shares is None:
+        return timed.groupBy(*keys).transformWithStateInPandas(
+            OrderedReplay(fold, list(order), list(keep), schema, int(delay_s * 1000)), schema, "Append", "None")
+    dealt = SharedReplay(list(keys), fold, list(order), list(keep), schema, int(delay_s * 1000))
+    named = timed.select(F.pmod(F.xxhash64(*keys), F.lit(shares)).alias("share"), F.to_json(F.struct(*keys)).alias("key"), *dealt.columns)
+    return named.groupBy("share").transformWithStateInPandas(dealt, schema, "Append", "None")
 
 
 def breaker(calls: DataFrame, delay_s: float, fold: Fold | None = None, ends: Column | None = None) -> DataFrame:
@@ -113,9 +118,11 @@ def retry_grants(calls: DataFrame, delay_s: float, seconds: int = c.WINDOW_S, en
     return replay(rows, ["model"], F.col("ts"), ["at_us", "call_id"], ["call_id"], folds.RETRIES, delay_s, ends)
 
 
-def page_states(deliveries: DataFrame, delay_s: float, ends: Column | None = None) -> DataFrame:
-    """Deliveries (job_id, page_idx, at, step, ...) with the page's state afterwards."""
-    return replay(deliveries, ["job_id", "page_idx"], F.col("at"), ["step"], ["step"], folds.PAGES, delay_s, ends)
+def page_states(deliveries: DataFrame, delay_s: float, ends: Column | None = None, shares: int | None = None) -> DataFrame:
+    """Deliveries (job_id, page_idx, at, step, ...) with the page's state afterwards. Pages are dealt to ``shares`` state rows (eight per
+    shuffle partition), of which very many pages want more."""
+    shares = shares or 8 * int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return replay(deliveries, ["job_id", "page_idx"], F.col("at"), ["step"], ["step"], folds.PAGES, delay_s, ends, shares)
 
 
 # --- reassembly ---------------------------------------------------------------------------------------

@@ -9,9 +9,10 @@ fills.
 
 from __future__ import annotations
 
+import itertools
 import json
 import pickle
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -38,6 +39,26 @@ def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
+class _Held:
+    """Rows of a key that wait, by slice of time: up to ``most`` of a slice beside the key's state (``near``), more in a map entry of their own."""
+
+    def __init__(self, entries: Any, owner: tuple, near: dict[int, list], most: int) -> None:
+        self.entries, self.owner, self.near, self.most = entries, owner, near, most
+
+    def take(self, at: int) -> list[list]:
+        if at in self.near:
+            return self.near.pop(at)
+        rows = json.loads(self.entries.getValue((*self.owner, at))[0])
+        self.entries.removeKey((*self.owner, at))
+        return rows
+
+    def put(self, at: int, rows: list[list]) -> None:
+        if len(rows) <= self.most:
+            self.near[at] = rows
+        else:
+            self.entries.updateValue((*self.owner, at), (json.dumps(rows),))
+
+
 class OrderedReplay(StatefulProcessor):
     """A fold in event-time order. Input rows carry ``at_ms`` and ``ends``; ``order``, which starts with the time, breaks ties. Rows
     behind what has been folded already, or without a time or place, come out with ``late`` set and null outputs.
@@ -48,6 +69,7 @@ class OrderedReplay(StatefulProcessor):
 
     SLICES = 32
     OUT_ROWS = 50_000
+    NEW = (None, None, None, ())  # state of the fold, place of the last row folded, clock, slices with rows that wait
 
     def __init__(self, fold: Fold, order: list[str], keep: list[str], schema: StructType, delay_ms: int) -> None:
         self.fold, self.order, self.keep, self.schema = fold, order, keep, schema
@@ -62,13 +84,21 @@ class OrderedReplay(StatefulProcessor):
         self.held = handle.getMapState("held", _NUMBER, _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        saved = self.state.get()
-        state, last, clock, slices = json.loads(saved[0]) if saved else (None, None, None, [])
+        saved, out = self.state.get(), []
+        held = _Held(self.held, (), {}, -1)
+        after = yield from self._advanced(key, json.loads(saved[0]) if saved else self.NEW, (_rows([batch], self.columns) for batch in rows), held, out)
+        self.state.update((json.dumps(after),))
+        if out:
+            yield _frame(out, self.schema)
+
+    def _advanced(self, key: Any, saved: Any, batches: Iterable[Iterable[list]], rows_held: _Held, out: list[tuple]) -> Generator[pd.DataFrame, None, list]:
+        """A key's state after ``batches``, whose rows go to ``out``, or as frames whenever there are many."""
+        state, last, clock, slices = saved
         nothing, slices = [None] * len(self.schema.fields[len(key) + len(self.kept) : -1]), set(slices)
-        out, done, new, ends = [], [], {}, False  # new: packed rows by slice; done: frames of late rows
-        for batch in rows:
+        done, new, ends = [], {}, False  # new: packed rows by slice; done: frames of late rows
+        for batch in batches:
             came: dict[int, list] = {}
-            for row in _rows([batch], self.columns):
+            for row in batch:
                 if row[1]:
                     ends = True
                     continue
@@ -83,7 +113,7 @@ class OrderedReplay(StatefulProcessor):
                 new.setdefault(at, []).append(pickle.dumps(some))
             if len(out) >= self.OUT_ROWS:
                 done.append(_frame(out, self.schema))
-                out = []
+                out.clear()
         yield from done
         due = clock - self.delay_ms if clock is not None else None
         waiting = slices | set(new)
@@ -92,8 +122,7 @@ class OrderedReplay(StatefulProcessor):
                 break
             held = [row for packed in new.pop(at, []) for row in pickle.loads(packed)]
             if at in slices:
-                held += json.loads(self.held.getValue((at,))[0])
-                self.held.removeKey((at,))
+                held += rows_held.take(at)
             waiting.discard(at)
             stay = [] if ends else [r for r in held if r[0] > due]
             for row in sorted(held if ends else [r for r in held if r[0] <= due], key=lambda r: [r[k] for k in self.place]):
@@ -102,24 +131,71 @@ class OrderedReplay(StatefulProcessor):
                 out.append((*key, *[row[k] for k in self.kept], *values, False))
             if len(out) >= self.OUT_ROWS:
                 yield _frame(out, self.schema)
-                out = []
+                out.clear()
             if stay:
-                self.held.updateValue((at,), (json.dumps(stay),))
+                rows_held.put(at, stay)
                 waiting.add(at)
                 break
         for at, packed in new.items():
             held = [row for some in packed for row in pickle.loads(some)]
             if at in slices:
-                held = json.loads(self.held.getValue((at,))[0]) + held
-            self.held.updateValue((at,), (json.dumps(held),))
-        self.state.update((json.dumps([state, last, clock, sorted(waiting)]),))
-        if out:
-            yield _frame(out, self.schema)
+                held = rows_held.take(at) + held
+            rows_held.put(at, held)
+        return [state, last, clock, sorted(waiting)]
 
     def close(self) -> None:
         pass
 
 
+class SharedReplay(OrderedReplay):
+    """The same for very many keys, dealt to shares: a call and a state row per share and batch, not per key. Input rows carry ``key``, the
+    JSON of the key's columns (``names``; whole numbers, strings or booleans).
+
+    A share's row carries the state of its keys and up to ``NEAR_ROWS`` rows of each slice that waits; larger slices have a map entry each, and what a
+    batch brings is packed by key as it is read, so a hot key is not held as a whole."""
+
+    NEAR_ROWS = 256
+    PACK_ROWS = 100_000
+
+    def __init__(self, names: list[str], fold: Fold, order: list[str], keep: list[str], schema: StructType, delay_ms: int) -> None:
+        super().__init__(fold, order, keep, schema, delay_ms)
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _TEXT)
+        self.held = handle.getMapState("held", StructType([StructField("key", StringType()), StructField("slice", LongType())]), _TEXT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        keys = json.loads(saved[0]) if saved else {}
+        came: dict[str, list] = {}
+        packed: dict[str, list[bytes]] = {}
+        many = 0
+        for batch in rows:
+            for name, row in zip(batch["key"].tolist(), _rows([batch], self.columns)):
+                came.setdefault(name, []).append(row)
+            many += len(batch)
+            if many >= self.PACK_ROWS:
+                for name, some in came.items():
+                    packed.setdefault(name, []).append(pickle.dumps(some))
+                came.clear()
+                many = 0
+        out: list[tuple] = []
+        for name in [*packed, *(name for name in came if name not in packed)]:
+            batches = itertools.chain(map(pickle.loads, packed.pop(name, ())), [came.pop(name, [])])
+            *before, near = keys.get(name, (*self.NEW, {}))
+            held = _Held(self.held, (name,), {int(at): some for at, some in near.items()}, self.NEAR_ROWS)
+            told = json.loads(name)
+            after = yield from self._advanced([told.get(n) for n in self.names], before, batches, held, out)
+            keys[name] = [*after, held.near]
+            if len(out) >= self.OUT_ROWS:
+                yield _frame(out, self.schema)
+                out.clear()
+        self.state.update((json.dumps(keys),))
+        if out:
+            yield _frame(out, self.schema)
+
+
 class LiveWindows(StatefulProcessor):
     """Tumbling windows of a model from pre-aggregated rows (``COUNTED``): each comes out once, as ``window``, when the clock is
     ``delay`` past its end; rows of a window that has gone come out as ``late`` with their counts.

@@ -1,6 +1,7 @@
 """Kernels that work on many pairs at once, and inputs that come without a further shuffle."""
 
 import dataclasses
+import json
 import random
 import time
 
@@ -16,8 +17,8 @@ from quireflow.operators.scan import Fold
 from quireflow.plans import evaluation_plans
 from quireflow.plans import inputs as i
 from quireflow.session import CLEAN_SHUFFLES, written
-from quireflow.streaming import processors
-from quireflow.streaming.processors import OrderedReplay
+from quireflow.streaming import live, processors
+from quireflow.streaming.processors import OrderedReplay, SharedReplay
 
 
 def test_edit_distances_of_many_pairs_are_those_of_each():
@@ -215,3 +216,49 @@ def test_a_batch_is_folded_slice_by_slice(spark, monkeypatch):
     assert max(map(len, out)) < 1000 and max(unpacked) < 100
     last = list(replay.handleInputRows(("m",), iter([pd.DataFrame({"at_ms": [5.0, None], "ends": [False, True], "id": [5.0, None]})]), None))
     assert pd.concat(last).id.tolist()[1:] == list(range(20_000 - 3200, 20_000)) and pd.concat(last).late.tolist()[0]
+
+
+def test_keys_of_a_share_are_replayed_like_keys_of_their_own(spark):
+    """Late rows, rows without a time, ended and hot keys (whose slices lie in the map): one state row gives what a row per key gives."""
+    fold = Fold(("v",), "total bigint", lambda s, v: ((s or 0) + (v or 0), ((s or 0) + (v or 0),)))
+    schema = spark.createDataFrame([], "j bigint, p string, v bigint, total bigint, late boolean").schema
+    parts = (fold, ["at_ms", "v"], ["v"], schema, 640)
+    rng, names = random.Random(2), [(2**60 + 1, "a"), (2**60 + 2, "a"), (None, "b"), (7, None), (8, "hot")]
+    batches = []
+    for b in range(4):
+        rows = []
+        for k in range(4000):
+            at = b * 800 + rng.randrange(1200)
+            rows.append((rng.choice(names) if k < 400 else names[-1], None if k % 97 == 0 else float(at), False, b * 4000 + k))
+        batches.append(rows + ([(name, None, True, None) for name in names[:3]] if b == 2 else []))
+
+    def frame(rows):
+        told = [json.dumps({n: v for n, v in zip("jp", name, strict=True) if v is not None}) for name, *_ in rows]
+        return pd.DataFrame({"key": told, "at_ms": [r[1] for r in rows], "ends": [r[2] for r in rows], "v": pd.Series([r[3] for r in rows], dtype=float)})
+
+    shared = SharedReplay(["j", "p"], *parts)
+    shared.NEAR_ROWS, shared.PACK_ROWS, shared.OUT_ROWS, shared.state, shared.held = 8, 1000, 500, _State(), _State()
+    alone = {}
+    for name in names:
+        alone[name] = OrderedReplay(*parts)
+        alone[name].state, alone[name].held = _State(), _State()
+    some = 0
+    for rows in batches:
+        pieces = [frame(rows[k : k + 700]) for k in range(0, len(rows), 700)]
+        got = pd.concat(list(shared.handleInputRows((0,), iter(pieces), None)))
+        want = []
+        for name in names:
+            mine = [r for r in rows if r[0] == name]
+            want += list(alone[name].handleInputRows(name, iter([frame(mine).drop(columns="key")]), None)) if mine else []
+        as_rows = lambda f: sorted(map(str, f.astype(object).where(f.notna(), None).itertuples(index=False, name=None)))
+        assert as_rows(got) == as_rows(pd.concat(want))
+        some += len(shared.held.values)
+    assert some and all(json.loads(owner)["p"] == "hot" for owner, _ in shared.held.values)
+
+
+def test_pages_are_dealt_to_shares(spark, monkeypatch):
+    """A state row per share, not per page."""
+    dealt = []
+    monkeypatch.setattr(live, "SharedReplay", lambda *a: dealt.append(a) or SharedReplay(*a))
+    rows = spark.readStream.format("rate").load().selectExpr("value as job_id", "0 as page_idx", "timestamp as at", "value as step", "'fast' as stage", "1 as delivery", "'ok' as outcome", "true as within_budget")
+    assert live.page_states(rows, 60).columns[:3] == ["job_id", "page_idx", "step"] and dealt[0][0] == ["job_id", "page_idx"]
